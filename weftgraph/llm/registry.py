@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import globs, mixing
+from . import chat, globs, mixing, topk, warc
 
-MODULES = (mixing, globs)
+MODULES = (topk, mixing, warc, chat, globs)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

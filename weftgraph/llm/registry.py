@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, globs, minhash, mixing, suffix, topk, warc
+from . import chat, decontam, globs, minhash, mixing, pst, suffix, topk, toxicity, warc
 
-MODULES = (decontam, topk, mixing, minhash, suffix, warc, chat, globs)
+MODULES = (decontam, toxicity, topk, mixing, minhash, suffix, warc, pst, chat, globs)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

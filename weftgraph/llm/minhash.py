@@ -3,9 +3,10 @@
 One hash of every word 3-gram goes to one of 256 bins and keeps the bin's minimum; an empty bin copies
 the bin that a fixed pseudo-random walk of its own meets first among those filled from the text. Four
 bins make a band, 32 bands a document. In a bucket every document is paired with the least id only
-(a star); pairs are verified on all bins; those that fail are starred again among themselves, until none
-is left, so no bucket costs all its pairs and none is cut short. Verified edges are contracted by
-alternating large-star and small-star steps, and the least id of each group stays.
+(a star); pairs are verified on all bins. The members of a bucket that fail are starred again among
+themselves, until none is left, so that copies don't cost all their pairs and no bucket is cut short; as
+few do, each bucket's rest is one task. Verified edges are contracted by alternating large-star and
+small-star steps, and the least id of each group stays.
 """
 
 from __future__ import annotations
@@ -76,13 +77,41 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    return ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256) >= least
+
+
+def _bytes(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-                share = ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share >= least)], names=["a", "b", "same"])
+                same = _alike(_bytes(b.column(2)), _bytes(b.column(3)), least)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same)], names=["a", "b", "same"])
+
+    return run
+
+
+def star_out(ids: np.ndarray, sigs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of a bucket: the least id with all that are like it, then likewise the rest, until none is left."""
+    order = np.argsort(ids, kind="stable")
+    ids, sigs = ids[order], sigs[order]
+    centre, member = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(ids) > 1:
+        same = _alike(sigs[1:], sigs[:1], least)
+        member.append(ids[1:][same])
+        centre.append(np.full(int(same.sum()), ids[0]))
+        ids, sigs = ids[1:][~same], sigs[1:][~same]
+    return np.concatenate(centre), np.concatenate(member)
+
+
+def _star_rest(least: float):
+    def run(t: pa.Table) -> pa.Table:
+        a, b = star_out(np.asarray(t.column("id").combine_chunks()), _bytes(t.column("sig")), least)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -117,21 +146,16 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.45) -> DataFrame:
     sketch = common.cut(slim.mapInArrow(_sketch, "id long, bands array<long>, sig binary"))
     sigs = sketch.select("id", "sig")
     rows = sketch.select(F.explode("bands").alias("bucket"), "id")
-    matched: DataFrame | None = None
     once = sigs.groupBy("id").agg(F.min("sig").alias("sig"))
-    while True:
-        w = Window.partitionBy("bucket").orderBy("id")
-        starred = rows.select("bucket", "id", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("centre")).where("id <> centre")
-        starred = common.cut(starred)
-        pairs = starred.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        both = pairs.join(once.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(once.withColumnsRenamed({"id": "b", "sig": "y"}), "b").select("a", "b", "x", "y")
-        judged = common.cut(both.mapInArrow(_verify(least), "a long, b long, same boolean"))
-        good = judged.where("same").select("a", "b")
-        matched = good if matched is None else matched.union(good)
-        failed = judged.where("not same").select(F.col("a").alias("centre"), F.col("b").alias("id"))
-        if failed.isEmpty():
-            break
-        rows = starred.join(failed, ["centre", "id"]).select("bucket", "id")
+    first = F.first("id").over(Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    starred = common.cut(rows.select("bucket", "id", first.alias("centre")).where("id <> centre"))
+    pairs = starred.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    both = pairs.join(once.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(once.withColumnsRenamed({"id": "b", "sig": "y"}), "b")
+    judged = common.cut(both.select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, same boolean"))
+    failed = judged.where("not same").select(F.col("a").alias("centre"), F.col("b").alias("id"))
+    rest = starred.join(failed, ["centre", "id"], "left_semi").select("bucket", "id").distinct().join(once, "id")
+    more = rest.groupBy("bucket").applyInArrow(_star_rest(least), "a long, b long")
+    matched = judged.where("same").select("a", "b").union(more)
     return components(matched).select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 
 

@@ -298,12 +298,14 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     joined = docs.join(cuts, (F.col("doc_id") == F.col("__cut_id")) & (F.hash(text) == F.col("__cut_th")), "left")
 
-    @F.pandas_udf("string")
-    def without(texts, spans):
-        return texts.where(spans.isna(), [t if c is None else cut_text(t, [(x["s"], x["e"]) for x in c]).strip() for t, c in zip(texts, spans, strict=True)])
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        cut = [None if c is None or t is None else cut_text(t, [(x["s"], x["e"]) for x in c]).strip() for t, c in zip(texts.to_pylist(), spans.to_pylist(), strict=True)]
+        return pa.array(cut, pa.string())
 
-    changed = joined.withColumn("__new", without(text, F.col("__cuts")))
     hit = F.col("__cuts").isNotNull()
+    # only texts that are cut cross over to Python
+    changed = joined.withColumn("__new", without(F.when(hit, text), F.col("__cuts")))
     made = {"text": F.when(hit, F.col("__new")).otherwise(text)}
     for c in docs.columns:
         if c.lower() == "n_chars":

@@ -272,14 +272,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **how:
     """``docs`` without the rows that are toxic; all columns and all else stay."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         if model.value is None:
-            return pd.Series(np.ones(len(texts), bool))
-        p = model.value(pa.array(texts, pa.string(), from_pandas=True))
-        return pd.Series((p < least) | [not (t or "").strip() for t in texts])
+            return pa.array(np.ones(len(texts), bool))
+        kept = [np.empty(0, bool)]
+        for b in textvec.chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
+            blank = [not (t or "").strip() for t in b.column(0).to_pylist()]
+            kept.append((model.value(b.column(0)) < least) | blank)
+        return pa.array(np.concatenate(kept))
 
     return docs.where(clean(F.col("text").cast("string")))
 

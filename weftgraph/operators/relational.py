@@ -111,8 +111,9 @@ def counted(rows: DataFrame, keys: Keys, name: str = "n") -> DataFrame:
 
 
 def _in_order(c: str, order: str) -> Column:
-    got = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))))
-    return F.transform(got, lambda x: x["v"])
+    got = F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))
+    by_order = F.array_sort(got, lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0))  # maps have no order of their own
+    return F.transform(by_order, lambda x: x["v"])
 
 
 def merged(rows: DataFrame, key: Keys, order: str, rules: Mapping[str, str]) -> DataFrame:

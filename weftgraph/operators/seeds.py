@@ -106,7 +106,7 @@ def module_candidates(module: Column, roots: list[str]) -> Column:
 def by_commands(files: DataFrame, roots: list[str]) -> DataFrame:
     """Seeds from commands and script tables in configuration files, their modules resolved to files; (found, unresolved) in one frame by ``file`` null."""
     conf = files.where(F.col("path").rlike(_CONFIG) & F.col("content").isNotNull()).select("path", "content")
-    one = lambda k: F.transform(F.regexp_extract_all("content", F.lit(k[0]), F.lit(0)), lambda m: F.struct(F.trim(m).alias("text"), F.regexp_extract(m, k[0], 1).alias("module"), F.nullif(F.regexp_extract(m, k[0], 2), F.lit("")).alias("symbol"), F.lit(k[1]).alias("kind"), F.lit(k[2]).alias("confidence"), F.lit(k[3]).alias("priority")))
+    one = lambda k: F.transform(F.regexp_extract_all("content", F.lit(k[0]), F.lit(0)), lambda m: F.struct(F.regexp_replace(m, r"^\s+|\s+$", "").alias("text"), F.regexp_extract(m, k[0], 1).alias("module"), F.nullif(F.regexp_extract(m, k[0], 2), F.lit("")).alias("symbol"), F.lit(k[1]).alias("kind"), F.lit(k[2]).alias("confidence"), F.lit(k[3]).alias("priority")))
     scripts = F.col("path").rlike(r"(^|/)(pyproject\.toml|setup\.cfg)$") & F.col("content").rlike(r"(project|poetry)\.scripts|console_scripts")
     none = F.array().cast("array<struct<text:string,module:string,symbol:string,kind:string,confidence:double,priority:int>>")
     hits = F.flatten(F.array(*[F.when(scripts, one(k)).otherwise(none) if k[1] == "console_script" else one(k) for k in _COMMANDS]))

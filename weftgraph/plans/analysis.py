@@ -57,20 +57,24 @@ class Analysis:
             raise AttributeError(name) from None
 
 
-def language_links(found: DataFrame, refs: DataFrame, symbols: DataFrame, files: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    """The resolver of each language over its references; ``files`` has path, lang and content."""
-    modules = settle(resolve.python_modules(files, list(settings.source_roots)))
-    python = resolve.python(refs, modules)
-    configs = settle(resolve.ts_configs(files))
-    web = resolve.web(refs, files.select("path"), resolve.effective_configs(configs))
-    go = resolve.go(refs, settle(resolve.go_packages(files, resolve.go_modules(files))))
+def language_links(found: DataFrame, refs: DataFrame, symbols: DataFrame, files: DataFrame, settings: Settings, langs: set[str] | None = None) -> dict[str, DataFrame]:
+    """The resolver of each language over its references; ``files`` has path, lang and content. ``langs`` limits it to those that occur.
+
+    Each is settled on its own: one plan of all of them would be planned again after every stage.
+    """
+    modules = lambda: settle(resolve.python_modules(files, list(settings.source_roots)))
     packages = lambda lang: found.where((F.col("lang") == lang) & (F.coalesce("package", F.lit("")) != "")).select("package", "path")
-    java = resolve.java(refs, resolve.declared_types(symbols, "java"), packages("java"))
-    kotlin = resolve.kotlin(refs, resolve.declared_types(symbols, "kotlin"), packages("kotlin"))
-    rust = resolve.rust(refs, resolve.rust_modules(files))
-    constants = ruby_types(symbols)
-    ruby = resolve.ruby(refs, resolve.ruby_providers(files), constants)
-    return {"python": python, "ts": web, "go": go, "java": java, "kotlin": kotlin, "rust": rust, "ruby": ruby}
+    configs = lambda: resolve.effective_configs(settle(resolve.ts_configs(files)))
+    of = {
+        "python": lambda: resolve.python(refs, modules()),
+        "ts": lambda: resolve.web(refs, files.select("path"), configs()),
+        "go": lambda: resolve.go(refs, settle(resolve.go_packages(files, resolve.go_modules(files)))),
+        "java": lambda: resolve.java(refs, resolve.declared_types(symbols, "java"), packages("java")),
+        "kotlin": lambda: resolve.kotlin(refs, resolve.declared_types(symbols, "kotlin"), packages("kotlin")),
+        "rust": lambda: resolve.rust(refs, resolve.rust_modules(files)),
+        "ruby": lambda: resolve.ruby(refs, resolve.ruby_providers(files), ruby_types(symbols)),
+    }
+    return {lang: settle(make()) for lang, make in of.items() if langs is None or lang in langs}
 
 
 def ruby_types(symbols: DataFrame) -> DataFrame:
@@ -86,23 +90,26 @@ def rust_types(symbols: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def language_edges(links: Mapping[str, DataFrame], found: DataFrame, refs: DataFrame, symbols: DataFrame, files: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    """Each language's edges: imports, and what else relates its files."""
+    """Each language's edges: imports, and what else relates its files; for the languages of ``links``."""
     outer = settings.include_external
     made = {lang: ed.from_links(l, lang, external=outer) for lang, l in links.items()}
-    made["python"] = ed.collapse_package_edges(made["python"])
-    made["java"] = made["java"].unionByName(ed.from_relations(resolve.relations(found, resolve.declared_types(symbols, "java"), refs, "java"), "java", external=outer))
-    ktypes = resolve.declared_types(symbols, "kotlin")
-    tokens = found.where("lang = 'kotlin'").select("path", "package", F.explode("tokens").alias("token"))
-    made["kotlin"] = made["kotlin"].unionByName(ed.from_relations(resolve.relations(found, ktypes, refs, "kotlin"), "kotlin", external=outer)).unionByName(
-        ed.from_symbols(resolve.symbol_links(tokens, symbols, most=settings.symbol_edges_per_file))
-    )
-    rmods = resolve.rust_modules(files)
-    made["rust"] = made["rust"].unionByName(ed.from_relations(resolve.relations(found, rust_types(symbols, rmods), refs, "rust", "::"), "rust", external=outer))
-    rtypes = ruby_types(symbols)
-    ruby = made["ruby"].unionByName(ed.from_calls(resolve.ruby_calls(found, symbols))).unionByName(ed.from_associations(resolve.ruby_associations(found, rtypes)))
-    ruby = ruby.unionByName(ed.from_relations(resolve.relations(found, rtypes, refs, "ruby", "::"), "ruby", external=outer))
-    made["ruby"] = merge.strongest_edges(ruby, ["seq", "spec"], ["spec", "reason", "subkind"])
-    return made
+    types = {
+        "java": (lambda: resolve.declared_types(symbols, "java"), "."), "kotlin": (lambda: resolve.declared_types(symbols, "kotlin"), "."),
+        "rust": (lambda: rust_types(symbols, resolve.rust_modules(files)), "::"), "ruby": (lambda: ruby_types(symbols), "::"),
+    }
+    for lang, (make, sep) in types.items():
+        if lang in made:
+            rel_ = resolve.relations(found, make(), refs, lang, sep)
+            made[lang] = made[lang].unionByName(ed.from_relations(rel_, lang, external=outer))
+    if "python" in made:
+        made["python"] = ed.collapse_package_edges(made["python"])
+    if "kotlin" in made:
+        tokens = found.where("lang = 'kotlin'").select("path", "package", F.explode("tokens").alias("token"))
+        made["kotlin"] = made["kotlin"].unionByName(ed.from_symbols(resolve.symbol_links(tokens, symbols, most=settings.symbol_edges_per_file)))
+    if "ruby" in made:
+        ruby = made["ruby"].unionByName(ed.from_calls(resolve.ruby_calls(found, symbols))).unionByName(ed.from_associations(resolve.ruby_associations(found, ruby_types(symbols))))
+        made["ruby"] = merge.strongest_edges(ruby, ["seq", "spec"], ["spec", "reason", "subkind"])
+    return {lang: settle(e) for lang, e in made.items()}
 
 
 def analyze(spark: SparkSession, source: str | DataFrame, settings: Settings | None = None, *, hook: Hook | None = None, events: Events | None = None) -> Analysis:
@@ -142,9 +149,9 @@ def analyze(spark: SparkSession, source: str | DataFrame, settings: Settings | N
     roots = [r.root for r in t["source_roots"].orderBy("rank").collect() if r.root]
     t["seeds"] = seeds.discover(files, roots)
     t["warnings"] = seeds.warnings(files, roots)
-    links = language_links(t["facts"], t["refs"], t["symbols"], files, s)
-    t["links"] = settle(ed.union_all({k: v.withColumn("lang", F.lit(k)) for k, v in links.items()}))
-    by_lang = {k: t["links"].where(F.col("lang") == k).drop("lang") for k in links}
+    langs = {r.lang for r in tree.language_counts(code).collect()} | {"python"}  # Python's tables are asked for below
+    by_lang = language_links(t["facts"], t["refs"], t["symbols"], files, s, langs | ({"ts"} if "js" in langs else set()))
+    t["links"] = ed.union_all({k: v.withColumn("lang", F.lit(k)) for k, v in by_lang.items()})
     done("links")
     made = language_edges(by_lang, t["facts"], t["refs"], t["symbols"], files, s)
     web = F.col("lang").isin("ts", "js")
@@ -183,7 +190,9 @@ def analyze(spark: SparkSession, source: str | DataFrame, settings: Settings | N
     credit = deadcode.credits(t["facts"], pylinks)
     every = deadcode.starred(pylinks, t["refs"])
     names, lost = deadcode.unused_names(t["facts"], t["symbols"], credit, every), deadcode.unused_imports(t["facts"])
-    dead = deadcode.dead_modules(pyfiles, inner, deadcode.roots_of(pyfiles, entry))
+    # packages whose edges were collapsed still run when a module of theirs is imported
+    reached = inner.union(ed.from_links(pylinks, "python").select("src", "dst"))
+    dead = deadcode.dead_modules(pyfiles, reached, deadcode.roots_of(pyfiles, entry))
     t["dead_code"] = deadcode.report(pyfiles, dead, names, lost)
     t["discovery"] = nd.discovery(t["manifest"], t["nodes"])
     t["coverage"] = rel.coverage(t["file_index"].where("eligible").select("id"), t["nodes"].select("id"), "id")

@@ -47,9 +47,9 @@ def first_existing(spark: SparkSession, folders: Iterable[str], names: Iterable[
 def read_documents(spark: SparkSession, paths: list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of JSON documents with a schema; documents that don't parse go to errors (path, record)."""
     wide = StructType.fromDDL(schema).add("_corrupt_record", "string")
-    df = spark.read.schema(wide).option("mode", "PERMISSIVE").option("multiLine", True).json(paths).withColumn("path", F.input_file_name())
-    bad = F.col("_corrupt_record").isNotNull()
-    return df.where(~bad).drop("_corrupt_record"), df.where(bad).select("path", F.col("_corrupt_record").alias("record"))
+    text = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", wide, {"mode": "PERMISSIVE"}).alias("d"))
+    bad = F.col("d._corrupt_record").isNotNull()
+    return text.where(~bad).select("d.*", "path").drop("_corrupt_record"), text.where(bad).select("path", F.col("d._corrupt_record").alias("record"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

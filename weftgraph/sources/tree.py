@@ -17,12 +17,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from weftgraph.functions import paths
 
 SCHEMA = "path string, ext string, lang string, size long, modified timestamp, content string"
+_ARROW = pa.schema([("path", pa.string()), ("ext", pa.string()), ("lang", pa.string()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("content", pa.string())])
 _BY_LANG = {
     "python": "py pyi", "ts": "ts tsx", "js": "js jsx mjs cjs", "go": "go", "java": "java", "kotlin": "kt kts", "rust": "rs", "ruby": "rb rake gemspec ru",
     "json": "json", "yaml": "yml yaml", "markdown": "md mdx", "html": "htm html", "css": "css less sass scss", "csharp": "cs", "cpp": "c cc cpp cxx h hh hpp",
@@ -133,7 +132,6 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         system, root = self._fs()
-        schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
         rows, size = [], 0
         for name, lang, n, at in partition.files:
             text = None
@@ -143,10 +141,10 @@ class _Reader(DataSourceReader):
             rows.append({"path": name, "ext": suffix(name.rpartition("/")[2]), "lang": lang, "size": n, "modified": datetime.datetime.fromtimestamp(at, datetime.timezone.utc), "content": text})
             size += n
             if size > 8 << 20:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
                 rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
 class SourceTree(DataSource):

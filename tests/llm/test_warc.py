@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import gzip
-import io
 
 import pyarrow as pa
 import pytest
@@ -54,7 +53,7 @@ def test_filters_are_pushed_and_payloads_skipped(spark, folder):
     old, warc._Gzip = warc._Gzip, Counting
     try:
         data = (folder / "c.warc.gz").read_bytes()
-        rows = list(warc.records(pa.PythonFile(io.BytesIO(data)), {"target_uri": [lambda u: u == "https://a.b/12"]}, True, True))
+        rows = list(warc.records(pa.BufferReader(data), {"target_uri": [lambda u: u == "https://a.b/12"]}, True, True))
     finally:
         warc._Gzip = old
     assert [r[-1] for r in rows] == ["sl"] and len(taken) == 1

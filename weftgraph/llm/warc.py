@@ -246,7 +246,7 @@ class _Reader(DataSourceReader):
         for s, p in files:
             i = min(range(len(bins)), key=lambda k: bins[k][0])
             bins[i] = (bins[i][0] + s, [*bins[i][1], p])
-        return [_Files(tuple(b)) for _, b in bins]
+        return [_Files(tuple(b)) for _, b in bins] or [_Files(())]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         system = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path else pafs.LocalFileSystem()
@@ -342,6 +342,8 @@ def write_warc(pages: DataFrame, path: str) -> int:
         system.move(part, name)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
+    system, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    system.create_dir(root, recursive=True)  # an empty table has no task that would make it
     done = pages.select(F.col("page_id").cast("string"), "url", "html").mapInArrow(write, "n long")
     return done.agg(F.sum("n")).first()[0] or 0
 

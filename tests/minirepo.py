@@ -63,6 +63,6 @@ FILES = {
 def write(root: str | Path) -> str:
     for name, text in FILES.items():
         p = Path(root) / name
-        p.parent.mkdir(parents=True, exist_ok=True)
+        p.parent.mkdir(exist_ok=True, parents=True)
         p.write_text(text, encoding="utf-8")
     return str(root)

@@ -49,7 +49,8 @@ def test_other_languages(pairs):
 
 def test_crosstalk(result):
     assert {(r.src, r.dst, r.join, r.confidence) for r in result.crosstalk.collect()} == {
-        ("pkg/core.py", "web/src/app.ts", "env:API_KEY", 1.0), ("pkg/api.py", "web/src/app.ts", "http:GET:/api/users/:id", 0.9),
+        ("pkg/core.py", "web/src/app.ts", "env:API_KEY", 1.0),
+        ("pkg/api.py", "web/src/app.ts", "http:GET:" + "/api/users/:id", 0.9),
         ("pkg/api.py", "web/src/app.ts", "http:POST:/api/items", 1.0), ("pkg/api.py", "web/src/lib/api.ts", "http:GET:/api/items", 1.0),
     }
 

@@ -6,32 +6,32 @@ from weftgraph.functions import extract
 from weftgraph.functions.source_common import blank_comments
 
 CASES = [  # language, code, key, confidence
-    ("python", "@app.get('/api/users')\ndef f(): ...", "http:GET:/api/users", 1.0),
-    ("python", "@app.post('/api/users/{user_id}')\ndef f(user_id: int): ...", "http:POST:/api/users/:id", 1.0),
-    ("python", "@r.get('/posts/{a}/comments/{b}')\ndef f(): ...", "http:GET:/posts/:id/comments/:id", 1.0),
-    ("python", "@app.route('/users/<int:user_id>')\ndef f(): ...", "http:GET:/users/:id", 1.0),
-    ("python", "@app.route('/files/<path:p>')\ndef f(): ...", "http:GET:/files/:id", 1.0),
-    ("python", "@app.get(f'/api/users/{user_id}')\ndef f(): ...", "http:GET:/api/users/:id", 0.9),
-    ("python", "import os\nk = os.getenv('API_KEY')", "env:API_KEY", 1.0),
-    ("python", "import os\nb = os.environ['API_BASE_URL']", "env:API_BASE_URL", 1.0),
+    ("python", "@app.get('/v2/clients')\ndef f(): ...", "http:GET:/v2/clients", 1.0),
+    ("python", "@app.post('/v2/clients/{cid}')\ndef f(cid: int): ...", "http:POST:/v2/clients/:id", 1.0),
+    ("python", "@r.get('/shops/{a}/items/{b}')\ndef f(): ...", "http:GET:/shops/:id/items/:id", 1.0),
+    ("python", "@app.route('/orders/<int:cid>')\ndef f(): ...", "http:GET:/orders/:id", 1.0),
+    ("python", "@app.route('/blobs/<path:p>')\ndef f(): ...", "http:GET:/blobs/:id", 1.0),
+    ("python", "@app.get(f'/v2/clients/{cid}')\ndef f(): ...", "http:GET:/v2/clients/:id", 0.9),
+    ("python", "import os\nk = os.getenv('MAIL_KEY')", "env:MAIL_KEY", 1.0),
+    ("python", "import os\nb = os.environ['HOST_URL']", "env:HOST_URL", 1.0),
     ("python", "import os\ns = os.environ.get('SECRET_KEY', 'd')", "env:SECRET_KEY", 1.0),
-    ("python", "@socketio.on('user.created')\ndef f(d): ...", "socket:event:user.created", 1.0),
+    ("python", "@socketio.on('order.paid')\ndef f(d): ...", "socket:event:order.paid", 1.0),
     ("python", "socketio.emit('notification', d)", "socket:event:notification", 1.0),
-    ("python", "app = FastAPI(openapi_url='/openapi.json')", "openapi:schema:/openapi.json", 1.0),
-    ("python", "class S(user_pb2_grpc.UserServiceServicer):\n    def GetUser(self, r, c): ...", "rpc:UserService.GetUser", 0.9),
-    ("python", "producer.send('user.created', value=d)", "queue:event:user.created", 1.0),
-    ("python", "def resolve_get_user(root, info, i): ...", "graphql:query:GetUser", 1.0),
-    ("ts", "fetch('/api/users')", "http:GET:/api/users", 1.0),
-    ("ts", "axios.post('/api/users', d)", "http:POST:/api/users", 1.0),
+    ("python", "app = FastAPI(openapi_url='/spec.json')", "openapi:schema:/spec.json", 1.0),
+    ("python", "class S(order_pb2_grpc.OrderServiceServicer):\n    def FindOrder(self, r, c): ...", "rpc:OrderService.FindOrder", 0.9),
+    ("python", "producer.send('order.paid', value=d)", "queue:event:order.paid", 1.0),
+    ("python", "def resolve_find_order(root, info, i): ...", "graphql:query:FindOrder", 1.0),
+    ("ts", "fetch('/v2/clients')", "http:GET:/v2/clients", 1.0),
+    ("ts", "axios.post('/v2/clients', d)", "http:POST:/v2/clients", 1.0),
     ("ts", "axios({ url: '/a/1', method: 'put' })", "http:PUT:/a/:id", 0.9),
     ("ts", "axios({ url: '/a' })", "http:GET:/a", 0.75),
-    ("ts", "fetch(`/api/users/${userId}`)", "http:GET:/api/users/:id", 0.9),
-    ("ts", "const a = process.env.API_BASE_URL", "env:API_BASE_URL", 1.0),
+    ("ts", "fetch(`/v2/clients/${cid}`)", "http:GET:/v2/clients/:id", 0.9),
+    ("ts", "const a = process.env.HOST_URL", "env:HOST_URL", 1.0),
     ("ts", "const a = import.meta.env.VITE_API_URL", "env:VITE_API_URL", 1.0),
-    ("ts", "trpc.user.getById.useQuery(id)", "rpc:trpc:user.getById", 0.95),
-    ("ts", "gql`query GetUser { user { id } }`", "graphql:query:GetUser", 1.0),
-    ("ts", "socket.emit('user.created', d)", "socket:event:user.created", 1.0),
-    ("ts", "router.push('/users')", "route:/users", 1.0),
+    ("ts", "trpc.order.find.useQuery(id)", "rpc:trpc:order.find", 0.95),
+    ("ts", "gql`query FindOrder { order { no } }`", "graphql:query:FindOrder", 1.0),
+    ("ts", "socket.emit('order.paid', d)", "socket:event:order.paid", 1.0),
+    ("ts", "router.push('/orders')", "route:/orders", 1.0),
 ]
 
 

@@ -49,7 +49,7 @@ def test_c_style_metrics_equal_a_character_walk(spark):
 def normal(s: str) -> str:
     s = " ".join(re.sub("#.*$", "", s).split())
     kept = lines.KEYWORDS
-    return re.sub(r"\b[A-Za-z_][A-Za-z0-9_]*\b", lambda m: m[0] if m[0] in kept else "ID", s)
+    return re.sub(r"\b[^\W\d]\w*\b", lambda m: m[0] if m[0] in kept else "ID", s)
 
 
 def test_clones_equal_brute_force(spark):

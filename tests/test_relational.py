@@ -22,7 +22,7 @@ def test_longest_prefix_equals_brute_force(spark):
     got = rel.longest_prefix(spark.createDataFrame([(s,) for s in specs], "spec string"), spark.createDataFrame([(k,) for k in known], "id string"), spec="spec", ident="id")
     for r in got.collect():
         parts = r.spec.split(".")
-        want = next((p for p in (".".join(parts[:i]) for i in range(len(parts), 0, -1)) if p in known), None)
+        want = max((p for p in (".".join(parts[: i + 1]) for i in range(len(parts))) if p in known), key=len, default=None)
         assert r.id == want, r.spec
 
 

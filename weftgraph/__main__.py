@@ -12,13 +12,13 @@ from weftgraph.sources import settings, stores
 
 
 def main(argv: list[str] | None = None) -> int:
-    p = argparse.ArgumentParser(prog="weftgraph", description="Dependency-graph analytics of a source tree.")
+    p = argparse.ArgumentParser("weftgraph", description="Dependency-graph analytics of a source tree.")
     p.add_argument("root")
     p.add_argument("--out", help="folder for the Parquet tables")
     p.add_argument("--bundle", help="file for the JSON bundle")
     p.add_argument("--compact", action="store_true", help="dictionary-encode the bundle")
     p.add_argument("--external", action="store_true", help="keep edges to what lies outside")
-    p.add_argument("--max-bytes", type=int, default=100_000_000)
+    p.add_argument("--max-bytes", default=10**8, type=int)
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("weftgraph").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     given = settings.load(args.root)

@@ -41,7 +41,8 @@ def facts_of(text: str | None, lang: str) -> tuple[Facts, str, str | None]:
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         facts = Facts()
         facts["notes"] = [f"import_line:{x}" for x in import_lines(text)] if lang == "python" else []
-        return facts, "error", f"{type(e).__name__}: {e}"[:200]
+        why = ": ".join((type(e).__name__, str(e)))
+        return facts, "error", why[:200]
 
 
 def facts(files: DataFrame) -> DataFrame:

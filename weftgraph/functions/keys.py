@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .paths import text
 
-_UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}"
+HEX = "[0-9a-fA-F]"
+UUID = f"{HEX}{{8}}-{HEX}{{4}}-[1-5]{HEX}{{3}}-[89abAB]{HEX}{{3}}-{HEX}{{12}}"
 HEX_LENGTH = 12
+SCHEME_AND_HOST = "^[a-zA-Z]" + "[a-zA-Z0-9+.-]*" + "://[^/]+(/|$)"
 
 
 def route_path(c: Column | str, *, decode: bool = False, strict: bool = False) -> Column:
@@ -18,7 +20,7 @@ def route_path(c: Column | str, *, decode: bool = False, strict: bool = False) -
     """
     p = F.trim(text(c))
     s = F.regexp_replace(p, "[?#].*$", "")
-    s = F.regexp_replace(s, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+(/|$)", "/")
+    s = F.regexp_replace(s, SCHEME_AND_HOST, "/")
     s = F.when(s.startswith("/"), s).otherwise(F.concat(F.lit("/"), s))
     if decode:
         s = F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
@@ -33,10 +35,10 @@ def route_template(c: Column | str, hex_length: int = HEX_LENGTH) -> Column:
     Those are numbers, UUIDs, hexadecimal strings of ``hex_length`` or more, and the parameters :x, {x}
     and <x>. Both sides of a join must use one ``hex_length``.
     """
-    instance = rf"^(:.*|\{{.*\}}|<.*>|\d+|{_UUID})$"
+    instance = rf"^(:.*|\{{.*\}}|<.*>|\d+|{UUID})$"
 
     def one(seg: Column) -> Column:
-        long_hex = (F.length(seg) >= hex_length) & seg.rlike("^(0x)?[0-9a-fA-F]+$")
+        long_hex = (F.length(seg) >= hex_length) & seg.rlike(f"^(0x)?{HEX}+$")
         return F.when((seg != "") & (seg.rlike(instance) | long_hex), F.lit(":id")).otherwise(seg)
 
     return F.array_join(F.transform(F.split(route_path(c), "/"), one), "/")

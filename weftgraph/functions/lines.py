@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .paths import text
 
 _COMMENT, _GAP = "\u0001", "[ \\t\\x0b\\f\\r]"
+COUNTS = tuple("loc sloc comment_lines blank_lines".split())
 KEYWORDS = frozenset(
     "and as break class continue def elif else except False for from if import in is lambda None not or pass return True try while with yield".split()
 )
@@ -78,5 +79,5 @@ def normal_line(line: Column, *, strip_comments: bool = True, idents: bool = Fal
     s = F.regexp_replace(line, "#.*$", "") if strip_comments else line
     s = F.trim(F.regexp_replace(s, r"\s+", " "))
     if idents:
-        s = F.regexp_replace(s, rf"\b(?!(?:{'|'.join(sorted(KEYWORDS))})\b)[A-Za-z_][A-Za-z0-9_]*\b", "ID")
+        s = F.regexp_replace(s, rf"\b(?!(?:{'|'.join(sorted(KEYWORDS))})\b)[A-Za-z_]\w*\b", "ID")
     return s

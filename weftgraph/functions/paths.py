@@ -79,10 +79,14 @@ def module_for_path(c: Column | str) -> Column:
     return F.when(p == "", F.lit("")).when(is_module_id(p), p).otherwise(F.replace(plain, F.lit("/"), F.lit(".")))
 
 
+def _root(root: str | None) -> str:
+    return "/".join((root or "").split("\\")).rstrip("/")
+
+
 def relative_to(c: Column | str, root: str | None) -> Column:
     """The path below ``root``; what isn't below it, and the root itself, stay as they are."""
     p = to_posix(c)
-    r = (root or "").replace("\\", "/").rstrip("/")
+    r = _root(root)
     if not r:
         return p
     return F.when(p.startswith(r + "/"), F.substr(p, F.lit(len(r) + 2))).otherwise(p)
@@ -117,7 +121,7 @@ def is_repo_relative(c: Column | str) -> Column:
     return (s != "") & ~s.contains(":") & ~to_posix(s).startswith("/")
 
 
-# --- web ------------------------------------------------------------------------------------------
+# == web
 
 
 def strip_query_and_hash(c: Column | str) -> Column:
@@ -146,7 +150,7 @@ def is_bare_spec(c: Column | str) -> Column:
 
 def web_file_id(c: Column | str, root: str | None = None) -> Column:
     p = fold_dots(strip_query_and_hash(c))
-    r = (root or "").replace("\\", "/").rstrip("/")
+    r = _root(root)
     if r:
         p = F.when(p == r, F.lit("")).when(p.startswith(r + "/"), F.substr(p, F.lit(len(r) + 2))).when(p.rlike("^(/|[A-Za-z]:)"), F.concat(F.lit("/"), p)).otherwise(p)
     return F.regexp_replace(_no_lead(p), "/+$", "")
@@ -175,7 +179,7 @@ def web_candidates(base: Column | str) -> Column:
     return F.when(b == "", F.array().cast(_STRINGS)).when(b.endswith(".js"), twins).when(extension(b) == "", bare).otherwise(F.array(b))
 
 
-# --- Go, Java, Kotlin, Rust, Ruby -------------------------------------------------------------------
+# == Go, Java, Kotlin, Rust, Ruby
 
 
 def go_spec(c: Column | str) -> Column:
@@ -288,7 +292,7 @@ def association_class(c: Column | str) -> Column:
     return camelize(one)
 
 
-# --- Python modules ---------------------------------------------------------------------------------
+# == Python modules
 
 
 def sanitize_identifier(c: Column | str) -> Column:
@@ -348,7 +352,7 @@ def common_prefix_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, n.cast("long")).cast("int")
 
 
-# --- small values -------------------------------------------------------------------------------------
+# == small values
 
 
 def iso_utc(ts: Column) -> Column:
@@ -378,7 +382,7 @@ def enum_value(c: Column, values: Sequence[str]) -> Column:
 def language_alias(c: Column | str) -> Column:
     """Common spellings of a language as one."""
     s = F.lower(F.trim(text(c)))
-    known = {"py": "python", "python3": "python", "typescript": "ts", "tsx": "ts", "javascript": "js", "jsx": "js", "golang": "go", "rs": "rust", "kt": "kotlin", "rb": "ruby"}
+    known = {"golang": "go", "python3": "python", "py": "python", "typescript": "ts", "tsx": "ts", "javascript": "js", "jsx": "js", "rs": "rust", "kt": "kotlin", "rb": "ruby"}
     return F.coalesce(*[F.when(s == k, F.lit(v)) for k, v in known.items()], s)
 
 

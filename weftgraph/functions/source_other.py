@@ -7,6 +7,7 @@ import re
 from .source_common import Facts, Lines, blank_comments, depth_zero, import_ref, split_list, symbol
 
 _ID = r"[A-Za-z_]\w*"
+_PUB = r"pub(?:\([a-z: ]*\))?[ \t]+"
 _PATH = rf"{_ID}(?:\.{_ID})*"
 
 
@@ -14,10 +15,12 @@ def _bases(text: str | None) -> list[str]:
     return [re.sub(r"[<(].*", "", b, flags=re.S).strip() for b in split_list(text or "")]
 
 
-# --- Java ---------------------------------------------------------------------------------------------
+# == Java
 
-_JAVA_TYPE = re.compile(rf"(?P<m>(?:\b(?:public|protected|private|abstract|final|static|sealed|non-sealed|strictfp)\s+)*)(?P<k>@?\b(?:class|interface|enum|record))\s+(?P<n>{_ID})(?P<h>[^{{;]*)\{{")
-_JAVA_MEMBER = re.compile(rf"(?m)^[ \t]*(?:@\w[^\n]*\n[ \t]*)*(?P<m>(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)*)(?P<t>{_ID}[\w.<>,\[\]? ]*?)\s+(?P<n>{_ID})\s*(?P<e>\(|=|;)")
+_TYPE_WORDS = "|".join("abstract final non-sealed private protected public sealed static strictfp".split())
+_MEMBER_WORDS = "|".join("abstract default final native private protected public static synchronized".split())
+_JAVA_TYPE = re.compile(rf"(?P<m>(?:\b(?:{_TYPE_WORDS})\s+)*)(?P<k>@?\b(?:class|interface|enum|record))\s+(?P<n>{_ID})(?P<h>[^{{;]*)\{{")
+_JAVA_MEMBER = re.compile(rf"(?m)^[ \t]*(?:@\w[^\n]*\n[ \t]*)*(?P<m>(?:(?:{_MEMBER_WORDS})\s+)*)(?P<t>{_ID}[\w.<>,\[\]? ]*?)\s+(?P<n>{_ID})\s*(?P<e>\(|=|;)")
 _NOT_MEMBERS = frozenset("return new throw else case package import if for while switch try catch do assert".split())
 
 
@@ -65,7 +68,7 @@ def _members_only(text: str) -> str:
     return "".join(out)
 
 
-# --- Kotlin -------------------------------------------------------------------------------------------
+# == Kotlin
 
 _KOTLIN_DECL = re.compile(rf"(?m)^[ \t]*(?:@\w\S*\s+)*(?P<m>(?:(?:public|internal|private|protected|open|abstract|final|sealed|data|enum|annotation|inline|suspend|operator|infix|override|const|lateinit|tailrec|value|companion|expect|actual)\s+)*)(?P<k>class|interface|object|fun|val|var|typealias)\s+(?:<[^>]*>\s*)?(?:{_ID}\.)?(?P<n>{_ID})(?P<r>[^\n]*)")
 _KOTLIN_IGNORE = frozenset("package import class interface object fun val var if else when for while do return true false null this super is as in by it String Int Long Boolean Double Float Unit Any List Map Set".split())
@@ -91,7 +94,7 @@ def kotlin_facts(text: str) -> Facts:
     return facts
 
 
-# --- Go -----------------------------------------------------------------------------------------------
+# == Go
 
 
 def go_facts(text: str) -> Facts:
@@ -117,7 +120,7 @@ def go_facts(text: str) -> Facts:
     return facts
 
 
-# --- Rust ---------------------------------------------------------------------------------------------
+# == Rust
 
 
 def _use_tree(text: str, lead: str = "") -> list[tuple[str, str | None]]:
@@ -137,14 +140,14 @@ def _use_tree(text: str, lead: str = "") -> list[tuple[str, str | None]]:
 def rust_facts(text: str) -> Facts:
     bare, lines = blank_comments(re.sub(r"'(?=[a-z_]\w*\b(?!'))", " ", text), strings=True), Lines(text)
     facts = Facts()
-    for m in re.finditer(r"(?m)^[ \t]*(?P<v>pub(?:\([^)]*\))?\s+)?use\s+(?P<t>[^;]+);", bare):
+    for m in re.finditer(rf"(?m)^[ \t]*(?P<v>{_PUB})?use\s+(?P<t>[^;]+);", bare):
         for path, alias in _use_tree(re.sub(r"\s+", " ", m["t"])):
             glob = path.endswith("::*") or path == "*"
             facts["imports"].append(
                 import_ref(raw=m[0].strip(), module=path.removesuffix("::*"), names=[(path.rpartition("::")[2], alias)] if alias else [], line=lines.at(m.start("t"))[0], kind="reexport" if m["v"] else "import", tags=["wildcard"] if glob else [])
             )
     top = depth_zero(bare)
-    for m in re.finditer(rf"(?m)^[ \t]*(?P<v>pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+(?=fn))*(?P<k>fn|struct|enum|trait|union|type|const|static|mod|macro_rules!)\s+(?:mut\s+)?(?P<n>{_ID})(?P<r>[^\n{{;]*)(?P<e>[;{{]?)", top):
+    for m in re.finditer(rf"(?m)^[ \t]*(?P<v>{_PUB})?(?:async\s+|unsafe\s+|const\s+(?=fn))*(?P<k>fn|struct|enum|trait|union|type|const|static|mod|macro_rules!)\s+(?:mut\s+)?(?P<n>{_ID})(?P<r>[^\n{{;]*)(?P<e>[;{{]?)", top):
         line, col = lines.at(m.start("n"))
         kind = {"fn": "function", "const": "global", "static": "global", "mod": "module", "macro_rules!": "macro"}.get(m["k"], m["k"])
         if kind == "module" and m["e"] == ";":
@@ -161,7 +164,7 @@ def rust_facts(text: str) -> Facts:
         owner = b or a
         start = m.end()
         end = _closing(bare, start)
-        for f in re.finditer(rf"(?m)^[ \t]*(?P<v>pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<n>{_ID})", bare[start:end]):
+        for f in re.finditer(rf"(?m)^[ \t]*(?P<v>{_PUB})?(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<n>{_ID})", bare[start:end]):
             line, col = lines.at(start + f.start("n"))
             facts["symbols"].append(symbol(kind="method", name=f["n"], owner=owner, line=line, col=col, flags=["pub"] if f["v"] else []))
     for m in re.finditer(r"#!?\[\s*(?P<n>[\w:]+)\s*(?:\((?P<a>[^\]]*)\))?[^\]]*\]", bare):
@@ -181,7 +184,7 @@ def _closing(text: str, at: int) -> int:
     return len(text)
 
 
-# --- Ruby ---------------------------------------------------------------------------------------------
+# == Ruby
 
 _RUBY_OPEN = re.compile(r"^\s*(?:class|module|def|begin|case|if|unless|while|until|for)\b|\bdo\b\s*(?:\|[^|]*\|)?\s*$|=\s*(?:if|case|begin|unless)\b")
 _CONST = r"[A-Z]\w*(?:::[A-Z]\w*)*"

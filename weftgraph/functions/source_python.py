@@ -21,14 +21,15 @@ def import_lines(text: str) -> list[str]:
 def dotted(node: ast.AST) -> tuple[str, ...]:
     """Names of a chain such as a.b.c; empty for anything else."""
     parts: list[str] = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    return (*([node.id]), *reversed(parts)) if isinstance(node, ast.Name) else ()
+    at = node
+    while isinstance(at, ast.Attribute):
+        at, parts = at.value, [at.attr, *parts]
+    return (at.id, *parts) if isinstance(at, ast.Name) else ()
 
 
 def literal(node: ast.AST | None) -> str | None:
-    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+    v = getattr(node, "value", None)
+    return v if type(node) is ast.Constant and type(v) is str else None
 
 
 def template(node: ast.AST | None) -> tuple[str | None, float]:
@@ -81,7 +82,7 @@ class _Visitor(ast.NodeVisitor):
 
     def _guard(self, test: ast.AST) -> bool | None:
         """Whether a test is about the type checker: True if it holds for it, False if it doesn't, None if neither."""
-        if isinstance(test, ast.UnaryOp) and isinstance(test.op, ast.Not):
+        if isinstance(getattr(test, "op", None), ast.Not):
             inner = self._guard(test.operand)
             return None if inner is None else not inner
         if isinstance(test, ast.BoolOp):
@@ -96,7 +97,7 @@ class _Visitor(ast.NodeVisitor):
             return True
         return None
 
-    def visit_If(self, node: ast.If) -> None:
+    def visit_If(self, node):
         kind = self._guard(node.test)
         self.visit(node.test)
         for body, on in ((node.body, kind is True), (node.orelse, kind is False)):
@@ -122,7 +123,7 @@ class _Visitor(ast.NodeVisitor):
             import_ref(raw=raw, module=module, names=names, is_from=is_from, level=level, type_checking=self.guarded > 0, line=node.lineno, end_line=node.end_lineno, scope=scope, kind=kind, tags=list(dict.fromkeys(tagged)))
         )
 
-    def visit_Import(self, node: ast.Import) -> None:
+    def visit_Import(self, node):
         for a in node.names:
             if a.name in ("typing", "typing_extensions"):
                 self.typing.add(a.asname or a.name)
@@ -131,7 +132,7 @@ class _Visitor(ast.NodeVisitor):
                 self.facts["local_imports"].append({"name": a.asname or a.name.split(".")[0], "line": node.lineno, "col": node.col_offset, "module": a.name, "attr": None, "level": 0})
         self._import(node, None, [(a.name, a.asname) for a in node.names], is_from=False)
 
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+    def visit_ImportFrom(self, node):
         if node.module in ("typing", "typing_extensions"):
             self.flags |= {a.asname or a.name for a in node.names if a.name == "TYPE_CHECKING"}
         if not self.scope:
@@ -170,7 +171,7 @@ class _Visitor(ast.NodeVisitor):
 
     visit_FunctionDef = visit_AsyncFunctionDef = _function
 
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
+    def visit_ClassDef(self, node):
         doc = self._docstring(node)
         bases = [_text(b) for b in node.bases]
         self.classes_used.update(b.split(".")[-1] for b in bases)
@@ -199,27 +200,26 @@ class _Visitor(ast.NodeVisitor):
         if isinstance(value, ast.Call) and (chain := dotted(value.func)) and chain[-1][:1].isupper():
             self.bound[target.id] = ".".join(chain)
 
-    def visit_Assign(self, node: ast.Assign) -> None:
+    def visit_Assign(self, node):
         for t in node.targets:
             self._assign(t, node.value)
         self.generic_visit(node)
 
-    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+    def visit_AnnAssign(self, node):
         self._assign(node.target, node.value, node.annotation)
         self.generic_visit(node)
 
-    def visit_AugAssign(self, node: ast.AugAssign) -> None:
+    def visit_AugAssign(self, node):
         if isinstance(node.target, ast.Name) and node.target.id == "__all__" and not self.scope:
             self.facts["exports"] += _strings(node.value)
         self.generic_visit(node)
 
     # --- references
 
-    def visit_Name(self, node: ast.Name) -> None:
-        if isinstance(node.ctx, ast.Load):
-            self.refs.add(node.id)
+    def visit_Name(self, node):
+        self.refs |= {node.id} if isinstance(node.ctx, ast.Load) else set()
 
-    def visit_Attribute(self, node: ast.Attribute) -> None:
+    def visit_Attribute(self, node):
         chain = dotted(node)
         if chain:
             self.refs.add(chain[0])
@@ -247,9 +247,9 @@ class _Visitor(ast.NodeVisitor):
             for m in _strings(_keyword(dec, "methods")) or ["GET"]:
                 self._candidate("http_route", dec, "decorator", method=m.upper(), target=path, meta={"method": m.upper(), "path": path, "framework": "flask"}, confidence=sure)
         elif chain[-1] == "on" and "socket" in chain[0].lower():
-            self._candidate("socket_event", dec, "decorator", target=path, meta={"event": path, "dir": "on", "system": "socketio"})
+            self._candidate("socket_event", dec, "decorator", target=path, meta={"event": path, "system": "socketio", "dir": "on"})
 
-    def visit_Call(self, node: ast.Call) -> None:
+    def visit_Call(self, node):
         chain = dotted(node.func)
         first = literal(node.args[0]) if node.args else None
         if chain:
@@ -262,7 +262,7 @@ class _Visitor(ast.NodeVisitor):
             elif first is not None and chain in _DYNAMIC:
                 self._import(node, first, [], is_from=False, tags=("dynamic", "delegate"), kind="dynamic")
             elif first is not None and chain[-1] == "emit" and "socket" in chain[0].lower():
-                self._candidate("socket_event", node, "emit", target=first, meta={"event": first, "dir": "emit", "system": "socketio"})
+                self._candidate("socket_event", node, "emit", target=first, meta={"event": first, "system": "socketio", "dir": "emit"})
             elif first is not None and chain[-1] in ("send", "publish") and "producer" in chain[0].lower():
                 self._candidate("queue_event", node, "producer", target=first, meta={"event": first, "system": "kafka"})
             elif chain[-1] == "FastAPI":
@@ -271,7 +271,7 @@ class _Visitor(ast.NodeVisitor):
                         self._candidate("openapi", node, arg, method=kind, target=v, meta={"type": kind, "id": v, "framework": "fastapi"})
         self.generic_visit(node)
 
-    def visit_Subscript(self, node: ast.Subscript) -> None:
+    def visit_Subscript(self, node):
         if dotted(node.value)[-2:] == ("os", "environ") and (v := literal(node.slice)) is not None:
             self._candidate("env_ref", node, "os.environ[]", target=v, meta={"var": v, "system": "os"})
         self.generic_visit(node)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .storage import settle
 
 PARSE_STATUS = ("ok", "error", "partial", "warn")
-PARAM_KIND = ("positional_or_keyword", "positional_only", "keyword_only", "var_positional", "var_keyword")
-EDGE_KINDS = ("import", "call", "reference", "inherit", "uses", "exports")
+PARAM_KIND = tuple("positional_or_keyword positional_only keyword_only var_positional var_keyword".split())
+EDGE_KINDS = tuple("import call reference inherit uses exports".split())
 _ABSENT = {"-": 0}  # marks a field that a record lacks, as null is a value
 
 
@@ -65,7 +65,7 @@ def edge_kinds(edges: DataFrame) -> list[str]:
     return [*EDGE_KINDS, *sorted(set(seen) - set(EDGE_KINDS))]
 
 
-# --- tables of rows -------------------------------------------------------------------------------------
+# == tables of rows
 
 
 def short_names(fields: Sequence[str], known: Mapping[str, str] | None = None) -> dict[str, str]:
@@ -139,7 +139,7 @@ def decode_records(c: Mapping[str, Any]) -> list[dict]:
     return [{f: back(f, v) for f, v in zip(fields, row, strict=True) if v != _ABSENT} for row in c["rows"]]
 
 
-# --- whole documents --------------------------------------------------------------------------------------
+# == whole documents
 
 SEMANTIC_KEYS = frozenset("name kind raw text label language lang preview reason error_snippet content".split())
 

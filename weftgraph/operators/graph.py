@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .storage import settle
 
 SMALL = 200_000
-_TYPE_ONLY = ("type_checking", "typing", "type-only", "type_only")
+_TYPE_ONLY = "type-only type_only type_checking typing".split()
 
 
 def type_checking_only(edges: DataFrame) -> Column:
@@ -84,7 +84,7 @@ def _in_one_task(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.
     return one(left).cogroup(one(right)).applyInArrow(run, schema)
 
 
-# --- hops and reachability ----------------------------------------------------------------------------
+# == hops and reachability
 
 
 def hops(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", most: int | None = None, small: int = SMALL) -> DataFrame:
@@ -161,7 +161,7 @@ def unreached(nodes: DataFrame, edges: DataFrame, roots: DataFrame, small: int =
     return nodes.select("id").where(F.col("id").isNotNull()).distinct().join(live, "id", "left_anti").join(entered, "id", "left_anti")
 
 
-# --- strongly connected components ----------------------------------------------------------------------
+# == strongly connected components
 
 
 def scc(nodes: DataFrame, edges: DataFrame, *, runtime_only: bool = False, small: int = SMALL) -> DataFrame:
@@ -294,7 +294,7 @@ def cycles(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> tuple[Data
     return both, totals.withColumn("tc_inflation", F.col("largest_scc_size") - F.col("largest_scc_size_runtime"))
 
 
-# --- invariants -----------------------------------------------------------------------------------------
+# == invariants
 
 
 def violations(nodes: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def counts_report(nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame]
 def typescript_statistics(nodes: DataFrame) -> DataFrame:
     """One row: how many nodes hold types, interfaces, enums, classes or exports, and how many of each there are."""
     out = []
-    for c in ("types", "interfaces", "enums", "classes", "exports"):
+    for c in "classes enums exports interfaces types".split():
         if c in nodes.columns:
             n = F.greatest(F.size(c), F.lit(0))
             out += [F.count_if(n > 0).alias(f"files_with_{c}"), F.coalesce(F.sum(n), F.lit(0)).alias(f"total_{c}")]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
+from weftgraph.functions.lines import COUNTS
 
 from .graph import degrees
 from .relational import first_wins, worst_status
@@ -78,7 +79,7 @@ def package_rollup(files: DataFrame, by: str = "package") -> DataFrame:
     ``files`` has ``by``, file, parse_status, loc, sloc, comment_lines, blank_lines, and any of the list columns.
     """
     lists = [f.name for f in files.schema if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "string"]
-    sums = [c for c in ("loc", "sloc", "comment_lines", "blank_lines") if c in files.columns]
+    sums = [c for c in COUNTS if c in files.columns]
     g = files.groupBy(by).agg(
         F.count(F.lit(1)).alias("files"), F.min("file").alias("file"), worst_status("parse_status").alias("parse_status"), *[F.sum(c).alias(c) for c in sums],
         *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists],

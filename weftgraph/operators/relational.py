@@ -107,7 +107,7 @@ def counted(rows: DataFrame, keys: Keys, name: str = "n") -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-# --- ordered merges -----------------------------------------------------------------------------------
+# == ordered merges
 
 
 def _in_order(c: str, order: str) -> Column:

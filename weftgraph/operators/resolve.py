@@ -31,7 +31,7 @@ def _links(df: DataFrame, hit: str, miss: Column | str = "not_found", state: Col
     return df.select("path", "seq", "spec", "target", s.alias("state"), F.when(found, F.coalesce("hit", F.lit(hit)) if "hit" in df.columns else F.lit(hit)).otherwise(why).alias("reason"), "type_checking")
 
 
-# --- Python -------------------------------------------------------------------------------------------
+# == Python
 
 
 def python_modules(files: DataFrame, roots: list[str]) -> DataFrame:
@@ -102,7 +102,7 @@ def hard_and_soft(links: DataFrame, symbols: DataFrame, modules: DataFrame, faca
     return hard.unionByName(soft)
 
 
-# --- TypeScript and JavaScript --------------------------------------------------------------------------
+# == TypeScript and JavaScript
 
 
 def _loose_json(text: str | None) -> dict:
@@ -189,7 +189,7 @@ def _capture(spec: Column, pattern: Column) -> Column:
     return F.when(~pattern.contains("*"), F.when(spec == pattern, F.lit(""))).when(fits, F.substr(spec, F.length(before) + 1, F.length(spec) - F.length(before) - F.length(after)))
 
 
-# --- Go -----------------------------------------------------------------------------------------------
+# == Go
 
 
 def go_modules(files: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def go(refs: DataFrame, packages: DataFrame) -> DataFrame:
     return _links(j.where(~own).withColumn("hit", hit), "exact", kind)
 
 
-# --- Java and Kotlin ------------------------------------------------------------------------------------
+# == Java and Kotlin
 
 
 def declared_types(symbols: DataFrame, lang: str, sep: str = ".") -> DataFrame:
@@ -314,7 +314,7 @@ def symbol_links(tokens: DataFrame, symbols: DataFrame, *, lang: str = "kotlin",
     return first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("path", "target", "reason")
 
 
-# --- Rust ---------------------------------------------------------------------------------------------
+# == Rust
 
 
 def rust_modules(files: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ def rust(refs: DataFrame, modules: DataFrame) -> DataFrame:
     return _links(j, "exact", why)
 
 
-# --- Ruby ---------------------------------------------------------------------------------------------
+# == Ruby
 
 GEMS = (
     "abbrev active_model active_record active_support action_controller action_mailer action_view base64 benchmark bigdecimal bundler cgi coverage csv date delegate digest drb English "
@@ -361,7 +361,7 @@ def ruby_providers(files: DataFrame) -> DataFrame:
 
 def _ruby_root(path: Column) -> Column:
     parts = F.split(path, "/")
-    at = F.array_min(F.filter(F.transform(parts, lambda x, i: F.when(x.isin("lib", "spec", "test", "features", "app", "config"), i)), lambda x: x.isNotNull()))
+    at = F.array_min(F.filter(F.transform(parts, lambda x, i: F.when(x.isin(*"app config features lib spec test".split()), i)), lambda x: x.isNotNull()))
     return F.when(at.isNotNull(), F.array_join(F.slice(parts, 1, at), "/")).when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(F.lit(""))
 
 

@@ -44,14 +44,14 @@ RULES = (
     Rule(None, "alembic_ini", 0.90, 9, "file_exists:alembic.ini", "python_migrations", path=r"alembic\.ini$"),
     Rule(_PY, "pytest_test_file", 0.70, 30, "tests_convention", "python_tests", path=r"(?i)^tests/(.*/)?(test_[^/]*|[^/]*_test)\.py$"),
     Rule(_PY, "unittest_main", 0.80, 25, "unittest.main()", "python_tests", text=(r"unittest\.main",)),
-    Rule("go", "go_main", 0.98, 4, "package main", "go_main_detect", path=r"\.go$", text=(r"(?m)^\s*package\s+main\s*$", r"(?m)^\s*func\s+main\s*\(\s*\)\s*\{"), symbol="main"),
-    Rule("java", "java_main", 0.97, 6, "java_entrypoint", "java_main_detect", path=r"\.java$", text=(r"\bpublic\s+static\s+void\s+main\s*\(\s*String\b",), symbol="main", boosts=(("text", r"\b(class|interface|enum|record)\s+\w+", 0.98, "declares_type"),)),
+    Rule("go", "go_main", 0.98, 4, "package main", "go_main_detect", path=r"\.go$", text=(r"(?m)^\s*package\s+main\s*$", r"(?m)^[ \t]*func[ \t]+main[ \t]*\([ \t]*\)"), symbol="main"),
+    Rule("java", "java_main", 0.97, 6, "java_entrypoint", "java_main_detect", path=r"\.java$", text=(r"\b(?:public|static)(?:\s+(?:public|static|final))+\s+void\s+main\b[^)]*\bString\b",), symbol="main", boosts=(("text", r"\b(class|interface|enum|record)\s+\w+", 0.98, "declares_type"),)),
     Rule("kotlin", "kotlin_main", 0.96, 6, "fun main()", "kotlin_main_detect", text=(r"\bfun\s+main\s*\(",), symbol="main"),
     Rule("kotlin", "kotlin_script", 0.90, 10, ".kts script", "kotlin_script_detect", path=r"\.kts$"),
     Rule("ruby", "ruby_script_shebang", 0.95, 5, "shebang:ruby", "ruby_script_detect", text=(r"(?m)^#!.*\bruby\b",)),
     Rule("ruby", "ruby_bin_script", 0.92, 6, "conventional_bin_script", "ruby_bin_detect", path=r"^bin/(bundle|console|jobs|rails|rake|server|setup|sidekiq)$"),
-    Rule("ruby", "ruby_rack_config", 0.93, 4, "file:config.ru", "ruby_rack_detect", path=r"(?i)config\.ru$", boosts=(("text", r"(?m)^\s*run\s+[\w:]+", 0.97, "rack:run"),)),
-    Rule("ruby", "ruby_rails_application", 0.97, 4, "class Application < Rails::Application", "ruby_rails_detect", path=r"(?i)config/application\.rb$", text=(r"\bclass\s+Application\s*<\s*Rails::Application\b",), symbol="Application"),
+    Rule("ruby", "ruby_rack_config", 0.93, 4, "file:config.ru", "ruby_rack_detect", path=r"(?i)config\.ru$", boosts=(("text", r"(?m)^[ \t]*run[ \t]+\w", 0.97, "rack:run"),)),
+    Rule("ruby", "ruby_rails_application", 0.97, 4, "class Application < Rails::Application", "ruby_rails_detect", path=r"(?i)config/application\.rb$", text=(r"\bApplication[ \t]*<[ \t]*(?:::)?Rails::Application\b",), symbol="Application"),
     Rule("ruby", "ruby_rails_environment", 0.90, 8, "file:config/environment.rb", "ruby_rails_detect", path=r"(?i)config/environment\.rb$"),
     Rule("ruby", "ruby_rake_file", 0.86, 10, "rake_file", "ruby_rake_detect", path=r"((^|/)Rakefile|\.rake)$", boosts=(("text", r"(?m)^\s*task\s+[:'\"]?\w", 0.91, "defines_rake_task"),)),
     Rule("ruby", "ruby_gemspec", 0.88, 12, "file:gemspec", "ruby_package_detect", path=r"(?i)\.gemspec$"),
@@ -125,7 +125,7 @@ def by_executed_files(files: DataFrame) -> DataFrame:
     runs = runs.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
     a = runs.select(seed(F.lit("python_file_exec"), F.col("file"), F.lit(None).cast("string"), F.lit(0.88), F.lit(7), F.array(F.concat(F.lit("cmd_in:"), "path")), F.lit("config_cmd_scan")).alias("s"))
     calls = conf.where(F.col("content").rlike(r"(?i)\balembic\s+(upgrade|revision|downgrade)\b")).select("path")
-    env = top_k(files.where(F.col("path").isin("migrations/env.py", "alembic/env.py")).select(F.col("path").alias("file"), F.length("path").alias("n")), "n", 1, ["file"])
+    env = top_k(files.where(F.col("path").rlike("^(alembic|migrations)/env[.]py$")).select(F.col("path").alias("file"), F.length("path").alias("n")), "n", 1, ["file"])
     b = calls.crossJoin(env).select(seed(F.lit("alembic_env"), F.col("file"), F.lit(None).cast("string"), F.lit(0.95), F.lit(8), F.array(F.concat(F.lit("cmd_in:"), "path"), F.lit("found_alembic_command")), F.lit("config_cmd_scan")).alias("s"))
     return a.union(b).select("s.*")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.lines import COUNTS
+
 from .graph import degrees
 from .relational import counted, top_k
 
@@ -22,7 +24,7 @@ def counts(**tables: DataFrame) -> DataFrame:
 
 
 def size_totals(nodes: DataFrame) -> DataFrame:
-    t = nodes.agg(*[F.sum(c).alias(f"total_{c}") for c in ("loc", "sloc", "comment_lines", "blank_lines")])
+    t = nodes.agg(*[F.sum(c).alias(f"total_{c}") for c in COUNTS])
     return t.withColumn("comment_pct", F.round(F.try_divide("total_comment_lines", "total_loc"), 4))
 
 
@@ -66,7 +68,7 @@ def style_totals(files: DataFrame, column: str = "import_style_counts") -> DataF
 
 def code_metrics(files: DataFrame, by: str = "lang") -> DataFrame:
     """(by, is_total, files, missing, loc, sloc, comment_lines, blank_lines): per language and, with is_total, over all, in one rollup."""
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("loc", "sloc", "comment_lines", "blank_lines")]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
     g = files.rollup(by).agg(F.grouping(by).cast("boolean").alias("is_total"), F.count(F.lit(1)).alias("files"), F.count_if(F.col("loc").isNull()).alias("missing"), *sums)
     return g
 

@@ -17,7 +17,7 @@ def package_of(node: Column | str) -> Column:
     p = paths.to_posix(node)
     by_path = F.replace(paths.dirname(p), F.lit("/"), F.lit("."))
     dotted = F.regexp_replace(F.regexp_extract(p, r"^(.*)\.[^.]+$", 1), r"\.__init__$", "")
-    is_path = p.contains("/") | p.rlike(r"\.[A-Za-z]{1,4}$") & (paths.extension(p).isin(".py", ".pyi", ".ts", ".tsx", ".js", ".jsx", ".go", ".java", ".kt", ".rs", ".rb"))
+    is_path = p.contains("/") | p.rlike(r"\.[A-Za-z]{1,4}$") & (paths.extension(p).isin(*[f".{e}" for e in "go java js jsx kt py pyi rb rs ts tsx".split()]))
     return F.when(is_path, F.regexp_replace(by_path, r"^\.+", "")).otherwise(dotted)
 
 

@@ -15,7 +15,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions import extract, paths
+from weftgraph.functions import extract, lines, paths
 from weftgraph.operators import clones, codec, crosstalk, deadcode, edges as ed, graph, imports, merge, nodes as nd, relational as rel, resolve, seeds, summary, zones
 from weftgraph.operators.storage import settle
 from weftgraph.sources import tree
@@ -163,7 +163,7 @@ def analyze(spark: SparkSession, source: str | DataFrame, settings: Settings | N
     done("edges")
     t["file_index"] = nd.file_index(t["metrics"], t["facts"], t["links"], t["refs"], files)
     base = t["file_index"].where(F.col("lang").isin(*tree.CODE)).select(
-        "id", "file", paths.basename("id").alias("name"), "lang", "package", "parse_status", "loc", "sloc", "comment_lines", "blank_lines", "comment_pct", "size", "hash",
+        "id", "file", paths.basename("id").alias("name"), "lang", "package", "parse_status", *lines.COUNTS, "comment_pct", "size", "hash",
         F.col("imports_internal").alias("imports"), F.col("imports_all").alias("imports_all_raw"), "imports_external", "import_style_counts",
     )
     base = base.join(nd.symbol_lists(t["facts"]), "id", "left")
@@ -178,7 +178,7 @@ def analyze(spark: SparkSession, source: str | DataFrame, settings: Settings | N
     t["node_order"] = graph.node_order(reach)
     done("graph")
     t["zones"] = zones.build(t["nodes"].select("id", "file"))
-    t["package_rollup"] = nd.package_rollup(t["nodes"].select(zones.package_of("id").alias("zone"), "file", "parse_status", "loc", "sloc", "comment_lines", "blank_lines", "functions", "classes", "imports"), "zone")
+    t["package_rollup"] = nd.package_rollup(t["nodes"].select(zones.package_of("id").alias("zone"), "file", "parse_status", *lines.COUNTS, "functions", "classes", "imports"), "zone")
     t["imports_split"] = imports.split_imports(t["file_index"].select("id", "file", "imports_all", "imports_internal", "imports_external"), imports.own_packages(t["file_index"]))
     t["third_party"] = imports.third_party_usage(t["imports_split"])
     done("zones")
@@ -226,7 +226,7 @@ def bundle(a: Analysis, *, compact: bool = False, name: str = "", edges_as_bundl
     if edges_as_bundle:
         e = ed.bundle_direction(e)
     doc = {
-        "schema_version": SCHEMA, "meta": {"repo_name": name, "mode": a.settings.mode, "generated_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")},
+        "schema_version": SCHEMA, "meta": {"repo_name": name, "mode": a.settings.mode, "generated_at": f"{datetime.now(timezone.utc):%FT%TZ}"},
         "nodes": _plain(a.nodes.orderBy("id")), "edges": _plain(e.orderBy("src", "dst", "kind", "subkind")), "zones": _plain(a.zones.orderBy("seq")),
         "node_order": [r.id for r in a.node_order.orderBy("gen", "gen_idx").select("id").toLocalIterator()], "summary": {k: _plain(v) for k, v in summary_tables(a).items()},
         "discovery": _plain(a.discovery), "seeds": _plain(a.seeds), "warnings": _plain(a.warnings), "dead_code": _plain(a.dead_code.orderBy("path")), "clone_groups": _plain(a.clone_groups.orderBy("group_id")),

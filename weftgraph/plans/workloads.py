@@ -41,7 +41,7 @@ def joined(c: str, sep: str = ",") -> F.Column:
     return F.array_join(c, sep).alias(c)
 
 
-# --- graph ----------------------------------------------------------------------------------------------
+# == graph
 
 _TRADE = """trade AS (
   SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst, l_linestatus = 'O' AS tc
@@ -155,7 +155,7 @@ def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.unreached(n, e, c.where("c_mktsegment = 'BUILDING'").select(cid("c_custkey").alias("id")))
 
 
-# --- edges and merges -----------------------------------------------------------------------------------
+# == edges and merges
 
 
 @query(f"""SELECT src, dst, kind, l_orderkey, l_linenumber FROM (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_returnflag AS kind, l_orderkey, l_linenumber,
@@ -217,7 +217,7 @@ def edge_kind_histogram(spark: SparkSession, d: str) -> DataFrame:
     return summary.edge_kinds(table(spark, d, "lineitem").select(F.nullif("l_returnflag", F.lit("N")).alias("kind"))).select("kind", long("n"))
 
 
-# --- languages, lines, metrics --------------------------------------------------------------------------
+# == languages, lines, metrics
 
 _PATHS = "source || '/' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'de' THEN '.tsx' WHEN 'fr' THEN '.go' ELSE '.md' END"
 _LINES = r"CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n\z', ''), chr(10)) END"
@@ -251,7 +251,7 @@ m AS (SELECT doc_id, lang, len(ls)::BIGINT AS loc, len(list_filter(ls, lambda s:
 @query(f"WITH {_HASH} SELECT doc_id, loc, loc - blank_lines - comment_lines AS sloc, comment_lines, blank_lines, round(comment_lines / nullif(loc, 0), 4) AS comment_pct FROM m")
 def line_metrics(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "documents").select("doc_id", lines.hash_metrics("text").alias("m")).select("doc_id", "m.*")
-    return m.select("doc_id", *[long(c) for c in ("loc", "sloc", "comment_lines", "blank_lines")], F.round("comment_pct", 4).alias("comment_pct"))
+    return m.select("doc_id", *[long(c) for c in lines.COUNTS], F.round("comment_pct", 4).alias("comment_pct"))
 
 
 _C_STYLE = r"""l AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '(?s)//[^\r\n]*|/\*.*?(?:\*/|\z)|[^/]+|/'),
@@ -264,7 +264,7 @@ m AS (SELECT doc_id, len(ls)::BIGINT AS loc, len(list_filter(ls, lambda x: NOT r
 @query(f"WITH {_C_STYLE} SELECT doc_id, loc, loc - blank_lines - comment_lines AS sloc, comment_lines, blank_lines FROM m")
 def c_style_line_metrics(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "documents").select("doc_id", lines.c_style_metrics("text").alias("m")).select("doc_id", "m.*")
-    return m.select("doc_id", *[long(c) for c in ("loc", "sloc", "comment_lines", "blank_lines")])
+    return m.select("doc_id", *[long(c) for c in lines.COUNTS])
 
 
 @query(f"""WITH {_HASH} SELECT lang, grouping(lang) = 1 AS is_total, count(*)::BIGINT AS files, 0::BIGINT AS missing, sum(loc)::BIGINT AS loc, sum(loc - blank_lines - comment_lines)::BIGINT AS sloc,
@@ -275,7 +275,7 @@ def metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
     return r.select("lang", "is_total", *[long(c) for c in ("files", "missing", "loc", "sloc", "comment_lines", "blank_lines")])
 
 
-# --- duplicate code -------------------------------------------------------------------------------------
+# == duplicate code
 
 
 def _windows(k: int) -> str:
@@ -310,16 +310,15 @@ def clone_statistics(spark: SparkSession, d: str) -> DataFrame:
     return s.select(*[long(c) for c in s.columns])
 
 
-# --- routes and crosstalk -------------------------------------------------------------------------------
+# == routes and crosstalk
 
 
 def _route(c: str) -> str:
-    return f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({c}), '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+(/|$)', '/'), '^([^/]|$)', '/\\1'), '/+', '/', 'g'), '(.)/$', '\\1')"""
+    return f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({c}), '[?#].*$', ''), '{keys.SCHEME_AND_HOST}', '/'), '^([^/]|$)', '/\\1'), '/+', '/', 'g'), '(.)/$', '\\1')"""
 
 
 def _key(c: str) -> str:
-    uuid = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}"
-    one = f"CASE WHEN x <> '' AND (regexp_matches(x, '^(:.*|\\{{.*\\}}|<.*>|\\d+|{uuid})$') OR length(x) >= 12 AND regexp_matches(x, '^(0x)?[0-9a-fA-F]+$')) THEN ':id' ELSE x END"
+    one = f"CASE WHEN x <> '' AND (regexp_matches(x, '^(:.*|\\{{.*\\}}|<.*>|\\d+|{keys.UUID})$') OR length(x) >= 12 AND regexp_matches(x, '^(0x)?{keys.HEX}+$')) THEN ':id' ELSE x END"
     return f"'http:GET:' || array_to_string(list_transform(string_split({_route(c)}, '/'), lambda x: {one}), '/')"
 
 
@@ -375,7 +374,7 @@ def crosstalk_totals(spark: SparkSession, d: str) -> DataFrame:
     return summary.crosstalk_totals(c).select("lang", "kind", long("refs"), long("files"))
 
 
-# --- resolution -----------------------------------------------------------------------------------------
+# == resolution
 
 
 def _url_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -473,7 +472,7 @@ def alias_inverted_index(spark: SparkSession, d: str) -> DataFrame:
     return rel.inverted(table(spark, d, "part"), "p_brand", "p_type", "types").select("p_brand", joined("types"))
 
 
-# --- coverage and roll-ups ------------------------------------------------------------------------------
+# == coverage and roll-ups
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -554,7 +553,7 @@ def cross_zone_edges(spark: SparkSession, d: str) -> DataFrame:
     return zones.cross_edges(e, s.union(c)).select("from_zone", "to_zone", long("n"))
 
 
-# --- summary --------------------------------------------------------------------------------------------
+# == summary
 
 _RISK = """WITH g AS (SELECT l_suppkey AS id, count(DISTINCT l_orderkey) AS imp, sum(l_quantity)::BIGINT AS sloc, min(l_linenumber) AS z FROM lineitem GROUP BY 1),
 x AS (SELECT s_suppkey AS id, coalesce(imp, 0) % 40 AS imp, coalesce(sloc, 0) AS sloc, 1000 AS loc, CASE WHEN s_acctbal < 0 THEN NULL WHEN s_acctbal < 1000 THEN 0.01 ELSE 0.5 END::DOUBLE AS pct, s_nationkey AS size FROM supplier LEFT JOIN g ON id = s_suppkey),
@@ -624,7 +623,7 @@ def bundle_languages(spark: SparkSession, d: str) -> DataFrame:
     return summary.languages(table(spark, d, "documents")).select(joined("languages"), "language")
 
 
-# --- codec ----------------------------------------------------------------------------------------------
+# == codec
 
 _LEGEND = f"""WITH u AS (SELECT DISTINCT {_URL} AS path FROM pages), i AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS path_id, regexp_extract(path, '^(.*/)', 1) AS prefix, regexp_extract(path, '([^/]*)$', 1) AS leaf FROM u),
 p AS (SELECT prefix, row_number() OVER (ORDER BY min(path_id)) - 1 AS prefix_id FROM i GROUP BY prefix)"""
@@ -655,7 +654,7 @@ def row_encoding(spark: SparkSession, d: str) -> DataFrame:
     return codec.row_lines(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))[1]
 
 
-# --- source facts ---------------------------------------------------------------------------------------
+# == source facts
 
 
 @query()

@@ -14,8 +14,8 @@ FILE, VARIABLE, TABLE = "weftgraph.toml", "WEFTGRAPH_CONFIG", "weftgraph"
 @dataclass(frozen=True)
 class Settings:
     include: tuple[str, ...] = ()
-    exclude: tuple[str, ...] = field(default=("**/.venv/**", "**/site-packages/**", "**/build/**", "**/dist/**"))
-    source_roots: tuple[str, ...] = ("backend", "src", "server", "app", "services", "python")
+    exclude: tuple[str, ...] = field(default=tuple(f"**/{d}/**" for d in ".venv build dist site-packages".split()))
+    source_roots: tuple[str, ...] = tuple("backend src server app services python".split())
     max_file_bytes: int = 20_000_000
     include_tests: bool = True
     type_checking_imports: bool = True
@@ -56,7 +56,8 @@ def load(root: str | Path, cache: str | Path | None = None) -> Settings:
     for p in places:
         if not p.is_file():
             continue
-        data = tomllib.loads(p.read_text(encoding="utf-8"))
+        with p.open("rb") as f:
+            data = tomllib.load(f)
         table = data.get("tool", {}).get(TABLE) if p.name == "pyproject.toml" else data.get(TABLE, data)
         if isinstance(table, dict):
             return from_mapping(table)

@@ -194,7 +194,7 @@ def package_chain(files: DataFrame) -> DataFrame:
     return inits.join(broken, "folder", "left_anti")
 
 
-def source_roots(files: DataFrame, preferred: tuple[str, ...] = ("src", "backend", "server", "app", "services", "python"), least: int = 10) -> DataFrame:
+def source_roots(files: DataFrame, preferred: tuple[str, ...] = tuple("src backend server app services python".split()), least: int = 10) -> DataFrame:
     """(root, rank): top folders to import from.
 
     Those of ``preferred`` with ``least`` Python files or more, in that order; otherwise the three largest;

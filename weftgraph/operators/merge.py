@@ -126,5 +126,5 @@ def typescript_statistics(nodes: DataFrame) -> DataFrame:
 
 def latest_schema(tags: DataFrame, tag: str = "schema") -> DataFrame:
     """The highest of tags such as nodefacts@v1.9, by number."""
-    number = F.transform(F.regexp_extract_all(F.col(tag), F.lit(r"\d+")), lambda x: x.cast("int"))
+    number = F.transform(F.regexp_extract_all(F.col(tag), F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
     return tags.where(F.col(tag).isNotNull()).agg(F.max_by(tag, number).alias(tag))

@@ -9,6 +9,7 @@ import pytest
 from tests import minirepo
 from weftgraph.operators import codec
 from weftgraph.plans import analysis
+from weftgraph.sources import stores
 from weftgraph.sources.settings import Settings
 
 
@@ -87,6 +88,20 @@ def test_bundle_comes_back_compact(result, tmp_path, spark):
     assert {z["zone_id"] for z in b["zones"]} >= {"pkg", "pkg.sub", "web.src.lib"}
 
 
+def test_graph_document_reads_back(result, spark, tmp_path):
+    doc = analysis.graph_document(result, positions=spark.createDataFrame([("pkg/core.py", 1.0, 2.0)], "id string, x double, y double"))
+    assert doc["signature"] == f"n:{len(doc['nodes'])};e:{len({(e['src'], e['dst']) for e in doc['edges']})}"
+    assert next(n for n in doc["nodes"] if n["id"] == "pkg/core.py")["pos"] == {"x": 1.0, "y": 2.0}
+    stores.write_document(doc, f"{tmp_path}/g.json")
+    nodes, edges = stores.read_graph(spark, f"{tmp_path}/g.json")
+    assert nodes.count() == len(doc["nodes"]) and {(r.src, r.dst, r.kind) for r in edges.collect()} == {(e["src"], e["dst"], e["kind"]) for e in doc["edges"]}
+    analysis.save(result, f"{tmp_path}/out")
+    kept = stores.load_tables(spark, f"{tmp_path}/out", [*analysis.OUTPUTS, "summary/hotspots"])
+    assert len(kept) == len(analysis.OUTPUTS) + 1 and kept["edges"].count() == len(doc["edges"])
+    left = analysis.follow_up(kept["file_index"], kept["nodes"].where("lang = 'python'").select("id"))
+    assert left.where("id LIKE '%.py'").count() == 0 and left.where("id LIKE '%.ts'").count() == 6
+
+
 def test_files_as_a_table_and_nothing(spark):
     files = spark.createDataFrame([("a.py", "import b\nimport os"), ("b.py", None), (None, "x"), ("a.py", "import b\nimport os")], "path string, content string")
     a = analysis.analyze(spark, files, Settings(include_external=True))

@@ -99,9 +99,9 @@ def hops(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", most
     e = {"forward": e, "backward": back, "both": e.union(back)}[direction].where("a <> b").distinct()
     start = seeds.select("id").where(F.col("id").isNotNull()).distinct()
     kind = seeds.schema["id"].dataType.simpleString()
+    e = settle(e.repartition("a"))  # once, whatever made the edges
     if _few(e, small):
         return _in_one_task(start, e, _bfs_task(most), f"id {kind}, hops int")
-    e = settle(e.repartition("a"))
     seen = settle(start.withColumn("hops", F.lit(0)))
     frontier, level = seen, 0
     while most is None or level < most:
@@ -145,6 +145,13 @@ def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, small: int =
     return nodes.select("id").distinct().join(up, "id", "left").join(down, "id", "left")
 
 
+def signature(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(signature): n:<files>;e:<distinct internal edges>, which changes when a graph gains or loses either."""
+    e = adjacency(edges, files.select("id")).agg(F.count(F.lit(1)).alias("e"))
+    n = files.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(e).select(F.concat(F.lit("n:"), "n", F.lit(";e:"), "e").alias("signature"))
+
+
 def node_order(reach: DataFrame) -> DataFrame:
     """(id, gen, gen_idx): generation and rank within it by id."""
     from pyspark.sql import Window
@@ -167,7 +174,7 @@ def unreached(nodes: DataFrame, edges: DataFrame, roots: DataFrame, small: int =
 def scc(nodes: DataFrame, edges: DataFrame, *, runtime_only: bool = False, small: int = SMALL) -> DataFrame:
     """(id, scc_id, scc_size) of every distinct node; a component is named by its least member as a string."""
     ids = nodes.select("id").where(F.col("id").isNotNull()).distinct()
-    e = adjacency(edges, ids, runtime_only=runtime_only)
+    e = settle(adjacency(edges, ids, runtime_only=runtime_only).repartition("src"))
     kind = nodes.schema["id"].dataType.simpleString()
     if _few(e, small):
         inner = _in_one_task(e, e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), _tarjan_task, f"id {kind}, root {kind}")
@@ -232,7 +239,7 @@ def _scc_rounds(edges: DataFrame) -> DataFrame:
     An edge between two colours lies on no cycle and is dropped, so rounds shrink fast.
     """
     done: list[DataFrame] = []
-    e = settle(edges.repartition("src"))
+    e = edges
     while True:
         # a node with no way in or no way out is alone
         while True:

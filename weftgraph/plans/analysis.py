@@ -234,6 +234,14 @@ def bundle(a: Analysis, *, compact: bool = False, name: str = "", edges_as_bundl
     return codec.compress_bundle(doc) if compact else doc
 
 
+def graph_document(a: Analysis, *, positions: DataFrame | None = None) -> dict:
+    """The graph alone as one document: nodes with their names and places (id, x, y, if given), edges, seeds."""
+    n = a.nodes.select("id", "file", "name", "lang", "scc_id", "scc_size")
+    n = n if positions is None else n.join(positions.select("id", F.struct("x", "y").alias("pos")), "id", "left")
+    head = {"schema_version": SCHEMA, "signature": graph.signature(a.nodes, a.edges).first()[0]}
+    return head | {"nodes": _plain(n.orderBy("id")), "edges": _plain(ed.whitelisted(a.edges).orderBy("src", "dst", "kind")), "seeds": _plain(a.seeds)}
+
+
 OUTPUTS = ("manifest", "symbols", "links", "candidates", "edges", "file_index", "nodes", "node_order", "zones", "package_rollup", "imports_split", "third_party", "seeds", "warnings", "crosstalk", "clone_groups", "clone_members", "dead_code", "discovery", "coverage", "cycles")
 
 

@@ -52,6 +52,16 @@ def read_documents(spark: SparkSession, paths: list[str], schema: str) -> tuple[
     return text.where(~bad).select("d.*", "path").drop("_corrupt_record"), text.where(bad).select("path", F.col("d._corrupt_record").alias("record"))
 
 
+def read_graph(spark: SparkSession, path: str, nodes: str = "id string, file string, name string, lang string", edges: str = "src string, dst string, kind string") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph or bundle document, in the given columns; what a record lacks is null."""
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", f"nodes array<struct<{_inner(nodes)}>>, edges array<struct<{_inner(edges)}>>").alias("d"))
+    return doc.select(F.explode("d.nodes").alias("r")).select("r.*"), doc.select(F.explode("d.edges").alias("r")).select("r.*")
+
+
+def _inner(ddl: str) -> str:
+    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, lang) of a manifest document: a list of entries, or an object that holds it under files or items."""
     entry = "struct<path:string,rel_path:string,relpath:string,rel_posix:string,file:string,lang:string,language:string>"

@@ -59,6 +59,18 @@ def test_matches_brute_force(spark):
         assert cover == {(d, k) for d, s, e, f in found if f == kind for k in range(s, e)}
 
 
+def test_repeats_within_the_only_run_of_an_anchor(spark):
+    rng = random.Random(8)
+    lone, twins, rare = (prose(rng, n) for n in (7, 23, 41))
+    rows = [(1, " ".join(lone * 20)), (2, " ".join(twins * 8)), (3, " ".join(twins * 8)), (4, " ".join(prose(rng, 90) + rare * 4 + prose(rng, 60))), (5, " ".join(prose(rng, 300)))]
+    want = brute(rows)
+    assert {d for d, _ in want} == {1, 2, 3, 4} and all(any(d == i and not f for (d, _), f in want.items()) for i in (1, 2, 4))
+    found = suffix.repeated_passages(docs_frame(spark, rows)).collect()
+    for kind in (True, False):
+        cover = {(d, k + j) for (d, k), f in want.items() if f == kind for j in range(suffix.WINDOW)}
+        assert cover == {(d, k) for d, s, e, f in found if f == kind for k in range(s, e)}
+
+
 def test_cut_text_and_columns(spark):
     rows = fixture(5)
     docs = docs_frame(spark, rows, extra=F.lit(1), th=F.lit("x"), S=F.lit(2))

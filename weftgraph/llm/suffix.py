@@ -3,12 +3,13 @@
 1. Exact sharding. A window is 50 consecutive words; its anchor is the least hash of the 41 10-word grams
    in it. Equal windows have equal anchors, wherever they are, so windows can only repeat within an
    anchor. Runs of windows with one anchor are the unit: (anchor, hash of all their words, document,
-   position). A run whose anchor occurs once in the corpus can't hold a repeat and is dropped.
+   position). A run can repeat itself, as in text of a short period. One that doesn't, which the hashes of
+   its windows tell, and whose anchor has no other run in the corpus holds no repeat and is dropped.
 2. Runs that are word for word equal collapse to their first one; all windows of the others are repeats.
-3. Of anchors with different runs the first of each are compared. They are cut into shards; a shard's
-   words form strings over 10-word symbols (one string for each offset modulo 10, each with an end
-   symbol of its own), whose suffix array and Burrows-Wheeler transform are made locally. The transforms
-   of all shards of a task are then merged by interleave refinement: the vector that tells from which
+3. Of anchors with different runs, or with runs that repeat themselves, the first of each are compared.
+   They are cut into shards; a shard's words form strings over 10-word symbols (one string for each offset
+   modulo 10, each with an end symbol of its own), whose suffix array and Burrows-Wheeler transform are
+   made locally. The transforms of all shards of a task are then merged by interleave refinement: the vector that tells from which
    shard each suffix of the merged order comes is redistributed by the transforms' symbols, which sorts
    it by one more leading symbol each time, without comparing suffixes. Where the source intervals or
    symbols differ, the common prefix ends; five rounds leave the intervals of suffixes that share 50 words.
@@ -30,7 +31,7 @@ from . import common, textvec
 
 WINDOW, Q = 50, 10
 ROUNDS = WINDOW // Q
-_RUNS = "anchor long, seg long, doc_id long, th int, s int, n int"
+_RUNS = "anchor long, seg long, inner boolean, doc_id long, th int, s int, n int"
 
 
 def window_anchors(gram: np.ndarray) -> np.ndarray:
@@ -44,34 +45,41 @@ def window_anchors(gram: np.ndarray) -> np.ndarray:
 
 
 def runs_of(w: textvec.Words) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor, hash) of every maximal run of windows with one anchor."""
+    """(text, start, windows, anchor, hash, inner) of every maximal run of windows with one anchor; inner: it holds equal windows."""
     none = np.empty(0, np.int64)
     if len(w.hash) < WINDOW:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
     sums = w.prefix()
     anchor = window_anchors(w.gram(Q, sums))
     v = np.flatnonzero(w.inside(WINDOW))
     if not len(v):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
     a = anchor[v]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(v) != 1) | (a[1:] != a[:-1])]))
     n = np.diff(np.append(first, len(v)))
     s = v[first]
-    return w.doc[s], s, n, a[first], textvec.run_hash(sums, s, s + n + WINDOW - 1)
+    run = np.repeat(np.arange(len(n)), n)
+    key = textvec.mix(w.gram(WINDOW, sums)[v] + textvec.mix(run.astype(np.uint64)))
+    ordered = np.sort(key)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    inner = np.zeros(len(n), bool)
+    if len(twice):
+        inner[run[np.isin(key, twice)]] = True
+    return w.doc[s], s, n, a[first], textvec.run_hash(sums, s, s + n + WINDOW - 1), inner
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in textvec.chunks(whole, 2):
             w = textvec.words(batch.column(2))
-            doc, s, n, anchor, seg = runs_of(w)
+            doc, s, n, anchor, seg, inner = runs_of(w)
             rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows),
+                    pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(inner), batch.column(0).take(rows), batch.column(1).take(rows),
                     pa.array((s - w.bounds[doc]).astype(np.int32)), pa.array(n.astype(np.int32)),
                 ],
-                names=["anchor", "seg", "doc_id", "th", "s", "n"],
+                names=["anchor", "seg", "inner", "doc_id", "th", "s", "n"],
             )
 
 
@@ -244,8 +252,8 @@ def _passages(docs: DataFrame) -> DataFrame:
     # one sort by anchor serves all windows; rows of one place, which only repeated rows give, share a rank
     runs = runs.withColumn("r", F.dense_rank().over(by_anchor.orderBy("seg", "doc_id", "th", "s")))
     runs = runs.select("*", F.min("r").over(by_run).alias("r0"), F.max("r").over(by_run).alias("r1"))
-    runs = runs.select("*", F.max("r").over(by_anchor).alias("n_runs"), (F.min("seg").over(by_anchor) < F.max("seg").over(by_anchor)).alias("mixed"))
-    runs = common.cut(runs.where("n_runs > 1").selectExpr("anchor", "seg", "doc_id", "th", "s", "n", "mixed", "r = r0 AS leads", "r1 > r AS followed"))
+    runs = runs.select("*", F.max("r").over(by_anchor).alias("n_runs"), (F.max("inner").over(by_anchor) | (F.min("seg").over(by_anchor) < F.max("seg").over(by_anchor))).alias("mixed"))
+    runs = common.cut(runs.where("n_runs > 1 OR inner").selectExpr("anchor", "seg", "doc_id", "th", "s", "n", "mixed", "r = r0 AS leads", "r1 > r AS followed"))
     span = [F.col("s"), (F.col("s") + F.col("n") + WINDOW - 1).alias("e")]
     later = runs.where("NOT leads").select("doc_id", "th", *span, F.lit(False).alias("first"))
     led = runs.where("leads AND followed AND NOT mixed").select("doc_id", "th", *span, F.lit(True).alias("first"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import math
 import random
 from collections import Counter, defaultdict
@@ -82,6 +83,12 @@ def test_bound_of_size_keeps_a_tree(spark, texts):
     assert sorted(set(small.child.tolist()) - {small.none}) == list(range(1, 26))
 
 
+def test_size_is_unbounded_unless_asked(spark, texts):
+    assert inspect.signature(pst.fit).parameters["most_nodes"].default is None
+    docs = docs_frame(spark, list(enumerate(texts)))
+    assert len(pst.fit(docs).log2p) == 32 * len(brute(texts, 61.1, 20, 16.0))
+
+
 def test_edge_cases(spark):
     rng = random.Random(3)
     rows = [(1, None), (2, ""), (3, "x"), (None, "abc"), (4, "abc"), (4, "abc"), (5, " ".join(prose(rng, 40_000)))]

@@ -164,10 +164,10 @@ class Tree:
         return n, sums[at + n] - sums[at]
 
 
-def fit(docs: DataFrame, *, critical: float = 61.1, least: int = 20, weight: float = 16.0, most_nodes: int = 100_000) -> Tree:
+def fit(docs: DataFrame, *, critical: float = 61.1, least: int = 20, weight: float = 16.0, most_nodes: int | None = None) -> Tree:
     """The tree of a corpus. ``critical``: of the test statistic (chi-square with 31 degrees of freedom at 0.001);
     ``least``: occurrences of a context that are tested; ``weight``: of the parent's distribution in counts;
-    ``most_nodes``: bound of the model's size, reached by raising ``critical``."""
+    ``most_nodes``: bound of the model's size, reached by raising ``critical``; by default none, every context that passes is kept."""
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = common.cut(text.mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     root = np.ones(SIZE)
@@ -187,12 +187,12 @@ def fit(docs: DataFrame, *, critical: float = 61.1, least: int = 20, weight: flo
     last = F.shiftright("gram", BITS).bitwiseAND(SIZE - 1)
     nodes = counts.groupBy(last).applyInArrow(grow, "depth int, code long, score double, p binary")
     # a context scores no less than the longer ones that end in it, so the best are a tree; ties at the bound: the shorter
-    kept = nodes.orderBy(F.desc("score"), "depth", "code").limit(most_nodes).toArrow()
+    kept = (nodes if most_nodes is None else nodes.orderBy(F.desc("score"), "depth", "code").limit(most_nodes)).toArrow()
     p = np.frombuffer(b"".join(kept.column("p").to_pylist()), "<f4").reshape(-1, SIZE)
     return Tree(root, *(np.asarray(kept.column(c).combine_chunks()).astype(np.int64) for c in ("depth", "code")), p)
 
 
-def score(docs: DataFrame, tree: Tree | None = None, **how: float) -> DataFrame:
+def score(docs: DataFrame, tree: Tree | None = None, **how: float | None) -> DataFrame:
     """(doc_id, n_symbols, bits_per_symbol) of every document under ``tree``, by default the tree of ``docs``.
 
     A symbol is a byte of the text; bits are rounded to 4 places. Defined cases: null and empty texts have

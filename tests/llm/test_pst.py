@@ -89,6 +89,25 @@ def test_size_is_unbounded_unless_asked(spark, texts):
     assert len(pst.fit(docs).log2p) == 32 * len(brute(texts, 61.1, 20, 16.0))
 
 
+def test_contexts_are_as_long_as_the_test_keeps_them(spark, monkeypatch):
+    """A symbol that depends on one 8 or 30 before, with equal text between."""
+    rng = random.Random(4)
+    long = " the same words every time "
+    texts = ["".join(k + " equal " + k + "." + rng.choice("mno") + j + long + j + "\n" for k, j in zip(rng.choices("xyz", k=9), rng.choices("pqr", k=9), strict=True)) for _ in range(90)]
+    docs = docs_frame(spark, list(enumerate(texts)))
+    monkeypatch.setattr(pst, "DEPTH", 34)
+    want = brute(texts, 61.1, 20, 16.0)
+    bits = [brute_bits(want, t) for t in texts]
+    monkeypatch.undo()
+    assert max(map(len, want)) > 5 * pst.DEPTH
+    for gather in (pst.GATHER, 1):  # what precedes is gathered, or counted pass by pass
+        monkeypatch.setattr(pst, "GATHER", gather)
+        tree = pst.fit(docs)
+        assert tree.none == len(want) and tree.depth == max(map(len, want))
+        got = {r.doc_id: r.bits_per_symbol for r in pst.score(docs, tree).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(bits, abs=2e-4)
+
+
 def test_edge_cases(spark):
     rng = random.Random(3)
     rows = [(1, None), (2, ""), (3, "x"), (None, "abc"), (4, "abc"), (4, "abc"), (5, " ".join(prose(rng, 40_000)))]

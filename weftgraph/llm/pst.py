@@ -1,15 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Texts become strings over 32 byte classes. All occurrences of 5-symbol contexts with the symbol that
-follows are counted over the whole corpus; shorter contexts are their marginals. A context stays in the
-tree if what follows it differs from what follows its parent (the context less its oldest symbol) by a
-likelihood-ratio test, or if one that ends in it stays. Next-symbol distributions are smoothed towards
-the parent's. A position is scored by the longest context of the tree that precedes it.
+follows are counted over the whole corpus; shorter contexts are their marginals. Each further pass counts
+contexts 5 symbols longer, below those that may have longer ones that pass the test, until none may; where
+these occur seldom, what precedes each occurrence is gathered instead, many symbols at once. So context
+length has no bound. A context stays in the tree if what follows it differs from what follows its
+parent (the context less its oldest symbol) by a likelihood-ratio test, or if one that ends in it stays.
+Next-symbol distributions are smoothed towards the parent's. A text's start is one symbol, the oldest of
+any context. A position is scored by the longest context of the tree that precedes it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common, textvec
 
-DEPTH, BITS, SIZE = 5, 5, 32
+DEPTH, BITS, SIZE = 5, 5, 32  # DEPTH: symbols a pass adds where occurrences are counted by code
+GATHER = 64 << 20  # bytes of what precedes occurrences that a pass may gather
 _PAD, _SPACE, _DIGIT, _PUNCT, _LEAD, _TAIL = 0, 27, 28, 29, 30, 31
 
 
@@ -69,86 +73,220 @@ def _add(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.nda
     return [c[first]], [np.add.reduceat(n, first) if len(first) else n]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw: list[np.ndarray] = []
-    codes, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-    size = held = 0
-    for whole in batches:
-        for batch in textvec.chunks(whole, 0):
-            raw.append(grams(batch.column(0)))
-            size += len(raw[-1])
-            if size > 1 << 23:
-                c, n = np.unique(np.concatenate(raw), return_counts=True)
-                codes.append(c)
-                counts.append(n)
-                raw, size, held = [], 0, held + len(c)
-                if held > 1 << 22:
-                    codes, counts = _add(codes, counts)
-                    held = 0
-    if raw:
-        c, n = np.unique(np.concatenate(raw), return_counts=True)
-        codes.append(c)
-        counts.append(n)
-    (c,), (n,) = _add(codes, counts)
-    for at in range(0, len(c), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 18)].astype(np.int32)), pa.array(n[at : at + (1 << 18)].astype(np.int64))], names=["gram", "n"])
-
-
-def subtree(gram: np.ndarray, n: np.ndarray, root: np.ndarray, critical: float, least: int, weight: float):
-    """(depth, context, score, probabilities) of the retained contexts that end in one symbol, from that symbol down.
-
-    ``score`` is the largest test statistic of a context and of those longer ones that end in it.
+def deeper(texts: pa.Array, front: Front) -> np.ndarray:
+    """Codes as of ``grams``, of the DEPTH symbols before a context that ``front`` grows and the symbol after it, above them its id."""
+    s, _ = symbols(texts)
+    live, node = front.walk(s)
+    real = s[live + DEPTH] != _PAD
+    live, code = live[real], front.ids[node[real]]
+    for j in range(front.depth + DEPTH, front.depth, -1):
+        code = (code << BITS) | s[live + DEPTH - j]
+    return (code << BITS) | s[live + DEPTH]
+
+
+def _gather(front, step: int):
+    """(base, next, left) of every occurrence of a context that ``front`` grows: its id, the symbol after, the ``step`` before, latest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in textvec.chunks(whole, 0, 1 << 19):
+                s, _ = symbols(batch.column(0))
+                live, node = front.value.walk(s)
+                real = s[live + DEPTH] != _PAD
+                live, node = live[real], node[real]
+                begin = live + DEPTH - front.value.depth - 1
+                left = [s[max(0, i + 1 - step) : i + 1][::-1].tobytes().ljust(step, b"\0") for i in begin]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(front.value.ids[node]), pa.array(s[live + DEPTH].astype(np.int32)), pa.array(left, pa.binary())], names=["base", "next", "left"]
+                )
+
+    return run
+
+
+class Front:
+    """Contexts of one length below which the tree may grow, as a trie over symbols from the latest back."""
+
+    def __init__(self, depth: int, node: np.ndarray, up: np.ndarray, symbol: np.ndarray):
+        path = [node]
+        for _ in range(depth):
+            path.append(np.unique(up[path[-1]]))
+        self.depth, self.ids = depth, np.concatenate(path[::-1])
+        self.child = _children(np.searchsorted(self.ids, up[self.ids[1:]]), symbol[self.ids[1:]])
+
+    def walk(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, node) of the symbols from the DEPTH-th on that follow one of the contexts."""
+        return _walk(self.child, s, self.depth)
+
+
+def _children(up: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The nodes 1, 2, ... by parent and symbol; the number after the last stands for none."""
+    none = len(up) + 1
+    child = np.full((none + 1) * SIZE, none, np.int32)
+    child[up * SIZE + symbol] = np.arange(1, none)
+    return child
+
+
+def _walk(child: np.ndarray, s: np.ndarray, depth: int, best: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(position, node) after ``depth`` steps back from the symbols from the DEPTH-th on; the last node of each goes into ``best``."""
+    n, none = max(0, len(s) - DEPTH), len(child) // SIZE - 1
+    s = s.astype(np.int32)
+    now = np.zeros(n, np.int32)
+    for d in range(1, min(depth, DEPTH) + 1):
+        now = child[(now << BITS) + s[DEPTH - d : DEPTH - d + n]]
+        if best is not None:
+            np.copyto(best, now, where=now != none)
+    live = np.flatnonzero(now != none)
+    now = now[live]
+    for d in range(DEPTH + 1, depth + 1):  # no context goes on beyond the pad before a text, so this stays within s
+        now = child[(now << BITS) + s[live + DEPTH - d]]
+        on = now != none
+        live, now = live[on], now[on]
+        if best is not None:
+            best[live] = now
+    return live, now
+
+
+def _counter(codes_of: Callable[[pa.Array], np.ndarray], kind: type, most: int, chunk: int, whole_task: bool):
+    """Counts of the codes of all texts of a task, or of parts of it; ``most``: codes held before they are counted."""
+
+    def out(c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(c), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 18)].astype(np.int64)), pa.array(n[at : at + (1 << 18)].astype(np.int64))], names=["gram", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw: list[np.ndarray] = []
+        codes, counts = [np.empty(0, kind)], [np.empty(0, np.int64)]
+        size = held = 0
+        for whole in batches:
+            for batch in textvec.chunks(whole, 0, chunk):
+                raw.append(codes_of(batch.column(0)))
+                size += len(raw[-1])
+                if size > most:
+                    c, n = np.unique(np.concatenate(raw), return_counts=True)
+                    if whole_task:
+                        codes.append(c)
+                        counts.append(n)
+                    else:
+                        yield from out(c, n)
+                    raw, size, held = [], 0, held + len(c)
+                    if whole_task and held > 1 << 22:
+                        codes, counts = _add(codes, counts)
+                        held = 0
+        if raw:
+            c, n = np.unique(np.concatenate(raw), return_counts=True)
+            codes.append(c)
+            counts.append(n)
+        (c,), (n,) = _add(codes, counts)
+        yield from out(c, n)
+
+    return count
+
+
+def may_grow(total: np.ndarray, most: np.ndarray, critical: float, least: int, weight: float) -> np.ndarray:
+    """Which contexts may have a longer one that passes, by their occurrences and those of their commonest symbol.
+
+    Of a longer context with counts c, N in all, whose parent has b, B in all, the statistic is at most
+    2 sum c log(c (B + weight) / (b N)) with c <= b, so at most 2 N log((B + weight) / N); and, with R = B less the
+    commonest, at most 2 (R + weight + R log((B + weight) / least)). Neither grows from a context to a longer one.
     """
-    nodes = []
-    up_code, up_p = np.zeros(1, np.int64), root[None, :]
+    b, r, few = total + weight, total - most, max(least, 1)
+    n = np.clip(b / np.e, few, np.maximum(total, few))
+    return np.minimum(2 * n * np.log(b / n), 2 * (r + weight + r * np.log(np.maximum(b / few, 1)))) >= critical
+
+
+def _tested(count: np.ndarray, total: np.ndarray, up: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """The test statistic against the parents' log probabilities ``up``, and the smoothed log probabilities, which deep down are too small for a float."""
+    all_ = total[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        stat = 2 * np.where(count > 0, count * (np.log(count / all_) - up), 0).sum(1)
+        return stat, np.where(count > 0, np.log((count + weight * np.exp(up)) / (all_ + weight)), np.log(weight / (all_ + weight)) + up)
+
+
+def subtree(gram: np.ndarray, n: np.ndarray, base: np.ndarray, base_p: np.ndarray, critical: float, least: int, weight: float):
+    """(depth, code, score, grows, log probabilities) of contexts up to DEPTH longer than those of ``base``, whose ids top the codes.
+
+    ``score`` is the largest test statistic of a context and of those longer ones that end in it. Given are those
+    that pass and those on the way to ones that may grow beyond.
+    """
+    nodes, total_of = [], []
+    up_code, up_p = base, base_p
     for d in range(1, DEPTH + 1):
-        ctx = (gram >> BITS) & ((1 << (BITS * d)) - 1)
+        ctx = (gram >> (BITS * (DEPTH + 1)) << (BITS * d)) | ((gram >> BITS) & ((1 << (BITS * d)) - 1))
         code, which = np.unique(ctx, return_inverse=True)
+        often = np.bincount(which, n, len(code)) >= least
+        row = often[which]  # what is rarer is neither tested nor has longer ones that are
+        gram, n, which, code = gram[row], n[row], (np.cumsum(often) - 1)[which[row]], code[often]
         count = np.bincount(which * SIZE + (gram & (SIZE - 1)), n, len(code) * SIZE).reshape(-1, SIZE)
         total = count.sum(1)
-        parent = np.searchsorted(up_code, code & ((1 << (BITS * (d - 1))) - 1))
-        p0 = up_p[parent]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stat = 2 * np.where(count > 0, count * np.log(count / total[:, None] / p0), 0).sum(1)
-        stat[total < least] = 0
-        p = (count + weight * p0) / (total[:, None] + weight)
-        nodes.append([code, stat, p, parent])
+        parent = np.searchsorted(up_code, (code >> (BITS * d) << (BITS * (d - 1))) | (code & ((1 << (BITS * (d - 1))) - 1)))
+        stat, p = _tested(count, total, up_p[parent], weight)
+        if d > 1:
+            stat[(code >> (BITS * (d - 2))) & (SIZE - 1) == _PAD] = 0
+        grows = np.zeros(len(code), bool)
+        if d == DEPTH:
+            grows = may_grow(total, count.max(1, initial=0), critical, least, weight) & ((code >> (BITS * (d - 1))) & (SIZE - 1) != _PAD)
+        nodes.append([code, stat, p, parent, grows])
+        total_of.append(total)
         up_code, up_p = code, p
+    way = [x[4].copy() for x in nodes]
     for d in range(DEPTH - 1, 0, -1):
         np.maximum.at(nodes[d - 1][1], nodes[d][3], nodes[d][1])
-    for d, (code, stat, p, _) in enumerate(nodes, 1):
-        keep = stat >= critical
-        yield d, code[keep], stat[keep], p[keep]
+        np.logical_or.at(way[d - 1], nodes[d][3], way[d])
+    for d, (code, stat, p, _, grows) in enumerate(nodes, 1):
+        keep = (stat >= critical) | way[d - 1]
+        yield d, code[keep], stat[keep], np.where(grows, total_of[d - 1], 0).astype(np.int64)[keep], p[keep]
+
+
+def _long_grower(base, step: int, critical: float, least: int, weight: float):
+    """Nodes up to ``step`` longer than their bases, from gathered occurrences; parents are ids of the task's own or, below 0, -1 less a base's."""
+
+    def grow(t: pa.Table) -> pa.Table:
+        ids, ps = base.value
+        bases, which = np.unique(np.asarray(t.column("base").combine_chunks()), return_inverse=True)
+        after = np.asarray(t.column("next").combine_chunks()).astype(np.int64)
+        left = np.frombuffer(b"".join(t.column("left").to_pylist()), np.uint8).reshape(-1, step)
+        up, up_p, row, first = -1 - bases, ps[np.searchsorted(ids, bases)], np.arange(len(which)), 0
+        out: list[tuple] = []
+        for d in range(1, step + 1):
+            code, at = np.unique(which * SIZE + left[row, d - 1], return_inverse=True)
+            often = np.bincount(at, minlength=len(code)) >= least
+            go = often[at]
+            row, at, code = row[go], (np.cumsum(often) - 1)[at[go]], code[often]
+            count = np.bincount(at * SIZE + after[row], minlength=len(code) * SIZE).reshape(-1, SIZE).astype(float)
+            total = count.sum(1)
+            stat, p = _tested(count, total, up_p[code >> BITS], weight)
+            grows = may_grow(total, count.max(1, initial=0), critical, least, weight) & (code & (SIZE - 1) != _PAD)
+            node = first + np.arange(len(code))
+            out.append((np.full(len(code), d), node, up[code >> BITS], code & (SIZE - 1), stat, np.where(grows & (d == step), total, 0), p))
+            first += len(code)
+            go = grows[at]
+            row, which, up, up_p = row[go], (np.cumsum(grows) - 1)[at[go]], node[grows], p[grows]
+            if not len(row):
+                break
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        kinds = (np.int32, np.int64, np.int64, np.int32, np.float64, np.int64)
+        part = np.full(len(columns[0]), bases[0] % 256)
+        return pa.table({
+            "part": pa.array(part), **{n: pa.array(c.astype(k)) for n, c, k in zip(("depth", "id", "up", "symbol", "score", "grows"), columns, kinds, strict=False)},
+            "p": pa.array([r.astype("<f4").tobytes() for r in columns[6]], pa.binary()),
+        })
+
+    return grow
 
 
 class Tree:
     """Retained contexts as a trie over symbols from the latest back, with log2 probabilities."""
 
-    def __init__(self, root: np.ndarray, depth: np.ndarray, code: np.ndarray, p: np.ndarray):
-        order = np.lexsort((code, depth))
-        depth, code, p = depth[order], code[order], p[order]
-        n = len(code) + 1
-        self.none = n
-        child = np.full((n + 1) * SIZE, n, np.int32)
-        level = {0: (np.zeros(1, np.int64), np.zeros(1, np.int64))}
-        for d in range(1, DEPTH + 1):
-            at = np.flatnonzero(depth == d)
-            codes, ids = level[d - 1]
-            parent = ids[np.searchsorted(codes, code[at] & ((1 << (BITS * (d - 1))) - 1))]
-            child[parent * SIZE + (code[at] >> (BITS * (d - 1)))] = at + 1
-            level[d] = (code[at], at + 1)
-        self.child = child
-        self.log2p = np.log2(np.concatenate([root[None, :], p.reshape(-1, SIZE)])).astype(np.float32).ravel()
+    def __init__(self, depth: int, up: np.ndarray, symbol: np.ndarray, p: np.ndarray):
+        """``up``: parents of the nodes 1, 2, ...; ``symbol``: their oldest symbols; the root is 0; ``p``: log probabilities, from the root's."""
+        self.depth, self.none = depth, len(up) + 1
+        self.child = _children(up, symbol)
+        self.log2p = (p / np.log(2)).astype(np.float32).ravel()
 
     def states(self, s: np.ndarray) -> np.ndarray:
         """The longest retained context before each symbol from the DEPTH-th on."""
-        n = max(0, len(s) - DEPTH)
-        s = s.astype(np.int32)
-        now = best = np.zeros(n, np.int32)
-        best = best.copy()
-        for d in range(1, DEPTH + 1):
-            now = self.child[(now << BITS) + s[DEPTH - d : DEPTH - d + n]]
-            np.copyto(best, now, where=now != self.none)
+        best = np.zeros(max(0, len(s) - DEPTH), np.int32)
+        _walk(self.child, s, self.depth, best)
         return best
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -168,28 +306,87 @@ def fit(docs: DataFrame, *, critical: float = 61.1, least: int = 20, weight: flo
     """The tree of a corpus. ``critical``: of the test statistic (chi-square with 31 degrees of freedom at 0.001);
     ``least``: occurrences of a context that are tested; ``weight``: of the parent's distribution in counts;
     ``most_nodes``: bound of the model's size, reached by raising ``critical``; by default none, every context that passes is kept."""
+    sc = docs.sparkSession.sparkContext
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = common.cut(text.mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    kind = "gram long, n long"
+    counts = common.cut(text.mapInArrow(_counter(grams, np.uint32, 1 << 23, 2 << 20, True), kind).groupBy("gram").agg(F.sum("n").alias("n")))
     root = np.ones(SIZE)
     for s, n in counts.groupBy(F.col("gram").bitwiseAND(SIZE - 1).alias("s")).agg(F.sum("n")).collect():
         root[s] += n
-    root /= root.sum()
-
+    root = np.log(root / root.sum())
+
+    up, symbol, depth, stat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1)
+    probs = root[None, :].astype("<f4")
+    base, base_p, part = np.zeros(1, np.int64), root[None, :], F.shiftright("gram", BITS).bitwiseAND(SIZE - 1)
+    at, step = 0, 0
+    while len(base):
+        shared = sc.broadcast((base, base_p))
+        if step:
+            grow = _long_grower(shared, step, critical, least, weight)
+            got = counts.groupBy(F.pmod("base", F.lit(256))).applyInArrow(grow, "part long, depth int, id long, up long, symbol int, score double, grows long, p binary").toArrow()
+            part_, d, node, above, sym, score_, grows = (np.asarray(got.column(i).combine_chunks()).astype(np.int64 if i != 5 else float) for i in range(7))
+            p = np.frombuffer(b"".join(got.column(7).to_pylist()), "<f4").reshape(-1, SIZE)
+            order = np.lexsort((node, part_, d))
+            key = (part_ << 32) | node
+            by_key, first = np.argsort(key), len(up)
+            new = np.empty(len(key), np.int64)
+            new[order] = first + np.arange(len(key))
+            inner = above >= 0
+            parent = -1 - above
+            parent[inner] = new[by_key[np.searchsorted(key[by_key], (part_[inner] << 32) | above[inner])]]
+            up, symbol, depth = np.append(up, parent[order]), np.append(symbol, sym[order]), np.append(depth, at + d[order])
+            stat, probs = np.append(stat, score_[order]), np.concatenate([probs, p[order]])
+            base = np.sort(new[grows > 0])
+            at += step
+        else:
+            got = counts.groupBy(part).applyInArrow(_grower(shared, critical, least, weight), "depth int, code long, score double, grows long, p binary").toArrow()
+            d, code, score_, grows = (np.asarray(got.column(i).combine_chunks()) for i in range(4))
+            p = np.frombuffer(b"".join(got.column(4).to_pylist()), "<f4").reshape(-1, SIZE)
+            above, ids, base = base, base, base[:0]
+            for k in range(1, DEPTH + 1):
+                row = np.flatnonzero(d == k)
+                row = row[np.argsort(code[row])]
+                c = code[row]
+                parent = (c >> (BITS * k) << (BITS * (k - 1))) | (c & ((1 << (BITS * (k - 1))) - 1))
+                first = len(up)
+                up = np.append(up, ids[np.searchsorted(above, parent)])
+                symbol = np.append(symbol, (c >> (BITS * (k - 1))) & (SIZE - 1))
+                depth, stat, probs = np.append(depth, np.full(len(c), at + k)), np.append(stat, score_[row]), np.concatenate([probs, p[row]])
+                above, ids = c, np.arange(first, len(up))
+                base = ids[grows[row] > 0]
+            at += DEPTH
+        if len(base):
+            base_p = probs[base].astype(float)
+            front = sc.broadcast(Front(at, base, up, symbol))
+            step = min(1 << 12, GATHER // int(grows.sum()))
+            if step >= 4 * DEPTH:
+                counts = text.mapInArrow(_gather(front, step), "base long, next int, left binary")
+            else:
+                step = 0
+                counts = text.mapInArrow(_counter(lambda t, front=front: deeper(t, front.value), np.int64, 1 << 21, 1 << 19, False), kind).groupBy("gram").agg(F.sum("n").alias("n"))
+                part = F.pmod(F.shiftright("gram", BITS * (DEPTH + 1)), F.lit(256))
+    for k in range(int(depth.max()), 1, -1):
+        row = np.flatnonzero(depth == k)
+        np.maximum.at(stat, up[row], stat[row])
+    keep = np.flatnonzero(stat[1:] >= critical) + 1
+    if most_nodes is not None and len(keep) > most_nodes:
+        # a context scores no less than the longer ones that end in it, so the best are a tree; ties at the bound: the shorter
+        keep = np.sort(keep[np.lexsort((keep, depth[keep], -stat[keep]))[:most_nodes]])
+    nodes = np.append(0, keep)
+    return Tree(int(depth[nodes].max()), np.searchsorted(nodes, up[keep]), symbol[keep], probs[nodes])
+
+
+def _grower(base, critical: float, least: int, weight: float):
     def grow(t: pa.Table) -> pa.Table:
         gram = np.asarray(t.column("gram").combine_chunks()).astype(np.int64)
-        got = list(subtree(gram, np.asarray(t.column("n").combine_chunks()).astype(float), root, critical, least, weight))
-        p = [row.astype("<f4").tobytes() for g in got for row in g[3]]
+        got = list(subtree(gram, np.asarray(t.column("n").combine_chunks()).astype(float), *base.value, critical, least, weight))
         return pa.table({
             "depth": pa.array(np.concatenate([np.full(len(g[1]), g[0], np.int32) for g in got])), "code": pa.array(np.concatenate([g[1] for g in got]).astype(np.int64)),
-            "score": pa.array(np.concatenate([g[2] for g in got])), "p": pa.array(p, pa.binary()),
+            "score": pa.array(np.concatenate([g[2] for g in got])), "grows": pa.array(np.concatenate([g[3] for g in got])),
+            "p": pa.array([row.astype("<f4").tobytes() for g in got for row in g[4]], pa.binary()),
         })
 
-    last = F.shiftright("gram", BITS).bitwiseAND(SIZE - 1)
-    nodes = counts.groupBy(last).applyInArrow(grow, "depth int, code long, score double, p binary")
-    # a context scores no less than the longer ones that end in it, so the best are a tree; ties at the bound: the shorter
-    kept = (nodes if most_nodes is None else nodes.orderBy(F.desc("score"), "depth", "code").limit(most_nodes)).toArrow()
-    p = np.frombuffer(b"".join(kept.column("p").to_pylist()), "<f4").reshape(-1, SIZE)
-    return Tree(root, *(np.asarray(kept.column(c).combine_chunks()).astype(np.int64) for c in ("depth", "code")), p)
+    return grow
 
 
 def score(docs: DataFrame, tree: Tree | None = None, **how: float | None) -> DataFrame:

@@ -1,412 +1,428 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-Texts become strings over 32 byte classes. All occurrences of 5-symbol contexts with the symbol that
-follows are counted over the whole corpus; shorter contexts are their marginals. Each further pass counts
-contexts 5 symbols longer, below those that may have longer ones that pass the test, until none may; where
-these occur seldom, what precedes each occurrence is gathered instead, many symbols at once. So context
-length has no bound. A context stays in the tree if what follows it differs from what follows its
-parent (the context less its oldest symbol) by a likelihood-ratio test, or if one that ends in it stays.
-Next-symbol distributions are smoothed towards the parent's. A text's start is one symbol, the oldest of
-any context. A position is scored by the longest context of the tree that precedes it.
+"""Language-model scoring with a probabilistic suffix tree over words and bytes.
+
+Symbols. A text is cut into words (runs of ASCII letters and digits and of bytes beyond ASCII) and what lies
+between them; a single space is implied. The commonest words and separators of the corpus, a bounded number,
+are symbols of their own; all others are spelled by their bytes. So the alphabet is bounded, no text is lost
+and no script is merged. A text's start is one more symbol, the oldest of any context.
+
+Tree. A context is a state if the symbols that follow it diverge from the distribution of the longest state
+that ends it: the log of the Bayes factor between a distribution of its own, with a Dirichlet prior of
+``weight`` around that state's, and that state's must reach ``critical``. A state's distribution is smoothed
+towards that of the state below it by the same weight. A position is scored by its longest state. The length
+of contexts and the number of states have no bound; both follow the corpus.
+
+Execution. Nothing of the tree is gathered: it is made and used where its occurrences meet. Texts are packed
+into blocks; each round, a block sends every open position's next few older symbols, equal ones merged and
+counted, to the bucket of their context; a bucket tests all contexts of its positions and answers with each
+one's probability and with which can still find a longer state. Contexts that occur more often than a task
+may hold go on by one symbol a round, as merged counts only; the others by as many as keep a round small. Rounds end when no
+context is left in whose counts a further state could hide, which an exact bound on the Bayes factor tells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textvec
 
-DEPTH, BITS, SIZE = 5, 5, 32  # DEPTH: symbols a pass adds where occurrences are counted by code
-GATHER = 64 << 20  # bytes of what precedes occurrences that a pass may gather
-_PAD, _SPACE, _DIGIT, _PUNCT, _LEAD, _TAIL = 0, 27, 28, 29, 30, 31
+BITS, SPAN = 18, 5
+SIZE, _MASK = 1 << BITS, (1 << BITS) - 1
+START, BYTE, FIRST, WORD = 0, 1, 257, 513  # a byte within a spelled word, its first byte, the commonest words
+LONGEST = 1 << 10  # symbols that a record may carry
+MOST = 1 << 21  # occurrences of a context that one task may hold
+_U = np.uint64
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    table = np.full(256, _PUNCT, np.uint8)
-    table[list(b" \t\r\n\f\v")] = _SPACE
-    table[48:58] = _DIGIT
-    table[65:91] = table[97:123] = np.arange(1, 27)
-    table[0x80:0xC0], table[0xC0:] = _TAIL, _LEAD
-    after_c3 = np.full(256, _TAIL, np.uint8)  # the base letter of the second byte of À ... ÿ
-    for low, base in zip(range(0xA0, 0xC0), "aaaaaaaceeeeiiii\0nooooo\0ouuuuy\0y", strict=True):
-        if base != "\0":
-            after_c3[low] = after_c3[low - 0x20] = ord(base) - 96
-    after_c3[0x9F] = 19  # ß
-    return table, after_c3
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as compressed planes of their bytes."""
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return len(arrays[0]).to_bytes(4, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
-_TABLE, _AFTER_C3 = _classes()
+def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    n, widths = int.from_bytes(blob[:4], "little"), [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(_ZSTD.decompress(blob[4:], n * sum(widths)), np.uint8) if n else np.empty(0, np.uint8)
+    out, at = [], 0
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).reshape(-1).view(k))
+        at += n * w
+    return out
 
 
-def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each after DEPTH pads, and the offsets of the texts without their pads."""
+def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, text, hash) of all words and separators but single spaces, in order."""
     data, off = textvec.text_bytes(texts)
-    s = _TABLE[data]
-    c3 = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0)) + 1
-    s[c3] = _AFTER_C3[data[c3]]
-    n = np.diff(off)
-    out = np.zeros(len(s) + DEPTH * len(n), np.uint8)
-    begin = off[:-1] + DEPTH * np.arange(1, len(n) + 1)
-    out[np.arange(len(s)) + np.repeat(begin - off[:-1], n)] = s
-    return out, begin
-
-
-def grams(texts: pa.Array) -> np.ndarray:
-    """Code of every symbol with the DEPTH before it; the symbol is in the lowest bits, the oldest in the highest."""
-    s, _ = symbols(texts)
-    code = np.zeros(max(0, len(s) - DEPTH), np.uint32)
-    for j in range(DEPTH, -1, -1):
-        code = (code << np.uint32(BITS)) | s[DEPTH - j : len(s) - j].astype(np.uint32)
-    return code[code & np.uint32(SIZE - 1) != _PAD]
-
-
-def _add(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    c, n = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(c, kind="stable")
-    c, n = c[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
-    return [c[first]], [np.add.reduceat(n, first) if len(first) else n]
-
-
-def deeper(texts: pa.Array, front: Front) -> np.ndarray:
-    """Codes as of ``grams``, of the DEPTH symbols before a context that ``front`` grows and the symbol after it, above them its id."""
-    s, _ = symbols(texts)
-    live, node = front.walk(s)
-    real = s[live + DEPTH] != _PAD
-    live, code = live[real], front.ids[node[real]]
-    for j in range(front.depth + DEPTH, front.depth, -1):
-        code = (code << BITS) | s[live + DEPTH - j]
-    return (code << BITS) | s[live + DEPTH]
-
-
-def _gather(front, step: int):
-    """(base, next, left) of every occurrence of a context that ``front`` grows: its id, the symbol after, the ``step`` before, latest first."""
+    n = len(data)
+    if not n:
+        none = np.empty(0, np.int64)
+        return data, none, none, none, none.astype(_U)
+    edge = np.diff(textvec.is_word(data).view(np.int8), prepend=np.int8(2)) != 0
+    edge[off[:-1][np.diff(off) > 0]] = True
+    start = np.flatnonzero(edge)
+    end = np.append(start[1:], n)
+    value = (data.astype(_U) + _U(1)) * textvec.powers(textvec.BASE, n)
+    h = textvec.mix(np.add.reduceat(value, start) * textvec.powers(textvec.INV, n)[start])
+    told = (end - start > 1) | (data[start] != 32)
+    start, end, h = start[told], end[told], h[told]
+    return data, start, end, np.searchsorted(off, start, side="right") - 1, h
+
+
+def symbols(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts, a START before each, and how many each has; ``known``: sorted hashes of the words that are symbols."""
+    data, start, end, text, h = segments(texts)
+    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+    hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+    size = np.where(hit, 1, end - start)
+    n = np.bincount(text, size, len(texts)).astype(np.int64)
+    out = np.zeros(int(n.sum()) + len(texts), np.int32)
+    place = np.cumsum(size) - size + text + 1
+    out[place[hit]] = WORD + at[hit]
+    s, e, to = start[~hit], end[~hit], place[~hit]
+    inner = np.arange((e - s).sum()) - np.repeat(np.cumsum(e - s) - (e - s), e - s)
+    out[np.repeat(to, e - s) + inner] = data[np.repeat(s, e - s) + inner].astype(np.int32) + np.where(inner == 0, FIRST, BYTE)
+    return out, n
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    return k[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, counts, held = [np.empty(0, _U)], [np.empty(0, np.int64)], 0
+
+    def out() -> pa.RecordBatch:
+        k, n = _merged(keys, counts)
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    for whole in batches:
+        for b in textvec.chunks(whole, 0):
+            k, n = np.unique(segments(b.column(0))[4], return_counts=True)
+            keys.append(k)
+            counts.append(n)
+            held += len(k)
+            if held > 1 << 20:
+                k, n = _merged(keys, counts)
+                keys, counts, held = [k], [n], len(k)
+                if held > 1 << 19:
+                    yield out()
+                    keys, counts, held = [np.empty(0, _U)], [np.empty(0, np.int64)], 0
+    yield out()
+
+
+def dictionary(text: DataFrame, most: int) -> np.ndarray:
+    """Sorted hashes of the words and separators that occur more than c times, c the least number that leaves at most ``most``."""
+    counts = common.cut(text.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # counts are told apart to about one part in 64, so that there are a few thousand levels at any size
+    level = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    levels = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    left, least = most, None
+    for r in levels:
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    if least is None:
+        return np.empty(0, _U)
+    found = counts.where(level >= least).select("word").toArrow().column(0)
+    return np.sort(np.asarray(found.combine_chunks()).astype(np.int64).view(_U))
+
+
+@dataclass
+class Open:
+    """Positions of a block that may have longer states: index, length of context so far, probability, occurrences of the context."""
+
+    at: np.ndarray
+    depth: np.ndarray
+    p: np.ndarray
+    n: np.ndarray
+
+    def packed(self) -> bytes:
+        return pack(self.at.astype(np.int32), self.depth.astype(np.int32), self.p.astype(np.float32), self.n.astype(np.int64))
+
+    @classmethod
+    def of(cls, blob: bytes) -> Open:
+        return cls(*unpack(blob, np.int32, np.int32, np.float32, np.int64))
+
+
+@dataclass
+class Records:
+    """What a block sends in a round: distinct records in order of bucket, and which record each open position has."""
+
+    bucket: np.ndarray
+    group: np.ndarray  # hash of the context so far
+    older: list[np.ndarray]  # the symbols before it, latest first; but for the first zeros where the context is too common
+    next: np.ndarray
+    p: np.ndarray
+    n: np.ndarray
+    of: np.ndarray
+
+
+def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, buckets: int, most: int, weight: int) -> Records:
+    """``root``: occurrences of each symbol in the first round, where all contexts are empty and probabilities those of the root."""
+    starts = np.flatnonzero(sym == START)
+    begin = starts[np.searchsorted(starts, state.at, side="right") - 1]
+    end = state.at.astype(np.int64) - state.depth  # where the context so far begins
+    after = sym[state.at]
+
+    def older(j: int, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        i = end[rows] - 1 - j
+        return np.where(i > begin[rows], sym[np.maximum(i, 0)], START)
+
+    oldest = older(0)
+    if root is not None:
+        deep, group = root[oldest] <= most, np.zeros(len(state.at), _U)
+        packed = [older(j).astype(_U) * deep for j in range(1, span)]
+        high, low = oldest.astype(_U), after.astype(_U)
+        for c in packed[: span // 2]:
+            high = (high << _U(BITS)) | c
+        for k, c in enumerate(packed[span // 2 :], 1):
+            low |= c << _U(k * BITS)
+    else:
+        deep = state.n <= most
+        sums = np.zeros(len(sym) + 1, _U)
+        np.cumsum((sym.astype(_U) + _U(1)) * textvec.powers(textvec.BASE, len(sym)), dtype=_U, out=sums[1:])
+        group = textvec.run_hash(sums, end, state.at.astype(np.int64))
+        high, low = textvec.run_hash(sums, np.maximum(begin, end - np.where(deep, span, 1)), np.maximum(begin, end)), after.astype(_U)
+    bucket = (textvec.mix(group ^ textvec.mix(oldest.astype(_U) + _U(1))) % _U(buckets)).astype(np.int64) * 2 + deep
+    order = np.lexsort((low, high, bucket) if root is not None else (low, high, group, bucket))
+    keys = [k[order] for k in (low, high, group, bucket)]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(fresh)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    rows = order[first]
+    return Records(bucket[rows], group[rows], [older(j, rows) * (deep[rows] if j else 1) for j in range(span)], after[rows], state.p[rows], np.diff(np.append(first, len(order))) * weight, of)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function for x >= 1, by Stirling's series beyond 9."""
+    y = x + 8
+    low = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - low
+
+
+def _term(c: np.ndarray, p: np.ndarray, weight: float) -> np.ndarray:
+    """What ``c`` occurrences of a symbol of probability ``p`` add to the log Bayes factor."""
+    wp = weight * p
+    return np.where(c > 0, np.log(wp) + _log_gamma(wp + np.maximum(c, 1)) - _log_gamma(wp + 1) - c * np.log(p), 0.0)
+
+
+def _norm(n: np.ndarray, weight: float) -> np.ndarray:
+    """What ``n`` occurrences in all take from it."""
+    return np.where(n > 0, np.log(weight) + _log_gamma(weight + np.maximum(n, 1)) - _log_gamma(np.array(weight + 1.0)), 0.0)
+
+
+def tested(context: np.ndarray, after: np.ndarray, n: np.ndarray, p: np.ndarray, critical: float, least: int, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of each record, occurrences of each context, whether a longer one may be a state) of contexts 0, 1, ... whose records are together."""
+    key = (context.astype(_U) << _U(BITS)) | after.astype(_U)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    fresh = np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.flatnonzero(fresh)
+    pair = np.empty(len(key), np.int64)
+    pair[order] = np.cumsum(fresh) - 1
+    of, c, q = (key[first] >> _U(BITS)).astype(np.int64), np.add.reduceat(n[order], first), p[order[first]]
+    total = np.bincount(of, c, context[-1] + 1)
+    state = (total >= least) & (np.bincount(of, _term(c, q, weight), len(total)) - _norm(total, weight) >= critical)
+    q = np.where(state[of], (c + weight * q) / (total[of] + weight), q)
+    # a longer context has no more of any symbol, and its factor is at most the product of those that each symbol would have alone
+    often = c > 1
+    hope = np.bincount(of[often], (_term(c[often], q[often], weight) - _norm(c[often], weight)), len(total))
+    return q[pair], total, (hope >= critical) & (total > least)
+
+
+def answers(group: np.ndarray, older: list[np.ndarray], after: np.ndarray, p: np.ndarray, n: np.ndarray, critical: float, least: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, occurrences of the last context if longer ones may be states, else 0) of each record of a bucket."""
+    p, open_ = p.astype(float), np.zeros(len(after), np.int64)
+    rows = np.argsort(group, kind="stable")
+    at = group[rows]
+    for level, column in enumerate(older):
+        if not len(rows):
+            break
+        new = np.concatenate([[True], at[1:] != at[:-1]])
+        head, at, symbol = np.flatnonzero(new), np.cumsum(new) - 1, column[rows]
+        low = np.minimum.reduceat(symbol, head)
+        # the first symbol chose the bucket, so others of the same context may be elsewhere
+        split = low != np.maximum.reduceat(symbol, head) if level else np.ones(len(head), bool)
+        # contexts all of whose occurrences go on alike are no other than the shorter one; beyond a text's start is nothing
+        stays = (~split & (low != START))[at]
+        r = np.flatnonzero(split[at])
+        if len(r):
+            r = r[np.lexsort((symbol[r], at[r]))]
+            changes = (np.diff(at[r], prepend=-1) != 0) | (np.diff(symbol[r], prepend=-1) != 0)
+            context = np.cumsum(changes) - 1
+            p[rows[r]], total, alive = tested(context, after[rows[r]], n[rows[r]], p[rows[r]], critical, least, weight)
+            alive &= symbol[r][changes] != START
+            go = alive[context]
+            at = np.concatenate([at[stays], context[go] + len(head)])
+            rows = np.concatenate([rows[stays], rows[r[go]]])
+        else:
+            rows, at = rows[stays], at[stays]
+    if len(rows):
+        head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        total = np.add.reduceat(n[rows], head)
+        open_[rows] = np.repeat(total, np.diff(np.append(head, len(rows))))
+    return p.astype(np.float32), open_
+
 
+def _pack_blocks(known, weight: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in textvec.chunks(whole, 0, 1 << 19):
-                s, _ = symbols(batch.column(0))
-                live, node = front.value.walk(s)
-                real = s[live + DEPTH] != _PAD
-                live, node = live[real], node[real]
-                begin = live + DEPTH - front.value.depth - 1
-                left = [s[max(0, i + 1 - step) : i + 1][::-1].tobytes().ljust(step, b"\0") for i in begin]
+            for b in textvec.chunks(whole, 1, 4 << 20):
+                sym, n = symbols(b.column(1), known.value)
+                block = (weight << 62) | (part << 32) | at
+                at += 1
+                ids = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), b.column(0).cast(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(front.value.ids[node]), pa.array(s[live + DEPTH].astype(np.int32)), pa.array(left, pa.binary())], names=["base", "next", "left"]
-                )
+                    [pa.array([block]), pa.array([weight], pa.int32()), ids, pa.array([pack(n)], pa.binary()), pa.array([pack(np.zeros(len(n)))], pa.binary()), pa.array([pack(sym)], pa.binary()), pa.nulls(1, pa.binary()), pa.array([len(sym) - len(n)], pa.int64())],
+                    names=["block", "weight", "ids", "n", "bits", "sym", "open", "left"],
+                )
 
     return run
 
 
-class Front:
-    """Contexts of one length below which the tree may grow, as a trie over symbols from the latest back."""
-
-    def __init__(self, depth: int, node: np.ndarray, up: np.ndarray, symbol: np.ndarray):
-        path = [node]
-        for _ in range(depth):
-            path.append(np.unique(up[path[-1]]))
-        self.depth, self.ids = depth, np.concatenate(path[::-1])
-        self.child = _children(np.searchsorted(self.ids, up[self.ids[1:]]), symbol[self.ids[1:]])
-
-    def walk(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, node) of the symbols from the DEPTH-th on that follow one of the contexts."""
-        return _walk(self.child, s, self.depth)
-
-
-def _children(up: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The nodes 1, 2, ... by parent and symbol; the number after the last stands for none."""
-    none = len(up) + 1
-    child = np.full((none + 1) * SIZE, none, np.int32)
-    child[up * SIZE + symbol] = np.arange(1, none)
-    return child
-
-
-def _walk(child: np.ndarray, s: np.ndarray, depth: int, best: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(position, node) after ``depth`` steps back from the symbols from the DEPTH-th on; the last node of each goes into ``best``."""
-    n, none = max(0, len(s) - DEPTH), len(child) // SIZE - 1
-    s = s.astype(np.int32)
-    now = np.zeros(n, np.int32)
-    for d in range(1, min(depth, DEPTH) + 1):
-        now = child[(now << BITS) + s[DEPTH - d : DEPTH - d + n]]
-        if best is not None:
-            np.copyto(best, now, where=now != none)
-    live = np.flatnonzero(now != none)
-    now = now[live]
-    for d in range(DEPTH + 1, depth + 1):  # no context goes on beyond the pad before a text, so this stays within s
-        now = child[(now << BITS) + s[live + DEPTH - d]]
-        on = now != none
-        live, now = live[on], now[on]
-        if best is not None:
-            best[live] = now
-    return live, now
-
-
-def _counter(codes_of: Callable[[pa.Array], np.ndarray], kind: type, most: int, chunk: int, whole_task: bool):
-    """Counts of the codes of all texts of a task, or of parts of it; ``most``: codes held before they are counted."""
-
-    def out(c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(c), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 18)].astype(np.int64)), pa.array(n[at : at + (1 << 18)].astype(np.int64))], names=["gram", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw: list[np.ndarray] = []
-        codes, counts = [np.empty(0, kind)], [np.empty(0, np.int64)]
-        size = held = 0
-        for whole in batches:
-            for batch in textvec.chunks(whole, 0, chunk):
-                raw.append(codes_of(batch.column(0)))
-                size += len(raw[-1])
-                if size > most:
-                    c, n = np.unique(np.concatenate(raw), return_counts=True)
-                    if whole_task:
-                        codes.append(c)
-                        counts.append(n)
-                    else:
-                        yield from out(c, n)
-                    raw, size, held = [], 0, held + len(c)
-                    if whole_task and held > 1 << 22:
-                        codes, counts = _add(codes, counts)
-                        held = 0
-        if raw:
-            c, n = np.unique(np.concatenate(raw), return_counts=True)
-            codes.append(c)
-            counts.append(n)
-        (c,), (n,) = _add(codes, counts)
-        yield from out(c, n)
+_BLOCK = "block long, weight int, ids array<long>, n binary, bits binary, sym binary, open binary, left long"
 
-    return count
 
+def _state(sym: np.ndarray, blob: bytes | None, root_p: np.ndarray) -> Open:
+    if blob is not None:
+        return Open.of(blob)
+    at = np.flatnonzero(sym != START).astype(np.int32)
+    zero = np.zeros(len(at), np.int64)
+    return Open(at, zero, root_p[sym[at]], zero)
 
-def may_grow(total: np.ndarray, most: np.ndarray, critical: float, least: int, weight: float) -> np.ndarray:
-    """Which contexts may have a longer one that passes, by their occurrences and those of their commonest symbol.
 
-    Of a longer context with counts c, N in all, whose parent has b, B in all, the statistic is at most
-    2 sum c log(c (B + weight) / (b N)) with c <= b, so at most 2 N log((B + weight) / N); and, with R = B less the
-    commonest, at most 2 (R + weight + R log((B + weight) / least)). Neither grows from a context to a longer one.
-    """
-    b, r, few = total + weight, total - most, max(least, 1)
-    n = np.clip(b / np.e, few, np.maximum(total, few))
-    return np.minimum(2 * n * np.log(b / n), 2 * (r + weight + r * np.log(np.maximum(b / few, 1)))) >= critical
+def _symbol_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(SIZE, np.int64)
+    for b in batches:
+        for blob in b.column(0).to_pylist():
+            n += np.bincount(unpack(blob, np.int32)[0], minlength=SIZE)
+    s = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n[s])], names=["s", "n"])
 
 
-def _tested(count: np.ndarray, total: np.ndarray, up: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """The test statistic against the parents' log probabilities ``up``, and the smoothed log probabilities, which deep down are too small for a float."""
-    all_ = total[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        stat = 2 * np.where(count > 0, count * (np.log(count / all_) - up), 0).sum(1)
-        return stat, np.where(count > 0, np.log((count + weight * np.exp(up)) / (all_ + weight)), np.log(weight / (all_ + weight)) + up)
+def score(
+    docs: DataFrame, train: DataFrame | None = None, *, words: int = SIZE - WORD, critical: float = 5.0, least: int = 2, weight: float = 1.0, most: int = MOST
+) -> DataFrame:
+    """(doc_id, n_symbols, bits_per_symbol) of every document under the tree of ``train``, by default of ``docs`` itself.
 
-
-def subtree(gram: np.ndarray, n: np.ndarray, base: np.ndarray, base_p: np.ndarray, critical: float, least: int, weight: float):
-    """(depth, code, score, grows, log probabilities) of contexts up to DEPTH longer than those of ``base``, whose ids top the codes.
-
-    ``score`` is the largest test statistic of a context and of those longer ones that end in it. Given are those
-    that pass and those on the way to ones that may grow beyond.
+    ``words``: bound of the words and separators that are symbols; ``critical``: of the log Bayes factor, above 1;
+    ``least``: occurrences of a state; ``weight``: of the state below in counts; ``most``: occurrences of a context
+    beyond which it goes on by one symbol a round (no result depends on it). Bits are rounded to 4 places. Defined
+    cases: null and empty texts, and those of single spaces alone, have 0 symbols and null bits; null ids and repeated rows are
+    scored as rows of their own; other columns play no part; an empty table gives an empty result.
     """
-    nodes, total_of = [], []
-    up_code, up_p = base, base_p
-    for d in range(1, DEPTH + 1):
-        ctx = (gram >> (BITS * (DEPTH + 1)) << (BITS * d)) | ((gram >> BITS) & ((1 << (BITS * d)) - 1))
-        code, which = np.unique(ctx, return_inverse=True)
-        often = np.bincount(which, n, len(code)) >= least
-        row = often[which]  # what is rarer is neither tested nor has longer ones that are
-        gram, n, which, code = gram[row], n[row], (np.cumsum(often) - 1)[which[row]], code[often]
-        count = np.bincount(which * SIZE + (gram & (SIZE - 1)), n, len(code) * SIZE).reshape(-1, SIZE)
-        total = count.sum(1)
-        parent = np.searchsorted(up_code, (code >> (BITS * d) << (BITS * (d - 1))) | (code & ((1 << (BITS * (d - 1))) - 1)))
-        stat, p = _tested(count, total, up_p[parent], weight)
-        if d > 1:
-            stat[(code >> (BITS * (d - 2))) & (SIZE - 1) == _PAD] = 0
-        grows = np.zeros(len(code), bool)
-        if d == DEPTH:
-            grows = may_grow(total, count.max(1, initial=0), critical, least, weight) & ((code >> (BITS * (d - 1))) & (SIZE - 1) != _PAD)
-        nodes.append([code, stat, p, parent, grows])
-        total_of.append(total)
-        up_code, up_p = code, p
-    way = [x[4].copy() for x in nodes]
-    for d in range(DEPTH - 1, 0, -1):
-        np.maximum.at(nodes[d - 1][1], nodes[d][3], nodes[d][1])
-        np.logical_or.at(way[d - 1], nodes[d][3], way[d])
-    for d, (code, stat, p, _, grows) in enumerate(nodes, 1):
-        keep = (stat >= critical) | way[d - 1]
-        yield d, code[keep], stat[keep], np.where(grows, total_of[d - 1], 0).astype(np.int64)[keep], p[keep]
-
-
-def _long_grower(base, step: int, critical: float, least: int, weight: float):
-    """Nodes up to ``step`` longer than their bases, from gathered occurrences; parents are ids of the task's own or, below 0, -1 less a base's."""
-
-    def grow(t: pa.Table) -> pa.Table:
-        ids, ps = base.value
-        bases, which = np.unique(np.asarray(t.column("base").combine_chunks()), return_inverse=True)
-        after = np.asarray(t.column("next").combine_chunks()).astype(np.int64)
-        left = np.frombuffer(b"".join(t.column("left").to_pylist()), np.uint8).reshape(-1, step)
-        up, up_p, row, first = -1 - bases, ps[np.searchsorted(ids, bases)], np.arange(len(which)), 0
-        out: list[tuple] = []
-        for d in range(1, step + 1):
-            code, at = np.unique(which * SIZE + left[row, d - 1], return_inverse=True)
-            often = np.bincount(at, minlength=len(code)) >= least
-            go = often[at]
-            row, at, code = row[go], (np.cumsum(often) - 1)[at[go]], code[often]
-            count = np.bincount(at * SIZE + after[row], minlength=len(code) * SIZE).reshape(-1, SIZE).astype(float)
-            total = count.sum(1)
-            stat, p = _tested(count, total, up_p[code >> BITS], weight)
-            grows = may_grow(total, count.max(1, initial=0), critical, least, weight) & (code & (SIZE - 1) != _PAD)
-            node = first + np.arange(len(code))
-            out.append((np.full(len(code), d), node, up[code >> BITS], code & (SIZE - 1), stat, np.where(grows & (d == step), total, 0), p))
-            first += len(code)
-            go = grows[at]
-            row, which, up, up_p = row[go], (np.cumsum(grows) - 1)[at[go]], node[grows], p[grows]
-            if not len(row):
-                break
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        kinds = (np.int32, np.int64, np.int64, np.int32, np.float64, np.int64)
-        part = np.full(len(columns[0]), bases[0] % 256)
-        return pa.table({
-            "part": pa.array(part), **{n: pa.array(c.astype(k)) for n, c, k in zip(("depth", "id", "up", "symbol", "score", "grows"), columns, kinds, strict=False)},
-            "p": pa.array([r.astype("<f4").tobytes() for r in columns[6]], pa.binary()),
-        })
-
-    return grow
-
-
-class Tree:
-    """Retained contexts as a trie over symbols from the latest back, with log2 probabilities."""
-
-    def __init__(self, depth: int, up: np.ndarray, symbol: np.ndarray, p: np.ndarray):
-        """``up``: parents of the nodes 1, 2, ...; ``symbol``: their oldest symbols; the root is 0; ``p``: log probabilities, from the root's."""
-        self.depth, self.none = depth, len(up) + 1
-        self.child = _children(up, symbol)
-        self.log2p = (p / np.log(2)).astype(np.float32).ravel()
-
-    def states(self, s: np.ndarray) -> np.ndarray:
-        """The longest retained context before each symbol from the DEPTH-th on."""
-        best = np.zeros(max(0, len(s) - DEPTH), np.int32)
-        _walk(self.child, s, self.depth, best)
-        return best
-
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols, sum of log2 probabilities) of each text."""
-        s, begin = symbols(texts)
-        n = np.diff(np.append(begin, len(s) + DEPTH)) - DEPTH
-        if not len(s):
-            return n, np.zeros(len(n))
-        lp = self.log2p[(self.states(s) << BITS) + s[DEPTH:]]
-        lp[s[DEPTH:] == _PAD] = 0
-        sums = np.concatenate([[0.0], np.cumsum(lp, dtype=np.float64)])
-        at = begin - DEPTH
-        return n, sums[at + n] - sums[at]
-
-
-def fit(docs: DataFrame, *, critical: float = 61.1, least: int = 20, weight: float = 16.0, most_nodes: int | None = None) -> Tree:
-    """The tree of a corpus. ``critical``: of the test statistic (chi-square with 31 degrees of freedom at 0.001);
-    ``least``: occurrences of a context that are tested; ``weight``: of the parent's distribution in counts;
-    ``most_nodes``: bound of the model's size, reached by raising ``critical``; by default none, every context that passes is kept."""
     sc = docs.sparkSession.sparkContext
-    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kind = "gram long, n long"
-    counts = common.cut(text.mapInArrow(_counter(grams, np.uint32, 1 << 23, 2 << 20, True), kind).groupBy("gram").agg(F.sum("n").alias("n")))
-    root = np.ones(SIZE)
-    for s, n in counts.groupBy(F.col("gram").bitwiseAND(SIZE - 1).alias("s")).agg(F.sum("n")).collect():
-        root[s] += n
-    root = np.log(root / root.sum())
-
-    up, symbol, depth, stat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1)
-    probs = root[None, :].astype("<f4")
-    base, base_p, part = np.zeros(1, np.int64), root[None, :], F.shiftright("gram", BITS).bitwiseAND(SIZE - 1)
-    at, step = 0, 0
-    while len(base):
-        shared = sc.broadcast((base, base_p))
-        if step:
-            grow = _long_grower(shared, step, critical, least, weight)
-            got = counts.groupBy(F.pmod("base", F.lit(256))).applyInArrow(grow, "part long, depth int, id long, up long, symbol int, score double, grows long, p binary").toArrow()
-            part_, d, node, above, sym, score_, grows = (np.asarray(got.column(i).combine_chunks()).astype(np.int64 if i != 5 else float) for i in range(7))
-            p = np.frombuffer(b"".join(got.column(7).to_pylist()), "<f4").reshape(-1, SIZE)
-            order = np.lexsort((node, part_, d))
-            key = (part_ << 32) | node
-            by_key, first = np.argsort(key), len(up)
-            new = np.empty(len(key), np.int64)
-            new[order] = first + np.arange(len(key))
-            inner = above >= 0
-            parent = -1 - above
-            parent[inner] = new[by_key[np.searchsorted(key[by_key], (part_[inner] << 32) | above[inner])]]
-            up, symbol, depth = np.append(up, parent[order]), np.append(symbol, sym[order]), np.append(depth, at + d[order])
-            stat, probs = np.append(stat, score_[order]), np.concatenate([probs, p[order]])
-            base = np.sort(new[grows > 0])
-            at += step
-        else:
-            got = counts.groupBy(part).applyInArrow(_grower(shared, critical, least, weight), "depth int, code long, score double, grows long, p binary").toArrow()
-            d, code, score_, grows = (np.asarray(got.column(i).combine_chunks()) for i in range(4))
-            p = np.frombuffer(b"".join(got.column(4).to_pylist()), "<f4").reshape(-1, SIZE)
-            above, ids, base = base, base, base[:0]
-            for k in range(1, DEPTH + 1):
-                row = np.flatnonzero(d == k)
-                row = row[np.argsort(code[row])]
-                c = code[row]
-                parent = (c >> (BITS * k) << (BITS * (k - 1))) | (c & ((1 << (BITS * (k - 1))) - 1))
-                first = len(up)
-                up = np.append(up, ids[np.searchsorted(above, parent)])
-                symbol = np.append(symbol, (c >> (BITS * (k - 1))) & (SIZE - 1))
-                depth, stat, probs = np.append(depth, np.full(len(c), at + k)), np.append(stat, score_[row]), np.concatenate([probs, p[row]])
-                above, ids = c, np.arange(first, len(up))
-                base = ids[grows[row] > 0]
-            at += DEPTH
-        if len(base):
-            base_p = probs[base].astype(float)
-            front = sc.broadcast(Front(at, base, up, symbol))
-            step = min(1 << 12, GATHER // int(grows.sum()))
-            if step >= 4 * DEPTH:
-                counts = text.mapInArrow(_gather(front, step), "base long, next int, left binary")
-            else:
-                step = 0
-                counts = text.mapInArrow(_counter(lambda t, front=front: deeper(t, front.value), np.int64, 1 << 21, 1 << 19, False), kind).groupBy("gram").agg(F.sum("n").alias("n"))
-                part = F.pmod(F.shiftright("gram", BITS * (DEPTH + 1)), F.lit(256))
-    for k in range(int(depth.max()), 1, -1):
-        row = np.flatnonzero(depth == k)
-        np.maximum.at(stat, up[row], stat[row])
-    keep = np.flatnonzero(stat[1:] >= critical) + 1
-    if most_nodes is not None and len(keep) > most_nodes:
-        # a context scores no less than the longer ones that end in it, so the best are a tree; ties at the bound: the shorter
-        keep = np.sort(keep[np.lexsort((keep, depth[keep], -stat[keep]))[:most_nodes]])
-    nodes = np.append(0, keep)
-    return Tree(int(depth[nodes].max()), np.searchsorted(nodes, up[keep]), symbol[keep], probs[nodes])
-
-
-def _grower(base, critical: float, least: int, weight: float):
-    def grow(t: pa.Table) -> pa.Table:
-        gram = np.asarray(t.column("gram").combine_chunks()).astype(np.int64)
-        got = list(subtree(gram, np.asarray(t.column("n").combine_chunks()).astype(float), *base.value, critical, least, weight))
+
+    def slim(df: DataFrame) -> DataFrame:
+        return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    learn = slim(docs if train is None else train)
+    known = sc.broadcast(dictionary(learn.select("text"), words))
+    blocks = learn.mapInArrow(_pack_blocks(known, 1), _BLOCK)
+    if train is not None:
+        blocks = blocks.union(slim(docs).mapInArrow(_pack_blocks(known, 0), _BLOCK))
+    blocks = common.cut(blocks)
+    counts = np.zeros(SIZE, np.int64)
+    found = blocks.where("weight = 1").select("sym").mapInArrow(_symbol_counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()
+    counts[np.asarray(found.column(0).combine_chunks()).astype(np.int64)] = np.asarray(found.column(1).combine_chunks()).astype(np.int64)
+    tokens = counts.copy()
+    tokens[START] = 0
+    root_p = ((tokens + 1) / (tokens.sum() + SIZE)).astype(np.float32)
+    root = sc.broadcast((counts, root_p))
+    total = left = int(tokens.sum()) if train is None else int(blocks.agg(F.sum("left")).first()[0] or 0)
+    done, span = [], SPAN
+    while left:
+        first = not done
+        if not first:  # as long contexts as make a round no larger than the first
+            span = max(SPAN, min(LONGEST, SPAN * total // left))
+        blocks = _round(blocks, root, first, span, max(1, -(-2 * left * span // (most * SPAN))), most, critical, least, weight)
+        done.append(blocks.where("left = 0"))
+        blocks = blocks.where("left > 0")
+        left = int(blocks.agg(F.sum("left")).first()[0] or 0)
+    for b in done:
+        blocks = blocks.union(b)
+    return (blocks if train is None else blocks.where("weight = 0")).select("ids", "n", "bits").mapInArrow(_results, "doc_id long, n_symbols long, bits_per_symbol double")
+
+
+def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            (n,), (bits,) = unpack(b.column(1)[i].as_py(), np.int64), unpack(b.column(2)[i].as_py(), np.float64)
+            mean = np.where(n > 0, np.round(bits / np.maximum(n, 1), 4) + 0.0, 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).flatten(), pa.array(n), pa.array(mean, mask=n == 0)], names=["doc_id", "n_symbols", "bits_per_symbol"])
+
+
+def _round(blocks: DataFrame, root, first: bool, span: int, buckets: int, most: int, critical: float, least: int, weight: float) -> DataFrame:
+    """Blocks with the positions that are still open after one more round, settled."""
+
+    def sent(b: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, Open, Records]:
+        counts, root_p = root.value
+        (sym,) = unpack(b.column("sym")[i].as_py(), np.int32)
+        state = _state(sym, b.column("open")[i].as_py(), root_p)
+        return sym, state, records(sym, state, counts if first else None, span, buckets, most, b.column("weight")[i].as_py())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                if not b.column("left")[i].as_py():
+                    continue
+                r = sent(b, i)[2]
+                edge = np.flatnonzero(np.diff(r.bucket, prepend=-1, append=-1))
+                blobs = []
+                for s, e in zip(edge[:-1], edge[1:], strict=True):
+                    known = () if first else (r.group[s:e], r.p[s:e])
+                    blobs.append(pack(r.next[s:e], r.n[s:e].astype(np.uint32), *known, *(c[s:e] for c in r.older[: span if r.bucket[s] & 1 else 1])))
+                block = pa.array(np.full(len(blobs), b.column("block")[i].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(r.bucket[edge[:-1]]), block, pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        kinds = [np.int32, np.uint32, *(() if first else (_U, np.float32)), *[np.int32] * (span if t.column("bucket")[0].as_py() & 1 else 1)]
+        parts = [unpack(blob, *kinds) for blob in t.column("blob").to_pylist()]
+        ends = np.cumsum([len(x[0]) for x in parts])
+        after, n, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        group, p, *older = (np.zeros(len(after), _U), root.value[1][after], *more) if first else more
+        p, n = answers(group, older, after, p, n.astype(np.int64), critical, least, weight)
+        blobs = [pack(p[s:e], n[s:e]) for s, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
+        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "answer": pa.array(blobs, pa.binary())})
+
+    def update(block: pa.Table, got: pa.Table) -> pa.Table:
+        if not got.num_rows:
+            return block
+        sym, state, r = sent(block, 0)
+        parts = [unpack(x, np.float32, np.int64) for x in got.sort_by("bucket").column("answer").to_pylist()]
+        p, n = (np.concatenate(x)[r.of] for x in zip(*parts, strict=True))
+        (size,), (bits,) = unpack(block.column("n")[0].as_py(), np.int64), unpack(block.column("bits")[0].as_py(), np.float64)
+        over = n == 0
+        text = np.searchsorted(np.cumsum(size + 1), state.at[over], side="right")
+        bits = bits - np.bincount(text, np.log2(p[over].astype(float)), len(size))
+        depth = state.depth + np.where(r.bucket[r.of] & 1, span, 1)
+        left = Open(state.at[~over], depth[~over], p[~over], n[~over])
+        open_, sym_ = (left.packed(), block.column("sym")[0].as_py()) if len(left.at) else (None, None)
         return pa.table({
-            "depth": pa.array(np.concatenate([np.full(len(g[1]), g[0], np.int32) for g in got])), "code": pa.array(np.concatenate([g[1] for g in got]).astype(np.int64)),
-            "score": pa.array(np.concatenate([g[2] for g in got])), "grows": pa.array(np.concatenate([g[3] for g in got])),
-            "p": pa.array([row.astype("<f4").tobytes() for g in got for row in g[4]], pa.binary()),
+            "block": block.column("block"), "weight": block.column("weight"), "ids": block.column("ids"), "n": block.column("n"), "bits": pa.array([pack(bits)], pa.binary()),
+            "sym": pa.array([sym_], pa.binary()), "open": pa.array([open_], pa.binary()), "left": pa.array([len(left.at)], pa.int64()),
         })
 
-    return grow
-
-
-def score(docs: DataFrame, tree: Tree | None = None, **how: float | None) -> DataFrame:
-    """(doc_id, n_symbols, bits_per_symbol) of every document under ``tree``, by default the tree of ``docs``.
-
-    A symbol is a byte of the text; bits are rounded to 4 places. Defined cases: null and empty texts have
-    0 symbols and null bits; null ids and repeated rows are scored as rows of their own; other columns play
-    no part; an empty table gives an empty result (and a tree with only the root).
-    """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, **how) if tree is None else tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in textvec.chunks(whole, 1, 1 << 20):
-                n, total = model.value.score(batch.column(1))
-                bits = np.where(n > 0, np.round(-total / np.maximum(n, 1), 4) + 0.0, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(bits, mask=n == 0)], names=["doc_id", "n_symbols", "bits_per_symbol"])
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_symbols long, bits_per_symbol double")
+    replies = blocks.select("block", "weight", "sym", "open", "left").mapInArrow(send, "bucket long, block long, blob binary")
+    replies = replies.groupBy("bucket").applyInArrow(answer, "block long, bucket long, answer binary")
+    return common.cut(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(update, _BLOCK))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

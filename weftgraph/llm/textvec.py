@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 _U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(BASE, -1, 1 << 64)
+INV = pow(BASE, -1, 1 << 64)
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -44,6 +44,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def is_word(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words."""
+    return _ALNUM[data]
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and the offsets of each; null reads as empty."""
     if texts.null_count:
@@ -95,7 +100,7 @@ class Words:
         """Hashes of the n words from each position; those that would leave the text are to be masked by ``inside``."""
         s = self.prefix() if s is None else s
         m = max(0, len(self.hash) - n + 1)
-        return mix((s[n : n + m] - s[:m]) * powers(_INV, m))
+        return mix((s[n : n + m] - s[:m]) * powers(INV, m))
 
     def inside(self, n: int) -> np.ndarray:
         """Which positions begin n words of one text."""
@@ -106,7 +111,7 @@ class Words:
 
 def run_hash(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Hash of the words i to j (exclusive) from prefix sums; equal words give equal hashes wherever they are."""
-    return mix((s[j] - s[i]) * powers(_INV, int(i.max()) + 1 if len(i) else 1)[i] + (j - i).astype(_U))
+    return mix((s[j] - s[i]) * powers(INV, int(i.max()) + 1 if len(i) else 1)[i] + (j - i).astype(_U))
 
 
 def words(texts: pa.Array) -> Words:
@@ -128,7 +133,7 @@ def words(texts: pa.Array) -> Words:
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     value = (low.astype(_U) + _U(1)) * powers(BASE, n)
     value[~is_word] = 0
-    h = np.add.reduceat(value, start) * powers(_INV, n)[start] if len(start) else np.empty(0, _U)
+    h = np.add.reduceat(value, start) * powers(INV, n)[start] if len(start) else np.empty(0, _U)
     bounds = np.searchsorted(start, off)
     base = np.repeat(off[:-1], np.diff(bounds))
     return Words(mix(h), start - base, end - base, bounds)

@@ -37,6 +37,9 @@ def test_canonical(spark):
         "HTTP://WWW.Ex.COM:80": "http://www.ex.com/",
         "https://a.b:443//x///Y?utm_source=f&q=1#top": "https://a.b/x/Y?q=1",
         "https://a.b/x?q=1&utm_medium=z": "https://a.b/x?q=1",
+        "https://a.b/x?utm_a=1&utm_b=2&c=3&utm_d=4&utm_e=5": "https://a.b/x?c=3",
+        "https://a.b/x?my_utm_source=a&b=1&autm_x=2": "https://a.b/x?my_utm_source=a&b=1&autm_x=2",
+        "https://a.b/x?utm_a=1": "https://a.b/x",
         "https://a.b/?": "https://a.b/",
         " Mailto:X@y ": "mailto:x@y",
         "": "",

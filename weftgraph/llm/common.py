@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read again; ``release`` deletes it."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(kept: DataFrame, *settled: DataFrame) -> None:
+    """Deletes the files of ``settled`` tables but for those that ``kept`` reads, and lets Spark drop shuffles that nothing refers to."""
+    spark = kept.sparkSession
+    still = set(kept.inputFiles())
+    for df in settled:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()} - {f.rpartition("/")[0] for f in still}:
+            delete(spark, folder)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder within the shared one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 

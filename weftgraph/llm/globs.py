@@ -7,6 +7,7 @@ Shift-And step moves every rule over one character. Steps are vectorised over al
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, textvec
 
 Rule = tuple[int, str, str]
 
@@ -130,7 +131,7 @@ def canonical(url: Column) -> Column:
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path = F.regexp_replace(F.regexp_extract(u, shape, 3), "//+", "/")
     path = F.when(path == "", F.lit("/")).otherwise(path)
-    query = F.regexp_replace(F.regexp_extract(u, shape, 4), r"utm_[a-z]+=[^&]*&?", "")
+    query = F.regexp_replace(F.regexp_extract(u, shape, 4), r"([?&])(?:utm_[a-z]+=[^&]*(?:&|$))+", "$1")
     query = F.regexp_replace(query, "[?&]+$", "")
     return F.when(F.regexp_like(u, F.lit(shape)), F.concat(scheme, F.lit("://"), host, path, query)).otherwise(F.lower(u))
 
@@ -150,8 +151,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] | None = None, *, url: s
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([str(i) for i in ids], object)
         for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
+            for part in (c.slice(at, batch) for c in textvec.chunks(whole, 1, 1 << 20) for at in range(0, c.num_rows, batch)):
                 urls = part.column(1).to_pylist()
                 found = machine.run([u or "" for u in urls])
                 found[[u is None for u in urls]] = False
@@ -175,7 +175,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _like(glob: str) -> str:
     special = {"%": "~%", "_": "~_", "~": "~~"}
-    return "".join("%" if s == "" else "_" if s is None else special.get(s, s) for s in parse_glob(glob))
+    parts = re.findall(r"\[(.)\]|(\*+)|(\?)|(.)", glob, re.DOTALL)
+    return "".join("%" if many else "_" if one else special.get(own or plain, own or plain) for own, many, one, plain in parts)
 
 
 def _oracle() -> str:
@@ -186,7 +187,7 @@ def _oracle() -> str:
 WITH rules(id, action, pat) AS (VALUES {rows}),
 t AS (SELECT page_id, row_number() OVER () AS k, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
 p AS (SELECT *, lower({part(1)}) AS sch, lower({part(2)}) AS h, regexp_replace({part(3)}, '//+', '/', 'g') AS pa,
-        regexp_replace(regexp_replace({part(4)}, 'utm_[a-z]+=[^&]*&?', '', 'g'), '[?&]+$', '') AS q FROM t),
+        rtrim(left({part(4)}, 1) || array_to_string(list_filter(string_split(substr({part(4)}, 2), '&'), x -> NOT regexp_full_match(x, 'utm_[a-z]+=(.|\n)*')), '&'), '?&') AS q FROM t),
 c AS (SELECT page_id, k, CASE WHEN regexp_matches(u, '{shape}') THEN
         sch || '://' || CASE sch WHEN 'http' THEN regexp_replace(h, ':80$', '') WHEN 'https' THEN regexp_replace(h, ':443$', '') ELSE h END
         || CASE WHEN pa = '' THEN '/' ELSE pa END || q ELSE lower(u) END AS url FROM p)

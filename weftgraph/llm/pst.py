@@ -35,6 +35,7 @@ from . import common, textvec
 BITS, SPAN = 18, 5
 SIZE, _MASK = 1 << BITS, (1 << BITS) - 1
 START, BYTE, FIRST, WORD = 0, 1, 257, 513  # a byte within a spelled word, its first byte, the commonest words
+PARTS = 4  # of the contexts, which the first round takes in turn, so that a fourth of what it sends is on disk at once
 LONGEST = 1 << 10  # symbols that a record may carry
 MOST = 1 << 21  # occurrences of a context that one task may hold
 _U = np.uint64
@@ -75,7 +76,7 @@ def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, start, end, np.searchsorted(off, start, side="right") - 1, h
 
 
-def symbols(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def symbols(texts: pa.Array, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, a START before each, and how many each has; ``known``: sorted hashes of the words that are symbols."""
     data, start, end, text, h = segments(texts)
     at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
@@ -84,7 +85,7 @@ def symbols(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     n = np.bincount(text, size, len(texts)).astype(np.int64)
     out = np.zeros(int(n.sum()) + len(texts), np.int32)
     place = np.cumsum(size) - size + text + 1
-    out[place[hit]] = WORD + at[hit]
+    out[place[hit]] = WORD + rank[at[hit]]
     s, e, to = start[~hit], end[~hit], place[~hit]
     inner = np.arange((e - s).sum()) - np.repeat(np.cumsum(e - s) - (e - s), e - s)
     out[np.repeat(to, e - s) + inner] = data[np.repeat(s, e - s) + inner].astype(np.int32) + np.where(inner == 0, FIRST, BYTE)
@@ -121,9 +122,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def dictionary(text: DataFrame, most: int) -> np.ndarray:
-    """Sorted hashes of the words and separators that occur more than c times, c the least number that leaves at most ``most``."""
-    counts = common.cut(text.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+def dictionary(text: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and ranks by frequency of the words and separators that occur c times or more, c the least number above 1 that leaves at most ``most``."""
+    counts = text.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = common.settle(counts.where("n > 1"), "words")
     # counts are told apart to about one part in 64, so that there are a few thousand levels at any size
     level = F.floor(F.log2(F.col("n").cast("double")) * 64)
     levels = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
@@ -134,9 +136,14 @@ def dictionary(text: DataFrame, most: int) -> np.ndarray:
             break
         least = r["level"]
     if least is None:
-        return np.empty(0, _U)
-    found = counts.where(level >= least).select("word").toArrow().column(0)
-    return np.sort(np.asarray(found.combine_chunks()).astype(np.int64).view(_U))
+        return np.empty(0, _U), np.empty(0, np.int32)
+    found = counts.where(level >= least).select("word", "n").toArrow().combine_chunks()
+    word, n = (np.asarray(c.combine_chunks()).astype(np.int64) for c in found.columns)
+    order = np.argsort(word.view(_U))
+    word, n = word[order].view(_U), n[order]
+    rank = np.empty(len(word), np.int32)
+    rank[np.argsort(-n, kind="stable")] = np.arange(len(word))
+    return word, rank
 
 
 @dataclass
@@ -160,6 +167,7 @@ class Open:
 class Records:
     """What a block sends in a round: distinct records in order of bucket, and which record each open position has."""
 
+    rows: np.ndarray  # the open positions that it is about
     bucket: np.ndarray
     group: np.ndarray  # hash of the context so far
     older: list[np.ndarray]  # the symbols before it, latest first; but for the first zeros where the context is too common
@@ -169,42 +177,53 @@ class Records:
     of: np.ndarray
 
 
-def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, buckets: int, most: int, weight: int) -> Records:
-    """``root``: occurrences of each symbol in the first round, where all contexts are empty and probabilities those of the root."""
+def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, buckets: int, most: int, weight: int, part: tuple[int, int] = (0, 1)) -> Records:
+    """``root``: occurrences of each symbol in the first round, where all contexts are empty and probabilities those of the root.
+
+    ``part``: (k, n), only those positions whose context is of the k-th of n parts.
+    """
     starts = np.flatnonzero(sym == START)
-    begin = starts[np.searchsorted(starts, state.at, side="right") - 1]
+    begin = starts[np.searchsorted(starts, state.at, side="right") - 1].astype(np.int64)
     end = state.at.astype(np.int64) - state.depth  # where the context so far begins
-    after = sym[state.at]
-
-    def older(j: int, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
-        i = end[rows] - 1 - j
-        return np.where(i > begin[rows], sym[np.maximum(i, 0)], START)
-
-    oldest = older(0)
     if root is not None:
-        deep, group = root[oldest] <= most, np.zeros(len(state.at), _U)
-        packed = [older(j).astype(_U) * deep for j in range(1, span)]
-        high, low = oldest.astype(_U), after.astype(_U)
-        for c in packed[: span // 2]:
-            high = (high << _U(BITS)) | c
-        for k, c in enumerate(packed[span // 2 :], 1):
-            low |= c << _U(k * BITS)
+        group = np.zeros(len(end), _U)
     else:
-        deep = state.n <= most
         sums = np.zeros(len(sym) + 1, _U)
         np.cumsum((sym.astype(_U) + _U(1)) * textvec.powers(textvec.BASE, len(sym)), dtype=_U, out=sums[1:])
         group = textvec.run_hash(sums, end, state.at.astype(np.int64))
-        high, low = textvec.run_hash(sums, np.maximum(begin, end - np.where(deep, span, 1)), np.maximum(begin, end)), after.astype(_U)
-    bucket = (textvec.mix(group ^ textvec.mix(oldest.astype(_U) + _U(1))) % _U(buckets)).astype(np.int64) * 2 + deep
-    order = np.lexsort((low, high, bucket) if root is not None else (low, high, group, bucket))
-    keys = [k[order] for k in (low, high, group, bucket)]
+    oldest = np.where(end - 1 > begin, sym[end - 1], START)
+    bucket = textvec.mix(group ^ textvec.mix(oldest.astype(_U) + _U(1)))
+    rows = np.flatnonzero((bucket >> _U(32)) % _U(part[1]) == _U(part[0])) if part[1] > 1 else np.arange(len(end))
+    begin, end, group, oldest, after = begin[rows], end[rows], group[rows], oldest[rows], sym[state.at[rows]]
+    deep = root[oldest] <= most if root is not None else state.n[rows] <= most
+    bucket = (bucket[rows] & _U(0xFFFFFFFF)) % _U(buckets) * _U(2) + deep
+
+    def older(j: int, these: np.ndarray | slice = slice(None)) -> np.ndarray:
+        i = end[these] - 1 - j
+        found = np.where(i > begin[these], sym[np.maximum(i, 0)], START)
+        return found if j == 0 else found * deep[these]
+
+    if root is not None:
+        high, low = oldest.astype(_U), after.astype(_U)
+        for j in range(1, 3):
+            high = (high << _U(BITS)) | older(j).astype(_U)
+        for j in range(3, span):
+            low |= older(j).astype(_U) << _U((j - 2) * BITS)
+        # one key to sort by: the latest symbols, and the rest of it shortened to what a word has left
+        key = np.where(deep, (high << _U(64 - 3 * BITS)) | (textvec.mix(low) >> _U(3 * BITS)), (oldest.astype(_U) << _U(BITS)) | low)
+    else:
+        sent = textvec.run_hash(sums, np.maximum(begin, end - np.where(deep, span, 1)), np.maximum(begin, end))
+        high, low = textvec.mix(group ^ textvec.mix(sent)), after.astype(_U)
+        key = (group & ~_U(0xFFFFFFFF)) | (textvec.mix(high ^ textvec.mix(low)) >> _U(32))
+    order = np.argsort(key)  # equal records that other ones come between, which shortened keys allow, are sent twice
+    order = order[np.argsort(bucket[order].astype(np.uint16), kind="stable")] if 2 * buckets < 1 << 16 else order[np.argsort(bucket[order], kind="stable")]
     fresh = np.ones(len(order), bool)
-    fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    fresh[1:] = np.any([k[1:] != k[:-1] for k in (high[order], low[order], bucket[order])], axis=0)
     first = np.flatnonzero(fresh)
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(fresh) - 1
-    rows = order[first]
-    return Records(bucket[rows], group[rows], [older(j, rows) * (deep[rows] if j else 1) for j in range(span)], after[rows], state.p[rows], np.diff(np.append(first, len(order))) * weight, of)
+    one = order[first]
+    return Records(rows, bucket[one].astype(np.int64), group[one], [older(j, one) for j in range(span)], after[one], state.p[rows[one]], np.diff(np.append(first, len(order))) * weight, of)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -284,7 +303,7 @@ def _pack_blocks(known, weight: int):
         part, at = TaskContext.get().partitionId(), 0
         for whole in batches:
             for b in textvec.chunks(whole, 1, 4 << 20):
-                sym, n = symbols(b.column(1), known.value)
+                sym, n = symbols(b.column(1), *known.value)
                 block = (weight << 62) | (part << 32) | at
                 at += 1
                 ids = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), b.column(0).cast(pa.int64()))
@@ -337,7 +356,7 @@ def score(
     blocks = learn.mapInArrow(_pack_blocks(known, 1), _BLOCK)
     if train is not None:
         blocks = blocks.union(slim(docs).mapInArrow(_pack_blocks(known, 0), _BLOCK))
-    blocks = common.cut(blocks)
+    blocks = common.settle(blocks, "blocks")
     counts = np.zeros(SIZE, np.int64)
     found = blocks.where("weight = 1").select("sym").mapInArrow(_symbol_counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()
     counts[np.asarray(found.column(0).combine_chunks()).astype(np.int64)] = np.asarray(found.column(1).combine_chunks()).astype(np.int64)
@@ -346,17 +365,18 @@ def score(
     root_p = ((tokens + 1) / (tokens.sum() + SIZE)).astype(np.float32)
     root = sc.broadcast((counts, root_p))
     total = left = int(tokens.sum()) if train is None else int(blocks.agg(F.sum("left")).first()[0] or 0)
-    done, span = [], SPAN
+    first, span = True, SPAN
     while left:
-        first = not done
         if not first:  # as long contexts as make a round no larger than the first
-            span = max(SPAN, min(LONGEST, SPAN * total // left))
-        blocks = _round(blocks, root, first, span, max(1, -(-2 * left * span // (most * SPAN))), most, critical, least, weight)
-        done.append(blocks.where("left = 0"))
-        blocks = blocks.where("left > 0")
-        left = int(blocks.agg(F.sum("left")).first()[0] or 0)
-    for b in done:
-        blocks = blocks.union(b)
+            span = max(SPAN, min(LONGEST, SPAN * total // (4 * left)))
+        parts = -(-PARTS * left // total)
+        found = []
+        for k in range(parts):
+            found.append(_answered(blocks, root, first, span, max(1, -(-2 * left * span // (most * SPAN * parts))), (k, parts), most, critical, least, weight))
+            common.release(blocks)
+        was, blocks = blocks, _updated(blocks, found)
+        left, first = int(blocks.agg(F.sum("left")).first()[0] or 0), False
+        common.release(blocks, was, *found)
     return (blocks if train is None else blocks.where("weight = 0")).select("ids", "n", "bits").mapInArrow(_results, "doc_id long, n_symbols long, bits_per_symbol double")
 
 
@@ -368,25 +388,23 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).flatten(), pa.array(n), pa.array(mean, mask=n == 0)], names=["doc_id", "n_symbols", "bits_per_symbol"])
 
 
-def _round(blocks: DataFrame, root, first: bool, span: int, buckets: int, most: int, critical: float, least: int, weight: float) -> DataFrame:
-    """Blocks with the positions that are still open after one more round, settled."""
+def _answered(blocks: DataFrame, root, first: bool, span: int, buckets: int, part: tuple[int, int], most: int, critical: float, least: int, weight: float) -> DataFrame:
+    """(block, bits, open) after a part of a round: what it adds to the bits of each text, and the positions that stay open."""
 
-    def sent(b: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, Open, Records]:
+    def sent(b: pa.RecordBatch | pa.Table, i: int) -> tuple[Open, Records]:
         counts, root_p = root.value
         (sym,) = unpack(b.column("sym")[i].as_py(), np.int32)
         state = _state(sym, b.column("open")[i].as_py(), root_p)
-        return sym, state, records(sym, state, counts if first else None, span, buckets, most, b.column("weight")[i].as_py())
+        return state, records(sym, state, counts if first else None, span, buckets, most, b.column("weight")[i].as_py(), part)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                if not b.column("left")[i].as_py():
-                    continue
-                r = sent(b, i)[2]
+                r = sent(b, i)[1]
                 edge = np.flatnonzero(np.diff(r.bucket, prepend=-1, append=-1))
                 blobs = []
                 for s, e in zip(edge[:-1], edge[1:], strict=True):
-                    known = () if first else (r.group[s:e], r.p[s:e])
+                    known = () if first else (np.diff(r.group[s:e], prepend=_U(0)), r.p[s:e])
                     blobs.append(pack(r.next[s:e], r.n[s:e].astype(np.uint32), *known, *(c[s:e] for c in r.older[: span if r.bucket[s] & 1 else 1])))
                 block = pa.array(np.full(len(blobs), b.column("block")[i].as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(r.bucket[edge[:-1]]), block, pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
@@ -395,34 +413,59 @@ def _round(blocks: DataFrame, root, first: bool, span: int, buckets: int, most:
         kinds = [np.int32, np.uint32, *(() if first else (_U, np.float32)), *[np.int32] * (span if t.column("bucket")[0].as_py() & 1 else 1)]
         parts = [unpack(blob, *kinds) for blob in t.column("blob").to_pylist()]
         ends = np.cumsum([len(x[0]) for x in parts])
-        after, n, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
+        if not first:
+            for x in parts:
+                x[2] = np.cumsum(x[2], dtype=_U)
+        columns = []
+        for k in range(len(kinds)):  # each is let go as soon as it is joined
+            columns.append(np.concatenate([x[k] for x in parts]))
+            for x in parts:
+                x[k] = None
+        after, n, *more = columns
         group, p, *older = (np.zeros(len(after), _U), root.value[1][after], *more) if first else more
+        del columns, more
         p, n = answers(group, older, after, p, n.astype(np.int64), critical, least, weight)
         blobs = [pack(p[s:e], n[s:e]) for s, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "answer": pa.array(blobs, pa.binary())})
 
-    def update(block: pa.Table, got: pa.Table) -> pa.Table:
+    def take(block: pa.Table, got: pa.Table) -> pa.Table:
+        names = ["block", "bits", "open"]
         if not got.num_rows:
-            return block
-        sym, state, r = sent(block, 0)
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=names)
+        state, r = sent(block, 0)
         parts = [unpack(x, np.float32, np.int64) for x in got.sort_by("bucket").column("answer").to_pylist()]
         p, n = (np.concatenate(x)[r.of] for x in zip(*parts, strict=True))
-        (size,), (bits,) = unpack(block.column("n")[0].as_py(), np.int64), unpack(block.column("bits")[0].as_py(), np.float64)
-        over = n == 0
-        text = np.searchsorted(np.cumsum(size + 1), state.at[over], side="right")
-        bits = bits - np.bincount(text, np.log2(p[over].astype(float)), len(size))
-        depth = state.depth + np.where(r.bucket[r.of] & 1, span, 1)
-        left = Open(state.at[~over], depth[~over], p[~over], n[~over])
-        open_, sym_ = (left.packed(), block.column("sym")[0].as_py()) if len(left.at) else (None, None)
-        return pa.table({
-            "block": block.column("block"), "weight": block.column("weight"), "ids": block.column("ids"), "n": block.column("n"), "bits": pa.array([pack(bits)], pa.binary()),
-            "sym": pa.array([sym_], pa.binary()), "open": pa.array([open_], pa.binary()), "left": pa.array([len(left.at)], pa.int64()),
-        })
-
-    replies = blocks.select("block", "weight", "sym", "open", "left").mapInArrow(send, "bucket long, block long, blob binary")
+        (size,) = unpack(block.column("n")[0].as_py(), np.int64)
+        at, over = state.at[r.rows], n == 0
+        text = np.searchsorted(np.cumsum(size + 1), at[over], side="right")
+        bits = -np.bincount(text, np.log2(p[over].astype(float)), len(size))
+        depth = state.depth[r.rows] + np.where(r.bucket[r.of] & 1, span, 1)
+        left = Open(at[~over], depth[~over], p[~over], n[~over])
+        return pa.table([block.column("block"), pa.array([pack(bits)], pa.binary()), pa.array([left.packed()], pa.binary())], names=names)
+
+    slim = blocks.where("left > 0").select("block", "weight", "sym", "open", "n")
+    replies = slim.mapInArrow(send, "bucket long, block long, blob binary")
     replies = replies.groupBy("bucket").applyInArrow(answer, "block long, bucket long, answer binary")
-    return common.cut(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(update, _BLOCK))
+    return common.settle(slim.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(take, "block long, bits binary, open binary"), "found")
+
+
+def _updated(blocks: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """Blocks after all parts of a round, settled; those without open positions need their symbols no more."""
+
+    def join(block: pa.Table, got: pa.Table) -> pa.Table:
+        bits = unpack(block.column("bits")[0].as_py(), np.float64)[0] + sum(unpack(b, np.float64)[0] for b in got.column("bits").to_pylist())
+        opens = [Open.of(b) for b in got.column("open").to_pylist()]
+        opens = Open(*(np.concatenate([getattr(o, f) for o in opens]) for f in ("at", "depth", "p", "n"))) if opens else None
+        left = len(opens.at) if opens else 0
+        made = {"bits": pack(bits), "sym": block.column("sym")[0].as_py() if left else None, "open": opens.packed() if left else None}
+        for name, value in made.items():
+            block = block.set_column(block.column_names.index(name), name, pa.array([value], pa.binary()))
+        return block.set_column(block.column_names.index("left"), "left", pa.array([left], pa.int64()))
+
+    every = found[0]
+    for f in found[1:]:
+        every = every.union(f)
+    return common.settle(blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(join, _BLOCK), "blocks")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ Files are read through pyarrow's file systems, so paths may be local, ``file://`
 
 from __future__ import annotations
 
+import base64
+import re
 import struct
 import uuid
 import zlib
@@ -30,15 +32,16 @@ from . import common
 
 SCHEMA = (
     "warc_type string, record_id string, target_uri string, warc_date string, content_type string, content_length long, "
-    "headers map<string,string>, http_status int, http_content_type string, payload string"
+    "headers map<string,string>, http_status int, http_content_type string, payload string, malformed string"
 )
 _ARROW = pa.schema([
     ("warc_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("content_type", pa.string()),
-    ("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("http_status", pa.int32()), ("http_content_type", pa.string()), ("payload", pa.string()),
+    ("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("http_status", pa.int32()), ("http_content_type", pa.string()), ("payload", pa.string()), ("malformed", pa.string()),
 ])
 _OF_RECORD = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "content_type": "content-type"}
 _HTTP = ("http_status", "http_content_type")
 _CHUNK = 1 << 20
+_CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]")
 
 
 def _test(f: Filter) -> Callable[[object], bool] | None:
@@ -92,14 +95,14 @@ class _Plain:
         self.src.skip(len(got))
         return got
 
-    def until(self, mark: bytes, most: int) -> bytes | None:
+    def until(self, mark: bytes) -> bytes | None:
         n = 4096
         while True:
             got = self.src.peek(n)
             if (i := got.find(mark)) >= 0:
                 self.src.skip(i + len(mark))
                 return got[: i + len(mark)]
-            if len(got) < n or n >= most:
+            if len(got) < n:
                 return None
             n *= 4
 
@@ -138,14 +141,14 @@ class _Gzip(_Plain):
         got, self.out = self.out[:n], self.out[n:]
         return got
 
-    def until(self, mark: bytes, most: int) -> bytes | None:
+    def until(self, mark: bytes) -> bytes | None:
         n = 1024
         while True:
             whole = not self.more(n)
             if (i := self.out.find(mark)) >= 0:
                 got, self.out = self.out[: i + len(mark)], self.out[i + len(mark) :]
                 return got
-            if whole or n >= most:
+            if whole:
                 return None
             n *= 4
 
@@ -171,26 +174,84 @@ def _headers(block: bytes) -> dict[str, str]:
     return found
 
 
-def records(file: pa.NativeFile, tests: dict[str, list[Callable[[object], bool]]], payload: bool, strict: bool) -> Iterator[tuple]:
-    """Rows of one file that meet ``tests`` (by column). A malformed record ends the file, or raises if ``strict``."""
+def _text(data: bytes, fields: dict[str, str]) -> str:
+    """A body without its transfer and content codings, decoded by its charset; what can't be undone stays as it is."""
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        out, at = [], 0
+        while (end := data.find(b"\r\n", at)) >= 0:
+            size = data[at:end].split(b";")[0].strip()
+            if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+                break
+            if not (n := int(size, 16)):
+                data = b"".join(out)
+                break
+            out.append(data[end + 2 : end + 2 + n])
+            at = end + 2 + n + 2
+    coding = fields.get("content-encoding", "").lower().strip()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for window in (47, -15):
+            try:
+                data = zlib.decompressobj(window).decompress(data)
+                break
+            except zlib.error:
+                continue
+    charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", fields.get("content-type", ""), re.IGNORECASE)
+    try:
+        return data.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return data.decode("utf-8", "replace")
+
+
+def _resume(src: _Input, begin: int) -> int:
+    """Where the next record after ``begin`` starts: a gzip member that inflates to a record, or a record's first line; else the end."""
+    at, held = begin + 1, 1 << 16
+    while at < src.size:
+        src.at = at
+        block = src.peek(held)
+        for m in re.finditer(rb"\x1f\x8b\x08|(?<=\r\n\r\n)WARC/\d", block):
+            if m[0][:1] == b"W":
+                return at + m.start()
+            src.at = at + m.start()
+            try:
+                if zlib.decompressobj(31).decompress(src.peek(1 << 12), 5) == b"WARC/":
+                    return at + m.start()
+            except zlib.error:
+                pass
+        if at + len(block) >= src.size:
+            break
+        at += max(1, len(block) - 16)
+    return src.size
+
+
+def records(file: pa.NativeFile, tests: dict[str, list[Callable[[object], bool]]], payload: bool, mode: str = "PERMISSIVE", wanted: dict[str, str] | None = None, name: str = "") -> Iterator[tuple]:
+    """Rows of one file that meet ``tests`` (by column) and have the WARC headers ``wanted``.
+
+    A malformed record is an error under FAILFAST, is passed over under DROPMALFORMED, and else is a row of nulls
+    but for ``malformed``; reading goes on with the next record.
+    """
     early = {c: t for c, t in tests.items() if c not in _HTTP}
     late = {c: t for c, t in tests.items() if c in _HTTP}
+    wanted = wanted or {}
     src = _Input(file)
     while src.at < src.size:
+        begin = src.at
         try:
             body = _Gzip(src) if src.peek(2) == b"\x1f\x8b" else _Plain(src)
-            head = body.until(b"\r\n\r\n", 1 << 24)
+            head = body.until(b"\r\n\r\n")
             if head is None or not head.startswith(b"WARC/"):
-                raise ValueError(f"no record at byte {body.begin}")
+                raise ValueError(f"no record at byte {begin}")
             fields = _headers(head)
             left = length = int(fields.get("content-length", "0"))
-            row: dict[str, object] = {c: fields.get(name) for c, name in _OF_RECORD.items()} | {"content_length": length}
-            keep = all(t(row[c]) for c, ts in early.items() for t in ts)
+            if length < 0:
+                raise ValueError(f"a negative length in the record at byte {begin}")
+            row: dict[str, object] = {c: fields.get(name) for c, name in _OF_RECORD.items()} | {"content_length": length, "malformed": None}
+            keep = all(fields.get(h) == v for h, v in wanted.items()) and all(t(row[c]) for c, ts in early.items() for t in ts)
             status = kind = text = None
+            http_fields: dict[str, str] = {}
             if keep and (payload or late) and (row["content_type"] or "").startswith("application/http"):
-                http = body.until(b"\r\n\r\n", 1 << 24)
-                if http is None:
-                    raise ValueError(f"no HTTP header in the record at byte {body.begin}")
+                http = body.until(b"\r\n\r\n")
+                if http is None or len(http) > left:
+                    raise ValueError(f"no HTTP header in the record at byte {begin}")
                 left -= len(http)
                 http_fields = _headers(http)
                 first = http.split(b"\r\n", 1)[0].split()
@@ -200,15 +261,19 @@ def records(file: pa.NativeFile, tests: dict[str, list[Callable[[object], bool]]
             if keep and payload:
                 data = body.take(left)
                 if len(data) < left:
-                    raise EOFError(f"the record at byte {body.begin} ends early")
-                left, text = 0, data.decode("utf-8", "replace")
+                    raise EOFError(f"the record at byte {begin} ends early")
+                left, text = 0, _text(data, http_fields)
             body.finish(left)
-        except (ValueError, EOFError, zlib.error):
-            if strict:
+        except (ValueError, EOFError, zlib.error) as error:
+            if mode == "FAILFAST":
                 raise
-            return
+            src.at = _resume(src, begin)
+            reason = f"{name}: {error}"
+            if mode == "PERMISSIVE" and not wanted and all(t(reason if c == "malformed" else None) for c, ts in tests.items() for t in ts):
+                yield (*[None] * (len(_ARROW) - 1), reason)
+            continue
         if keep:
-            yield (*(row[c] for c in _OF_RECORD), length, list(fields.items()), status, kind, text)
+            yield (*(row[c] for c in _OF_RECORD), length, list(fields.items()), status, kind, text, None)
 
 
 @dataclass
@@ -224,12 +289,13 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
-        self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        self.mode = options.get("mode", "PERMISSIVE").upper()
+        self.wanted = {k[7:]: v for k, v in options.items() if k.startswith("header.")}
         self.most = int(options.get("maxpartitionbytes", 64 << 20))
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        columns = {*_OF_RECORD, "content_length", *_HTTP}
+        columns = {*_OF_RECORD, "content_length", "malformed", *_HTTP}
         for f in filters:
             if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in columns and _test(f):
                 self.filters.append(f)
@@ -257,9 +323,9 @@ class _Reader(DataSourceReader):
         held = 0
         for path in partition.paths:
             with system.open_input_file(path) as file:
-                for row in records(file, tests, self.payload, self.strict):
+                for row in records(file, tests, self.payload, self.mode, self.wanted, path):
                     rows.append(row)
-                    held += 256 + len(row[-1] or "")
+                    held += 256 + len(row[-2] or "")
                     if held > 8 << 20:
                         yield _batch(rows)
                         rows, held = [], 0
@@ -272,12 +338,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(path)``; options payload (true), mode (PERMISSIVE or FAILFAST), maxPartitionBytes.
+    """``spark.read.format("warc").load(path)``; options payload (true), mode (PERMISSIVE, DROPMALFORMED or FAILFAST),
+    maxPartitionBytes, and ``header.NAME``: the value that a record's WARC header must have, judged before its payload.
 
     Defined cases: a folder without WARC files gives no rows; headers that a record lacks are null; a
-    record of length 0 has the payload ""; bytes that are no UTF-8 read as U+FFFD; what follows a
-    malformed or truncated record in its file is left out (FAILFAST: an error); with payload=false the
-    payload is null, and HTTP fields are null unless a filter asks for them.
+    record of length 0 has the payload ""; chunked, gzip and deflate bodies are undone and read by their charset, UTF-8
+    by default, bytes that don't fit as U+FFFD; a malformed or truncated record gives a row of nulls whose column
+    ``malformed`` tells its file and place (DROPMALFORMED: none; FAILFAST: an error), and reading goes on with the next
+    record; with payload=false the payload is null, and HTTP fields are null unless a filter asks for them.
     """
 
     @classmethod
@@ -318,7 +386,9 @@ def record(kind: str, uri: str | None, body: bytes, content_type: str, key: str,
 def write_warc(pages: DataFrame, path: str) -> int:
     """Writes every page as request, response and metadata records, one file a partition; returns the number of pages.
 
-    A file gets its name only when complete, so that a task that is run again replaces its own output.
+    A file gets its name only when complete, so that a task that is run again replaces its own output. A null id has
+    no header. Of a URL that a header can't hold as it is (control characters, outer blanks), its UTF-8 bytes follow
+    in base 64 in the header X-Page-Url.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,10 +403,13 @@ def write_warc(pages: DataFrame, path: str) -> int:
             for batch in batches:
                 for i, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     payload, key = (html or "").encode("utf-8", "replace"), str(i)
+                    own = {} if i is None else {"X_Page_Id": key}
+                    if url is not None and (url != url.strip() or _CONTROL.search(url)):
+                        own["X_Page_Url"] = base64.b64encode(url.encode("utf-8", "replace")).decode()
                     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-                    out.write(member(record("request", url, f"GET {url or '/'} HTTP/1.1\r\n\r\n".encode("utf-8", "replace"), "application/http; msgtype=request", key, X_Page_Id=key)))
-                    out.write(member(record("response", url, http + payload, "application/http; msgtype=response", key, X_Page_Id=key)))
-                    out.write(member(record("metadata", url, b"fetchTimeMs: 1\r\n", "application/warc-fields", key, X_Page_Id=key)))
+                    out.write(member(record("request", url, f"GET {_CONTROL.sub('', url or '/')} HTTP/1.1\r\n\r\n".encode("utf-8", "replace"), "application/http; msgtype=request", key, **own)))
+                    out.write(member(record("response", url, http + payload, "application/http; msgtype=response", key, **own)))
+                    out.write(member(record("metadata", url, b"fetchTimeMs: 1\r\n", "application/warc-fields", key, **own)))
                     n += 1
         system.delete_file(name) if system.get_file_info(name).is_file else None
         system.move(part, name)
@@ -349,13 +422,17 @@ def write_warc(pages: DataFrame, path: str) -> int:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, written as WARC files in the shared folder and read back by record type and header."""
+    """All pages, written as WARC files in the shared folder and read back by record type and header.
+
+    Rows with null ids, null URLs and any URL come back as they are; null HTML comes back as empty.
+    """
     path = common.fresh_path(spark, "warc")
     write_warc(common.table(spark, sf_dir, "pages"), path)
     found = read_warc(spark, path).where(
         (F.col("warc_type") == "response") & F.col("content_type").startswith("application/http") & F.col("http_content_type").startswith("text/html")
     )
-    return found.select(F.col("headers")["x-page-id"].cast("long").alias("page_id"), F.col("target_uri").alias("url"), "http_status", F.col("payload").alias("html"))
+    url = F.coalesce(F.unbase64(F.col("headers")["x-page-url"]).cast("string"), F.col("target_uri"))
+    return found.select(F.col("headers")["x-page-id"].try_cast("long").alias("page_id"), url.alias("url"), "http_status", F.col("payload").alias("html"))
 
 
 QUERIES = {"op7_warc": op7_warc}

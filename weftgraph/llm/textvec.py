@@ -114,6 +114,25 @@ def run_hash(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return mix((s[j] - s[i]) * powers(INV, int(i.max()) + 1 if len(i) else 1)[i] + (j - i).astype(_U))
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z and À-Þ in lower case."""
+    low = _FOLD[data]
+    upper = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3) & (data[1:] != 0x97)) + 1
+    low[upper] += 0x20
+    return low
+
+
+def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal runs of marked bytes; none goes on from one text to the next."""
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    first, last = edge[:-1] == 1, edge[1:] == -1
+    begins = off[:-1][np.diff(off) > 0]
+    first[begins] = inside[begins]
+    inner = begins[begins > 0]
+    last[inner - 1] = inside[inner - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def words(texts: pa.Array) -> Words:
     data, off = text_bytes(texts)
     n = len(data)
@@ -121,16 +140,8 @@ def words(texts: pa.Array) -> Words:
         none = np.empty(0, np.int64)
         return Words(np.empty(0, _U), none, none, np.zeros(len(texts) + 1, np.int64))
     is_word = _ALNUM[data]
-    low = _FOLD[data]
-    upper = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3) & (data[1:] != 0x97)) + 1
-    low[upper] += 0x20
-    edge = np.diff(is_word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    first, last = edge[:-1] == 1, edge[1:] == -1
-    begins = off[:-1][np.diff(off) > 0]
-    first[begins] = is_word[begins]
-    inner = begins[begins > 0]
-    last[inner - 1] = is_word[inner - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    low = folded(data)
+    start, end = runs(is_word, off)
     value = (low.astype(_U) + _U(1)) * powers(BASE, n)
     value[~is_word] = 0
     h = np.add.reduceat(value, start) * powers(INV, n)[start] if len(start) else np.empty(0, _U)

@@ -9,13 +9,13 @@ punctuation and obfuscation), the third calibrates their scores. Every document
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, textvec
@@ -40,35 +40,146 @@ def terms(token: str) -> tuple[str, str]:
     return word, plain if plain != word else ""
 
 
-def _stems(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}*" for k in range(4, min(8, len(word))))]
+_U = np.uint64
+_PREFIX = _U(0x5851F42D4C957F2D)
+PREFIXES = range(4, 8)
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+_JOINS = np.zeros(256, bool)
+_JOINS[[*b"'-_"]] = True
 
 
-class Lexicon(dict):
-    """Token to (weight, second person, disguised, shouted), or False for a token that is none of it; filled on demand."""
+class Lexicon:
+    """Weights of words and of word beginnings of 4 to 7 bytes, by their hashes."""
 
-    def __init__(self, weights: dict[str, float], most: int = 200_000):
-        super().__init__()
-        self.weights, self.most = weights, most
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.weights = hashes[order], np.asarray(weights, float)[order]
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(self.hashes >> _U(44)).astype(np.int64)] = True
 
-    def __reduce__(self):
-        return Lexicon, (self.weights, self.most)
+    @classmethod
+    def of(cls, weights: dict[str, float]) -> Lexicon:
+        """From words, and beginnings of words that end in ``*``."""
+        return cls(np.array([_hash_of(t) for t in weights], _U), np.array(list(weights.values())))
 
-    def __missing__(self, token: str):
-        if len(self) > self.most:
-            self.clear()
-        word, plain = terms(token)
-        get = self.weights.get
-        weight = max((get(t, 0.0) for w in (word, plain) if w for t in _stems(w)), default=0.0)
-        flags = (weight, word in SECOND_PERSON, bool(plain) and not word.isdigit(), len(word) > 2 and token.isupper())
-        self[token] = found = flags if any(flags) else False
-        return found
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h))
+        maybe = np.flatnonzero(self.sieve[(h >> _U(44)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+            hit = self.hashes[at] == h[maybe]
+            out[maybe[hit]] = self.weights[at[hit]]
+        return out
+
+
+class _Spans:
+    """Hashes of byte ranges, equal for equal bytes."""
+
+    def __init__(self, low: np.ndarray):
+        self.sums = np.zeros(len(low) + 1, _U)
+        np.cumsum((low.astype(_U) + _U(1)) * textvec.powers(textvec.BASE, len(low)), dtype=_U, out=self.sums[1:])
+        self.inverse = textvec.powers(textvec.INV, len(low) + 1)
+
+    def _raw(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return (self.sums[e] - self.sums[s]) * self.inverse[s]
+
+    def terms(self, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:
+        """(which, hashes): of the words, then of their beginnings, where these are shorter."""
+        yield slice(None), textvec.mix(self._raw(s, e))
+        for k in PREFIXES:
+            which = np.flatnonzero(e - s > k)
+            yield which, textvec.mix(self._raw(s[which], s[which] + k) ^ _PREFIX)
+
+
+def _hash_of(term: str) -> int:
+    raw = np.frombuffer(term.rstrip("*").encode(), np.uint8)
+    h = _Spans(textvec.folded(raw))._raw(np.array([0]), np.array([len(raw)]))
+    return int(textvec.mix(h ^ _PREFIX if term.endswith("*") else h)[0])
+
+
+@dataclass
+class Tokens:
+    """What stands between ASCII spaces, text by text, with its bare word and that word with disguises undone."""
+
+    data: np.ndarray
+    off: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray  # which tokens have a word
+    start: np.ndarray  # of those: the word's bytes
+    end: np.ndarray
+    shouted: np.ndarray
+    spans: _Spans
+    hidden: np.ndarray  # which of the words are disguised
+    plain: np.ndarray  # and which plain word each has
+    plains: _Spans
+    plain_start: np.ndarray
+    plain_end: np.ndarray
+    digits: np.ndarray  # of the hidden: whether all of it is digits
+
+
+def tokens(texts: pa.Array) -> Tokens:
+    data, off = textvec.text_bytes(texts)
+    n = len(data)
+    begin, stop = textvec.runs(~_SPACE[data], off) if n else (np.empty(0, np.int64), np.empty(0, np.int64))
+    inside = textvec.is_word(data)
+    for k in (1, 2):  # general punctuation, and the signs of Latin-1, are no letters
+        lead = np.flatnonzero((data[:-1] == 0xE2) & ((data[1:] == 0x80) | (data[1:] == 0x81)) if k == 2 else (data[:-1] == 0xC2) & (data[1:] < 0xC0))
+        for j in range(k + 1):
+            inside[np.minimum(lead + j, n - 1)] = False
+
+    def count(hit: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(hit)])
+
+    upto, places = count(inside), np.flatnonzero(inside)
+    word = np.flatnonzero(upto[stop] > upto[begin])
+    b, t = begin[word], stop[word]
+    start, end = places[upto[b]], places[upto[t] - 1] + 1
+    low = textvec.folded(data)
+    upper, lower, digit = low != data, (data >= 97) & (data <= 122), (data >= 48) & (data <= 57)
+    small = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] != 0xB7)) + 1
+    lower[small] = True
+    ups, lows, digits = count(upper), count(lower), count(digit)
+    shouted = (end - start > 2) & (ups[t] > ups[b]) & (lows[t] == lows[b])
+    same = np.zeros(n, bool)
+    if n > 2:
+        same[:-2] = (low[2:] == low[:-2]) & (low[1:-1] == low[:-2])
+    for k, lead in ((2, 0xC0), (3, 0xE0), (4, 0xF0)):  # a character of k bytes three times over
+        at = np.flatnonzero((data[: max(0, n - 3 * k + 1)] >= lead) & (data[: max(0, n - 3 * k + 1)] < lead + (0x20 if k == 2 else 0x10)))
+        for j in range(2 * k):
+            at = at[low[at + j] == low[at + j + k]]
+        same[at] = True
+    odd, runs = count(~inside & ~_JOINS[data]), count(same)
+    numbers = digits[end] - digits[start]
+    maybe = np.flatnonzero((odd[end] > odd[start]) | ((numbers > 0) & (numbers < end - start)) | (runs[end] > runs[start]))
+    seen: dict[bytes, str] = {}
+    hidden, plain, distinct = [], [], {}
+    raw = data.tobytes()
+    for k, i, j in zip(maybe.tolist(), b[maybe].tolist(), t[maybe].tolist(), strict=True):
+        token = raw[i:j]
+        p = seen.get(token)
+        if p is None:
+            p = seen[token] = terms(token.decode("utf-8", "replace"))[1]
+        if p:
+            hidden.append(k)
+            plain.append(distinct.setdefault(p, len(distinct)))
+    names, bounds = textvec.text_bytes(pa.array(list(distinct), pa.string()))
+    at = np.array(hidden, np.int64)
+    return Tokens(
+        data, off, np.searchsorted(off, begin, side="right") - 1, word, start, end, shouted, _Spans(low), at, np.array(plain, np.int64),
+        _Spans(textvec.folded(names)), bounds[:-1], bounds[1:], numbers[at] == (end - start)[at],
+    )
 
 
 def dense(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     """Features of every text, in the order of FEATURES; those of null and empty texts are 0."""
-    out = np.zeros((len(texts), len(FEATURES)))
-    data, off = textvec.text_bytes(texts)
+    t = tokens(texts)
+    many = len(texts)
+    out = np.zeros((many, len(FEATURES)))
+    data, off = t.data, t.off
     size = np.maximum(np.diff(off), 1)
     for k, hit in (
         (10, (data >= 65) & (data <= 90)),
@@ -78,35 +189,55 @@ def dense(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     ):
         sums = np.concatenate([[0], np.cumsum(hit)])
         out[:, k] = (sums[off[1:]] - sums[off[:-1]]) / size
-    of = lexicon.__getitem__
-    for row, text in zip(out, texts.to_pylist(), strict=True):
-        tokens = (text or "").split()
-        if not tokens:
-            continue
-        n = len(tokens)
-        row[0] = np.log1p(n)
-        hits = [(i, f) for i, f in enumerate(map(of, tokens)) if f]
-        if not hits:
-            continue
-        weights = sorted((f[0] for _, f in hits if f[0]), reverse=True)
-        strong = [(i, f) for i, f in hits if f[0] >= STRONG]
-        you = [i for i, f in hits if f[1]]
-        near = _near([i for i, _ in strong], you)
-        row[1:10] = (
-            len(strong) / n, sum(weights) / n, weights[0] if weights else 0, len(strong), near / n, near,
-            sum(f[2] for _, f in hits) / n, sum(f[2] for _, f in strong), sum(f[3] for _, f in hits) / n,
-        )
-        row[14] = sum(weights[:2])
+    if not len(t.doc):
+        return out
+    n = np.bincount(t.doc, minlength=many)
+    share = 1 / np.maximum(n, 1)
+    out[:, 0] = np.log1p(n)
+    weight, you = np.zeros(len(t.word)), np.zeros(len(t.word), bool)
+    for which, h in t.spans.terms(t.start, t.end):
+        if isinstance(which, slice):
+            you = _YOU(h) > 0
+        weight[which] = np.maximum(weight[which], lexicon(h))
+    bare = np.zeros(len(t.plain_start))
+    for which, h in t.plains.terms(t.plain_start, t.plain_end):
+        bare[which] = np.maximum(bare[which], lexicon(h))
+    weight[t.hidden] = np.maximum(weight[t.hidden], bare[t.plain])
+    disguised = np.zeros(len(t.word), bool)
+    disguised[t.hidden] = ~t.digits
+    doc = t.doc[t.word]
+    strong, hit = weight >= STRONG, weight > 0
+
+    def total(rows: np.ndarray, value: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(doc[rows], None if value is None else value[rows], many)
+
+    place = t.word + doc * (NEAR + 1)  # words of different texts are never near
+    near = np.zeros(len(doc), bool)
+    near[strong] = _near(place[strong], place[you])
+    for k, column in (
+        (1, total(strong) * share), (2, total(hit, weight) * share), (4, total(strong)), (5, total(near) * share), (6, total(near)),
+        (7, total(disguised) * share), (8, total(disguised & strong)), (9, total(t.shouted) * share),
+    ):
+        out[:, k] = column
+    rows = np.flatnonzero(hit)
+    rows = rows[np.lexsort((-weight[rows], doc[rows]))]
+    first = np.concatenate([[True], doc[rows][1:] != doc[rows][:-1]]) if len(rows) else np.empty(0, bool)
+    second = np.concatenate([[False], first[:-1] & ~first[1:]]) if len(rows) else first
+    out[doc[rows[first]], 3] = weight[rows[first]]
+    out[:, 14] = out[:, 3]
+    out[doc[rows[second]], 14] += weight[rows[second]]
     return out
 
 
-def _near(places: list[int], you: list[int]) -> int:
-    if not places or not you:
-        return 0
-    p, y = np.array(places), np.array(you)
-    at = np.searchsorted(y, p)
-    left, right = y[np.maximum(at - 1, 0)], y[np.minimum(at, len(y) - 1)]
-    return int((np.minimum(np.abs(p - left), np.abs(right - p)) <= NEAR).sum())
+def _near(places: np.ndarray, you: np.ndarray) -> np.ndarray:
+    if not len(places) or not len(you):
+        return np.zeros(len(places), bool)
+    at = np.searchsorted(you, places)
+    left, right = you[np.maximum(at - 1, 0)], you[np.minimum(at, len(you) - 1)]
+    return np.minimum(np.abs(places - left), np.abs(right - places)) <= NEAR
+
+
+_YOU = Lexicon.of(dict.fromkeys(sorted(SECOND_PERSON), 1.0))
 
 
 class Trees:
@@ -115,12 +246,13 @@ class Trees:
     def __init__(self, n_trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, penalty: float = 1.0):
         self.n_trees, self.depth, self.rate, self.bins, self.penalty = n_trees, depth, rate, bins, penalty
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
+        w = np.ones(len(y)) if weight is None else weight
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         # rare but telling values are beyond all quantiles: the least value above the lowest cut is a cut too
         self.cuts = [np.unique(np.append(q, [(q[0] + v.min()) / 2])) if len(v := c[c > q[0]]) else q for q, c in zip(self.cuts, x.T, strict=True)]
         binned = np.stack([np.searchsorted(q, c) for q, c in zip(self.cuts, x.T, strict=True)], 1)
-        p = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+        p = np.clip(np.average(y, weights=w), 1e-6, 1 - 1e-6)
         self.base = np.log(p / (1 - p))
         score = np.full(len(y), self.base)
         wide = max(len(q) for q in self.cuts) + 1
@@ -130,7 +262,7 @@ class Trees:
         self.leaf = np.zeros((self.n_trees, inner + 1))
         for t in range(self.n_trees):
             prob = 1 / (1 + np.exp(-score))
-            g, h = y - prob, prob * (1 - prob)
+            g, h = w * (y - prob), w * prob * (1 - prob)
             node = np.zeros(len(y), np.int64)
             for level in range(self.depth):
                 first, n = 2**level - 1, 2**level
@@ -165,12 +297,13 @@ class Trees:
         return total
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators: (scores, probabilities) to interpolate between, both non-decreasing."""
     order = np.argsort(score, kind="stable")
-    level: list[list[float]] = []  # sum of labels, count, lowest and highest score
-    for s, v in zip(score[order], y[order], strict=True):
-        level.append([v, 1, s, s])
+    w = np.ones(len(y)) if weight is None else weight
+    level: list[list[float]] = []  # sum of labels, of weights, lowest and highest score
+    for s, v, n in zip(score[order], (w * y)[order], w[order], strict=True):
+        level.append([v, n, s, s])
         while len(level) > 1 and level[-2][0] * level[-1][1] >= level[-1][0] * level[-2][1]:
             v, n, _, high = level.pop()
             level[-1][0] += v
@@ -188,41 +321,61 @@ class Model:
     prob: np.ndarray
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        return np.interp(self.trees.score(dense(texts, self.lexicon)), self.at, self.prob)
+        x = dense(texts, self.lexicon)
+        return np.where(x[:, 0] > 0, np.interp(self.trees.score(x), self.at, self.prob), 0.0)
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: tuple[Counter, Counter] = Counter(), Counter()
-    for batch in batches:
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = {t for token in set((text or "").split()) for w in terms(token) if w for t in _stems(w)}
-            seen[toxic > 0].update(found)
-            seen[toxic > 0][""] += 1
-    keys = list(seen[0].keys() | seen[1].keys())
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([seen[k][t] for t in keys], pa.int64()) for k in (1, 0))], names=["term", "toxic", "clean"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, least_docs: int = 4, most_terms: int = 4_000, seed: int = 11) -> Model | None:
-    """A model from at most ``sample`` labelled documents (those with the least hashes of their ids).
-
-    ``least_docs``: toxic documents that a term of the lexicon is in; ``most_terms``: the lexicon's bound,
-    by significance. None if either class is missing from a part of the sample.
+    """(term, toxic, clean): how many texts of either class hold a term, by its hash."""
+    for whole in batches:
+        for b in textvec.chunks(whole, 1):
+            t = tokens(b.column(1))
+            doc = t.doc[t.word]
+            found = [(doc[which], h) for which, h in t.spans.terms(t.start, t.end)]
+            found += [(doc[t.hidden], h[t.plain]) if isinstance(which, slice) else (doc[t.hidden][hit := np.isin(t.plain, which)], h[np.searchsorted(which, t.plain[hit])]) for which, h in t.plains.terms(t.plain_start, t.plain_end)]
+            d, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((d, h))
+            d, h = d[order], h[order]
+            once = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])]) if len(d) else np.empty(0, bool)
+            d, h = d[once], h[once]
+            toxic = np.asarray(b.column(0))[d] > 0
+            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+            many = np.diff(np.append(head, len(h)))
+            bad = np.add.reduceat(toxic.astype(np.int64), head) if len(head) else many
+            yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(bad), pa.array(many - bad)], names=["term", "toxic", "clean"])
+
+
+#: Parts of the labelled rows by rank within their class: below 5 for the lexicon, 5 to 7 for the trees, 8 and 9 for calibration.
+_FOLDS = (0, 5, 8, 1, 6, 2, 9, 3, 7, 4)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, least_docs: int = 4, seed: int = 11) -> Model | None:
+    """A model from at most ``sample`` labelled documents: half of it from each class, more from one where the other has fewer.
+
+    Within a class those with the least hashes of their ids are drawn; weights restore the classes' true shares.
+    ``least_docs``: toxic documents that a term of the lexicon is in. None if a class has fewer than three documents.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id"))
     known = known.agg((F.max("toxic") > 0).cast("int").alias("toxic")).join(docs.select(F.col("doc_id").cast("long").alias("id")).distinct(), "id", "left_semi")
-    drawn = F.xxhash64("id", F.lit(seed))
-    chosen = known.orderBy(drawn, "id").limit(sample).select("id", "toxic", (F.pmod(F.xxhash64(drawn), F.lit(10))).alias("fold"))
+    known = common.cut(known.withColumn("drawn", F.xxhash64("id", F.lit(seed))))
+    there = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if min(there.get(0, 0), there.get(1, 0)) < 3:
+        return None
+    take = {c: min(there[c], max(sample // 2, sample - there[1 - c])) for c in (0, 1)}
+    chosen = known.where("toxic = 1").orderBy("drawn", "id").limit(take[1]).union(known.where("toxic = 0").orderBy("drawn", "id").limit(take[0]))
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("drawn", "id")) - 1  # of at most ``sample`` rows
+    chosen = chosen.select("id", "toxic", F.element_at(F.array(*map(F.lit, _FOLDS)), (rank % 10 + 1)).alias("fold"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = common.cut(texts.join(F.broadcast(chosen), "id").select("toxic", "text", "fold"))  # bounded by ``sample``
-    counts = rows.where("fold < 5").select("toxic", "text").mapInArrow(_term_counts, "term string, toxic long, clean long")
+    whole = rows.where("fold < 5").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).first()
+    counts = rows.where("fold < 5").select("toxic", "text").mapInArrow(_term_counts, "term long, toxic long, clean long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    whole = counts.where("term = ''").first()
-    if whole is None or not whole["toxic"] or not whole["clean"]:
-        return None
     odds = F.log((F.col("toxic") + 0.5) / (whole["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (whole["clean"] + 1))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    found = counts.where((F.col("term") != "") & (F.col("toxic") >= least_docs)).select("term", odds.alias("w"), (odds / error).alias("z")).where("z > 3 AND w > 1")
-    lexicon = Lexicon({r.term: round(r.w, 4) for r in found.orderBy(F.desc("z"), "term").limit(most_terms).collect()})
+    found = counts.where(F.col("toxic") >= least_docs).select("term", odds.alias("w"), (odds / error).alias("z")).where("z > 3 AND w > 1")
+    # bounded by the sample: a term is in ``least_docs`` of its texts or more
+    found = found.select("term", F.round("w", 4).alias("w")).toArrow().combine_chunks()
+    lexicon = Lexicon(np.asarray(found.column(0).combine_chunks()).astype(np.int64).view(_U), np.asarray(found.column(1).combine_chunks()))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -230,24 +383,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, least_docs:
                 x = dense(b.column(1), lexicon)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["toxic", "fold", "x"])
 
-    rest = rows.where("fold >= 5").select("toxic", "text", "fold").mapInArrow(featurize, "toxic int, fold long, x array<double>").toArrow()
+    rest = rows.where("fold >= 5").select("toxic", "text", "fold").mapInArrow(featurize, "toxic int, fold int, x array<double>").toArrow()
     y, fold = np.asarray(rest.column(0)).astype(float), np.asarray(rest.column(1))
     x = np.asarray(rest.column(2).combine_chunks().flatten()).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, y, fold))  # the order of rows plays no part
     x, y, fold = x[order], y[order], fold[order]
+    weight = np.where(y > 0, there[1] / take[1], there[0] / take[0])
     train, check = fold < 8, fold >= 8
-    if min((len(set(y[part])) for part in (train, check)), default=0) < 2:
-        return None
-    trees = Trees().fit(x[train], y[train])
-    return Model(lexicon, trees, *isotonic(trees.score(x[check]), y[check]))
+    trees = Trees().fit(x[train], y[train], weight[train])
+    return Model(lexicon, trees, *isotonic(trees.score(x[check]), y[check], weight[check]))
 
 
 def score(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **how: int) -> DataFrame:
     """(doc_id, toxicity, toxic) of every document: calibrated probability, and whether it is ``least`` or more.
 
     Defined cases: null, empty and blank texts score 0 and aren't toxic; labels with a null id or value
-    don't count, of repeated ones a toxic one wins; without labels of both classes toxicity is null and
-    nothing toxic; null ids and repeated rows are scored as rows of their own; other columns play no
+    don't count, of repeated ones a toxic one wins; with fewer than three labelled documents of a class toxicity is null
+    and nothing toxic; null ids and repeated rows are scored as rows of their own; other columns play no
     part; an empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
@@ -259,10 +411,9 @@ def score(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **how: int)
                 if model.value is None:
                     p = pa.nulls(len(texts), pa.float64())
                 else:
-                    blank = np.array([not (t or "").strip() for t in texts.to_pylist()])
-                    p = pa.array(np.round(np.where(blank, 0.0, model.value(texts)), 4))
-                toxic = [v is not None and v >= least for v in p.to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), p, pa.array(toxic)], names=["doc_id", "toxicity", "toxic"])
+                    p = pa.array(np.round(model.value(texts), 4))
+                toxic = pc.fill_null(pc.greater_equal(p, least), False)
+                yield pa.RecordBatch.from_arrays([b.column(0), p, toxic], names=["doc_id", "toxicity", "toxic"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, toxicity double, toxic boolean")
@@ -278,8 +429,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **how:
             return pa.array(np.ones(len(texts), bool))
         kept = [np.empty(0, bool)]
         for b in textvec.chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
-            blank = [not (t or "").strip() for t in b.column(0).to_pylist()]
-            kept.append((model.value(b.column(0)) < least) | blank)
+            kept.append(np.round(model.value(b.column(0)), 4) < least)
         return pa.array(np.concatenate(kept))
 
     return docs.where(clean(F.col("text").cast("string")))

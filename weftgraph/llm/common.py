@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,8 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def settle(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again; ``release`` deletes it."""
-    path = fresh_path(df.sparkSession, what)
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # nothing reads the shuffles of a written table again
     df.write.option("compression", "zstd").parquet(path)
+    spark.conf.set(_CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,7 @@ from . import common, textvec
 BITS, SPAN = 18, 5
 SIZE, _MASK = 1 << BITS, (1 << BITS) - 1
 START, BYTE, FIRST, WORD = 0, 1, 257, 513  # a byte within a spelled word, its first byte, the commonest words
-PARTS = 4  # of the contexts, which the first round takes in turn, so that a fourth of what it sends is on disk at once
+PARTS = 3  # of the contexts, which the first round takes in turn, so that a third of what it sends is on disk at once
 LONGEST = 1 << 10  # symbols that a record may carry
 MOST = 1 << 21  # occurrences of a context that one task may hold
 _U = np.uint64
@@ -177,26 +177,32 @@ class Records:
     of: np.ndarray
 
 
-def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, buckets: int, most: int, weight: int, part: tuple[int, int] = (0, 1)) -> Records:
+def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, buckets: int, most: int, weight: int, part: tuple[int, int] = (0, 1), whole: bool = True) -> Records:
     """``root``: occurrences of each symbol in the first round, where all contexts are empty and probabilities those of the root.
 
-    ``part``: (k, n), only those positions whose context is of the k-th of n parts.
+    ``part``: (k, n), only those positions whose context is of the k-th of n parts. Without ``whole`` only what tells which record is whose.
     """
-    starts = np.flatnonzero(sym == START)
-    begin = starts[np.searchsorted(starts, state.at, side="right") - 1].astype(np.int64)
+    begin = np.maximum.accumulate(np.where(sym == START, np.arange(len(sym)), 0))[state.at]
     end = state.at.astype(np.int64) - state.depth  # where the context so far begins
+    oldest = np.where(end - 1 > begin, sym[end - 1], START)
     if root is not None:
         group = np.zeros(len(end), _U)
+        where = textvec.mix(textvec.mix(np.arange(SIZE, dtype=_U) + _U(1)))  # of each symbol
+        if part[1] > 1:
+            rows = np.flatnonzero(((where >> _U(32)) % _U(part[1]) == _U(part[0]))[oldest])
+        else:
+            rows = np.arange(len(end))
+        where = where[oldest[rows]]
     else:
         sums = np.zeros(len(sym) + 1, _U)
         np.cumsum((sym.astype(_U) + _U(1)) * textvec.powers(textvec.BASE, len(sym)), dtype=_U, out=sums[1:])
         group = textvec.run_hash(sums, end, state.at.astype(np.int64))
-    oldest = np.where(end - 1 > begin, sym[end - 1], START)
-    bucket = textvec.mix(group ^ textvec.mix(oldest.astype(_U) + _U(1)))
-    rows = np.flatnonzero((bucket >> _U(32)) % _U(part[1]) == _U(part[0])) if part[1] > 1 else np.arange(len(end))
+        where = textvec.mix(group ^ textvec.mix(oldest.astype(_U) + _U(1)))
+        rows = np.flatnonzero((where >> _U(32)) % _U(part[1]) == _U(part[0]))
+        where = where[rows]
     begin, end, group, oldest, after = begin[rows], end[rows], group[rows], oldest[rows], sym[state.at[rows]]
     deep = root[oldest] <= most if root is not None else state.n[rows] <= most
-    bucket = (bucket[rows] & _U(0xFFFFFFFF)) % _U(buckets) * _U(2) + deep
+    bucket = (where & _U(0xFFFFFFFF)) % _U(buckets) * _U(2) + deep
 
     def older(j: int, these: np.ndarray | slice = slice(None)) -> np.ndarray:
         i = end[these] - 1 - j
@@ -223,6 +229,8 @@ def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, bu
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(fresh) - 1
     one = order[first]
+    if not whole:
+        return Records(rows, bucket[one].astype(np.int64), group[:0], [], after[:0], state.p[:0], first[:0], of)
     return Records(rows, bucket[one].astype(np.int64), group[one], [older(j, one) for j in range(span)], after[one], state.p[rows[one]], np.diff(np.append(first, len(order))) * weight, of)
 
 
@@ -234,34 +242,33 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - low
 
 
-def _term(c: np.ndarray, p: np.ndarray, weight: float) -> np.ndarray:
-    """What ``c`` occurrences of a symbol of probability ``p`` add to the log Bayes factor."""
+def _pure(c: np.ndarray, p: np.ndarray, weight: float) -> np.ndarray:
+    """What ``c`` occurrences, two or more, of a symbol of probability ``p`` add to the log Bayes factor."""
     wp = weight * p
-    return np.where(c > 0, np.log(wp) + _log_gamma(wp + np.maximum(c, 1)) - _log_gamma(wp + 1) - c * np.log(p), 0.0)
+    return np.log(wp) + _log_gamma(wp + c) - _log_gamma(wp + 1) - c * np.log(p)
 
 
 def _norm(n: np.ndarray, weight: float) -> np.ndarray:
-    """What ``n`` occurrences in all take from it."""
-    return np.where(n > 0, np.log(weight) + _log_gamma(weight + np.maximum(n, 1)) - _log_gamma(np.array(weight + 1.0)), 0.0)
+    """What ``n`` occurrences, one or more, in all take from it."""
+    return np.log(weight) + _log_gamma(weight + n) - _log_gamma(np.array(weight + 1.0))
 
 
-def tested(context: np.ndarray, after: np.ndarray, n: np.ndarray, p: np.ndarray, critical: float, least: int, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(probability of each record, occurrences of each context, whether a longer one may be a state) of contexts 0, 1, ... whose records are together."""
-    key = (context.astype(_U) << _U(BITS)) | after.astype(_U)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+def tested(key: np.ndarray, n: np.ndarray, p: np.ndarray, critical: float, least: int, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of each record, first record of each context, whether a longer one may be a state); ``key``: sorted, the context above the symbol after it."""
     fresh = np.concatenate([[True], key[1:] != key[:-1]])
     first = np.flatnonzero(fresh)
-    pair = np.empty(len(key), np.int64)
-    pair[order] = np.cumsum(fresh) - 1
-    of, c, q = (key[first] >> _U(BITS)).astype(np.int64), np.add.reduceat(n[order], first), p[order[first]]
-    total = np.bincount(of, c, context[-1] + 1)
-    state = (total >= least) & (np.bincount(of, _term(c, q, weight), len(total)) - _norm(total, weight) >= critical)
+    new = np.concatenate([[True], (key[first][1:] >> _U(BITS)) != (key[first][:-1] >> _U(BITS))])
+    of, c, q = np.cumsum(new) - 1, np.add.reduceat(n, first), p[first]
+    total = np.add.reduceat(c, np.flatnonzero(new))
+    often = np.flatnonzero(c > 1)
+    gain = np.log(weight) * np.bincount(of[c == 1], minlength=len(total)) + np.bincount(of[often], _pure(c[often], q[often], weight), len(total))
+    some = np.flatnonzero(total >= max(least, 1))
+    state = np.zeros(len(total), bool)
+    state[some] = gain[some] - _norm(total[some], weight) >= critical
     q = np.where(state[of], (c + weight * q) / (total[of] + weight), q)
     # a longer context has no more of any symbol, and its factor is at most the product of those that each symbol would have alone
-    often = c > 1
-    hope = np.bincount(of[often], (_term(c[often], q[often], weight) - _norm(c[often], weight)), len(total))
-    return q[pair], total, (hope >= critical) & (total > least)
+    hope = np.bincount(of[often], _pure(c[often], q[often], weight) - _norm(c[often], weight), len(total))
+    return q[np.cumsum(fresh) - 1], first[new], (hope >= critical) & (total > least)
 
 
 def answers(group: np.ndarray, older: list[np.ndarray], after: np.ndarray, p: np.ndarray, n: np.ndarray, critical: float, least: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
@@ -281,13 +288,14 @@ def answers(group: np.ndarray, older: list[np.ndarray], after: np.ndarray, p: np
         stays = (~split & (low != START))[at]
         r = np.flatnonzero(split[at])
         if len(r):
-            r = r[np.lexsort((symbol[r], at[r]))]
-            changes = (np.diff(at[r], prepend=-1) != 0) | (np.diff(symbol[r], prepend=-1) != 0)
-            context = np.cumsum(changes) - 1
-            p[rows[r]], total, alive = tested(context, after[rows[r]], n[rows[r]], p[rows[r]], critical, least, weight)
-            alive &= symbol[r][changes] != START
-            go = alive[context]
-            at = np.concatenate([at[stays], context[go] + len(head)])
+            key = (at[r].astype(_U) << _U(2 * BITS)) | (symbol[r].astype(_U) << _U(BITS)) | after[rows[r]].astype(_U)
+            order = np.argsort(key, kind="stable")
+            r, key = r[order], key[order]
+            p[rows[r]], first, alive = tested(key, n[rows[r]], p[rows[r]], critical, least, weight)
+            alive &= symbol[r[first]] != START
+            size = np.diff(np.append(first, len(r)))
+            go = np.repeat(alive, size)
+            at = np.concatenate([at[stays], np.repeat(np.arange(len(first)), size)[go] + len(head)])
             rows = np.concatenate([rows[stays], rows[r[go]]])
         else:
             rows, at = rows[stays], at[stays]
@@ -391,11 +399,11 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _answered(blocks: DataFrame, root, first: bool, span: int, buckets: int, part: tuple[int, int], most: int, critical: float, least: int, weight: float) -> DataFrame:
     """(block, bits, open) after a part of a round: what it adds to the bits of each text, and the positions that stay open."""
 
-    def sent(b: pa.RecordBatch | pa.Table, i: int) -> tuple[Open, Records]:
+    def sent(b: pa.RecordBatch | pa.Table, i: int, whole: bool = True) -> tuple[Open, Records]:
         counts, root_p = root.value
         (sym,) = unpack(b.column("sym")[i].as_py(), np.int32)
         state = _state(sym, b.column("open")[i].as_py(), root_p)
-        return state, records(sym, state, counts if first else None, span, buckets, most, b.column("weight")[i].as_py(), part)
+        return state, records(sym, state, counts if first else None, span, buckets, most, b.column("weight")[i].as_py(), part, whole)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -432,7 +440,7 @@ def _answered(blocks: DataFrame, root, first: bool, span: int, buckets: int, par
         names = ["block", "bits", "open"]
         if not got.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=names)
-        state, r = sent(block, 0)
+        state, r = sent(block, 0, False)
         parts = [unpack(x, np.float32, np.int64) for x in got.sort_by("bucket").column("answer").to_pylist()]
         p, n = (np.concatenate(x)[r.of] for x in zip(*parts, strict=True))
         (size,) = unpack(block.column("n")[0].as_py(), np.int64)

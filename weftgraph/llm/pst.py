@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 
 from . import common, textvec
 
-BITS, SPAN = 18, 5
+BITS, SPAN = 20, 5
 SIZE, _MASK = 1 << BITS, (1 << BITS) - 1
 START, BYTE, FIRST, WORD = 0, 1, 257, 513  # a byte within a spelled word, its first byte, the commonest words
 PARTS = 3  # of the contexts, which the first round takes in turn, so that a third of what it sends is on disk at once
 LONGEST = 1 << 10  # symbols that a record may carry
-MOST = 1 << 21  # occurrences of a context that one task may hold
+BUCKET = 1 << 20  # occurrences that a bucket is meant to have
+MOST = 1 << 23  # occurrences of a context that one task may hold
 _U = np.uint64
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -177,10 +178,11 @@ class Records:
     of: np.ndarray
 
 
-def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, buckets: int, most: int, weight: int, part: tuple[int, int] = (0, 1), whole: bool = True) -> Records:
+def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, buckets: int, most: int, weight: int, part: tuple[int, int] = (0, 1), whole: bool = True, often: np.ndarray | tuple = ()) -> Records:
     """``root``: occurrences of each symbol in the first round, where all contexts are empty and probabilities those of the root.
 
     ``part``: (k, n), only those positions whose context is of the k-th of n parts. Without ``whole`` only what tells which record is whose.
+    ``often``: the contexts of two symbols that occur more than ``most`` times.
     """
     begin = np.maximum.accumulate(np.where(sym == START, np.arange(len(sym)), 0))[state.at]
     end = state.at.astype(np.int64) - state.depth  # where the context so far begins
@@ -201,7 +203,14 @@ def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, bu
         rows = np.flatnonzero((where >> _U(32)) % _U(part[1]) == _U(part[0]))
         where = where[rows]
     begin, end, group, oldest, after = begin[rows], end[rows], group[rows], oldest[rows], sym[state.at[rows]]
-    deep = root[oldest] <= most if root is not None else state.n[rows] <= most
+    if root is not None:
+        deep = root[oldest] <= most
+    else:
+        deep = state.n[rows] <= most
+        # of two symbols it was counted beforehand which are too common
+        two = np.flatnonzero(~deep & (state.depth[rows] == 1))
+        pair = (sym[state.at[rows[two]] - 1].astype(np.int64) << BITS) | oldest[two]
+        deep[two] = ~np.isin(pair, often)
     bucket = (where & _U(0xFFFFFFFF)) % _U(buckets) * _U(2) + deep
 
     def older(j: int, these: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -215,8 +224,8 @@ def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, bu
             high = (high << _U(BITS)) | older(j).astype(_U)
         for j in range(3, span):
             low |= older(j).astype(_U) << _U((j - 2) * BITS)
-        # one key to sort by: the latest symbols, and the rest of it shortened to what a word has left
-        key = np.where(deep, (high << _U(64 - 3 * BITS)) | (textvec.mix(low) >> _U(3 * BITS)), (oldest.astype(_U) << _U(BITS)) | low)
+        # one key to sort by: the two latest symbols, and the rest shortened to what a word has left
+        key = (high >> _U(BITS) << _U(64 - 2 * BITS)) | (textvec.mix(textvec.mix(low) ^ high) >> _U(2 * BITS))
     else:
         sent = textvec.run_hash(sums, np.maximum(begin, end - np.where(deep, span, 1)), np.maximum(begin, end))
         high, low = textvec.mix(group ^ textvec.mix(sent)), after.astype(_U)
@@ -343,6 +352,23 @@ def _symbol_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n[s])], names=["s", "n"])
 
 
+def _pair_counts(hot):
+    """Occurrences of the contexts of two symbols whose later one is too common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                (sym,) = unpack(blob, np.int32)
+                i = np.flatnonzero(hot.value[sym[:-1]] & (sym[1:] != START))
+                older = np.where((i > 0) & (sym[i] != START), sym[np.maximum(i - 1, 0)], START)
+                k, n = np.unique((sym[i].astype(np.int64) << BITS) | older, return_counts=True)
+                keys, counts = ([x] for x in _merged([*keys, k], [*counts, n]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0].astype(np.int64))], names=["pair", "n"])
+
+    return run
+
+
 def score(
     docs: DataFrame, train: DataFrame | None = None, *, words: int = SIZE - WORD, critical: float = 5.0, least: int = 2, weight: float = 1.0, most: int = MOST
 ) -> DataFrame:
@@ -371,7 +397,10 @@ def score(
     tokens = counts.copy()
     tokens[START] = 0
     root_p = ((tokens + 1) / (tokens.sum() + SIZE)).astype(np.float32)
-    root = sc.broadcast((counts, root_p))
+    hot = sc.broadcast(counts > most)
+    pairs = blocks.where("weight = 1").select("sym").mapInArrow(_pair_counts(hot), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    often = np.asarray(pairs.select("pair").toArrow().column(0).combine_chunks()).astype(np.int64)  # no more than occurrences over ``most``
+    root = sc.broadcast((counts, root_p, often))
     total = left = int(tokens.sum()) if train is None else int(blocks.agg(F.sum("left")).first()[0] or 0)
     first, span = True, SPAN
     while left:
@@ -380,7 +409,7 @@ def score(
         parts = -(-PARTS * left // total)
         found = []
         for k in range(parts):
-            found.append(_answered(blocks, root, first, span, max(1, -(-2 * left * span // (most * SPAN * parts))), (k, parts), most, critical, least, weight))
+            found.append(_answered(blocks, root, first, span, max(1, -(-left * span // (min(most, BUCKET) * SPAN * parts))), (k, parts), most, critical, least, weight))
             common.release(blocks)
         was, blocks = blocks, _updated(blocks, found)
         left, first = int(blocks.agg(F.sum("left")).first()[0] or 0), False
@@ -400,10 +429,10 @@ def _answered(blocks: DataFrame, root, first: bool, span: int, buckets: int, par
     """(block, bits, open) after a part of a round: what it adds to the bits of each text, and the positions that stay open."""
 
     def sent(b: pa.RecordBatch | pa.Table, i: int, whole: bool = True) -> tuple[Open, Records]:
-        counts, root_p = root.value
+        counts, root_p, often = root.value
         (sym,) = unpack(b.column("sym")[i].as_py(), np.int32)
         state = _state(sym, b.column("open")[i].as_py(), root_p)
-        return state, records(sym, state, counts if first else None, span, buckets, most, b.column("weight")[i].as_py(), part, whole)
+        return state, records(sym, state, counts if first else None, span, buckets, most, b.column("weight")[i].as_py(), part, whole, often)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -109,3 +109,10 @@ def test_other_languages():
     rb = extract.facts_of("require 'a'\nmodule M\n  class C < D\n    include E\n    belongs_to :user\n    def self.x\n      F.go\n    end\n  end\nend\ndef top; end\n", "ruby")[0]
     assert {(s["kind"], s["name"], s["owner"]) for s in rb["symbols"]} == {("module", "M", None), ("class", "M::C", None), ("method", "x", "M::C"), ("function", "top", None)}
     assert {(r["kind"], r["object"]) for r in rb["relations"]} == {("extends", "D"), ("include", "E"), ("association:belongs_to", "user")} and {"base": "F", "attr": "go"} in rb["method_uses"]
+
+
+def test_axios_configs_hold_other_objects():
+    text = """axios({ headers: { url: "no", a: [1, {b: "}"}] }, url: "/api/x", method: 'post', data: f({method: "GET"}) });
+axios({ "url": `/api/y` }); axios({ data: { url: "/inner" } }); // axios({ url: "/not" })"""
+    facts, _, _ = extract.facts_of(text, "ts")
+    assert [tuple(dict(c["meta"])[k] for k in ("method", "path")) for c in facts["candidates"]] == [("POST", "/api/x"), ("GET", "/api/y")]

@@ -24,26 +24,40 @@ def brute_reach(n, pairs):
     return out
 
 
-@pytest.mark.parametrize("small", [graph.SMALL, 0])
+@pytest.mark.parametrize("group", [graph.GROUP, 6, 0])
 @pytest.mark.parametrize("seed,n,m", [(1, 12, 18), (2, 25, 30)])
-def test_scc_equals_mutual_reach(spark, small, seed, n, m):
+def test_scc_equals_mutual_reach(spark, group, seed, n, m):
     rng = random.Random(seed)
     pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
     reach = brute_reach(n, pairs)
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(n)], "id string")
-    got = {r.id: (r.scc_id, r.scc_size) for r in graph.scc(nodes, frame(spark, [(f"n{a}", f"n{b}") for a, b in pairs]), small=small).collect()}
+    got = {r.id: (r.scc_id, r.scc_size) for r in graph.scc(nodes, frame(spark, [(f"n{a}", f"n{b}") for a, b in pairs]), group=group).collect()}
     for i in range(n):
         mates = [f"n{j}" for j in range(n) if j in reach[i] and i in reach[j]]
         assert got[f"n{i}"] == (min(mates), len(mates))
 
 
+def test_weak_components(spark):
+    rng = random.Random(3)
+    n, pairs = 40, [(i, i + 1) for i in range(12)] + [(rng.randrange(13, 40), rng.randrange(13, 40)) for _ in range(18)]
+    reach = brute_reach(n, pairs + [(b, a) for a, b in pairs])
+    got = {r.id: r.c for r in graph.weak(frame(spark, pairs, "src long, dst long")).collect()}
+    assert got == {i: min(reach[i]) for i in range(n) if len(reach[i]) > 1}
+
+
+def test_violations_are_counted(spark):
+    nodes, e = spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), frame(spark, [("a", "b"), ("b", "x"), ("y", "z")])
+    wrong = spark.createDataFrame([("a", "a", 5), ("b", "b", 1)], "id string, scc_id string, scc_size long")
+    assert {r.rule: r.n for r in graph.violations(nodes, e, wrong).collect()} == {"in_equals_out": 0, "scc_sizes_sum_to_nodes": 3, "no_dangling_edge": 3}
+
+
 def test_scc_of_a_long_path_and_a_long_ring():
     n = 5000
     assert sorted(graph.components_of([[i + 1] if i + 1 < n else [] for i in range(n)])) == list(range(n))
     assert len(set(graph.components_of([[(i + 1) % n] for i in range(n)]))) == 1
 
 
-@pytest.mark.parametrize("small", [graph.SMALL, 0])
+@pytest.mark.parametrize("small", [graph.GROUP, 0])
 @pytest.mark.parametrize("direction", ["forward", "backward", "both"])
 def test_hops(spark, small, direction):
     rng = random.Random(5)
@@ -79,12 +93,12 @@ def test_reasons_mark_type_checking(spark):
     assert {r.dst for r in e.where(graph.type_checking_only(e)).collect()} == {"b", "d"}
 
 
-@pytest.mark.parametrize("small", [graph.SMALL, 0])
+@pytest.mark.parametrize("small", [graph.GROUP, 0])
 def test_nothing(spark, small):
     none, nodes = frame(spark, []), spark.createDataFrame([], "id string")
-    assert graph.scc(nodes, none, small=small).count() == 0
+    assert graph.scc(nodes, none, group=small).count() == 0
     assert graph.hops(none, nodes, small=small).count() == 0
     assert graph.degrees(none).count() == 0
     one = spark.createDataFrame([("a",)], "id string")
-    assert [tuple(r) for r in graph.scc(one, none, small=small).collect()] == [("a", "a", 1)]
+    assert [tuple(r) for r in graph.scc(one, none, group=small).collect()] == [("a", "a", 1)]
     assert [tuple(r) for r in graph.distances(one, none, one, small=small).collect()] == [("a", 0, 0)]

@@ -59,6 +59,22 @@ def test_configs_extend_each_other(spark):
     assert {(r.spec, r.state, r.reason) for r in links.collect() if not r.target} == {("plain", "external", "bare"), ("https://x.y/z.js", "external", "url"), ("./nope", "unresolved", "relative")}
 
 
+def test_aliases_are_for_bare_specs_and_the_root_goes_first(spark):
+    config = '{"compilerOptions": {"baseUrl": ".", "paths": {"*": ["src/*"], "#/*": ["%s/*"]}}}'
+    files = {"tsconfig.json": config % "one", "app/tsconfig.json": config % "two", "app/x.ts": "import './foo';\nimport '/foo';\nimport 'foo';\nimport '#/a';\nimport '#/b';", "src/foo.ts": "", "one/a.ts": "", "app/two/a.ts": "", "app/two/b.ts": ""}
+    df, _, refs, _ = tables(spark, files)
+    links = resolve.web(refs, df.select("path"), resolve.effective_configs(resolve.ts_configs(df)))
+    assert hits(links) == {("app/x.ts", "foo", "src/foo.ts"), ("app/x.ts", "#/a", "one/a.ts"), ("app/x.ts", "#/b", "app/two/b.ts")}
+
+
+def test_configs_may_extend_in_circles(spark):
+    text = '{"extends": "./%s.json", "compilerOptions": {"paths": {"%s": ["x"]}}}'
+    files = {"tsconfig.a.json": text % ("tsconfig.b", "a"), "tsconfig.b.json": text % ("tsconfig.a", "b"), "tsconfig.json": text % ("tsconfig.a", "c"), "tsconfig.d.json": text % ("tsconfig.d", "d"), "tsconfig.e.json": text % ("tsconfig.gone", "e")}
+    df, _, _, _ = tables(spark, files)
+    got = {r.config: sorted(p.pattern for p in r.paths) for r in resolve.effective_configs(resolve.ts_configs(df)).collect()}
+    assert got == {"tsconfig.a.json": ["a", "b"], "tsconfig.b.json": ["a", "b"], "tsconfig.json": ["a", "b", "c"], "tsconfig.d.json": ["d"], "tsconfig.e.json": ["e"]}
+
+
 def test_suffixed_specs_stand_for_themselves(spark):
     df, _, refs, _ = tables(spark, {"a.ts": "import './b.service';\nimport './c.js';\nimport './d';\nimport '/e';", "b.service.ts": "", "c.tsx": "", "d/index.jsx": "", "e.ts": ""})
     assert hits(resolve.web(refs, df.select("path"))) == {("a.ts", "./c.js", "c.tsx"), ("a.ts", "./d", "d/index.jsx"), ("a.ts", "/e", "e.ts")}

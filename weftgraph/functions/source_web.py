@@ -15,7 +15,7 @@ _FROM = re.compile(r"(?m)^[ \t]*(?P<w>import|export)\b(?P<mid>[^;'\"`()]*?)\bfro
 _BARE = re.compile(r"(?m)^[ \t]*import\s*" + _Q)
 _CALLED = re.compile(r"(?<![\w.$])(?P<w>require|import)\s*\(\s*" + _Q)
 _FETCH = re.compile(r"(?<![\w.$])(?P<f>fetch|axios\.(?P<m>\w+))\s*\(\s*" + _Q, re.S)
-_AXIOS = re.compile(r"(?<![\w.$])axios\s*\(\s*\{(?P<o>[^}]*)\}", re.S)
+_AXIOS = re.compile(r"(?<![\w.$])axios\s*\(\s*\{")
 _ENV = re.compile(r"(?<![\w.$])(?P<b>process\.env|import\.meta\.env)\.(?P<v>[A-Za-z_$][\w$]*)")
 _TRPC = re.compile(r"(?<![\w.$])trpc\.(?P<n>[\w$.]+)\.use(?:Query|Mutation)\b")
 _GQL = re.compile(r"(?<![\w.$])(?:gql|graphql)\s*`(?P<d>[^`]*)`")
@@ -50,6 +50,17 @@ def _url(m: re.Match) -> tuple[str, float]:
     return m["s"], 1.0
 
 
+def _own_keys(code: str, bare: str, at: int) -> str:
+    """The object literal that is open at ``at``, without the objects, arrays and calls in it."""
+    out, depth = [], 0
+    for i in range(at, len(code)):
+        depth += (bare[i] in "{[(") - (bare[i] in "}])")
+        if depth < 0:
+            break
+        out.append(code[i] if depth == 0 else " ")
+    return "".join(out)
+
+
 def web_facts(text: str) -> Facts:
     facts, lines = Facts(), Lines(text)
     code = blank_comments(text)
@@ -108,7 +119,8 @@ def web_facts(text: str) -> Facts:
         if verb in _HTTP and url:
             add(m, "http_call", "axios" if m["m"] else "fetch", url, {"method": verb.upper(), "path": url}, sure, verb.upper())
     for m in _AXIOS.finditer(code):
-        url, verb = (re.search(rf"\b{k}\s*:\s*" + _Q, m["o"]) for k in ("url", "method"))
+        own = _own_keys(code, bare, m.end())
+        url, verb = (re.search(rf"(?<![\w$]){k}['\"]?\s*:\s*" + _Q, own) for k in ("url", "method"))
         if url:
             v = verb["s"].upper() if verb else "GET"
             add(m, "http_call", "axios", url["s"], {"method": v, "path": url["s"]}, 0.9 if verb else 0.75, v)

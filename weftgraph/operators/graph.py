@@ -1,8 +1,9 @@
 """Graph operators over edge tables (src, dst): degrees, hops, reachability, strongly connected components.
 
 Fixpoints keep the edges hash-partitioned by their join column, so that a round shuffles only its
-frontier, and settle each round in the shared folder. Graphs of up to ``SMALL`` edges, by count, are
-solved in one task instead.
+frontier, and settle each round in the shared folder. Strongly connected components are looked for
+within weakly connected ones, many of which a task solves at once; those of more than ``GROUP`` edges are
+solved by rounds over all tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .storage import settle
 
-SMALL = 200_000
+GROUP = 200_000
 _TYPE_ONLY = "type-only type_only type_checking typing".split()
 
 
@@ -87,10 +88,11 @@ def _in_one_task(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.
 # == hops and reachability
 
 
-def hops(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", most: int | None = None, small: int = SMALL) -> DataFrame:
+def hops(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", most: int | None = None, small: int = 0) -> DataFrame:
     """(id, hops) of everything within reach of ``seeds`` (id), seeds at 0.
 
-    ``direction``: forward along edges, backward against them, or both. ``most`` bounds the hops.
+    ``direction``: forward along edges, backward against them, or both. ``most`` bounds the hops. ``small``: edges
+    up to which one task solves the whole graph, for callers who know theirs to be small.
     """
     if direction not in ("forward", "backward", "both"):
         raise ValueError(direction)
@@ -100,17 +102,18 @@ def hops(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", most
     start = seeds.select("id").where(F.col("id").isNotNull()).distinct()
     kind = seeds.schema["id"].dataType.simpleString()
     e = settle(e.repartition("a"))  # once, whatever made the edges
-    if _few(e, small):
+    if small and _few(e, small):
         return _in_one_task(start, e, _bfs_task(most), f"id {kind}, hops int")
-    seen = settle(start.withColumn("hops", F.lit(0)))
-    frontier, level = seen, 0
+    seen = frontier = settle(start.withColumn("hops", F.lit(0)))
+    level = 0
     while most is None or level < most:
         level += 1
         reached = e.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
         frontier = settle(reached.join(seen, "id", "left_anti").withColumn("hops", F.lit(level)))
         if frontier.isEmpty():
             break
-        seen = settle(seen.union(frontier))
+        # a level is written once; only now and then are they joined into one table
+        seen = seen.union(frontier) if level % 32 else settle(seen.union(frontier))
     return seen
 
 
@@ -134,11 +137,11 @@ def _bfs_task(most: int | None):
     return run
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", small: int = SMALL) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", small: int = 0) -> DataFrame:
     return hops(edges, seeds, direction=direction, small=small).select("id")
 
 
-def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, small: int = SMALL) -> DataFrame:
+def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, small: int = 0) -> DataFrame:
     """(id, du, dd): hops of every node upstream and downstream of the seeds; null where out of reach."""
     up = hops(edges, seeds, direction="backward", small=small).withColumnRenamed("hops", "du")
     down = hops(edges, seeds, direction="forward", small=small).withColumnRenamed("hops", "dd")
@@ -160,7 +163,7 @@ def node_order(reach: DataFrame) -> DataFrame:
     return reach.select("id", F.col("hops").alias("gen"), (F.row_number().over(w) - 1).alias("gen_idx"))
 
 
-def unreached(nodes: DataFrame, edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
+def unreached(nodes: DataFrame, edges: DataFrame, roots: DataFrame, small: int = 0) -> DataFrame:
     """Ids that no edge enters and no root reaches."""
     inner = adjacency(edges)
     live = reachable(inner, roots, small=small)
@@ -171,29 +174,59 @@ def unreached(nodes: DataFrame, edges: DataFrame, roots: DataFrame, small: int =
 # == strongly connected components
 
 
-def scc(nodes: DataFrame, edges: DataFrame, *, runtime_only: bool = False, small: int = SMALL) -> DataFrame:
-    """(id, scc_id, scc_size) of every distinct node; a component is named by its least member as a string."""
+def weak(edges: DataFrame) -> DataFrame:
+    """(id, c): of every end of an edge the least member of its weakly connected component.
+
+    Stars are merged until none changes (large-star and small-star in turn): each round replaces a node's
+    neighbours by the least of them, so that no round makes more edges than there are, and their number grows with the
+    logarithm of a component's width.
+    """
+    now = settle(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    print_ = None
+    while True:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v")))
+        now = settle(small.distinct())
+        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if seen == print_:
+            break
+        print_ = seen
+    return now.select(F.col("u").alias("id"), F.col("v").alias("c")).union(now.select(F.col("v").alias("id"), F.col("v").alias("c")).distinct())
+
+
+def scc(nodes: DataFrame, edges: DataFrame, *, runtime_only: bool = False, group: int = GROUP) -> DataFrame:
+    """(id, scc_id, scc_size) of every distinct node; a component is named by its least member as a string.
+
+    ``group``: edges of a weakly connected component that one task may hold; larger ones take rounds over all tasks.
+    """
     ids = nodes.select("id").where(F.col("id").isNotNull()).distinct()
     e = settle(adjacency(edges, ids, runtime_only=runtime_only).repartition("src"))
     kind = nodes.schema["id"].dataType.simpleString()
-    if _few(e, small):
-        inner = _in_one_task(e, e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), _tarjan_task, f"id {kind}, root {kind}")
-    else:
-        inner = _scc_rounds(e)
+    placed = settle(e.join(weak(e).withColumnRenamed("id", "src"), "src"))
+    large = settle(placed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("c"))
+    within = placed.join(large, "c", "left_anti")
+    buckets = max(1, -(-2 * within.count() // max(group, 1)))
+    inner = within.withColumn("bucket", F.pmod(F.xxhash64("c"), F.lit(buckets))).select("bucket", "src", "dst").groupBy("bucket").applyInArrow(_tarjan_task, f"id {kind}, root {kind}")
+    if not large.isEmpty():
+        inner = inner.union(_scc_rounds(placed.join(large, "c", "left_semi").select("src", "dst")))
     # nodes without a part in any cycle are their own component
     named = inner.groupBy("root").agg(F.min(F.struct(F.col("id").cast("string").alias("s"), "id")).alias("m"), F.count(F.lit(1)).alias("scc_size"))
     full = inner.join(named, "root").select("id", F.col("m.id").alias("scc_id"), "scc_size")
     return ids.join(full, "id", "left").select("id", F.coalesce("scc_id", "id").alias("scc_id"), F.coalesce("scc_size", F.lit(1).cast("long")).alias("scc_size"))
 
 
-def _tarjan_task(edges: pa.Table, nodes: pa.Table) -> pa.Table:
-    ids = nodes.column("id").to_pylist()
+def _tarjan_task(edges: pa.Table) -> pa.Table:
+    kind = edges.schema.field("src").type
+    src, dst = edges.column("src").to_pylist(), edges.column("dst").to_pylist()
+    ids = list(dict.fromkeys([*src, *dst]))
     at = {x: i for i, x in enumerate(ids)}
     out: list[list[int]] = [[] for _ in ids]
-    for a, b in zip(edges.column("src").to_pylist(), edges.column("dst").to_pylist(), strict=True):
+    for a, b in zip(src, dst, strict=True):
         out[at[a]].append(at[b])
     root = components_of(out)
-    kind = nodes.schema.field("id").type
     return pa.table({"id": pa.array(ids, kind), "root": pa.array([ids[r] for r in root], kind)})
 
 
@@ -241,38 +274,35 @@ def _scc_rounds(edges: DataFrame) -> DataFrame:
     done: list[DataFrame] = []
     e = edges
     while True:
-        # a node with no way in or no way out is alone
-        while True:
+        # a node with no way in or no way out is alone; two layers of them go at once, the colours find the others
+        for _ in range(2):
             sources, targets = e.select(F.col("src").alias("id")).distinct(), e.select(F.col("dst").alias("id")).distinct()
-            core = sources.intersect(targets)
-            kept = e.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi")
-            kept = settle(kept.select("src", "dst").repartition("src"))
-            before, after = e.count(), kept.count()
-            e = kept
-            if after == before:
-                break
-            if not after:
-                break
+            e = e.join(targets.select(F.col("id").alias("src")), "src", "left_semi").join(sources.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+        e = settle(e.repartition("src"))
         if e.isEmpty():
             break
-        colour = settle(e.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")))
+        colour = settle(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("c", F.col("id")))
         while True:
             offered = e.join(colour.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("o"))
-            after = settle(colour.join(offered, "id", "left").select("id", F.least("c", F.coalesce("o", "c")).alias("n"), "c"))
+            near = colour.join(offered, "id", "left").select("id", F.least("c", F.coalesce("o", "c")).alias("n"), "c")
+            # what reaches the node that a node's colour names reaches the node too, so that paths are halved
+            far = colour.select(F.col("id").alias("n"), F.col("c").alias("f"))
+            after = settle(near.join(far, "n", "left").select("id", F.least("n", F.coalesce("f", "n")).alias("n"), "c"))
             moved = after.where("n <> c").limit(1).count()
             colour = after.select("id", F.col("n").alias("c"))
             if not moved:
                 break
         within = e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
         within = settle(within.select("src", "dst", "cs").repartition("dst"))
-        found = settle(colour.where("id = c"))
-        frontier = found
+        found = frontier = settle(colour.where("id = c"))
+        level = 0
         while True:
+            level += 1
             reached = within.join(frontier.select(F.col("id").alias("dst"), "c"), "dst").where("cs = c").select(F.col("src").alias("id"), "c").distinct()
             frontier = settle(reached.join(found, "id", "left_anti"))
             if frontier.isEmpty():
                 break
-            found = settle(found.union(frontier))
+            found = found.union(frontier) if level % 32 else settle(found.union(frontier))
         done.append(found.select("id", F.col("c").alias("root")))
         left = within.select("src", "dst").join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
         e = settle(left.repartition("src"))
@@ -292,9 +322,9 @@ def scc_summary(components: DataFrame) -> DataFrame:
     )
 
 
-def cycles(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def cycles(nodes: DataFrame, edges: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """Components over all edges and over runtime edges: (id, scc_id, scc_size, scc_id_runtime, scc_size_runtime), and one row of totals."""
-    whole, run = scc(nodes, edges, small=small), scc(nodes, edges, runtime_only=True, small=small)
+    whole, run = scc(nodes, edges, group=group), scc(nodes, edges, runtime_only=True, group=group)
     both = whole.join(run.withColumnsRenamed({"scc_id": "scc_id_runtime", "scc_size": "scc_size_runtime"}), "id")
     a, b = scc_summary(whole), scc_summary(run)
     totals = a.crossJoin(b.select(*[F.col(c).alias(f"{c}_runtime") for c in b.columns]))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import paths
 
 from .relational import first_candidate, first_wins, longest_prefix, nearest_ancestor, sole_owner
+from .storage import settle
 
 LINK = ("path", "seq", "spec", "target", "state", "reason", "type_checking")
 
@@ -140,20 +141,27 @@ def ts_configs(files: DataFrame) -> DataFrame:
 
 
 def effective_configs(configs: DataFrame) -> DataFrame:
-    """``configs`` with what they extend folded in: the child's patterns override, its base too if it has one."""
-    now = configs
+    """``configs`` with what they extend folded in: the child's patterns override, its base too if it has one.
+
+    A chain ends at a file that isn't there and at one that it has been through.
+    """
+    now = configs.withColumn("seen", F.array("config"))
     while not now.where("extends IS NOT NULL").isEmpty():
         parent = configs.select(F.col("config").alias("extends"), F.col("base").alias("pb"), F.col("folder").alias("pf"), F.col("paths").alias("pp"), F.col("extends").alias("pe"))
         j = now.join(parent, "extends", "left")
         more = F.filter(F.coalesce("pp", F.array().cast(configs.schema["paths"].dataType)), lambda x: ~F.exists("paths", lambda y: y["pattern"] == x["pattern"]))
         base = F.coalesce("base", "pb", F.when(F.size("paths") == 0, F.col("pf")))
-        nxt = F.when(F.col("pe") != F.col("config"), F.col("pe"))
-        now = j.select("config", "folder", base.alias("base"), nxt.alias("extends"), F.concat("paths", more).alias("paths"))
-    return now.withColumn("base", F.coalesce("base", "folder"))
+        seen = F.array_append("seen", F.col("extends"))
+        nxt = F.when(~F.coalesce(F.array_contains(seen, F.col("pe")), F.lit(False)), F.col("pe"))
+        now = settle(j.select("config", "folder", base.alias("base"), nxt.alias("extends"), F.concat("paths", more).alias("paths"), F.when(F.col("extends").isNotNull(), seen).otherwise(F.col("seen")).alias("seen")))
+    return now.withColumn("base", F.coalesce("base", "folder")).drop("seen")
 
 
 def web(refs: DataFrame, files: DataFrame, configs: DataFrame | None = None) -> DataFrame:
-    """Relative and rooted specs against the files themselves, then aliases of the nearest config; the rest is external (bare, url) or unresolved."""
+    """Relative and rooted specs against the files themselves; bare ones by the aliases of the root's tsconfig.json, then those of the nearest config.
+
+    The rest is external (bare, url) or unresolved.
+    """
     r = refs.where("lang IN ('ts', 'js') AND module IS NOT NULL AND length(module) <= 512").withColumn("spec", F.col("module"))
     kind = paths.spec_kind("spec")
     plain = paths.strip_query_and_hash("spec")
@@ -167,13 +175,16 @@ def web(refs: DataFrame, files: DataFrame, configs: DataFrame | None = None) ->
     if configs is not None:
         near = nearest_ancestor(r, configs, path="path", folder="folder")
         one = first_wins(configs, ["folder"], [F.when(paths.basename("config") == "tsconfig.json", 0).otherwise(1), "config"])
-        a = r.join(near, "path").join(one.select("folder", F.col("base").alias("root"), "paths"), "folder").select("path", "seq", "spec", "root", F.explode("paths").alias("p"))
+        root = r.select("path").distinct().select("path", F.lit("").alias("folder"), F.lit(0).alias("turn"))
+        root = root.join(configs.where("config = 'tsconfig.json'").select("folder").distinct(), "folder", "left_semi")
+        near = near.where("folder IS NOT NULL").withColumn("turn", F.lit(1)).unionByName(root)
+        a = r.where(paths.spec_kind("spec") == "bare").join(near, "path").join(one.select("folder", F.col("base").alias("root"), "paths"), "folder").select("path", "seq", "turn", "spec", "root", F.explode("paths").alias("p"))
         star = _capture(F.col("spec"), F.col("p.pattern"))
         tried = F.transform("p.targets", lambda t: paths.fold_dots(F.concat("root", F.lit("/"), F.replace(t, F.lit("*"), star))))
         cand = F.flatten(F.transform(tried, lambda t: paths.web_candidates(F.regexp_replace(t, "^/+", ""))))
         hits = a.where(star.isNotNull()).withColumn("cand", cand).withColumn("width", F.length("p.pattern"))
-        best = first_candidate(hits, files.select(F.col("path").alias("target")), key=["path", "seq", "width"], candidates=F.col("cand"), ident="target")
-        alias = best.groupBy("path", "seq").agg(F.max_by("target", "width").alias("alias"))
+        best = first_candidate(hits, files.select(F.col("path").alias("target")), key=["path", "seq", "turn", "width"], candidates=F.col("cand"), ident="target")
+        alias = best.groupBy("path", "seq").agg(F.max_by("target", F.struct(-F.col("turn"), "width")).alias("alias"))
         j = j.join(alias, ["path", "seq"], "left")
     else:
         j = j.withColumn("alias", F.lit(None).cast("string"))

@@ -172,9 +172,9 @@ def analyze(spark: SparkSession, source: str | DataFrame, settings: Settings | N
     inner = graph.adjacency(t["edges"], base)
     both, t["cycles"] = graph.cycles(base, t["edges"])
     entry = t["seeds"].select(F.col("file").alias("id")).distinct()
-    t["distances"] = graph.distances(base, inner, entry)
+    t["distances"] = graph.distances(base, inner, entry, small=graph.GROUP)
     t["nodes"] = settle(nd.with_degrees(base, inner).join(both, "id", "left").join(t["distances"], "id", "left"))
-    reach = graph.hops(inner, entry)
+    reach = graph.hops(inner, entry, small=graph.GROUP)
     t["node_order"] = graph.node_order(reach)
     done("graph")
     t["zones"] = zones.build(t["nodes"].select("id", "file"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import extract, keys, lines, paths
 from weftgraph.operators import clones, codec, crosstalk, edges as ed, graph, imports, merge, nodes as nd, relational as rel, resolve, seeds, summary, zones
+from weftgraph.operators.storage import settle
 from weftgraph.sources import tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,46 +44,72 @@ def joined(c: str, sep: str = ",") -> F.Column:
 
 # == graph
 
-_TRADE = """trade AS (
-  SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst, l_linestatus = 'O' AS tc
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  WHERE l_quantity >= 50 AND l_discount >= 0.1 AND s_nationkey <> c_nationkey),
-e AS (SELECT DISTINCT src, dst FROM trade), er AS (SELECT DISTINCT src, dst FROM trade WHERE NOT tc)"""
+_QUARTER = "'c' || o_custkey || ':' || (year({0}) * 4 + quarter({0}))"
+_TRADE = f"""trade AS (SELECT DISTINCT {_QUARTER.format("o_orderdate")} AS src, {_QUARTER.format("l_shipdate")} AS dst, l_linestatus = 'O' AS tc FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+n AS (SELECT src AS id FROM trade UNION SELECT dst FROM trade UNION SELECT {_QUARTER.format("o_orderdate")} FROM orders),
+urgent AS (SELECT DISTINCT {_QUARTER.format("o_orderdate")} AS id FROM orders WHERE o_orderpriority = '1-URGENT'),
+e AS (SELECT DISTINCT src, dst FROM trade WHERE src <> dst), er AS (SELECT DISTINCT src, dst FROM trade WHERE NOT tc AND src <> dst)"""
 
 
 def _closure(edges: str, name: str) -> str:
     return f"""{name}_reach(src, dst) AS (SELECT src, dst FROM {edges} UNION SELECT r.src, e.dst FROM {name}_reach r JOIN {edges} e ON r.dst = e.src),
-{name}_pair AS (SELECT n_nationkey AS id, n_nationkey AS mate FROM nation UNION SELECT a.src, a.dst FROM {name}_reach a JOIN {name}_reach b ON a.src = b.dst AND a.dst = b.src),
-{name} AS (SELECT id, arg_min(mate, mate::VARCHAR) AS scc_id, count(*) AS scc_size FROM {name}_pair GROUP BY id)"""
+{name}_pair AS (SELECT id, id AS mate FROM n UNION SELECT a.src, a.dst FROM {name}_reach a JOIN {name}_reach b ON a.src = b.dst AND a.dst = b.src),
+{name} AS (SELECT id, min(mate) AS scc_id, count(*) AS scc_size FROM {name}_pair GROUP BY id)"""
+
+
+def _quarter(date: str) -> F.Column:
+    return F.concat(F.lit("c"), "o_custkey", F.lit(":"), F.year(date) * 4 + F.quarter(date))
 
 
 def trade_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers' nations to customers' nations over large, discounted items."""
-    item = table(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1").select("l_suppkey", "l_orderkey", (F.col("l_linestatus") == "O").alias("type_checking"))
-    s, o, c = table(spark, d, "supplier"), table(spark, d, "orders"), table(spark, d, "customer")
-    j = item.join(s, item.l_suppkey == s.s_suppkey).join(o, item.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-    return j.where("s_nationkey <> c_nationkey").select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"), "type_checking").distinct()
+    """Every item leads from the quarter in which its customer ordered it to the one in which it was shipped."""
+    item = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", (F.col("l_linestatus") == "O").alias("type_checking"))
+    j = item.join(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
+    return j.select(_quarter("o_orderdate").alias("src"), _quarter("l_shipdate").alias("dst"), "type_checking").distinct()
+
+
+def trade_nodes(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).union(table(spark, d, "orders").select(_quarter("o_orderdate"))).distinct()
+    return ids.select("id", F.col("id").alias("name"), F.substring_index("id", ":", 1).alias("file"))
 
 
-def nation_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("file"))
+def urgent_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(_quarter("o_orderdate").alias("id")).distinct()
+
+
+def _trade(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = settle(trade_edges(spark, d))
+    return e, trade_nodes(spark, d, e)
 
 
 @query(f"""WITH RECURSIVE {_TRADE}, {_closure("e", "scc")},
 d AS (SELECT id, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id),
 l AS (SELECT 'top_imported' AS list, id, i AS n FROM d WHERE i > 0 UNION ALL SELECT 'top_dependencies', id, o FROM d WHERE o > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY n DESC, id) AS rank FROM l)
-SELECT list, rank::BIGINT AS rank, r.id, n, n_name AS name, scc_size::BIGINT AS scc_size FROM r JOIN nation ON n_nationkey = r.id JOIN scc ON scc.id = r.id WHERE rank <= 15""")
+SELECT list, rank::BIGINT AS rank, id, r.n, split_part(id, ':', 1) AS file, scc_size::BIGINT AS scc_size FROM r JOIN scc USING (id) WHERE rank <= 15""")
 def dependency_hotspots(spark: SparkSession, d: str) -> DataFrame:
-    e, n = trade_edges(spark, d), nation_nodes(spark, d)
-    pairs = graph.adjacency(e, n)
-    top = summary.hotspots(n, pairs)
-    return top.join(graph.scc(n, e), "id").select("list", long("rank"), "id", long("n"), "name", long("scc_size"))
+    e, n = _trade(spark, d)
+    top = summary.hotspots(n, graph.adjacency(e, n))
+    return top.join(graph.scc(n, e), "id").select("list", long("rank"), "id", long("n"), "file", long("scc_size"))
 
 
 @query(f'WITH RECURSIVE {_TRADE}, {_closure("e", "scc")} SELECT id, scc_id, scc_size::BIGINT AS scc_size FROM scc')
-def nation_scc(spark: SparkSession, d: str) -> DataFrame:
-    return graph.scc(nation_nodes(spark, d), trade_edges(spark, d)).select("id", "scc_id", long("scc_size"))
+def trade_scc(spark: SparkSession, d: str) -> DataFrame:
+    e, n = _trade(spark, d)
+    return graph.scc(n, e).select("id", "scc_id", long("scc_size"))
+
+
+@query(f'WITH RECURSIVE {_TRADE}, {_closure("er", "scc")} SELECT id, scc_id, scc_size::BIGINT AS scc_size FROM scc')
+def trade_scc_by_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """As of components that no task can hold: trimming, colours and confirmation over all tasks."""
+    e, n = _trade(spark, d)
+    return graph.scc(n, e, runtime_only=True, group=0).select("id", "scc_id", long("scc_size"))
+
+
+@query(f"""WITH RECURSIVE {_TRADE}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(src, dst) AS (SELECT src, dst FROM b UNION SELECT r.src, b.dst FROM r JOIN b ON r.dst = b.src)
+SELECT src AS id, min(least(src, dst)) AS c FROM r GROUP BY src""")
+def weak_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.weak(trade_edges(spark, d)).select("id", "c")
 
 
 @query(f"""WITH RECURSIVE {_TRADE}, {_closure("e", "a")}, {_closure("er", "b")},
@@ -90,41 +117,48 @@ x AS (SELECT count(*) AS n, coalesce(max(scc_size), 0) AS m, count(DISTINCT scc_
 y AS (SELECT count(*) AS n, coalesce(max(scc_size), 0) AS m, count(DISTINCT scc_id) AS k FROM b WHERE scc_size > 1)
 SELECT x.n::BIGINT AS cycle_nodes, x.m::BIGINT AS largest_scc_size, x.k::BIGINT AS scc_count, y.n::BIGINT AS cycle_nodes_runtime, y.m::BIGINT AS largest_scc_size_runtime, y.k::BIGINT AS scc_count_runtime, (x.m - y.m)::BIGINT AS tc_inflation FROM x, y""")
 def runtime_vs_conceptual_scc(spark: SparkSession, d: str) -> DataFrame:
-    t = graph.cycles(nation_nodes(spark, d), trade_edges(spark, d))[1]
+    e, n = _trade(spark, d)
+    t = graph.cycles(n, e)[1]
     return t.select(*[long(c) for c in t.columns])
 
 
-@query(f"""WITH RECURSIVE {_TRADE}, h(id, hops) AS (SELECT 0, 0 UNION SELECT dst, hops + 1 FROM h JOIN e ON src = id WHERE hops < 25)
-SELECT id, min(hops)::BIGINT AS hops FROM h GROUP BY id""")
+_DOWN = "dn(id, h) AS (SELECT id, 0 FROM urgent UNION SELECT dst, h + 1 FROM dn JOIN e ON src = id WHERE h < 40)"
+_UP = "up(id, h) AS (SELECT id, 0 FROM urgent UNION SELECT src, h + 1 FROM up JOIN e ON dst = id WHERE h < 40)"
+
+
+@query(f"WITH RECURSIVE {_TRADE}, {_DOWN} SELECT id, min(h)::BIGINT AS hops FROM dn GROUP BY id")
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
-    seeds_ = nation_nodes(spark, d).where("id = 0").select("id")
-    return graph.hops(trade_edges(spark, d), seeds_).select("id", long("hops"))
+    return graph.hops(trade_edges(spark, d), urgent_nodes(spark, d)).select("id", long("hops"))
 
 
-@query(f"""WITH RECURSIVE {_TRADE}, dn(id, h) AS (SELECT 0, 0 UNION SELECT dst, h + 1 FROM dn JOIN e ON src = id WHERE h < 25),
-up(id, h) AS (SELECT 0, 0 UNION SELECT src, h + 1 FROM up JOIN e ON dst = id WHERE h < 25)
-SELECT n_nationkey AS id, (SELECT min(h) FROM up WHERE up.id = n_nationkey)::BIGINT AS du, (SELECT min(h) FROM dn WHERE dn.id = n_nationkey)::BIGINT AS dd FROM nation""")
+@query(f"""WITH RECURSIVE {_TRADE}, {_DOWN}, {_UP}, a AS (SELECT id, min(h)::BIGINT AS du FROM up GROUP BY id), b AS (SELECT id, min(h)::BIGINT AS dd FROM dn GROUP BY id)
+SELECT id, du, dd FROM n LEFT JOIN a USING (id) LEFT JOIN b USING (id)""")
 def node_distances(spark: SparkSession, d: str) -> DataFrame:
-    n = nation_nodes(spark, d)
-    return graph.distances(n, trade_edges(spark, d), n.where("id = 0")).select("id", long("du"), long("dd"))
+    e, n = _trade(spark, d)
+    return graph.distances(n, e, urgent_nodes(spark, d)).select("id", long("du"), long("dd"))
 
 
-@query(f"""WITH RECURSIVE {_TRADE}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h(id) AS (SELECT 0 UNION SELECT dst FROM h JOIN b ON src = id) SELECT id FROM h""")
+@query(f"WITH RECURSIVE {_TRADE}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h(id) AS (SELECT id FROM urgent UNION SELECT dst FROM h JOIN b ON src = id) SELECT id FROM h")
 def bidirectional_reach(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reachable(trade_edges(spark, d), nation_nodes(spark, d).where("id = 0"), direction="both").select("id")
+    return graph.reachable(trade_edges(spark, d), urgent_nodes(spark, d), direction="both").select("id")
 
 
-@query(f"""WITH RECURSIVE {_TRADE}, h(id, hops) AS (SELECT 0, 0 UNION SELECT dst, hops + 1 FROM h JOIN e ON src = id WHERE hops < 25), g AS (SELECT id, min(hops) AS gen FROM h GROUP BY id)
+@query(f"""WITH RECURSIVE {_TRADE}, {_DOWN}, g AS (SELECT id, min(h) AS gen FROM dn GROUP BY id)
 SELECT id, gen::BIGINT AS gen, (row_number() OVER (PARTITION BY gen ORDER BY id) - 1)::BIGINT AS gen_idx FROM g""")
 def reach_node_order(spark: SparkSession, d: str) -> DataFrame:
-    o = graph.node_order(graph.hops(trade_edges(spark, d), nation_nodes(spark, d).where("id = 0")))
+    o = graph.node_order(graph.hops(trade_edges(spark, d), urgent_nodes(spark, d)))
     return o.select("id", long("gen"), long("gen_idx"))
 
 
-@query("SELECT unnest(['in_equals_out', 'no_dangling_edge', 'scc_sizes_sum_to_nodes']) AS rule, 0::BIGINT AS n")
+@query(f"""WITH RECURSIVE {_TRADE}, {_closure("e", "scc")}, k AS (SELECT id FROM urgent),
+s AS (SELECT DISTINCT scc_id, scc_size FROM scc)
+SELECT 'in_equals_out' AS rule, 0::BIGINT AS n UNION ALL
+SELECT 'no_dangling_edge', (SELECT count(*) FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) WHERE id NOT IN (SELECT id FROM k)) UNION ALL
+SELECT 'scc_sizes_sum_to_nodes', abs((SELECT sum(scc_size) FROM s) - (SELECT count(*) FROM k))::BIGINT""")
 def graph_invariants(spark: SparkSession, d: str) -> DataFrame:
-    n, e = nation_nodes(spark, d), trade_edges(spark, d)
-    return graph.violations(n, graph.adjacency(e, n), graph.scc(n, e))
+    """Of a graph that breaks them: the nodes are only those of urgent orders, edges and components those of all."""
+    e, n = _trade(spark, d)
+    return graph.violations(urgent_nodes(spark, d), graph.adjacency(e, n), graph.scc(n, e))
 
 
 def supply_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -313,13 +347,22 @@ def clone_statistics(spark: SparkSession, d: str) -> DataFrame:
 # == routes and crosstalk
 
 
+_NAMED_ID = "regexp_full_match(x, '[0-9]+|:.*|[{].*[}]|<.*>') OR regexp_full_match(lower(x), '[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}') OR (length(x) >= 12 AND regexp_full_match(lower(x), '(0x)?[0-9a-f]+'))"
+
+
+def _segments(c: str) -> str:
+    """By splitting, not by the patterns of the operator."""
+    plain = f"split_part(split_part(trim({c}), '#', 1), '?', 1)"
+    path = f"CASE WHEN contains({plain}, '://') THEN array_to_string(string_split({plain}, '/')[4:], '/') ELSE {plain} END"
+    return f"list_filter(string_split({path}, '/'), lambda x: x <> '')"
+
+
 def _route(c: str) -> str:
-    return f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({c}), '[?#].*$', ''), '{keys.SCHEME_AND_HOST}', '/'), '^([^/]|$)', '/\\1'), '/+', '/', 'g'), '(.)/$', '\\1')"""
+    return f"'/' || array_to_string({_segments(c)}, '/')"
 
 
 def _key(c: str) -> str:
-    one = f"CASE WHEN x <> '' AND (regexp_matches(x, '^(:.*|\\{{.*\\}}|<.*>|\\d+|{keys.UUID})$') OR length(x) >= 12 AND regexp_matches(x, '^(0x)?{keys.HEX}+$')) THEN ':id' ELSE x END"
-    return f"'http:GET:' || array_to_string(list_transform(string_split({_route(c)}, '/'), lambda x: {one}), '/')"
+    return f"'http:GET:/' || array_to_string(list_transform({_segments(c)}, lambda x: CASE WHEN {_NAMED_ID} THEN ':id' ELSE x END), '/')"
 
 
 @query(f"SELECT page_id, {_route('url')} AS route, {_key('url')} AS key FROM pages")
@@ -328,17 +371,22 @@ def route_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The first folders of each top-level domain's pages as its routes, links of the pages as calls."""
     p = table(spark, d, "pages")
     none = F.lit(None).cast("string")
-    sure = F.when(F.col("url").startswith("https"), F.lit(1.0)).otherwise(F.when(F.col("url").contains("utm_"), F.lit(0.4)).otherwise(F.lit(0.8)))
-    a = p.select(F.col("page_id").alias("node_id"), F.lit(0).alias("seq"), F.lit("http_route").alias("kind"), keys.http_key(F.lit("get"), F.col("url")).alias("join"), F.lit(1).alias("line"), F.lit(0).alias("col"), none.alias("syntax"), sure.alias("confidence"))
+    site = F.regexp_extract("url", r"example\.([a-z]+)", 1)
+    node = F.when(site == "com", 1).when(site == "net", 2).when(site == "org", 3).cast("long")
+    a = p.select(node.alias("node_id"), F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^/?#]+)", 1).alias("target")).where("node_id IS NOT NULL AND target <> ''").distinct()
+    sure = F.when(F.col("node_id") == 1, F.lit(1.0)).when(F.col("node_id") == 2, F.lit(0.8)).otherwise(F.lit(0.4))
+    a = a.select("node_id", F.lit(0).alias("seq"), F.lit("http_route").alias("kind"), keys.http_key(F.lit("get"), F.col("target")).alias("join"), F.lit(1).alias("line"), F.lit(0).alias("col"), none.alias("syntax"), sure.alias("confidence"))
     href = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
     b = p.select(F.col("page_id").alias("node_id"), F.posexplode(href).alias("seq", "target"))
     b = b.select("node_id", "seq", F.lit("http_call").alias("kind"), keys.http_key(F.lit("get"), F.col("target")).alias("join"), F.lit(1).alias("line"), F.lit(0).alias("col"), none.alias("syntax"), F.lit(None).cast("double").alias("confidence"))
     return a, b
 
 
-_SIDES = f"""a AS (SELECT page_id, {_key('url')} AS join_key, CASE WHEN starts_with(url, 'https') THEN 1.0 WHEN contains(url, 'utm_') THEN 0.4 ELSE 0.8 END::DOUBLE AS conf FROM pages),
+_SIDES = f"""site AS (SELECT DISTINCT list_position(['com', 'net', 'org'], regexp_extract(url, 'example[.]([a-z]+)', 1))::BIGINT AS page_id, split_part(split_part(split_part(split_part(url, '://', 2), '/', 2), '?', 1), '#', 1) AS folder FROM pages),
+a AS (SELECT page_id, {_key("('/' || folder)")} AS join_key, CASE page_id WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.4 END::DOUBLE AS conf FROM site WHERE page_id > 0 AND folder <> ''),
 b AS (SELECT page_id, {_key('h')} AS join_key FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS h FROM pages))"""
 
 
@@ -475,9 +523,9 @@ def alias_inverted_index(spark: SparkSession, d: str) -> DataFrame:
 # == coverage and roll-ups
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def missing_anti(spark: SparkSession, d: str) -> DataFrame:
-    return rel.missing_from(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return rel.missing_from(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])
 
 
 @query("SELECT c_mktsegment, count(*)::BIGINT AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY 1")

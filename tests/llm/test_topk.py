@@ -27,11 +27,18 @@ def test_equals_brute_force_with_many_tiles_levels_and_ties(spark):
     x[200:230] = 2 * x[200]
     ids = rng.permutation(10_000)[:400]
     want = brute(ids, x.astype(float), 5)
-    for how in ({"tile": 1000}, {"tile": 60, "fan_in": 2}, {"tile": 130, "fan_in": 2}):
+    for how in ({"tile": 1000}, {"tile": 60, "fan_in": 2, "asked": 90}):
         got = topk.top_k(frame(spark, ids, x), 5, dim=8, **how).collect()
         assert {(r.vec_id, r["rank"], r.neighbor_id) for r in got} == want and len(got) == len(want)
 
 
+def test_queries_are_chosen_and_searched_in_all(spark):
+    rng = np.random.default_rng(4)
+    x, ids = rng.normal(size=(300, 6)).astype(np.float32), np.arange(300)
+    got = topk.top_k(frame(spark, ids, x).repartition(5), 4, queries=F.col("vec_id") % 50 == 0, dim=6, tile=32, fan_in=2).collect()
+    assert {(r.vec_id, r["rank"], r.neighbor_id) for r in got} == {w for w in brute(ids, x.astype(float), 4) if w[0] % 50 == 0}
+
+
 def test_strips_do_not_matter():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(90, 6))

@@ -26,6 +26,18 @@ def test_equals_sql_at_any_bucket_size(spark):
     assert keyed(mixing.mix(docs)) == want == keyed(mixing.mix(docs, bucket_rows=7)) == keyed(mixing.mix(docs, bucket_rows=100))
 
 
+def test_ranges_are_small_however_ids_lie(spark):
+    """A third of the rows without an id, a third with one id, the others close together or far away."""
+    data = [(None, f"n{i}", "en", "big", 0) for i in range(300)] + [(77, f"t{i}", "en", "big", 0) for i in range(300)]
+    data += [(1000 + i, f"c{i}", "en", "big", 0) for i in range(200)] + [(10**15 * (i + 1), f"f{i}", "en", "mid", 0) for i in range(100)]
+    docs = spark.createDataFrame(data, DOCS)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = Counter(con.sql(f"SELECT doc_id, text, copy_no FROM ({mixing.sql_over('documents')})").fetchall())
+    got = mixing.mix(docs, bucket_rows=10)
+    assert Counter((r.doc_id, r.text, r.copy_no) for r in got.collect()) == want
+
+
 def test_shares_and_even_spread(spark):
     docs = spark.createDataFrame([(i, "x" * 10, "en", "a" if i < 300 else "b", 10) for i in range(1000)], DOCS)
     got = keyed(mixing.mix(docs, targets={"a": 3, "b": 1}))

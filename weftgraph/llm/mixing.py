@@ -5,9 +5,10 @@ characters. Expected copies are prefix-summed in document order within the sourc
 per source is added, and a document is emitted once for every integer boundary its interval crosses.
 All arithmetic is in millionths, as integers, so that the sums are exact at any length.
 
-The prefix sum is distributed: ids are cut into equal-width buckets, (source, bucket) counts are
-summed over buckets, and only ranks inside a bucket need a sort. A hot source is therefore spread
-over as many tasks as it has buckets.
+The prefix sum is distributed: ids are cut at quantiles, and what lies between two of them into as many equal
+ranges as its rows need; an id that is itself many rows, the null id too, is a range of its own and cut by
+hashes of the texts. (source, range) counts are summed over ranges, and only ranks inside a range need a
+sort. A hot source is therefore spread over as many tasks as it has ranges, however its ids lie.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 UNIT = 1_000_000
+CUTS = 255  # quantiles
 
 
 def _offset(source: Column, seed: int) -> Column:
@@ -44,15 +46,23 @@ def mix(
 
     Defined cases: a null source is a source of its own; null and empty texts count 0 characters; a
     source without any character keeps each document once; null ids sort first; repeated rows are
-    documents of their own, ordered by id, then text; an input column ``copy_no`` is replaced; an
+    documents of their own, ordered by id, then the MD5 of the text, then a hash of all columns; an input column ``copy_no`` is replaced; an
     empty table gives an empty result.
     """
     docs = common.without(docs, "copy_no")
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    n_buckets = max(1, -(-rows // bucket_rows))
-    width = max(1, ((high or 0) - (low or 0)) // n_buckets + 1)
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    keyed = docs.withColumns({"__mix_bucket": bucket, "__mix_source": F.struct(F.col("source").alias("s"))})
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / (CUTS + 1) for k in range(1, CUTS + 1)], 10 * CUTS)).first()[0] or []
+    many = sorted({c for c in cuts if cuts.count(c) > 1})
+    known = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<long>")
+    span = 2 * F.size(F.filter(known, lambda c: c <= F.col("doc_id"))) + (~F.col("doc_id").isin(many)).cast("int")
+    keyed = docs.withColumns({"__mix_span": F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(span), "__mix_source": F.struct(F.col("source").alias("s"))})
+    spans = keyed.groupBy("__mix_span").agg(F.min("doc_id").alias("__mix_low"), F.max("doc_id").alias("__mix_high"), F.ceil(F.count(F.lit(1)) / bucket_rows).alias("__mix_parts"))
+    digest = F.md5(F.col("text").cast("binary"))
+    one = F.coalesce(F.col("__mix_low") == F.col("__mix_high"), F.lit(True))
+    by_text = F.coalesce(F.shiftright(F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") * F.col("__mix_parts"), 28), F.lit(0))
+    by_id = F.floor((F.col("doc_id") - F.col("__mix_low")) / F.ceil((F.col("__mix_high") - F.col("__mix_low") + 1) / F.col("__mix_parts"))).cast("long")
+    part = F.when(F.col("__mix_parts") == 1, F.lit(0)).when(one, by_text).otherwise(by_id).cast("long")
+    # at most two spans a quantile
+    keyed = keyed.join(F.broadcast(spans), "__mix_span").withColumn("__mix_bucket", F.struct(F.col("__mix_span").alias("span"), part.alias("part"))).drop("__mix_span", "__mix_low", "__mix_high", "__mix_parts")
     counts = keyed.groupBy("__mix_source", "__mix_bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).alias("chars")
     )
@@ -80,7 +90,7 @@ def mix(
         "__mix_bucket",
         (F.sum("n").over(by_source.orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__mix_before"),
     ).join(rates, "__mix_source")
-    place = F.row_number().over(Window.partitionBy("__mix_source", "__mix_bucket").orderBy("doc_id", "text"))
+    place = F.row_number().over(Window.partitionBy("__mix_source", "__mix_bucket").orderBy("doc_id", digest, F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map"])))
     ranked = keyed.join(before, ["__mix_source", "__mix_bucket"]).withColumn("__mix_rank", F.col("__mix_before") + place)
     crossed = F.expr(
         f"(__mix_e * __mix_rank + __mix_u) div {UNIT} - (__mix_e * (__mix_rank - 1) + __mix_u) div {UNIT}"
@@ -99,7 +109,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_over(docs: str, columns: str = "doc_id, text, lang, source, n_chars") -> str:
     """The same in DuckDB SQL, over the table or subquery ``docs``."""
     return f"""
-WITH d AS (SELECT {columns}, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS rn FROM {docs}),
+WITH d AS (SELECT {columns}, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, md5(text) NULLS FIRST) AS rn FROM {docs}),
 s AS (SELECT source, sum(coalesce(length(text), 0))::BIGINT AS size FROM d GROUP BY source),
 a AS (SELECT sum(size)::BIGINT AS all_size, sum(sqrt(size::DOUBLE)) FILTER (size > 0) AS all_weight FROM s),
 r AS (SELECT source,

@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     if sc._jsc.sc().getCheckpointDir().isEmpty():

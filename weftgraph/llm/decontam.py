@@ -172,12 +172,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, r
     parts = max(1, -(-chars // part_chars))
     found: DataFrame | None = None
     for k in range(parts):
-        rows = given.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        items = items_of([r[0] for r in rows], [r[1] for r in rows])
+        rows = given.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").toArrow()
+        items = items_of(*(c.to_pylist() for c in rows.columns))
         df = np.zeros(len(items.grams) + 1, np.int64)
         counted = slim.mapInArrow(_counter(items), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-        for g, n in counted.collect():
-            df[g] = n
+        counts = counted.toArrow()  # no more rows than the part of the items has 3-grams
+        gram, n = (np.asarray(c.combine_chunks()).astype(np.int64) for c in counts.columns)
+        df[gram] = n
         seeds = rare_seeds(items, df[:-1], max(10.0, rare * df[-1]))
         hits = slim.mapInArrow(_aligner(items, seeds, least), "doc_id long, item_id long, score double")
         found = hits if found is None else found.union(hits)

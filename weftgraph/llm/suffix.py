@@ -136,12 +136,14 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, entry, interval) in merged order; entries of an interval share their first WINDOW words."""
     sizes = np.array([len(x.bwt) for x in shards])
     base = np.cumsum(sizes) - sizes
-    bwt = np.concatenate([x.bwt for x in shards])
+    # the symbols are ranked once; a round only counts them, in the order that the one before it left
+    distinct, rank = np.unique(np.concatenate([x.bwt for x in shards]), return_inverse=True)
+    rank = rank.astype(np.uint16 if len(distinct) <= 1 << 16 else np.int32)
     z = np.repeat(np.arange(len(shards)), sizes)
     interval = np.zeros(len(z), np.int64)
     place = np.arange(len(z))  # in the concatenation of the shards' orders
     for _ in range(ROUNDS):
-        symbol = bwt[place]
+        symbol = rank[place]
         order = np.argsort(symbol, kind="stable")
         z, symbol, interval = z[order], symbol[order], interval[order]
         fresh = np.ones(len(z), bool)

@@ -12,6 +12,8 @@ def shared_folder(spark: SparkSession) -> str:
     """What the session names in ``spark.checkpoint.dir``; a folder of this machine only where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

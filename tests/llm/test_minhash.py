@@ -82,7 +82,7 @@ def test_recall_from_the_threshold_up():
     hits, all_ = 0, 0
     for _ in range(40):
         base = " ".join(prose(rng, 300))
-        texts = [base, *(edit(rng, base, 0.2) for _ in range(8))]
+        texts = [base, *(edit(rng, base, 0.12) for _ in range(8))]
         best, _ = minhash.signatures(pa.array(texts))
         for k in range(1, 9):
             same = best[0] == best[k]

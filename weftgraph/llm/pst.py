@@ -38,7 +38,7 @@ START, BYTE, FIRST, WORD = 0, 1, 257, 513  # a byte within a spelled word, its f
 PARTS = 3  # of the contexts, which the first round takes in turn, so that a third of what it sends is on disk at once
 LONGEST = 1 << 10  # symbols that a record may carry
 BUCKET = 1 << 20  # occurrences that a bucket is meant to have
-MOST = 1 << 23  # occurrences of a context that one task may hold
+MOST = 1 << 22  # occurrences of a context that one task may hold
 _U = np.uint64
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -325,14 +325,14 @@ def _pack_blocks(known, weight: int):
                 at += 1
                 ids = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), b.column(0).cast(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([weight], pa.int32()), ids, pa.array([pack(n)], pa.binary()), pa.array([pack(np.zeros(len(n)))], pa.binary()), pa.array([pack(sym)], pa.binary()), pa.nulls(1, pa.binary()), pa.array([len(sym) - len(n)], pa.int64())],
-                    names=["block", "weight", "ids", "n", "bits", "sym", "open", "left"],
+                    [pa.array([block]), pa.array([weight], pa.int32()), ids, pa.array([pack(n)], pa.binary()), pa.array([pack(np.zeros(len(n)))], pa.binary()), pa.array([pack(np.arange(len(n), dtype=np.int32))], pa.binary()), pa.array([pack(sym)], pa.binary()), pa.nulls(1, pa.binary()), pa.array([len(sym) - len(n)], pa.int64())],
+                    names=["block", "weight", "ids", "n", "bits", "kept", "sym", "open", "left"],
                 )
 
     return run
 
 
-_BLOCK = "block long, weight int, ids array<long>, n binary, bits binary, sym binary, open binary, left long"
+_BLOCK = "block long, weight int, ids array<long>, n binary, bits binary, kept binary, sym binary, open binary, left long"
 
 
 def _state(sym: np.ndarray, blob: bytes | None, root_p: np.ndarray) -> Open:
@@ -404,8 +404,8 @@ def score(
     total = left = int(tokens.sum()) if train is None else int(blocks.agg(F.sum("left")).first()[0] or 0)
     first, span = True, SPAN
     while left:
-        if not first:  # as long contexts as make a round no larger than the first
-            span = max(SPAN, min(LONGEST, SPAN * total // (4 * left)))
+        if not first:  # as many symbols as the first round had
+            span = max(SPAN, min(LONGEST, SPAN * total // left))
         parts = -(-PARTS * left // total)
         found = []
         for k in range(parts):
@@ -472,15 +472,15 @@ def _answered(blocks: DataFrame, root, first: bool, span: int, buckets: int, par
         state, r = sent(block, 0, False)
         parts = [unpack(x, np.float32, np.int64) for x in got.sort_by("bucket").column("answer").to_pylist()]
         p, n = (np.concatenate(x)[r.of] for x in zip(*parts, strict=True))
-        (size,) = unpack(block.column("n")[0].as_py(), np.int64)
+        (size,), (kept,) = unpack(block.column("n")[0].as_py(), np.int64), unpack(block.column("kept")[0].as_py(), np.int32)
         at, over = state.at[r.rows], n == 0
-        text = np.searchsorted(np.cumsum(size + 1), at[over], side="right")
+        text = kept[np.searchsorted(np.cumsum(size[kept] + 1), at[over], side="right")]
         bits = -np.bincount(text, np.log2(p[over].astype(float)), len(size))
         depth = state.depth[r.rows] + np.where(r.bucket[r.of] & 1, span, 1)
         left = Open(at[~over], depth[~over], p[~over], n[~over])
         return pa.table([block.column("block"), pa.array([pack(bits)], pa.binary()), pa.array([left.packed()], pa.binary())], names=names)
 
-    slim = blocks.where("left > 0").select("block", "weight", "sym", "open", "n")
+    slim = blocks.where("left > 0").select("block", "weight", "sym", "open", "n", "kept")
     replies = slim.mapInArrow(send, "bucket long, block long, blob binary")
     replies = replies.groupBy("bucket").applyInArrow(answer, "block long, bucket long, answer binary")
     return common.settle(slim.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(take, "block long, bits binary, open binary"), "found")
@@ -494,7 +494,15 @@ def _updated(blocks: DataFrame, found: list[DataFrame]) -> DataFrame:
         opens = [Open.of(b) for b in got.column("open").to_pylist()]
         opens = Open(*(np.concatenate([getattr(o, f) for o in opens]) for f in ("at", "depth", "p", "n"))) if opens else None
         left = len(opens.at) if opens else 0
-        made = {"bits": pack(bits), "sym": block.column("sym")[0].as_py() if left else None, "open": opens.packed() if left else None}
+        made = {"bits": pack(bits), "kept": block.column("kept")[0].as_py(), "sym": block.column("sym")[0].as_py() if left else None, "open": opens.packed() if left else None}
+        if left:
+            (kept,), (sym,) = unpack(made["kept"], np.int32), unpack(made["sym"], np.int32)
+            size = unpack(block.column("n")[0].as_py(), np.int64)[0][kept] + 1
+            texts = np.unique(np.searchsorted(np.cumsum(size), opens.at, side="right"))
+            if 2 * size[texts].sum() < len(sym):  # texts without open positions are left behind
+                stay = np.repeat(np.isin(np.arange(len(kept)), texts), size)
+                opens.at = opens.at - np.cumsum(~stay)[opens.at]
+                made |= {"kept": pack(kept[texts]), "sym": pack(sym[stay]), "open": opens.packed()}
         for name, value in made.items():
             block = block.set_column(block.column_names.index(name), name, pa.array([value], pa.binary()))
         return block.set_column(block.column_names.index("left"), "left", pa.array([left], pa.int64()))

@@ -110,6 +110,8 @@ class _Plain:
         self.src.skip(left)
         while self.src.peek(1) in (b"\r", b"\n"):
             self.src.skip(1)
+        if (after := self.src.peek(5)) and after != b"WARC/" and after[:2] != b"\x1f\x8b":
+            raise ValueError(f"the record at byte {self.begin} doesn't end where it says")
 
 
 class _Gzip(_Plain):
@@ -244,7 +246,7 @@ def records(file: pa.NativeFile, tests: dict[str, list[Callable[[object], bool]]
             left = length = int(fields.get("content-length", "0"))
             if length < 0:
                 raise ValueError(f"a negative length in the record at byte {begin}")
-            row: dict[str, object] = {c: fields.get(name) for c, name in _OF_RECORD.items()} | {"content_length": length, "malformed": None}
+            row: dict[str, object] = {c: fields.get(name) for c, name in _OF_RECORD.items()} | {"content_length": length}
             keep = all(fields.get(h) == v for h, v in wanted.items()) and all(t(row[c]) for c, ts in early.items() for t in ts)
             status = kind = text = None
             http_fields: dict[str, str] = {}
@@ -269,7 +271,7 @@ def records(file: pa.NativeFile, tests: dict[str, list[Callable[[object], bool]]
                 raise
             src.at = _resume(src, begin)
             reason = f"{name}: {error}"
-            if mode == "PERMISSIVE" and not wanted and all(t(reason if c == "malformed" else None) for c, ts in tests.items() for t in ts):
+            if mode == "PERMISSIVE" and not wanted and all(t(None) for ts in tests.values() for t in ts):
                 yield (*[None] * (len(_ARROW) - 1), reason)
             continue
         if keep:
@@ -295,7 +297,7 @@ class _Reader(DataSourceReader):
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        columns = {*_OF_RECORD, "content_length", "malformed", *_HTTP}
+        columns = {*_OF_RECORD, "content_length", *_HTTP}  # not malformed: a record that is passed over isn't read to its end
         for f in filters:
             if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in columns and _test(f):
                 self.filters.append(f)
@@ -344,8 +346,8 @@ class WarcSource(DataSource):
     Defined cases: a folder without WARC files gives no rows; headers that a record lacks are null; a
     record of length 0 has the payload ""; chunked, gzip and deflate bodies are undone and read by their charset, UTF-8
     by default, bytes that don't fit as U+FFFD; a malformed or truncated record gives a row of nulls whose column
-    ``malformed`` tells its file and place (DROPMALFORMED: none; FAILFAST: an error), and reading goes on with the next
-    record; with payload=false the payload is null, and HTTP fields are null unless a filter asks for them.
+    ``malformed`` tells its file and place (DROPMALFORMED: none; FAILFAST: an error), unless pushed filters pass it over
+    by its headers, and reading goes on with the next record; with payload=false the payload is null, and HTTP fields are null unless a filter asks for them.
     """
 
     @classmethod

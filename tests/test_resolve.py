@@ -60,11 +60,11 @@ def test_configs_extend_each_other(spark):
 
 
 def test_aliases_are_for_bare_specs_and_the_root_goes_first(spark):
-    config = '{"compilerOptions": {"baseUrl": ".", "paths": {"*": ["src/*"], "#/*": ["%s/*"]}}}'
-    files = {"tsconfig.json": config % "one", "app/tsconfig.json": config % "two", "app/x.ts": "import './foo';\nimport '/foo';\nimport 'foo';\nimport '#/a';\nimport '#/b';", "src/foo.ts": "", "one/a.ts": "", "app/two/a.ts": "", "app/two/b.ts": ""}
+    config = '{"compilerOptions": {"baseUrl": ".", "paths": {"*": ["src/*"], "~/*": ["%s/*"]}}}'
+    files = {"tsconfig.json": config % "one", "app/tsconfig.json": config % "two", "app/x.ts": "import './foo';\nimport '/foo';\nimport 'foo';\nimport '~/a';\nimport '~/b';", "src/foo.ts": "", "one/a.ts": "", "app/two/a.ts": "", "app/two/b.ts": ""}
     df, _, refs, _ = tables(spark, files)
     links = resolve.web(refs, df.select("path"), resolve.effective_configs(resolve.ts_configs(df)))
-    assert hits(links) == {("app/x.ts", "foo", "src/foo.ts"), ("app/x.ts", "#/a", "one/a.ts"), ("app/x.ts", "#/b", "app/two/b.ts")}
+    assert hits(links) == {("app/x.ts", "foo", "src/foo.ts"), ("app/x.ts", "~/a", "one/a.ts"), ("app/x.ts", "~/b", "app/two/b.ts")}
 
 
 def test_configs_may_extend_in_circles(spark):

@@ -404,8 +404,8 @@ def score(
     total = left = int(tokens.sum()) if train is None else int(blocks.agg(F.sum("left")).first()[0] or 0)
     first, span = True, SPAN
     while left:
-        if not first:  # as many symbols as the first round had
-            span = max(SPAN, min(LONGEST, SPAN * total // left))
+        if not first:  # a fourth of the symbols of the first round
+            span = max(SPAN, min(LONGEST, SPAN * total // (4 * left)))
         parts = -(-PARTS * left // total)
         found = []
         for k in range(parts):

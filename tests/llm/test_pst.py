@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -136,3 +137,17 @@ def test_edge_cases(spark):
     assert pst.score(docs.limit(0)).count() == 0
     assert pst.score(docs.where("doc_id = 2")).first().bits_per_symbol is None
     assert pst.score(docs.where("doc_id = 3"), docs.limit(0)).count() == 1
+
+
+def test_a_full_bucket_fits_beside_another_task():
+    """A bucket with the largest context that one task may hold, and as many other records as it is meant to have."""
+    rng = np.random.default_rng(5)
+    n = pst.MOST + pst.BUCKET
+    older = [rng.zipf(1.3, n).clip(max=50_000).astype(np.int32) + pst.WORD for _ in range(pst.SPAN)]
+    older[0][: pst.MOST] = pst.WORD
+    after, p = rng.integers(pst.WORD, pst.WORD + 50_000, n).astype(np.int32), np.full(n, 1e-4, np.float32)
+    tracemalloc.start()
+    got, left = pst.answers(np.zeros(n, np.uint64), older, after, p, np.ones(n, np.uint32), 5.0, 2, 1.0)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(got) == len(left) == n and (got != p).any() and peak < 450

@@ -38,7 +38,10 @@ START, BYTE, FIRST, WORD = 0, 1, 257, 513  # a byte within a spelled word, its f
 PARTS = 3  # of the contexts, which the first round takes in turn, so that a third of what it sends is on disk at once
 LONGEST = 1 << 10  # symbols that a record may carry
 BUCKET = 1 << 20  # occurrences that a bucket is meant to have
-MOST = 1 << 22  # occurrences of a context that one task may hold
+MOST = 1 << 21  # occurrences of a context that one task may hold
+LARGE = (1 << 32) - 1  # occurrences are told up to this, far beyond what a task may hold
+HELD = 1 << 18  # records of whole contexts that a bucket works on at a time
+PIECE = 1 << 17  # bytes whose products are in memory at once
 _U = np.uint64
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -70,18 +73,44 @@ def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     edge[off[:-1][np.diff(off) > 0]] = True
     start = np.flatnonzero(edge)
     end = np.append(start[1:], n)
-    value = (data.astype(_U) + _U(1)) * textvec.powers(textvec.BASE, n)
-    h = textvec.mix(np.add.reduceat(value, start) * textvec.powers(textvec.INV, n)[start])
+    h = np.empty(len(start), _U)
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, n, PIECE)), len(start)))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        b, e = start[i], end[j - 1]
+        value = (data[b:e].astype(_U) + _U(1)) * textvec.powers(textvec.BASE, e - b)
+        h[i:j] = np.add.reduceat(value, start[i:j] - b) * textvec.powers(textvec.INV, e - b)[start[i:j] - b]
+    h = textvec.mix(h)
     told = (end - start > 1) | (data[start] != 32)
     start, end, h = start[told], end[told], h[told]
     return data, start, end, np.searchsorted(off, start, side="right") - 1, h
 
 
-def symbols(texts: pa.Array, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, a START before each, and how many each has; ``known``: sorted hashes of the words that are symbols."""
+def heads(known: np.ndarray) -> np.ndarray:
+    """Where the hashes of each value of their first BITS bits begin among the sorted ``known``."""
+    return np.searchsorted(known, np.arange(SIZE, dtype=_U) << _U(64 - BITS)).astype(np.int32)
+
+
+def found_in(known: np.ndarray, head: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``known``, whether it is there) of each hash: few of them share their first bits."""
+    if not len(known):
+        return np.zeros(len(h), np.int32), np.zeros(len(h), bool)
+    last = len(known) - 1
+    at = np.minimum(head[(h >> _U(64 - BITS)).astype(np.int32)], last)
+    there = known[at]
+    hit = there == h
+    more = np.flatnonzero((there < h) & (at < last))
+    while len(more):
+        at[more] += 1
+        there = known[at[more]]
+        hit[more] = there == h[more]
+        more = more[(there < h[more]) & (at[more] < last)]
+    return at, hit
+
+
+def symbols(texts: pa.Array, known: np.ndarray, rank: np.ndarray, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts, a START before each, and how many each has; ``known``: sorted hashes of the words that are symbols, ``head``: their ``heads``."""
     data, start, end, text, h = segments(texts)
-    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-    hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+    at, hit = found_in(known, heads(known) if head is None else head, h)
     size = np.where(hit, 1, end - start)
     n = np.bincount(text, size, len(texts)).astype(np.int64)
     out = np.zeros(int(n.sum()) + len(texts), np.int32)
@@ -157,18 +186,19 @@ class Open:
     n: np.ndarray
 
     def packed(self) -> bytes:
-        return pack(self.at.astype(np.int32), self.depth.astype(np.int32), self.p.astype(np.float32), self.n.astype(np.int64))
+        return pack(self.at.astype(np.int32), self.depth.astype(np.int32), self.p.astype(np.float32), self.n.astype(np.uint32))
 
     @classmethod
     def of(cls, blob: bytes) -> Open:
-        return cls(*unpack(blob, np.int32, np.int32, np.float32, np.int64))
+        return cls(*unpack(blob, np.int32, np.int32, np.float32, np.uint32))
 
 
 @dataclass
 class Records:
     """What a block sends in a round: distinct records in order of bucket, and which record each open position has."""
 
-    rows: np.ndarray  # the open positions that it is about
+    at: np.ndarray  # the open positions that it is about, and the length of their contexts so far
+    depth: np.ndarray
     bucket: np.ndarray
     group: np.ndarray  # hash of the context so far
     older: list[np.ndarray]  # the symbols before it, latest first; but for the first zeros where the context is too common
@@ -178,69 +208,107 @@ class Records:
     of: np.ndarray
 
 
-def records(sym: np.ndarray, state: Open, root: np.ndarray | None, span: int, buckets: int, most: int, weight: int, part: tuple[int, int] = (0, 1), whole: bool = True, often: np.ndarray | tuple = ()) -> Records:
-    """``root``: occurrences of each symbol in the first round, where all contexts are empty and probabilities those of the root.
+@dataclass
+class Places:
+    """Where the first round sends a symbol's contexts: symbols in order of part and bucket."""
 
-    ``part``: (k, n), only those positions whose context is of the k-th of n parts. Without ``whole`` only what tells which record is whose.
-    ``often``: the contexts of two symbols that occur more than ``most`` times.
+    place: np.ndarray  # of each symbol in that order
+    bucket: np.ndarray  # of each place; odd if the symbol is rare enough for its contexts to stay with one task
+    edge: np.ndarray  # where the parts begin, and the end
+
+    @classmethod
+    def of(cls, counts: np.ndarray, buckets: int, parts: int, most: int) -> Places:
+        where = textvec.mix(textvec.mix(np.arange(SIZE, dtype=_U) + _U(1)))
+        bucket = ((where & _U(0xFFFFFFFF)) % _U(buckets)).astype(np.int64) * 2 + (counts <= most)
+        part = ((where >> _U(32)) % _U(parts)).astype(np.int64)
+        order = np.lexsort((bucket, part))
+        place = np.empty(SIZE, np.int32)
+        place[order] = np.arange(SIZE, dtype=np.int32)
+        return cls(place, bucket[order].astype(np.int32), np.searchsorted(part[order], np.arange(parts + 1)))
+
+
+def _counted(fresh: np.ndarray, order: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a position of each record, its count, the record of each position) from which of the positions in order begin records."""
+    first = np.flatnonzero(fresh)
+    of = np.empty(len(order), np.int32)
+    of[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return order[first], np.diff(np.append(first, len(order))) * weight, of
+
+
+def first_records(sym: np.ndarray, places: Places, span: int, weight: int, part: int, whole: bool = True) -> Records:
+    """Of the first round, where all contexts are empty. Without ``whole`` only what tells which record is whose."""
+    place = places.place[sym[:-1]]
+    at = np.flatnonzero((place >= places.edge[part]) & (place < places.edge[part + 1]) & (sym[1:] != START)).astype(np.int32) + np.int32(1)
+    place, after = place[at - 1], sym[at]
+    deep = (places.bucket[place] & 1).astype(np.int32)
+    older = [sym[at - 1]]
+    for j in range(1, span):
+        older.append(np.where(older[-1] != START, sym[np.maximum(at - 1 - j, 0)], START))
+        if j == 1:
+            older[1] *= deep
+    high, low = older[1].astype(_U), after.astype(_U)
+    for j in range(2, span):  # span is 5: two symbols fit beside another one
+        if j < 4:
+            high = (high << _U(BITS)) | older[j].astype(_U)
+        else:
+            low |= older[j].astype(_U) << _U((j - 3) * BITS)
+    # one key to sort by: the place of the latest symbol, the one before it, and the rest shortened to what a word has left
+    rest = (high * _U(textvec.BASE) ^ low) * _U(0xBF58476D1CE4E5B9)
+    key = (place.astype(_U) << _U(64 - BITS)) | (older[1].astype(_U) << _U(64 - 2 * BITS)) | (rest >> _U(2 * BITS))
+    order = np.argsort(key)  # equal records that other ones come between, which shortened keys allow, are sent twice
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = False
+    for k in (place, high, low):
+        k = k[order]
+        fresh[1:] |= k[1:] != k[:-1]
+    one, n, of = _counted(fresh, order, weight)
+    zero = np.zeros(len(at), np.int32)
+    bucket = places.bucket[place[one]].astype(np.int64)
+    if not whole:
+        return Records(at, zero, bucket, one[:0], [], after[:0], one[:0], one[:0], of)
+    return Records(at, zero, bucket, one[:0], [k[one] for k in older], after[one], one[:0], n, of)
+
+
+def records(sym: np.ndarray, state: Open, span: int, buckets: int, most: int, weight: int, part: tuple[int, int], whole: bool, often: np.ndarray) -> Records:
+    """Of later rounds. Without ``whole`` only what tells which record is whose.
+
+    ``part``: (k, n), only those positions whose context is of the k-th of n parts. ``often``: the contexts of two symbols that occur more than ``most`` times.
     """
-    begin = np.maximum.accumulate(np.where(sym == START, np.arange(len(sym)), 0))[state.at]
-    end = state.at.astype(np.int64) - state.depth  # where the context so far begins
+    at, begin = state.at.astype(np.int64), np.maximum.accumulate(np.where(sym == START, np.arange(len(sym)), 0))[state.at]
+    end = at - state.depth  # where the context so far begins
     oldest = np.where(end - 1 > begin, sym[end - 1], START)
-    if root is not None:
-        group = np.zeros(len(end), _U)
-        where = textvec.mix(textvec.mix(np.arange(SIZE, dtype=_U) + _U(1)))  # of each symbol
-        if part[1] > 1:
-            rows = np.flatnonzero(((where >> _U(32)) % _U(part[1]) == _U(part[0]))[oldest])
-        else:
-            rows = np.arange(len(end))
-        where = where[oldest[rows]]
-    else:
-        sums = np.zeros(len(sym) + 1, _U)
-        np.cumsum((sym.astype(_U) + _U(1)) * textvec.powers(textvec.BASE, len(sym)), dtype=_U, out=sums[1:])
-        group = textvec.run_hash(sums, end, state.at.astype(np.int64))
-        where = textvec.mix(group ^ textvec.mix(oldest.astype(_U) + _U(1)))
+    sums = np.zeros(len(sym) + 1, _U)
+    np.cumsum((sym.astype(_U) + _U(1)) * textvec.powers(textvec.BASE, len(sym)), dtype=_U, out=sums[1:])
+    group = textvec.run_hash(sums, end, at)
+    where = textvec.mix(group ^ textvec.mix(oldest.astype(_U) + _U(1)))
+    if part[1] > 1:
         rows = np.flatnonzero((where >> _U(32)) % _U(part[1]) == _U(part[0]))
-        where = where[rows]
-    begin, end, group, oldest, after = begin[rows], end[rows], group[rows], oldest[rows], sym[state.at[rows]]
-    if root is not None:
-        deep = root[oldest] <= most
-    else:
-        deep = state.n[rows] <= most
-        # of two symbols it was counted beforehand which are too common
-        two = np.flatnonzero(~deep & (state.depth[rows] == 1))
-        pair = (sym[state.at[rows[two]] - 1].astype(np.int64) << BITS) | oldest[two]
-        deep[two] = ~np.isin(pair, often)
+        at, begin, end, oldest, group, where = (x[rows] for x in (at, begin, end, oldest, group, where))
+        state = Open(*(x[rows] for x in (state.at, state.depth, state.p, state.n)))
+    after = sym[at]
+    deep = state.n <= most
+    # of two symbols it was counted beforehand which are too common
+    two = np.flatnonzero(~deep & (state.depth == 1))
+    pair = (sym[at[two] - 1].astype(np.int64) << BITS) | oldest[two]
+    deep[two] = ~np.isin(pair, often)
     bucket = (where & _U(0xFFFFFFFF)) % _U(buckets) * _U(2) + deep
 
-    def older(j: int, these: np.ndarray | slice = slice(None)) -> np.ndarray:
+    def older(j: int, these: np.ndarray) -> np.ndarray:
         i = end[these] - 1 - j
         found = np.where(i > begin[these], sym[np.maximum(i, 0)], START)
         return found if j == 0 else found * deep[these]
 
-    if root is not None:
-        high, low = oldest.astype(_U), after.astype(_U)
-        for j in range(1, 3):
-            high = (high << _U(BITS)) | older(j).astype(_U)
-        for j in range(3, span):
-            low |= older(j).astype(_U) << _U((j - 2) * BITS)
-        # one key to sort by: the two latest symbols, and the rest shortened to what a word has left
-        key = (high >> _U(BITS) << _U(64 - 2 * BITS)) | (textvec.mix(textvec.mix(low) ^ high) >> _U(2 * BITS))
-    else:
-        sent = textvec.run_hash(sums, np.maximum(begin, end - np.where(deep, span, 1)), np.maximum(begin, end))
-        high, low = textvec.mix(group ^ textvec.mix(sent)), after.astype(_U)
-        key = (group & ~_U(0xFFFFFFFF)) | (textvec.mix(high ^ textvec.mix(low)) >> _U(32))
-    order = np.argsort(key)  # equal records that other ones come between, which shortened keys allow, are sent twice
+    sent = textvec.run_hash(sums, np.maximum(begin, end - np.where(deep, span, 1)), np.maximum(begin, end))
+    high, low = textvec.mix(group ^ textvec.mix(sent)), after.astype(_U)
+    key = (group & ~_U(0xFFFFFFFF)) | (textvec.mix(high ^ textvec.mix(low)) >> _U(32))
+    order = np.argsort(key)
     order = order[np.argsort(bucket[order].astype(np.uint16), kind="stable")] if 2 * buckets < 1 << 16 else order[np.argsort(bucket[order], kind="stable")]
     fresh = np.ones(len(order), bool)
     fresh[1:] = np.any([k[1:] != k[:-1] for k in (high[order], low[order], bucket[order])], axis=0)
-    first = np.flatnonzero(fresh)
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(fresh) - 1
-    one = order[first]
+    one, n, of = _counted(fresh, order, weight)
     if not whole:
-        return Records(rows, bucket[one].astype(np.int64), group[:0], [], after[:0], state.p[:0], first[:0], of)
-    return Records(rows, bucket[one].astype(np.int64), group[one], [older(j, one) for j in range(span)], after[one], state.p[rows[one]], np.diff(np.append(first, len(order))) * weight, of)
+        return Records(state.at, state.depth, bucket[one].astype(np.int64), group[:0], [], after[:0], state.p[:0], one[:0], of)
+    return Records(state.at, state.depth, bucket[one].astype(np.int64), group[one], [older(j, one) for j in range(span)], after[one], state.p[one], n, of)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -280,25 +348,46 @@ def tested(key: np.ndarray, n: np.ndarray, p: np.ndarray, critical: float, least
     return q[np.cumsum(fresh) - 1], first[new], (hope >= critical) & (total > least)
 
 
-def answers(group: np.ndarray, older: list[np.ndarray], after: np.ndarray, p: np.ndarray, n: np.ndarray, critical: float, least: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """(probability, occurrences of the last context if longer ones may be states, else 0) of each record of a bucket."""
-    p, open_ = p.astype(float), np.zeros(len(after), np.int64)
-    rows = np.argsort(group, kind="stable")
-    at = group[rows]
-    for level, column in enumerate(older):
+def answers(group: np.ndarray | None, older: list[np.ndarray], after: np.ndarray, p: np.ndarray, n: np.ndarray, critical: float, least: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, occurrences of the last context if longer ones may be states, else 0) of each record of a bucket; ``group``: None where all contexts are empty."""
+    p, open_ = p.astype(np.float32), np.zeros(len(after), np.uint32)
+    at = np.zeros(len(after), _U)
+    if group is not None:
+        rows = np.argsort(group)
+        at[rows[1:]] = np.cumsum(group[rows[1:]] != group[rows[:-1]]).astype(_U)
+        del rows
+    key = (at << _U(2 * BITS)) | (older[0].astype(_U) << _U(BITS)) | after.astype(_U)
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] >> _U(BITS)) != (key[:-1] >> _U(BITS))])) if len(key) else np.empty(0, np.int64)
+    new = np.append(new[np.unique(np.searchsorted(new, np.arange(0, len(key), HELD)).clip(max=max(0, len(new) - 1)))], len(key))
+    for i, j in zip(new[:-1], new[1:], strict=True):
+        rows = order[i:j]
+        p[rows], open_[rows] = _longer(key[i:j], rows, older, after[rows], p[rows].astype(float), n[rows].astype(np.int64), critical, least, weight)
+    return p, open_
+
+
+def _longer(key: np.ndarray, these: np.ndarray, older: list[np.ndarray], after: np.ndarray, p: np.ndarray, n: np.ndarray, critical: float, least: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same of ``these`` records, which are whole contexts; ``key``: sorted, those contexts with the oldest symbol above the symbol after them."""
+    p, first, alive = tested(key, n, p, critical, least, weight)
+    alive &= (key[first] >> _U(BITS)) & _U(_MASK) != START
+    size = np.diff(np.append(first, len(key)))
+    rows = np.flatnonzero(np.repeat(alive, size))
+    at = np.repeat(np.arange(len(first)), size)[rows]
+    open_ = np.zeros(len(key), np.uint32)
+    for column in older[1:]:
         if not len(rows):
             break
         new = np.concatenate([[True], at[1:] != at[:-1]])
-        head, at, symbol = np.flatnonzero(new), np.cumsum(new) - 1, column[rows]
+        head, at, symbol = np.flatnonzero(new), np.cumsum(new) - 1, column[these[rows]]
         low = np.minimum.reduceat(symbol, head)
-        # the first symbol chose the bucket, so others of the same context may be elsewhere
-        split = low != np.maximum.reduceat(symbol, head) if level else np.ones(len(head), bool)
+        split = low != np.maximum.reduceat(symbol, head)
         # contexts all of whose occurrences go on alike are no other than the shorter one; beyond a text's start is nothing
         stays = (~split & (low != START))[at]
         r = np.flatnonzero(split[at])
         if len(r):
             key = (at[r].astype(_U) << _U(2 * BITS)) | (symbol[r].astype(_U) << _U(BITS)) | after[rows[r]].astype(_U)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             r, key = r[order], key[order]
             p[rows[r]], first, alive = tested(key, n[rows[r]], p[rows[r]], critical, least, weight)
             alive &= symbol[r[first]] != START
@@ -310,17 +399,17 @@ def answers(group: np.ndarray, older: list[np.ndarray], after: np.ndarray, p: np
             rows, at = rows[stays], at[stays]
     if len(rows):
         head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        total = np.add.reduceat(n[rows], head)
-        open_[rows] = np.repeat(total, np.diff(np.append(head, len(rows))))
+        total = np.minimum(np.add.reduceat(n[rows], head), LARGE)
+        open_[rows] = np.repeat(total, np.diff(np.append(head, len(rows)))).astype(np.uint32)
     return p.astype(np.float32), open_
 
 
 def _pack_blocks(known, weight: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, head = TaskContext.get().partitionId(), 0, heads(known.value[0])
         for whole in batches:
             for b in textvec.chunks(whole, 1, 4 << 20):
-                sym, n = symbols(b.column(1), *known.value)
+                sym, n = symbols(b.column(1), *known.value, head)
                 block = (weight << 62) | (part << 32) | at
                 at += 1
                 ids = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), b.column(0).cast(pa.int64()))
@@ -335,14 +424,6 @@ def _pack_blocks(known, weight: int):
 _BLOCK = "block long, weight int, ids array<long>, n binary, bits binary, kept binary, sym binary, open binary, left long"
 
 
-def _state(sym: np.ndarray, blob: bytes | None, root_p: np.ndarray) -> Open:
-    if blob is not None:
-        return Open.of(blob)
-    at = np.flatnonzero(sym != START).astype(np.int32)
-    zero = np.zeros(len(at), np.int64)
-    return Open(at, zero, root_p[sym[at]], zero)
-
-
 def _symbol_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(SIZE, np.int64)
     for b in batches:
@@ -400,16 +481,18 @@ def score(
     hot = sc.broadcast(counts > most)
     pairs = blocks.where("weight = 1").select("sym").mapInArrow(_pair_counts(hot), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > most)
     often = np.asarray(pairs.select("pair").toArrow().column(0).combine_chunks()).astype(np.int64)  # no more than occurrences over ``most``
-    root = sc.broadcast((counts, root_p, often))
     total = left = int(tokens.sum()) if train is None else int(blocks.agg(F.sum("left")).first()[0] or 0)
-    first, span = True, SPAN
+    first, span, parts = True, SPAN, PARTS
+    places = sc.broadcast((Places.of(counts, max(1, -(-left // (min(most, BUCKET) * parts))), parts, most), root_p))
+    often = sc.broadcast(often)
     while left:
         if not first:  # a fourth of the symbols of the first round
             span = max(SPAN, min(LONGEST, SPAN * total // (4 * left)))
         parts = -(-PARTS * left // total)
         found = []
         for k in range(parts):
-            found.append(_answered(blocks, root, first, span, max(1, -(-left * span // (min(most, BUCKET) * SPAN * parts))), (k, parts), most, critical, least, weight))
+            buckets = max(1, -(-left * span // (min(most, BUCKET) * SPAN * parts)))
+            found.append(_answered(blocks, places if first else None, often, span, buckets, (k, parts), most, critical, least, weight))
             common.release(blocks)
         was, blocks = blocks, _updated(blocks, found)
         left, first = int(blocks.agg(F.sum("left")).first()[0] or 0), False
@@ -425,19 +508,21 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).flatten(), pa.array(n), pa.array(mean, mask=n == 0)], names=["doc_id", "n_symbols", "bits_per_symbol"])
 
 
-def _answered(blocks: DataFrame, root, first: bool, span: int, buckets: int, part: tuple[int, int], most: int, critical: float, least: int, weight: float) -> DataFrame:
-    """(block, bits, open) after a part of a round: what it adds to the bits of each text, and the positions that stay open."""
+def _answered(blocks: DataFrame, places, often, span: int, buckets: int, part: tuple[int, int], most: int, critical: float, least: int, weight: float) -> DataFrame:
+    """(block, bits, open) after a part of a round: what it adds to the bits of each text, and the positions that stay open; ``places``: with the root's probabilities, in the first round."""
+    first = places is not None
 
-    def sent(b: pa.RecordBatch | pa.Table, i: int, whole: bool = True) -> tuple[Open, Records]:
-        counts, root_p, often = root.value
+    def sent(b: pa.RecordBatch | pa.Table, i: int, whole: bool = True) -> Records:
         (sym,) = unpack(b.column("sym")[i].as_py(), np.int32)
-        state = _state(sym, b.column("open")[i].as_py(), root_p)
-        return state, records(sym, state, counts if first else None, span, buckets, most, b.column("weight")[i].as_py(), part, whole, often)
+        w = b.column("weight")[i].as_py()
+        if first:
+            return first_records(sym, places.value[0], span, w, part[0], whole)
+        return records(sym, Open.of(b.column("open")[i].as_py()), span, buckets, most, w, part, whole, often.value)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                r = sent(b, i)[1]
+                r = sent(b, i)
                 edge = np.flatnonzero(np.diff(r.bucket, prepend=-1, append=-1))
                 blobs = []
                 for s, e in zip(edge[:-1], edge[1:], strict=True):
@@ -459,9 +544,9 @@ def _answered(blocks: DataFrame, root, first: bool, span: int, buckets: int, par
             for x in parts:
                 x[k] = None
         after, n, *more = columns
-        group, p, *older = (np.zeros(len(after), _U), root.value[1][after], *more) if first else more
+        group, p, *older = (None, places.value[1][after], *more) if first else more
         del columns, more
-        p, n = answers(group, older, after, p, n.astype(np.int64), critical, least, weight)
+        p, n = answers(group, older, after, p, n, critical, least, weight)
         blobs = [pack(p[s:e], n[s:e]) for s, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "answer": pa.array(blobs, pa.binary())})
 
@@ -469,15 +554,18 @@ def _answered(blocks: DataFrame, root, first: bool, span: int, buckets: int, par
         names = ["block", "bits", "open"]
         if not got.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=names)
-        state, r = sent(block, 0, False)
-        parts = [unpack(x, np.float32, np.int64) for x in got.sort_by("bucket").column("answer").to_pylist()]
-        p, n = (np.concatenate(x)[r.of] for x in zip(*parts, strict=True))
+        r = sent(block, 0, False)
+        parts = [unpack(x, np.float32, np.uint32) for x in got.sort_by("bucket").column("answer").to_pylist()]
+        p, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        cost, go = -np.log2(p.astype(float)), n > 0
         (size,), (kept,) = unpack(block.column("n")[0].as_py(), np.int64), unpack(block.column("kept")[0].as_py(), np.int32)
-        at, over = state.at[r.rows], n == 0
-        text = kept[np.searchsorted(np.cumsum(size[kept] + 1), at[over], side="right")]
-        bits = -np.bincount(text, np.log2(p[over].astype(float)), len(size))
-        depth = state.depth[r.rows] + np.where(r.bucket[r.of] & 1, span, 1)
-        left = Open(at[~over], depth[~over], p[~over], n[~over])
+        open_ = go[r.of]
+        over = np.flatnonzero(~open_)
+        text = np.repeat(kept, size[kept] + 1)[r.at[over]]
+        bits = np.bincount(text, cost[r.of[over]], len(size))
+        rows = np.flatnonzero(open_)
+        of = r.of[rows]
+        left = Open(r.at[rows], r.depth[rows] + np.where(r.bucket[of] & 1, span, 1), p[of], n[of])
         return pa.table([block.column("block"), pa.array([pack(bits)], pa.binary()), pa.array([left.packed()], pa.binary())], names=names)
 
     slim = blocks.where("left > 0").select("block", "weight", "sym", "open", "n", "kept")

@@ -151,3 +151,18 @@ def test_a_full_bucket_fits_beside_another_task():
     peak = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert len(got) == len(left) == n and (got != p).any() and peak < 450
+
+
+def test_rounds_with_little_left_move_blocks_once(spark, monkeypatch):
+    """A line that many texts share stays open for many rounds; only those in which much is open join blocks a second time."""
+    rounds, joins, answered, updated = [], [], pst._answered, pst._updated
+    monkeypatch.setattr(pst, "_answered", lambda blocks, places, *more: (rounds.append(more[1]), answered(blocks, places, *more))[1])
+    monkeypatch.setattr(pst, "_updated", lambda *those: (joins.append(1), updated(*those))[1])
+    monkeypatch.setattr(pst, "LONGEST", pst.SPAN)
+    rng = random.Random(6)
+    between = " ".join(f"same{k}" for k in range(40))
+    texts = [f"{k} {between} {k * 2}" for k in rng.choices("xyz", k=60)]
+    sym = brute_symbols(texts)
+    got = {r.doc_id: r.bits_per_symbol for r in pst.score(docs_frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(brute_bits(sym, sym, 5.0, 2, 1.0), abs=1e-3)
+    assert len(rounds) - pst.PARTS > 5 and len(joins) <= 2

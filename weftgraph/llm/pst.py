@@ -35,7 +35,7 @@ from . import common, textvec
 BITS, SPAN = 20, 5
 SIZE, _MASK = 1 << BITS, (1 << BITS) - 1
 START, BYTE, FIRST, WORD = 0, 1, 257, 513  # a byte within a spelled word, its first byte, the commonest words
-PARTS = 3  # of the contexts, which the first round takes in turn, so that a third of what it sends is on disk at once
+PARTS = 2  # of the contexts, which the first round takes in turn, so that half of what it sends is on disk at once
 LONGEST = 1 << 10  # symbols that a record may carry
 BUCKET = 1 << 20  # occurrences that a bucket is meant to have
 MOST = 1 << 21  # occurrences of a context that one task may hold
@@ -124,7 +124,7 @@ def symbols(texts: pa.Array, known: np.ndarray, rank: np.ndarray, head: np.ndarr
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, n = k[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
     return k[first], np.add.reduceat(n, first) if len(first) else n
@@ -186,11 +186,12 @@ class Open:
     n: np.ndarray
 
     def packed(self) -> bytes:
-        return pack(self.at.astype(np.int32), self.depth.astype(np.int32), self.p.astype(np.float32), self.n.astype(np.uint32))
+        return pack(np.diff(self.at.astype(np.int32), prepend=np.int32(0)), self.depth.astype(np.int32), self.p.astype(np.float32), self.n.astype(np.uint32))
 
     @classmethod
     def of(cls, blob: bytes) -> Open:
-        return cls(*unpack(blob, np.int32, np.int32, np.float32, np.uint32))
+        at, *rest = unpack(blob, np.int32, np.int32, np.float32, np.uint32)
+        return cls(np.cumsum(at, dtype=np.int32), *rest)
 
 
 @dataclass
@@ -489,12 +490,13 @@ def score(
         if not first:  # a fourth of the symbols of the first round
             span = max(SPAN, min(LONGEST, SPAN * total // (4 * left)))
         parts = -(-PARTS * left // total)
+        small = not first and 8 * left < total  # so that a copy of all that is open doesn't count for the disk
         found = []
         for k in range(parts):
             buckets = max(1, -(-left * span // (min(most, BUCKET) * SPAN * parts)))
-            found.append(_answered(blocks, places if first else None, often, span, buckets, (k, parts), most, critical, least, weight))
+            found.append(_answered(blocks, places if first else None, often, span, buckets, (k, parts), most, critical, least, weight, small))
             common.release(blocks)
-        was, blocks = blocks, _updated(blocks, found)
+        was, blocks = blocks, found.pop() if small else _updated(blocks, found)
         left, first = int(blocks.agg(F.sum("left")).first()[0] or 0), False
         common.release(blocks, was, *found)
     return (blocks if train is None else blocks.where("weight = 0")).select("ids", "n", "bits").mapInArrow(_results, "doc_id long, n_symbols long, bits_per_symbol double")
@@ -508,8 +510,11 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).flatten(), pa.array(n), pa.array(mean, mask=n == 0)], names=["doc_id", "n_symbols", "bits_per_symbol"])
 
 
-def _answered(blocks: DataFrame, places, often, span: int, buckets: int, part: tuple[int, int], most: int, critical: float, least: int, weight: float) -> DataFrame:
-    """(block, bits, open) after a part of a round: what it adds to the bits of each text, and the positions that stay open; ``places``: with the root's probabilities, in the first round."""
+def _answered(blocks: DataFrame, places, often, span: int, buckets: int, part: tuple[int, int], most: int, critical: float, least: int, weight: float, at_once: bool = False) -> DataFrame:
+    """(block, bits, open) after a part of a round: what it adds to the bits of each text, and the positions that stay open; ``places``: with the root's probabilities, in the first round.
+
+    ``at_once``: the blocks after a round of a single part instead.
+    """
     first = places is not None
 
     def sent(b: pa.RecordBatch | pa.Table, i: int, whole: bool = True) -> Records:
@@ -568,37 +573,48 @@ def _answered(blocks: DataFrame, places, often, span: int, buckets: int, part: t
         left = Open(r.at[rows], r.depth[rows] + np.where(r.bucket[of] & 1, span, 1), p[of], n[of])
         return pa.table([block.column("block"), pa.array([pack(bits)], pa.binary()), pa.array([left.packed()], pa.binary())], names=names)
 
-    slim = blocks.where("left > 0").select("block", "weight", "sym", "open", "n", "kept")
+    live = blocks.where("left > 0")
+    slim = live.select("block", "weight", "sym", "open", "n", "kept")
     replies = slim.mapInArrow(send, "bucket long, block long, blob binary")
-    replies = replies.groupBy("bucket").applyInArrow(answer, "block long, bucket long, answer binary")
-    return common.settle(slim.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(take, "block long, bits binary, open binary"), "found")
+    # what was sent is off the disk before blocks are moved
+    replies = common.settle(replies.groupBy("bucket").applyInArrow(answer, "block long, bucket long, answer binary"), "replies")
+    if at_once:
+        over = blocks.where("left = 0")
+        done = common.settle(live.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda block, got: _joined(block, take(block, got)), _BLOCK).union(over), "blocks")
+    else:
+        done = common.settle(slim.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(take, "block long, bits binary, open binary"), "found")
+    common.release(done, replies)
+    return done
+
+
+def _joined(block: pa.Table, got: pa.Table) -> pa.Table:
+    """A block with what the parts of a round found."""
+    bits = unpack(block.column("bits")[0].as_py(), np.float64)[0] + sum(unpack(b, np.float64)[0] for b in got.column("bits").to_pylist())
+    opens = [Open.of(b) for b in got.column("open").to_pylist()]
+    order = np.argsort(np.concatenate([o.at for o in opens])) if opens else None
+    opens = Open(*(np.concatenate([getattr(o, f) for o in opens])[order] for f in ("at", "depth", "p", "n"))) if opens else None
+    left = len(opens.at) if opens else 0
+    made = {"bits": pack(bits), "kept": block.column("kept")[0].as_py(), "sym": block.column("sym")[0].as_py() if left else None, "open": opens.packed() if left else None}
+    if left:
+        (kept,), (sym,) = unpack(made["kept"], np.int32), unpack(made["sym"], np.int32)
+        size = unpack(block.column("n")[0].as_py(), np.int64)[0][kept] + 1
+        texts = np.unique(np.searchsorted(np.cumsum(size), opens.at, side="right"))
+        if 2 * size[texts].sum() < len(sym):  # texts without open positions are left behind
+            stay = np.repeat(np.isin(np.arange(len(kept)), texts), size)
+            opens.at = opens.at - np.cumsum(~stay)[opens.at]
+            made |= {"kept": pack(kept[texts]), "sym": pack(sym[stay]), "open": opens.packed()}
+    for name, value in made.items():
+        block = block.set_column(block.column_names.index(name), name, pa.array([value], pa.binary()))
+    return block.set_column(block.column_names.index("left"), "left", pa.array([left], pa.int64()))
 
 
 def _updated(blocks: DataFrame, found: list[DataFrame]) -> DataFrame:
     """Blocks after all parts of a round, settled; those without open positions need their symbols no more."""
 
-    def join(block: pa.Table, got: pa.Table) -> pa.Table:
-        bits = unpack(block.column("bits")[0].as_py(), np.float64)[0] + sum(unpack(b, np.float64)[0] for b in got.column("bits").to_pylist())
-        opens = [Open.of(b) for b in got.column("open").to_pylist()]
-        opens = Open(*(np.concatenate([getattr(o, f) for o in opens]) for f in ("at", "depth", "p", "n"))) if opens else None
-        left = len(opens.at) if opens else 0
-        made = {"bits": pack(bits), "kept": block.column("kept")[0].as_py(), "sym": block.column("sym")[0].as_py() if left else None, "open": opens.packed() if left else None}
-        if left:
-            (kept,), (sym,) = unpack(made["kept"], np.int32), unpack(made["sym"], np.int32)
-            size = unpack(block.column("n")[0].as_py(), np.int64)[0][kept] + 1
-            texts = np.unique(np.searchsorted(np.cumsum(size), opens.at, side="right"))
-            if 2 * size[texts].sum() < len(sym):  # texts without open positions are left behind
-                stay = np.repeat(np.isin(np.arange(len(kept)), texts), size)
-                opens.at = opens.at - np.cumsum(~stay)[opens.at]
-                made |= {"kept": pack(kept[texts]), "sym": pack(sym[stay]), "open": opens.packed()}
-        for name, value in made.items():
-            block = block.set_column(block.column_names.index(name), name, pa.array([value], pa.binary()))
-        return block.set_column(block.column_names.index("left"), "left", pa.array([left], pa.int64()))
-
     every = found[0]
     for f in found[1:]:
         every = every.union(f)
-    return common.settle(blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(join, _BLOCK), "blocks")
+    return common.settle(blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_joined, _BLOCK), "blocks")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,3 +166,15 @@ def test_rounds_with_little_left_move_blocks_once(spark, monkeypatch):
     got = {r.doc_id: r.bits_per_symbol for r in pst.score(docs_frame(spark, list(enumerate(texts)))).collect()}
     assert [got[i] for i in range(len(texts))] == pytest.approx(brute_bits(sym, sym, 5.0, 2, 1.0), abs=1e-3)
     assert len(rounds) - pst.PARTS > 5 and len(joins) <= 2
+
+
+def test_contexts_of_a_common_symbol_take_no_round_of_their_own(spark, monkeypatch):
+    """A word that occurs more often than a task may hold, as texts' starts do: its longer contexts are sent in the first round like all others."""
+    rounds, answered = [], pst._answered
+    monkeypatch.setattr(pst, "_answered", lambda blocks, places, *more: (rounds.append(more[1]), answered(blocks, places, *more))[1])
+    rng = random.Random(8)
+    texts = [" ".join("the" if k % 3 == 2 else f"w{rng.randrange(400)}" for k in range(30)) for _ in range(120)]
+    sym = brute_symbols(texts)
+    got = {r.doc_id: r.bits_per_symbol for r in pst.score(docs_frame(spark, list(enumerate(texts))).repartition(2), most=100).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(brute_bits(sym, sym, 5.0, 2, 1.0), abs=1e-3)
+    assert len(rounds) == pst.PARTS

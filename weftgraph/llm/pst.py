@@ -14,9 +14,11 @@ of contexts and the number of states have no bound; both follow the corpus.
 Execution. Nothing of the tree is gathered: it is made and used where its occurrences meet. Texts are packed
 into blocks; each round, a block sends every open position's next few older symbols, equal ones merged and
 counted, to the bucket of their context; a bucket tests all contexts of its positions and answers with each
-one's probability and with which can still find a longer state. Contexts that occur more often than a task
-may hold go on by one symbol a round, as merged counts only; the others by as many as keep a round small. Rounds end when no
-context is left in whose counts a further state could hide, which an exact bound on the Bayes factor tells.
+one's probability and with which can still find a longer state. What follows a symbol that occurs more often than a task
+may hold is counted beforehand, and the table of it goes to the buckets that share that symbol's longer contexts, so that
+these are sent once like all others. Longer contexts of so many occurrences go on by one symbol a round, as merged counts
+only; the others by as many as keep a round small. Rounds end when no context is left in whose counts a further state could
+hide, which an exact bound on the Bayes factor tells.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ MOST = 1 << 21  # occurrences of a context that one task may hold
 LARGE = (1 << 32) - 1  # occurrences are told up to this, far beyond what a task may hold
 HELD = 1 << 18  # records of whole contexts that a bucket works on at a time
 PIECE = 1 << 17  # bytes whose products are in memory at once
+_AFTER = 1 << 2 * BITS
 _U = np.uint64
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -211,21 +214,48 @@ class Records:
 
 @dataclass
 class Places:
-    """Where the first round sends a symbol's contexts: symbols in order of part and bucket."""
+    """Where the first round sends a symbol's contexts: symbols in order of part and bucket, but for the common ones, which have buckets of their own."""
 
-    place: np.ndarray  # of each symbol in that order
-    bucket: np.ndarray  # of each place; odd if the symbol is rare enough for its contexts to stay with one task
+    place: np.ndarray  # of each symbol in that order; -1 if it is common
+    bucket: np.ndarray  # of each place, odd
     edge: np.ndarray  # where the parts begin, and the end
+    common: np.ndarray  # symbols that occur more often than one task may hold
+    base: np.ndarray  # the first bucket of each, and the end: even, and even more by one for the contexts that stay with one task
+    often: np.ndarray  # contexts of two symbols, the later one above the other, that don't stay with one task
 
     @classmethod
-    def of(cls, counts: np.ndarray, buckets: int, parts: int, most: int) -> Places:
+    def of(cls, counts: np.ndarray, left: int, size: int, parts: int, most: int, often: np.ndarray) -> Places:
+        """``size``: occurrences that a bucket is meant to have of the ``left`` ones."""
+        common, each = np.flatnonzero(counts > most), left / max(1, int(counts.sum())) / (size * parts)
+        buckets = max(1, int(np.ceil(left / (size * parts) - each * counts[common].sum())))
         where = textvec.mix(textvec.mix(np.arange(SIZE, dtype=_U) + _U(1)))
-        bucket = ((where & _U(0xFFFFFFFF)) % _U(buckets)).astype(np.int64) * 2 + (counts <= most)
+        bucket = ((where & _U(0xFFFFFFFF)) % _U(buckets)).astype(np.int64) * 2 + 1
         part = ((where >> _U(32)) % _U(parts)).astype(np.int64)
         order = np.lexsort((bucket, part))
         place = np.empty(SIZE, np.int32)
         place[order] = np.arange(SIZE, dtype=np.int32)
-        return cls(place, bucket[order].astype(np.int32), np.searchsorted(part[order], np.arange(parts + 1)))
+        place[common] = -1
+        base = np.cumsum(np.append(buckets, np.maximum(1, np.ceil(each * counts[common])).astype(np.int64))) * 2
+        return cls(place, bucket[order].astype(np.int32), np.searchsorted(part[order], np.arange(parts + 1)), common, base, np.sort(often))
+
+    def common_bucket(self, latest: np.ndarray, second: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, part) of the contexts ``second`` and then ``latest``, a common symbol."""
+        i = np.searchsorted(self.common, latest)
+        where = textvec.mix(((latest.astype(_U) << _U(BITS)) | second.astype(_U)) + _U(1))
+        bucket = self.base[i] + 2 * ((where & _U(0xFFFFFFFF)) % ((self.base[i + 1] - self.base[i]) // 2).astype(_U)).astype(np.int64)
+        deep = np.ones(len(latest), bool)
+        if len(self.often):
+            pair = (latest.astype(np.int64) << BITS) | second
+            deep = (latest == START) | (self.often[np.minimum(np.searchsorted(self.often, pair), len(self.often) - 1)] != pair)
+        return bucket + deep, ((where >> _U(32)) % _U(parts)).astype(np.int64)
+
+    def symbol(self, bucket: int) -> int | None:
+        """The common symbol that has the bucket for its own."""
+        return int(self.common[np.searchsorted(self.base, bucket, side="right") - 1]) if bucket >= self.base[0] else None
+
+    def width(self, bucket: int, span: int) -> int:
+        """How many symbols a record of the bucket carries."""
+        return (span - (bucket >= self.base[0])) if bucket & 1 else 1
 
 
 def _counted(fresh: np.ndarray, order: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,17 +266,34 @@ def _counted(fresh: np.ndarray, order: np.ndarray, weight: int) -> tuple[np.ndar
     return order[first], np.diff(np.append(first, len(order))) * weight, of
 
 
-def first_records(sym: np.ndarray, places: Places, span: int, weight: int, part: int, whole: bool = True) -> Records:
-    """Of the first round, where all contexts are empty. Without ``whole`` only what tells which record is whose."""
+def first_records(sym: np.ndarray, places: Places, span: int, weight: int, part: tuple[int, int], whole: bool = True) -> Records:
+    """Of the first round, where all contexts are empty; those of common symbols come last and carry that symbol last. Without ``whole`` only what tells which record is whose."""
+    k, parts = part
     place = places.place[sym[:-1]]
-    at = np.flatnonzero((place >= places.edge[part]) & (place < places.edge[part + 1]) & (sym[1:] != START)).astype(np.int32) + np.int32(1)
-    place, after = place[at - 1], sym[at]
-    deep = (places.bucket[place] & 1).astype(np.int32)
+    at = np.flatnonzero((place >= places.edge[k]) & (place < places.edge[k + 1]) & (sym[1:] != START)).astype(np.int32) + np.int32(1)
+    place = place[at - 1]
+    got = [_first(sym, at, place, places.bucket[place].astype(np.int64), span, weight, whole)]
+    if len(places.common):
+        at = np.flatnonzero((places.place[sym[:-1]] < 0) & (sym[1:] != START)).astype(np.int32) + np.int32(1)
+        latest = sym[at - 1]
+        # a text's first symbol has no longer context: what matters is that they are spread
+        bucket, mine = places.common_bucket(latest, np.where(latest == START, sym[at], sym[np.maximum(at - 2, 0)]), parts)
+        mine = np.flatnonzero(mine == k)
+        r = _first(sym, at[mine], latest[mine], bucket[mine], span, weight, whole)
+        r.older, r.of = [*r.older[1:], *r.older[:1]], r.of + np.int32(len(got[0].bucket))
+        got.append(r)
+    at, depth, bucket, group, next_, p, n, of = (np.concatenate([getattr(r, f) for r in got]) for f in ("at", "depth", "bucket", "group", "next", "p", "n", "of"))
+    return Records(at, depth, bucket, group, [np.concatenate(x) for x in zip(*(r.older for r in got), strict=True)], next_, p, n, of)
+
+
+def _first(sym: np.ndarray, at: np.ndarray, place: np.ndarray, bucket: np.ndarray, span: int, weight: int, whole: bool) -> Records:
+    """Of the positions ``at``, whose latest symbols have the places ``place``."""
+    after, deep = sym[at], (bucket & 1).astype(np.int32)
     older = [sym[at - 1]]
     for j in range(1, span):
         older.append(np.where(older[-1] != START, sym[np.maximum(at - 1 - j, 0)], START))
-        if j == 1:
-            older[1] *= deep
+        if j == 2 and not deep.all():
+            older[2] *= deep
     high, low = older[1].astype(_U), after.astype(_U)
     for j in range(2, span):  # span is 5: two symbols fit beside another one
         if j < 4:
@@ -257,6 +304,8 @@ def first_records(sym: np.ndarray, places: Places, span: int, weight: int, part:
     rest = (high * _U(textvec.BASE) ^ low) * _U(0xBF58476D1CE4E5B9)
     key = (place.astype(_U) << _U(64 - BITS)) | (older[1].astype(_U) << _U(64 - 2 * BITS)) | (rest >> _U(2 * BITS))
     order = np.argsort(key)  # equal records that other ones come between, which shortened keys allow, are sent twice
+    if np.any(np.diff(bucket[order]) < 0):
+        order = order[np.argsort(bucket[order].astype(np.uint16 if bucket.max() < 1 << 16 else np.int64), kind="stable")]
     fresh = np.ones(len(order), bool)
     fresh[1:] = False
     for k in (place, high, low):
@@ -264,16 +313,15 @@ def first_records(sym: np.ndarray, places: Places, span: int, weight: int, part:
         fresh[1:] |= k[1:] != k[:-1]
     one, n, of = _counted(fresh, order, weight)
     zero = np.zeros(len(at), np.int32)
-    bucket = places.bucket[place[one]].astype(np.int64)
     if not whole:
-        return Records(at, zero, bucket, one[:0], [], after[:0], one[:0], one[:0], of)
-    return Records(at, zero, bucket, one[:0], [k[one] for k in older], after[one], one[:0], n, of)
+        return Records(at, zero, bucket[one], one[:0], [], after[:0], one[:0], one[:0], of)
+    return Records(at, zero, bucket[one], one[:0], [k[one] for k in older], after[one], one[:0], n, of)
 
 
-def records(sym: np.ndarray, state: Open, span: int, buckets: int, most: int, weight: int, part: tuple[int, int], whole: bool, often: np.ndarray) -> Records:
+def records(sym: np.ndarray, state: Open, span: int, buckets: int, most: int, weight: int, part: tuple[int, int], whole: bool) -> Records:
     """Of later rounds. Without ``whole`` only what tells which record is whose.
 
-    ``part``: (k, n), only those positions whose context is of the k-th of n parts. ``often``: the contexts of two symbols that occur more than ``most`` times.
+    ``part``: (k, n), only those positions whose context is of the k-th of n parts.
     """
     at, begin = state.at.astype(np.int64), np.maximum.accumulate(np.where(sym == START, np.arange(len(sym)), 0))[state.at]
     end = at - state.depth  # where the context so far begins
@@ -288,10 +336,6 @@ def records(sym: np.ndarray, state: Open, span: int, buckets: int, most: int, we
         state = Open(*(x[rows] for x in (state.at, state.depth, state.p, state.n)))
     after = sym[at]
     deep = state.n <= most
-    # of two symbols it was counted beforehand which are too common
-    two = np.flatnonzero(~deep & (state.depth == 1))
-    pair = (sym[at[two] - 1].astype(np.int64) << BITS) | oldest[two]
-    deep[two] = ~np.isin(pair, often)
     bucket = (where & _U(0xFFFFFFFF)) % _U(buckets) * _U(2) + deep
 
     def older(j: int, these: np.ndarray) -> np.ndarray:
@@ -435,18 +479,46 @@ def _symbol_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _pair_counts(hot):
-    """Occurrences of the contexts of two symbols whose later one is too common."""
+    """Of the common symbols: occurrences with each symbol before them, and, a bit above, with each symbol after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        keys, counts, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        is_common = np.zeros(SIZE, bool)
+        is_common[hot.value] = True
+
+        def out() -> pa.RecordBatch:
+            k, n = _merged(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
         for b in batches:
             for blob in b.column(0).to_pylist():
                 (sym,) = unpack(blob, np.int32)
-                i = np.flatnonzero(hot.value[sym[:-1]] & (sym[1:] != START))
-                older = np.where((i > 0) & (sym[i] != START), sym[np.maximum(i - 1, 0)], START)
-                k, n = np.unique((sym[i].astype(np.int64) << BITS) | older, return_counts=True)
-                keys, counts = ([x] for x in _merged([*keys, k], [*counts, n]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0].astype(np.int64))], names=["pair", "n"])
+                i = np.flatnonzero(is_common[sym[:-1]] & (sym[1:] != START))
+                latest = sym[i].astype(np.int64) << BITS
+                for pair in (latest | np.where(sym[i] != START, sym[np.maximum(i - 1, 0)], START), latest | sym[i + 1] | _AFTER):
+                    k, n = np.unique(pair, return_counts=True)
+                    keys.append(k)
+                    counts.append(n)
+                    held += len(k)
+                if held > 1 << 22:
+                    yield out()
+                    keys, counts, held = [keys[0][:0]], [counts[0][:0]], 0
+        yield out()
+
+    return run
+
+
+def _followers(root_p, critical: float, least: int, weight: float):
+    """(symbol, blob) of a common symbol: the probability of each symbol that follows it, and, at START, what any other one's is multiplied by."""
+
+    def run(t: pa.Table) -> pa.Table:
+        pair, n = (np.asarray(t.column(c).combine_chunks()).astype(np.int64) for c in ("pair", "n"))
+        order = np.argsort(pair)
+        after, n = np.append(START, (pair & _MASK)[order]).astype(np.int32), np.append(0, n[order])
+        q = root_p.value[after].astype(float)
+        q[0] = 1
+        p = tested(after.astype(_U), n, q, critical, least, weight)[0]
+        return pa.table({"symbol": t.column("symbol").slice(0, 1), "blob": pa.array([pack(after, p.astype(np.float32))], pa.binary())})
 
     return run
 
@@ -479,13 +551,17 @@ def score(
     tokens = counts.copy()
     tokens[START] = 0
     root_p = ((tokens + 1) / (tokens.sum() + SIZE)).astype(np.float32)
-    hot = sc.broadcast(counts > most)
-    pairs = blocks.where("weight = 1").select("sym").mapInArrow(_pair_counts(hot), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > most)
-    often = np.asarray(pairs.select("pair").toArrow().column(0).combine_chunks()).astype(np.int64)  # no more than occurrences over ``most``
     total = left = int(tokens.sum()) if train is None else int(blocks.agg(F.sum("left")).first()[0] or 0)
     first, span, parts = True, SPAN, PARTS
-    places = sc.broadcast((Places.of(counts, max(1, -(-left // (min(most, BUCKET) * parts))), parts, most), root_p))
-    often = sc.broadcast(often)
+    often, tables, root_p = np.empty(0, np.int64), None, sc.broadcast(root_p)
+    if left and (counts > most).any():
+        pairs = blocks.where("weight = 1").select("sym").mapInArrow(_pair_counts(sc.broadcast(np.flatnonzero(counts > most))), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        pairs = common.settle(pairs.where((F.col("pair") >= _AFTER) | (F.col("n") > most)), "pairs")
+        often = np.asarray(pairs.where(F.col("pair") < _AFTER).select("pair").toArrow().column(0).combine_chunks()).astype(np.int64)  # no more than occurrences over ``most``
+        after = pairs.where(F.col("pair") >= _AFTER).withColumn("symbol", F.shiftright("pair", BITS).bitwiseAND(_MASK))
+        tables = common.settle(after.groupBy("symbol").applyInArrow(_followers(root_p, critical, least, weight), "symbol long, blob binary"), "tables")
+        common.release(tables, pairs)
+    places = sc.broadcast(Places.of(counts, left, min(most, BUCKET), parts, most, often))
     while left:
         if not first:  # a fourth of the symbols of the first round
             span = max(SPAN, min(LONGEST, SPAN * total // (4 * left)))
@@ -494,11 +570,12 @@ def score(
         found = []
         for k in range(parts):
             buckets = max(1, -(-left * span // (min(most, BUCKET) * SPAN * parts)))
-            found.append(_answered(blocks, places if first else None, often, span, buckets, (k, parts), most, critical, least, weight, small))
+            found.append(_answered(blocks, (places, root_p) if first else None, tables, span, buckets, (k, parts), most, critical, least, weight, small))
             common.release(blocks)
         was, blocks = blocks, found.pop() if small else _updated(blocks, found)
         left, first = int(blocks.agg(F.sum("left")).first()[0] or 0), False
-        common.release(blocks, was, *found)
+        common.release(blocks, was, *found, *([] if tables is None else [tables]))
+        tables = None
     return (blocks if train is None else blocks.where("weight = 0")).select("ids", "n", "bits").mapInArrow(_results, "doc_id long, n_symbols long, bits_per_symbol double")
 
 
@@ -510,8 +587,8 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).flatten(), pa.array(n), pa.array(mean, mask=n == 0)], names=["doc_id", "n_symbols", "bits_per_symbol"])
 
 
-def _answered(blocks: DataFrame, places, often, span: int, buckets: int, part: tuple[int, int], most: int, critical: float, least: int, weight: float, at_once: bool = False) -> DataFrame:
-    """(block, bits, open) after a part of a round: what it adds to the bits of each text, and the positions that stay open; ``places``: with the root's probabilities, in the first round.
+def _answered(blocks: DataFrame, places, tables: DataFrame | None, span: int, buckets: int, part: tuple[int, int], most: int, critical: float, least: int, weight: float, at_once: bool = False) -> DataFrame:
+    """(block, bits, open) after a part of a round: what it adds to the bits of each text, and the positions that stay open; ``places``: with the root's probabilities, in the first round; ``tables``: of what follows common symbols.
 
     ``at_once``: the blocks after a round of a single part instead.
     """
@@ -521,8 +598,11 @@ def _answered(blocks: DataFrame, places, often, span: int, buckets: int, part: t
         (sym,) = unpack(b.column("sym")[i].as_py(), np.int32)
         w = b.column("weight")[i].as_py()
         if first:
-            return first_records(sym, places.value[0], span, w, part[0], whole)
-        return records(sym, Open.of(b.column("open")[i].as_py()), span, buckets, most, w, part, whole, often.value)
+            return first_records(sym, places[0].value, span, w, part, whole)
+        return records(sym, Open.of(b.column("open")[i].as_py()), span, buckets, most, w, part, whole)
+
+    def width(bucket: int) -> int:
+        return places[0].value.width(bucket, span) if first else span if bucket & 1 else 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -532,12 +612,36 @@ def _answered(blocks: DataFrame, places, often, span: int, buckets: int, part: t
                 blobs = []
                 for s, e in zip(edge[:-1], edge[1:], strict=True):
                     known = () if first else (np.diff(r.group[s:e], prepend=_U(0)), r.p[s:e])
-                    blobs.append(pack(r.next[s:e], r.n[s:e].astype(np.uint32), *known, *(c[s:e] for c in r.older[: span if r.bucket[s] & 1 else 1])))
+                    blobs.append(pack(r.next[s:e], r.n[s:e].astype(np.uint32), *known, *(c[s:e] for c in r.older[: width(int(r.bucket[s]))])))
                 block = pa.array(np.full(len(blobs), b.column("block")[i].as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(r.bucket[edge[:-1]]), block, pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
 
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tables to the buckets of their symbols, as of block -1."""
+        where = places[0].value
+        for b in batches:
+            for symbol, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                i = int(np.searchsorted(where.common, symbol))
+                pairs = where.often[where.often >> BITS == symbol]
+                some, of = where.common_bucket(pairs >> BITS, pairs & _MASK, part[1])
+                to = np.union1d(np.arange(where.base[i] + 1, where.base[i + 1], 2), some[of == part[0]])
+                for bucket in to.tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([-1], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "block", "blob"])
+
     def answer(t: pa.Table) -> pa.Table:
-        kinds = [np.int32, np.uint32, *(() if first else (_U, np.float32)), *[np.int32] * (span if t.column("bucket")[0].as_py() & 1 else 1)]
+        bucket = t.column("bucket")[0].as_py()
+        symbol = places[0].value.symbol(bucket) if first else None
+        if first:
+            prior = places[1].value
+            if symbol is not None:
+                sent_by = np.asarray(t.column("block").combine_chunks())
+                follow, p = unpack(t.column("blob")[int(np.flatnonzero(sent_by < 0)[0])].as_py(), np.int32, np.float32)
+                prior = (prior * float(p[0])).astype(np.float32)
+                prior[follow[1:]] = p[1:]
+                t = t.take(pa.array(np.flatnonzero(sent_by >= 0)))
+                if not t.num_rows:
+                    return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "answer": pa.array([], pa.binary())})
+        kinds = [np.int32, np.uint32, *(() if first else (_U, np.float32)), *[np.int32] * width(bucket)]
         parts = [unpack(blob, *kinds) for blob in t.column("blob").to_pylist()]
         ends = np.cumsum([len(x[0]) for x in parts])
         if not first:
@@ -549,9 +653,12 @@ def _answered(blocks: DataFrame, places, often, span: int, buckets: int, part: t
             for x in parts:
                 x[k] = None
         after, n, *more = columns
-        group, p, *older = (None, places.value[1][after], *more) if first else more
+        group, p, *older = (None, prior[after], *more) if first else more
         del columns, more
-        p, n = answers(group, older, after, p, n, critical, least, weight)
+        if symbol == START:  # nothing is older
+            n = np.zeros(len(n), np.uint32)
+        else:
+            p, n = answers(group, older, after, p, n, critical, least, weight)
         blobs = [pack(p[s:e], n[s:e]) for s, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "answer": pa.array(blobs, pa.binary())})
 
@@ -570,12 +677,14 @@ def _answered(blocks: DataFrame, places, often, span: int, buckets: int, part: t
         bits = np.bincount(text, cost[r.of[over]], len(size))
         rows = np.flatnonzero(open_)
         of = r.of[rows]
-        left = Open(r.at[rows], r.depth[rows] + np.where(r.bucket[of] & 1, span, 1), p[of], n[of])
+        left = Open(r.at[rows], r.depth[rows] + np.where(r.bucket[of] & 1, span, 2 if first else 1), p[of], n[of])
         return pa.table([block.column("block"), pa.array([pack(bits)], pa.binary()), pa.array([left.packed()], pa.binary())], names=names)
 
     live = blocks.where("left > 0")
     slim = live.select("block", "weight", "sym", "open", "n", "kept")
     replies = slim.mapInArrow(send, "bucket long, block long, blob binary")
+    if first and tables is not None:
+        replies = replies.union(tables.mapInArrow(ship, "bucket long, block long, blob binary"))
     # what was sent is off the disk before blocks are moved
     replies = common.settle(replies.groupBy("bucket").applyInArrow(answer, "block long, bucket long, answer binary"), "replies")
     if at_once:

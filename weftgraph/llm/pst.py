@@ -50,18 +50,21 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as compressed planes of their bytes."""
-    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
-    return len(arrays[0]).to_bytes(4, "little") + _ZSTD.compress(raw, asbytes=True)
+    """Arrays of one length, or with rows of that length, as compressed planes of their bytes."""
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(*a.shape, a.itemsize).swapaxes(-1, -2).tobytes() for a in arrays)
+    return arrays[0].shape[-1].to_bytes(4, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
-def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
+def unpack(blob: bytes, *kinds: type, wide: int = 0) -> list[np.ndarray]:
+    """The arrays of ``kinds``, and last, if ``wide``, an int32 array of so many rows."""
     n, widths = int.from_bytes(blob[:4], "little"), [np.dtype(k).itemsize for k in kinds]
-    raw = np.frombuffer(_ZSTD.decompress(blob[4:], n * sum(widths)), np.uint8) if n else np.empty(0, np.uint8)
+    raw = np.frombuffer(_ZSTD.decompress(blob[4:], n * (sum(widths) + 4 * wide)), np.uint8) if n else np.empty(0, np.uint8)
     out, at = [], 0
     for k, w in zip(kinds, widths, strict=True):
         out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).reshape(-1).view(k))
         at += n * w
+    if wide:
+        out.append(np.ascontiguousarray(raw[at:].reshape(wide, 4, n).swapaxes(1, 2)).reshape(wide, 4 * n).view(np.int32))
     return out
 
 
@@ -205,7 +208,7 @@ class Records:
     depth: np.ndarray
     bucket: np.ndarray
     group: np.ndarray  # hash of the context so far
-    older: list[np.ndarray]  # the symbols before it, latest first; but for the first zeros where the context is too common
+    older: np.ndarray  # a row for each of the symbols before it, latest first; but for the first zeros where the context is too common
     next: np.ndarray
     p: np.ndarray
     n: np.ndarray
@@ -271,10 +274,11 @@ def first_records(sym: np.ndarray, places: Places, span: int, weight: int, part:
     k, parts = part
     place = places.place[sym[:-1]]
     at = np.flatnonzero((place >= places.edge[k]) & (place < places.edge[k + 1]) & (sym[1:] != START)).astype(np.int32) + np.int32(1)
+    hot = np.flatnonzero((place < 0) & (sym[1:] != START)).astype(np.int32) + np.int32(1)
     place = place[at - 1]
     got = [_first(sym, at, place, places.bucket[place].astype(np.int64), span, weight, whole)]
     if len(places.common):
-        at = np.flatnonzero((places.place[sym[:-1]] < 0) & (sym[1:] != START)).astype(np.int32) + np.int32(1)
+        at = hot
         latest = sym[at - 1]
         # a text's first symbol has no longer context: what matters is that they are spread
         bucket, mine = places.common_bucket(latest, np.where(latest == START, sym[at], sym[np.maximum(at - 2, 0)]), parts)
@@ -283,7 +287,7 @@ def first_records(sym: np.ndarray, places: Places, span: int, weight: int, part:
         r.older, r.of = [*r.older[1:], *r.older[:1]], r.of + np.int32(len(got[0].bucket))
         got.append(r)
     at, depth, bucket, group, next_, p, n, of = (np.concatenate([getattr(r, f) for r in got]) for f in ("at", "depth", "bucket", "group", "next", "p", "n", "of"))
-    return Records(at, depth, bucket, group, [np.concatenate(x) for x in zip(*(r.older for r in got), strict=True)], next_, p, n, of)
+    return Records(at, depth, bucket, group, np.array([np.concatenate(x) for x in zip(*(r.older for r in got), strict=True)]), next_, p, n, of)
 
 
 def _first(sym: np.ndarray, at: np.ndarray, place: np.ndarray, bucket: np.ndarray, span: int, weight: int, whole: bool) -> Records:
@@ -338,10 +342,14 @@ def records(sym: np.ndarray, state: Open, span: int, buckets: int, most: int, we
     deep = state.n <= most
     bucket = (where & _U(0xFFFFFFFF)) % _U(buckets) * _U(2) + deep
 
-    def older(j: int, these: np.ndarray) -> np.ndarray:
-        i = end[these] - 1 - j
-        found = np.where(i > begin[these], sym[np.maximum(i, 0)], START)
-        return found if j == 0 else found * deep[these]
+    def older(these: np.ndarray) -> np.ndarray:
+        last, first = (end[these] - 1).astype(np.int32), begin[these].astype(np.int32)
+        found, step = np.empty((span, len(these)), np.int32), max(1, (1 << 20) // max(1, len(these)))
+        for j in range(0, span, step):
+            found[j : j + step] = sym[np.maximum(last - np.arange(j, min(span, j + step), dtype=np.int32)[:, None], first)]
+        if not deep.all():
+            found[1:] *= deep[these]
+        return found
 
     sent = textvec.run_hash(sums, np.maximum(begin, end - np.where(deep, span, 1)), np.maximum(begin, end))
     high, low = textvec.mix(group ^ textvec.mix(sent)), after.astype(_U)
@@ -353,7 +361,7 @@ def records(sym: np.ndarray, state: Open, span: int, buckets: int, most: int, we
     one, n, of = _counted(fresh, order, weight)
     if not whole:
         return Records(state.at, state.depth, bucket[one].astype(np.int64), group[:0], [], after[:0], state.p[:0], one[:0], of)
-    return Records(state.at, state.depth, bucket[one].astype(np.int64), group[one], [older(j, one) for j in range(span)], after[one], state.p[one], n, of)
+    return Records(state.at, state.depth, bucket[one].astype(np.int64), group[one], older(one), after[one], state.p[one], n, of)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -366,8 +374,12 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def _pure(c: np.ndarray, p: np.ndarray, weight: float) -> np.ndarray:
     """What ``c`` occurrences, two or more, of a symbol of probability ``p`` add to the log Bayes factor."""
-    wp = weight * p
-    return np.log(wp) + _log_gamma(wp + c) - _log_gamma(wp + 1) - c * np.log(p)
+    wp, log_p, rise = weight * p, np.log(p), np.empty(len(c))
+    few, many = np.flatnonzero(c < 5), np.flatnonzero(c >= 5)
+    x, k = wp[few], c[few]
+    rise[few] = np.log((x + 1) * np.where(k > 2, x + 2, 1) * np.where(k > 3, x + 3, 1))
+    rise[many] = _log_gamma(wp[many] + c[many]) - _log_gamma(wp[many] + 1)
+    return np.log(weight) + rise - (c - 1) * log_p
 
 
 def _norm(n: np.ndarray, weight: float) -> np.ndarray:
@@ -420,14 +432,20 @@ def _longer(key: np.ndarray, these: np.ndarray, older: list[np.ndarray], after:
     rows = np.flatnonzero(np.repeat(alive, size))
     at = np.repeat(np.arange(len(first)), size)[rows]
     open_ = np.zeros(len(key), np.uint32)
+    changed = True
     for column in older[1:]:
         if not len(rows):
             break
-        new = np.concatenate([[True], at[1:] != at[:-1]])
-        head, at, symbol = np.flatnonzero(new), np.cumsum(new) - 1, column[these[rows]]
+        if changed:
+            new = np.concatenate([[True], at[1:] != at[:-1]])
+            head, at, which = np.flatnonzero(new), np.cumsum(new) - 1, these[rows]
+        symbol = column[which]
         low = np.minimum.reduceat(symbol, head)
         split = low != np.maximum.reduceat(symbol, head)
         # contexts all of whose occurrences go on alike are no other than the shorter one; beyond a text's start is nothing
+        changed = bool(split.any()) or 4 * np.count_nonzero(low == START) > len(low)
+        if not changed:
+            continue
         stays = (~split & (low != START))[at]
         r = np.flatnonzero(split[at])
         if len(r):
@@ -442,6 +460,8 @@ def _longer(key: np.ndarray, these: np.ndarray, older: list[np.ndarray], after:
             rows = np.concatenate([rows[stays], rows[r[go]]])
         else:
             rows, at = rows[stays], at[stays]
+    goes = older[-1][these[rows]] != START
+    rows, at = rows[goes], at[goes]
     if len(rows):
         head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         total = np.minimum(np.add.reduceat(n[rows], head), LARGE)
@@ -566,7 +586,7 @@ def score(
         if not first:  # a fourth of the symbols of the first round
             span = max(SPAN, min(LONGEST, SPAN * total // (4 * left)))
         parts = -(-PARTS * left // total)
-        small = not first and 8 * left < total  # so that a copy of all that is open doesn't count for the disk
+        small = not first and 4 * left < total  # so that a copy of all that is open doesn't count for the disk
         found = []
         for k in range(parts):
             buckets = max(1, -(-left * span // (min(most, BUCKET) * SPAN * parts)))
@@ -612,7 +632,7 @@ def _answered(blocks: DataFrame, places, tables: DataFrame | None, span: int, bu
                 blobs = []
                 for s, e in zip(edge[:-1], edge[1:], strict=True):
                     known = () if first else (np.diff(r.group[s:e], prepend=_U(0)), r.p[s:e])
-                    blobs.append(pack(r.next[s:e], r.n[s:e].astype(np.uint32), *known, *(c[s:e] for c in r.older[: width(int(r.bucket[s]))])))
+                    blobs.append(pack(r.next[s:e], r.n[s:e].astype(np.uint32), *known, r.older[: width(int(r.bucket[s])), s:e]))
                 block = pa.array(np.full(len(blobs), b.column("block")[i].as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(r.bucket[edge[:-1]]), block, pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
 
@@ -641,19 +661,18 @@ def _answered(blocks: DataFrame, places, tables: DataFrame | None, span: int, bu
                 t = t.take(pa.array(np.flatnonzero(sent_by >= 0)))
                 if not t.num_rows:
                     return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "answer": pa.array([], pa.binary())})
-        kinds = [np.int32, np.uint32, *(() if first else (_U, np.float32)), *[np.int32] * width(bucket)]
-        parts = [unpack(blob, *kinds) for blob in t.column("blob").to_pylist()]
-        ends = np.cumsum([len(x[0]) for x in parts])
-        if not first:
-            for x in parts:
-                x[2] = np.cumsum(x[2], dtype=_U)
-        columns = []
-        for k in range(len(kinds)):  # each is let go as soon as it is joined
-            columns.append(np.concatenate([x[k] for x in parts]))
-            for x in parts:
-                x[k] = None
+        kinds = [np.int32, np.uint32, *(() if first else (_U, np.float32))]
+        blobs, wide = t.column("blob").to_pylist(), width(bucket)
+        ends = np.cumsum([int.from_bytes(blob[:4], "little") for blob in blobs])
+        columns, older = [np.empty(ends[-1], k) for k in kinds], np.empty((wide, ends[-1]), np.int32)
+        for blob, s, e in zip(blobs, np.append(0, ends[:-1]), ends, strict=True):
+            *some, older[:, s:e] = unpack(blob, *kinds, wide=wide)
+            if not first:
+                some[2] = np.cumsum(some[2], dtype=_U)
+            for column, x in zip(columns, some, strict=True):
+                column[s:e] = x
         after, n, *more = columns
-        group, p, *older = (None, prior[after], *more) if first else more
+        group, p = (None, prior[after]) if first else more
         del columns, more
         if symbol == START:  # nothing is older
             n = np.zeros(len(n), np.uint32)

@@ -276,22 +276,22 @@ def first_records(sym: np.ndarray, places: Places, span: int, weight: int, part:
     at = np.flatnonzero((place >= places.edge[k]) & (place < places.edge[k + 1]) & (sym[1:] != START)).astype(np.int32) + np.int32(1)
     hot = np.flatnonzero((place < 0) & (sym[1:] != START)).astype(np.int32) + np.int32(1)
     place = place[at - 1]
-    got = [_first(sym, at, place, places.bucket[place].astype(np.int64), span, weight, whole)]
+    got = [_first(sym, at, place, places.bucket[place].astype(np.int64), span, weight, whole, True)]
     if len(places.common):
         at = hot
         latest = sym[at - 1]
         # a text's first symbol has no longer context: what matters is that they are spread
         bucket, mine = places.common_bucket(latest, np.where(latest == START, sym[at], sym[np.maximum(at - 2, 0)]), parts)
         mine = np.flatnonzero(mine == k)
-        r = _first(sym, at[mine], latest[mine], bucket[mine], span, weight, whole)
+        r = _first(sym, at[mine], latest[mine], bucket[mine], span, weight, whole, False)
         r.older, r.of = [*r.older[1:], *r.older[:1]], r.of + np.int32(len(got[0].bucket))
         got.append(r)
     at, depth, bucket, group, next_, p, n, of = (np.concatenate([getattr(r, f) for r in got]) for f in ("at", "depth", "bucket", "group", "next", "p", "n", "of"))
     return Records(at, depth, bucket, group, np.array([np.concatenate(x) for x in zip(*(r.older for r in got), strict=True)]), next_, p, n, of)
 
 
-def _first(sym: np.ndarray, at: np.ndarray, place: np.ndarray, bucket: np.ndarray, span: int, weight: int, whole: bool) -> Records:
-    """Of the positions ``at``, whose latest symbols have the places ``place``."""
+def _first(sym: np.ndarray, at: np.ndarray, place: np.ndarray, bucket: np.ndarray, span: int, weight: int, whole: bool, in_order: bool) -> Records:
+    """Of the positions ``at``, whose latest symbols have the places ``place``; ``in_order``: which are in order of bucket."""
     after, deep = sym[at], (bucket & 1).astype(np.int32)
     older = [sym[at - 1]]
     for j in range(1, span):
@@ -308,8 +308,8 @@ def _first(sym: np.ndarray, at: np.ndarray, place: np.ndarray, bucket: np.ndarra
     rest = (high * _U(textvec.BASE) ^ low) * _U(0xBF58476D1CE4E5B9)
     key = (place.astype(_U) << _U(64 - BITS)) | (older[1].astype(_U) << _U(64 - 2 * BITS)) | (rest >> _U(2 * BITS))
     order = np.argsort(key)  # equal records that other ones come between, which shortened keys allow, are sent twice
-    if np.any(np.diff(bucket[order]) < 0):
-        order = order[np.argsort(bucket[order].astype(np.uint16 if bucket.max() < 1 << 16 else np.int64), kind="stable")]
+    if not in_order:
+        order = order[np.argsort(bucket[order].astype(np.uint16 if bucket.max(initial=0) < 1 << 16 else np.int64), kind="stable")]
     fresh = np.ones(len(order), bool)
     fresh[1:] = False
     for k in (place, high, low):
@@ -673,13 +673,14 @@ def _answered(blocks: DataFrame, places, tables: DataFrame | None, span: int, bu
                 column[s:e] = x
         after, n, *more = columns
         group, p = (None, prior[after]) if first else more
-        del columns, more
+        blocks_of, buckets_of = t.column("block"), t.column("bucket")
+        del columns, more, blobs, t
         if symbol == START:  # nothing is older
             n = np.zeros(len(n), np.uint32)
         else:
             p, n = answers(group, older, after, p, n, critical, least, weight)
         blobs = [pack(p[s:e], n[s:e]) for s, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
-        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "answer": pa.array(blobs, pa.binary())})
+        return pa.table({"block": blocks_of, "bucket": buckets_of, "answer": pa.array(blobs, pa.binary())})
 
     def take(block: pa.Table, got: pa.Table) -> pa.Table:
         names = ["block", "bits", "open"]

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,27 @@ def test_rare_toxic_labels_are_all_drawn(spark, data):
     assert np.mean([got[i] for i in toxic if toxic[i]]) > np.mean([got[i] for i in toxic if not toxic[i]])
 
 
+def test_memory_is_bounded_by_a_piece_not_by_the_batch():
+    """A batch of 6 MB, as Spark sends them, through the passes over texts."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 10))) + rng.choice(["", "", ","]) for _ in range(2000)]
+    texts = pa.array([" ".join(rng.choices(vocabulary, k=450)) for _ in range(2000)] + [None, ""])
+    x = np.zeros((20, len(toxicity.FEATURES)))
+    x[10:, 0] = 1
+    model = toxicity.Model(toxicity.Lexicon.of({vocabulary[0]: 3.0}), toxicity.Trees(n_trees=2).fit(x, x[:, 0]), np.array([-1.0, 1.0]), np.array([0.1, 0.9]))
+    model(texts.slice(0, 300))  # tables of powers are made once
+    counted = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts)) % 2), texts], names=["toxic", "text"])
+    for work in (lambda: model(texts), lambda: list(toxicity._term_counts(iter([counted])))):
+        tracemalloc.start()
+        got = work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 80e6, most
+        assert len(got) == len(texts) or sum(b.num_rows for b in got)
+    whole = toxicity.dense(texts, model.lexicon)
+    assert (model(texts) == np.where(whole[:, 0] > 0, np.interp(model.trees.score(whole), model.at, model.prob), 0.0)).all()
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 4))

@@ -24,6 +24,8 @@ SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes tú ti tus tuyo vosotros os".split()
 )
 NEAR, STRONG = 5, 2.5
+#: Bytes of text that are read at once, whole texts always; each takes some hundred bytes of a worker's memory. No result depends on it.
+PIECE = 1 << 19
 _LEET = str.maketrans("0134578@$!|", "oieastbasil")
 _INNER = re.compile(r"[\w][^\w\s'’-]+[\w]|[^\W\d_]\d+[^\W\d_]")
 _RUN = re.compile(r"(.)\1\1+")
@@ -81,7 +83,11 @@ class _Spans:
 
     def __init__(self, low: np.ndarray):
         self.sums = np.zeros(len(low) + 1, _U)
-        np.cumsum((low.astype(_U) + _U(1)) * textvec.powers(textvec.BASE, len(low)), dtype=_U, out=self.sums[1:])
+        value = self.sums[1:]
+        value[:] = low
+        value += _U(1)
+        value *= textvec.powers(textvec.BASE, len(low))
+        np.cumsum(value, out=value)
         self.inverse = textvec.powers(textvec.INV, len(low) + 1)
 
     def _raw(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -132,7 +138,9 @@ def tokens(texts: pa.Array) -> Tokens:
             inside[np.minimum(lead + j, n - 1)] = False
 
     def count(hit: np.ndarray) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(hit)])
+        sums = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
+        np.cumsum(hit, out=sums[1:])
+        return sums
 
     upto, places = count(inside), np.flatnonzero(inside)
     word = np.flatnonzero(upto[stop] > upto[begin])
@@ -321,14 +329,17 @@ class Model:
     prob: np.ndarray
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        x = dense(texts, self.lexicon)
-        return np.where(x[:, 0] > 0, np.interp(self.trees.score(x), self.at, self.prob), 0.0)
+        found = [np.empty(0)]
+        for b in textvec.chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, PIECE):
+            x = dense(b.column(0), self.lexicon)
+            found.append(np.where(x[:, 0] > 0, np.interp(self.trees.score(x), self.at, self.prob), 0.0))
+        return np.concatenate(found)
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic, clean): how many texts of either class hold a term, by its hash."""
     for whole in batches:
-        for b in textvec.chunks(whole, 1):
+        for b in textvec.chunks(whole, 1, PIECE):
             t = tokens(b.column(1))
             doc = t.doc[t.word]
             found = [(doc[which], h) for which, h in t.spans.terms(t.start, t.end)]
@@ -379,7 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, least_docs:
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in textvec.chunks(whole, 1):
+            for b in textvec.chunks(whole, 1, PIECE):
                 x = dense(b.column(1), lexicon)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["toxic", "fold", "x"])
 
@@ -405,15 +416,13 @@ def score(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **how: int)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in textvec.chunks(whole, 1):
-                texts = b.column(1)
-                if model.value is None:
-                    p = pa.nulls(len(texts), pa.float64())
-                else:
-                    p = pa.array(np.round(model.value(texts), 4))
-                toxic = pc.fill_null(pc.greater_equal(p, least), False)
-                yield pa.RecordBatch.from_arrays([b.column(0), p, toxic], names=["doc_id", "toxicity", "toxic"])
+        for b in batches:
+            if model.value is None:
+                p = pa.nulls(len(b), pa.float64())
+            else:
+                p = pa.array(np.round(model.value(b.column(1)), 4))
+            toxic = pc.fill_null(pc.greater_equal(p, least), False)
+            yield pa.RecordBatch.from_arrays([b.column(0), p, toxic], names=["doc_id", "toxicity", "toxic"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, toxicity double, toxic boolean")
@@ -427,10 +436,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **how:
     def clean(texts: pa.Array) -> pa.Array:
         if model.value is None:
             return pa.array(np.ones(len(texts), bool))
-        kept = [np.empty(0, bool)]
-        for b in textvec.chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
-            kept.append(np.round(model.value(b.column(0)), 4) < least)
-        return pa.array(np.concatenate(kept))
+        return pa.array(np.round(model.value(texts), 4) < least)
 
     return docs.where(clean(F.col("text").cast("string")))
 

@@ -102,3 +102,31 @@ def test_nothing(spark, small):
     one = spark.createDataFrame([("a",)], "id string")
     assert [tuple(r) for r in graph.scc(one, none, group=small).collect()] == [("a", "a", 1)]
     assert [tuple(r) for r in graph.distances(one, none, one, small=small).collect()] == [("a", 0, 0)]
+
+
+def placed_graph(seed=7, files=9, each=6, cross=8):
+    """Ids 'f:n' with most edges within a file, and some between files, cycles over several among them."""
+    rng = random.Random(seed)
+    n = files * each
+    pairs = {(f * each + rng.randrange(each), f * each + rng.randrange(each)) for f in range(files) for _ in range(9)}
+    pairs |= {(0, each), (each, 2 * each), (2 * each, 0)} | {(rng.randrange(n // 2), rng.randrange(n // 2)) for _ in range(cross)}
+    pairs = sorted((a, b) for a, b in pairs if a != b)
+    return n, pairs, [f"f{i // each}:n{i:03}" for i in range(n)]
+
+
+@pytest.mark.parametrize("solve", ["weak"])
+def test_long_ways_within_files_take_no_rounds(spark, monkeypatch, solve):
+    pairs = [(f"f{f}:{i:02}", f"f{f}:{i + 1:02}") for f in range(4) for i in range(30)] + [("f0:30", "f0:00")]
+    e = frame(spark, pairs)
+    nodes, start = e.selectExpr("explode(array(src, dst)) AS id").distinct(), frame(spark, [("f1:00",)], "id string")
+    settled = []
+    monkeypatch.setattr(graph, "settle", lambda df, was=graph.settle: settled.append(df) or was(df))
+    if solve == "weak":
+        assert graph.weak(e).select("c").distinct().count() == 4
+    elif solve.startswith("scc"):
+        assert graph.scc(nodes, e, group=graph.GROUP if solve == "scc" else 0).where("scc_size = 31 AND scc_id = 'f0:00'").count() == 31
+    elif solve == "hops":
+        assert graph.hops(e, start).agg({"hops": "max"}).first()[0] == 30
+    else:
+        assert graph.distances(nodes, e, start).agg({"dd": "max"}).first()[0] == 30
+    assert len(settled) <= 3

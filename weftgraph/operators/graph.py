@@ -1,7 +1,9 @@
 """Graph operators over edge tables (src, dst): degrees, hops, reachability, strongly connected components.
 
-Fixpoints keep the edges hash-partitioned by their join column, so that a round shuffles only its
-frontier, and settle each round in the shared folder. Strongly connected components are looked for
+A graph is first cut into parts of some ``PART`` edges by the places of its nodes (files, folders), each of
+which a task solves as far as no edge from or to another part has a say; what is left is contracted again or
+goes to fixpoints. These keep the edges hash-partitioned by their join column, so that a round shuffles only
+its frontier, and settle each round in the shared folder. There strongly connected components are looked for
 within weakly connected ones, many of which a task solves at once; those of more than ``GROUP`` edges are
 solved by rounds over all tasks.
 """
@@ -11,13 +13,17 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import settle
 
-GROUP = 200_000
+GROUP = PART = 200_000
+_CELLS = 1 << 14
 _TYPE_ONLY = "type-only type_only type_checking typing".split()
 
 
@@ -85,6 +91,112 @@ def _in_one_task(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.
     return one(left).cogroup(one(right)).applyInArrow(run, schema)
 
 
+# == parts
+
+
+def place(c: str | Column) -> Column:
+    """Where a node lies by its id: the folder of its file, or the file without a folder; an id without either is its own place."""
+    return F.regexp_replace(F.substring_index((F.col(c) if isinstance(c, str) else c).cast("string"), ":", 1), "/[^/]*$", "")
+
+
+class _Cut:
+    """Parts of a graph (a, b): a node's part is that of its place; ``closed`` if no edge leads from part to part."""
+
+    def __init__(self, parts: int, closed: bool):
+        self.parts, self.closed = parts, closed
+
+    def of(self, c: str) -> Column:
+        return F.lit(0).cast("long") if self.parts == 1 else F.pmod(_cell(c), F.lit(self.parts))
+
+    def dealt(self, edges: DataFrame) -> DataFrame:
+        """(part, a, b, way): edges within a part (0), and those between parts with both: leading out (1) and in (2)."""
+        if self.closed:
+            return edges.select(self.of("a").alias("part"), "a", "b", F.lit(0).alias("way"))
+        e = edges.select(self.of("a").alias("p"), self.of("b").alias("q"), "a", "b")
+        one = lambda p, way: F.struct(F.col(p).alias("part"), F.lit(way).alias("way"))
+        rows = F.when(F.col("p") == F.col("q"), F.array(one("p", 0))).otherwise(F.array(one("p", 1), one("q", 2)))
+        return e.select(F.explode(rows).alias("r"), "a", "b").select("r.part", "a", "b", "r.way")
+
+
+def _cell(c: str) -> Column:
+    return F.pmod(F.xxhash64(place(c)), F.lit(_CELLS))
+
+
+def _cut(edges: DataFrame, part: int) -> _Cut | None:
+    """Parts of about ``part`` edges (a, b); none where one would have four times as many, or a quarter of all edges would lead from part to part."""
+    if part <= 0:
+        return None
+    kind = edges.schema["a"].dataType
+    if not isinstance(kind, (T.StringType, T.IntegralType)):
+        return None
+    across = F.sum((_cell("a") != _cell("b")).cast("long"))
+    held = edges.groupBy(_cell("a").alias("cell")).agg(F.count(F.lit(1)).alias("n"), across.alias("x")).collect()
+    n, x = sum(r.n for r in held), sum(r.x for r in held)
+    parts = min(_CELLS, max(1, -(-n // part)))
+    if parts == 1:
+        return _Cut(1, True)
+    if 4 * x > n:
+        return None
+    load = [0] * parts
+    for r in held:
+        load[r.cell % parts] += r.n
+    if x:
+        for r in edges.where(_cell("a") != _cell("b")).groupBy(_cell("b").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():
+            load[r.cell % parts] += r.n
+    return None if max(load) > 4 * part else _Cut(parts, not x)
+
+
+def _numbered(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """Distinct values, and the columns as positions in them."""
+    whole = pa.chunked_array([k for c in columns for k in c.chunks], columns[0].type).combine_chunks().dictionary_encode()
+    at = np.asarray(whole.indices.to_numpy(zero_copy_only=False), dtype=np.int64)
+    return whole.dictionary, np.split(at, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _lists(a: np.ndarray, b: np.ndarray, n: int) -> list[list[int]]:
+    order = np.argsort(a, kind="stable")
+    ends, to = np.cumsum(np.bincount(a, minlength=n)).tolist(), b[order].tolist()
+    return [to[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes a member of its weakly connected component, the same for all."""
+    up = list(range(n))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[x] = y
+    top = np.array(up, dtype=np.int64)
+    while True:
+        next_ = top[top]
+        if (next_ == top).all():
+            return top
+        top = next_
+
+
+def _least(ids: pa.Array, comp: np.ndarray) -> np.ndarray:
+    """The position of the least member of each node's component, in the order of ``ids``."""
+    order = pc.sort_indices(ids).to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    low = np.full(len(order), len(order), dtype=np.int64)
+    np.minimum.at(low, comp, rank)
+    return order[low[comp]].astype(np.int64)
+
+
+def _rows(ids: pa.Array, schema: list[str], *blocks: tuple[int, np.ndarray, np.ndarray | None, np.ndarray | None]) -> pa.Table:
+    """Blocks of (what, positions, positions or none, numbers or none) as one table."""
+    none = lambda k, n: pa.nulls(n, k)
+    what = np.concatenate([np.full(len(b[1]), b[0], dtype=np.int32) for b in blocks])
+    first = pa.concat_arrays([ids.take(pa.array(b[1])) for b in blocks])
+    second = pa.concat_arrays([none(ids.type, len(b[1])) if b[2] is None else ids.take(pa.array(b[2])) for b in blocks])
+    number = pa.concat_arrays([none(pa.int64(), len(b[1])) if b[3] is None else pa.array(b[3], pa.int64()) for b in blocks])
+    return pa.table([pa.array(what), first, second, number], names=schema)
+
+
 # == hops and reachability
 
 
@@ -174,14 +286,44 @@ def unreached(nodes: DataFrame, edges: DataFrame, roots: DataFrame, small: int =
 # == strongly connected components
 
 
-def weak(edges: DataFrame) -> DataFrame:
+def weak(edges: DataFrame, *, part: int = PART) -> DataFrame:
     """(id, c): of every end of an edge the least member of its weakly connected component.
 
+    Tasks join what lies within parts of about ``part`` edges; edges between parts then join the components of these.
+    """
+    e = settle(edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    cut = _cut(e, part)
+    if cut is None:
+        return _stars(e)
+    kind = e.schema["a"].dataType.simpleString()
+    found = cut.dealt(e).groupBy("part").applyInArrow(_weak_task, f"what int, id {kind}, c {kind}, n long")
+    if cut.closed:
+        return found.select("id", "c")
+    found = settle(found)
+    ends = settle(found.where("what = 1").select("id", "c"))
+    across = e.where(cut.of("a") != cut.of("b")).join(ends.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a")
+    links = across.join(ends.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    tops = _stars(links).select(F.col("id").alias("c"), F.col("c").alias("top"))
+    return found.where("what = 0").join(tops, "c", "left").select("id", F.coalesce("top", "c").alias("c"))
+
+
+def _weak_task(edges: pa.Table) -> pa.Table:
+    ids, (a, b) = _numbered(edges["a"], edges["b"])
+    way = edges["way"].to_numpy()
+    least = _least(ids, _joined(a[way == 0], b[way == 0], len(ids)))
+    ends = np.unique(np.concatenate([a[way == 1], b[way == 2]]))
+    own = np.unique(np.concatenate([a[way == 0], b[way == 0], ends]))
+    return _rows(ids, ["what", "id", "c", "n"], (0, own, least[own], None), (1, ends, least[ends], None))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """As ``weak``, of (a, b) over all tasks.
+
     Stars are merged until none changes (large-star and small-star in turn): each round replaces a node's
     neighbours by the least of them, so that no round makes more edges than there are, and their number grows with the
     logarithm of a component's width.
     """
-    now = settle(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     print_ = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -230,8 +372,10 @@ def _tarjan_task(edges: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids, kind), "root": pa.array([ids[r] for r in root], kind)})
 
 
-def components_of(out: list[list[int]]) -> list[int]:
-    """For each node a member of its strongly connected component, the same for all; no recursion (Pearce)."""
+def components_of(out: list[list[int]], order: list[int] | None = None) -> list[int]:
+    """For each node a member of its strongly connected component, the same for all; no recursion (Pearce).
+
+    ``order`` gets these members, each after those of the components that its own leads to."""
     n = len(out)
     index, low, comp = [0] * n, [0] * n, [-1] * n
     clock, stack = 0, []
@@ -258,6 +402,8 @@ def components_of(out: list[list[int]]) -> list[int]:
                 if path:
                     low[path[-1][0]] = min(low[path[-1][0]], low[v])
                 if low[v] == index[v]:
+                    if order is not None:
+                        order.append(v)
                     while True:
                         w = stack.pop()
                         comp[w] = v

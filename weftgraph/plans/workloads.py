@@ -57,24 +57,31 @@ def _closure(edges: str, name: str) -> str:
 {name} AS (SELECT id, min(mate) AS scc_id, count(*) AS scc_size FROM {name}_pair GROUP BY id)"""
 
 
-def _quarter(date: str) -> F.Column:
-    return F.concat(F.lit("c"), "o_custkey", F.lit(":"), F.year(date) * 4 + F.quarter(date))
+def _number(date: str) -> F.Column:
+    return F.year(date) * 4 + F.quarter(date)
+
+
+def _of_customer(number: str | F.Column) -> F.Column:
+    return F.concat(F.lit("c"), "o_custkey", F.lit(":"), number)
 
 
 def trade_edges(spark: SparkSession, d: str) -> DataFrame:
     """Every item leads from the quarter in which its customer ordered it to the one in which it was shipped."""
-    item = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", (F.col("l_linestatus") == "O").alias("type_checking"))
-    j = item.join(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
-    return j.select(_quarter("o_orderdate").alias("src"), _quarter("l_shipdate").alias("dst"), "type_checking").distinct()
+    item = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), _number("l_shipdate").alias("sent"), (F.col("l_linestatus") == "O").alias("type_checking"))
+    j = item.join(table(spark, d, "orders").select("o_orderkey", "o_custkey", _number("o_orderdate").alias("ordered")), "o_orderkey")
+    # numbers are told apart before ids are spelled
+    e = j.select("o_custkey", "ordered", "sent", "type_checking").distinct()
+    return e.select(_of_customer("ordered").alias("src"), _of_customer("sent").alias("dst"), "type_checking")
 
 
 def trade_nodes(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
-    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).union(table(spark, d, "orders").select(_quarter("o_orderdate"))).distinct()
+    days = table(spark, d, "orders").select("o_custkey", _number("o_orderdate").alias("q")).distinct().select(_of_customer("q"))
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).union(days).distinct()
     return ids.select("id", F.col("id").alias("name"), F.substring_index("id", ":", 1).alias("file"))
 
 
 def urgent_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(_quarter("o_orderdate").alias("id")).distinct()
+    return table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", _number("o_orderdate").alias("q")).distinct().select(_of_customer("q").alias("id"))
 
 
 def _trade(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -114,7 +114,7 @@ def placed_graph(seed=7, files=9, each=6, cross=8):
     return n, pairs, [f"f{i // each}:n{i:03}" for i in range(n)]
 
 
-@pytest.mark.parametrize("solve", ["weak"])
+@pytest.mark.parametrize("solve", ["weak", "scc", "scc by rounds"])
 def test_long_ways_within_files_take_no_rounds(spark, monkeypatch, solve):
     pairs = [(f"f{f}:{i:02}", f"f{f}:{i + 1:02}") for f in range(4) for i in range(30)] + [("f0:30", "f0:00")]
     e = frame(spark, pairs)

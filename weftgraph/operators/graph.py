@@ -339,25 +339,99 @@ def _stars(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("c")).union(now.select(F.col("v").alias("id"), F.col("v").alias("c")).distinct())
 
 
-def scc(nodes: DataFrame, edges: DataFrame, *, runtime_only: bool = False, group: int = GROUP) -> DataFrame:
+def scc(nodes: DataFrame, edges: DataFrame, *, runtime_only: bool = False, group: int = GROUP, part: int = PART) -> DataFrame:
     """(id, scc_id, scc_size) of every distinct node; a component is named by its least member as a string.
 
-    ``group``: edges of a weakly connected component that one task may hold; larger ones take rounds over all tasks.
+    ``part``: edges of a part of the graph that a task contracts, whatever components it cuts through. ``group``: of what no contraction
+    makes smaller, edges of a weakly connected component that one task may hold; larger ones take rounds over all tasks.
     """
     ids = nodes.select("id").where(F.col("id").isNotNull()).distinct()
-    e = settle(adjacency(edges, ids, runtime_only=runtime_only).repartition("src"))
-    kind = nodes.schema["id"].dataType.simpleString()
-    placed = settle(e.join(weak(e).withColumnRenamed("id", "src"), "src"))
+    e = settle(adjacency(edges, ids, runtime_only=runtime_only).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    # nodes without a part in any cycle are their own component
+    full = _components(e, group, part)
+    return ids.join(full, "id", "left").select("id", F.coalesce("scc_id", "id").alias("scc_id"), F.coalesce("scc_size", F.lit(1).cast("long")).alias("scc_size"))
+
+
+def _named(members: DataFrame) -> DataFrame:
+    """(id, scc_id, scc_size) of (id, root)."""
+    named = members.groupBy("root").agg(F.min(F.struct(F.col("id").cast("string").alias("s"), "id")).alias("m"), F.count(F.lit(1)).alias("scc_size"))
+    return members.join(named, "root").select("id", F.col("m.id").alias("scc_id"), "scc_size")
+
+
+def _components(e: DataFrame, group: int, part: int) -> DataFrame:
+    """(id, scc_id, scc_size) of at least every node of (a, b) on a cycle.
+
+    A task finds the components within a part. Those on no way through it, from an edge that leads in to one that leads out, are whole;
+    the others are contracted to their least members, and the graph of these goes on.
+    """
+    cut = _cut(e, part)
+    if cut is None:
+        return _named(_scc_grouped(e.select(F.col("a").alias("src"), F.col("b").alias("dst")), group))
+    kind = e.schema["a"].dataType.simpleString()
+    found = cut.dealt(e).groupBy("part").applyInArrow(_contract_task, f"what int, id {kind}, other {kind}, n long")
+    whole = lambda f: f.where("what = 0").select("id", F.col("other").alias("scc_id"), F.col("n").alias("scc_size"))
+    if cut.closed:
+        return whole(found)
+    found = settle(found)
+    merged = found.where("what = 1").select("id", F.col("other").alias("root"))
+    left = found.where("what = 2").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    left = left.join(merged.select(F.col("id").alias("b"), F.col("root").alias("r")), "b", "left").select("a", F.coalesce("r", "b").alias("b"))
+    # an open component leads on, so what leads nowhere is whole
+    left = settle(left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").where("a <> b").select("a", "b").distinct())
+    if left.isEmpty():
+        return whole(found).union(_named(merged))
+    above = _components(left, group, part if 2 * left.count() <= e.count() else 0).select("id", F.col("scc_id").alias("top"))
+    under = merged.join(above.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    alone = above.join(merged.select("id"), "id", "left_anti").select("id", F.col("top").alias("root"))
+    return whole(found).union(_named(under.union(alone)))
+
+
+def _contract_task(edges: pa.Table) -> pa.Table:
+    ids, (a, b) = _numbered(edges["a"], edges["b"])
+    way = edges["way"].to_numpy()
+    ia, ib = a[way == 0], b[way == 0]
+    out = _lists(ia, ib, len(ids))
+    order: list[int] = []
+    comp = np.array(components_of(out, order), dtype=np.int64)
+    size = np.bincount(comp, minlength=len(ids))[comp]
+    least = _least(pc.cast(ids, pa.string()), comp)
+    open_ = np.zeros(len(ids), dtype=bool)
+    if (way == 1).any() and (way == 2).any():
+        tops = _lists(comp[ia], comp[ib], len(ids))
+        leads, led = [False] * len(ids), [False] * len(ids)
+        for x in comp[a[way == 1]].tolist():
+            leads[x] = True
+        for x in comp[b[way == 2]].tolist():
+            led[x] = True
+        for x in order:  # what a component leads to is found before it
+            leads[x] = leads[x] or any(leads[y] for y in tops[x])
+        for x in reversed(order):
+            if led[x]:
+                for y in tops[x]:
+                    led[y] = True
+        open_ = (np.array(leads) & np.array(led))[comp]
+    many = np.arange(len(ids))[size > 1]
+    shut, ajar = many[~open_[many]], many[open_[many]]
+    within = open_[ia] & open_[ib] & (comp[ia] != comp[ib])
+    pairs = np.unique(np.stack([least[ia[within]], least[ib[within]]]), axis=1)
+    leave = (way == 1) & open_[a]
+    return _rows(
+        ids, ["what", "id", "other", "n"], (0, shut, least[shut], size[shut]), (1, ajar, least[ajar], None), (2, pairs[0], pairs[1], None), (2, least[a[leave]], b[leave], None)
+    )
+
+
+def _scc_grouped(e: DataFrame, group: int) -> DataFrame:
+    """(id, root) of the ends of ``edges``, by weakly connected components."""
+    kind = e.schema["src"].dataType.simpleString()
+    e = settle(e.repartition("src"))
+    placed = settle(e.join(weak(e, part=0).withColumnRenamed("id", "src"), "src"))
     large = settle(placed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("c"))
     within = placed.join(large, "c", "left_anti")
     buckets = max(1, -(-2 * within.count() // max(group, 1)))
     inner = within.withColumn("bucket", F.pmod(F.xxhash64("c"), F.lit(buckets))).select("bucket", "src", "dst").groupBy("bucket").applyInArrow(_tarjan_task, f"id {kind}, root {kind}")
     if not large.isEmpty():
         inner = inner.union(_scc_rounds(placed.join(large, "c", "left_semi").select("src", "dst")))
-    # nodes without a part in any cycle are their own component
-    named = inner.groupBy("root").agg(F.min(F.struct(F.col("id").cast("string").alias("s"), "id")).alias("m"), F.count(F.lit(1)).alias("scc_size"))
-    full = inner.join(named, "root").select("id", F.col("m.id").alias("scc_id"), "scc_size")
-    return ids.join(full, "id", "left").select("id", F.coalesce("scc_id", "id").alias("scc_id"), F.coalesce("scc_size", F.lit(1).cast("long")).alias("scc_size"))
+    return inner
 
 
 def _tarjan_task(edges: pa.Table) -> pa.Table:

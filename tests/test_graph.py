@@ -114,7 +114,31 @@ def placed_graph(seed=7, files=9, each=6, cross=8):
     return n, pairs, [f"f{i // each}:n{i:03}" for i in range(n)]
 
 
-@pytest.mark.parametrize("solve", ["weak", "scc", "scc by rounds"])
+@pytest.mark.parametrize("part", [graph.PART, 25, 0])
+@pytest.mark.parametrize("seed", [7, 8])
+def test_parts_give_the_same(spark, part, seed):
+    n, pairs, name = placed_graph(seed)
+    e, nodes = frame(spark, [(name[a], name[b]) for a, b in pairs]), spark.createDataFrame([(x,) for x in name], "id string")
+    if part == 25:
+        cut = graph._cut(e.toDF("a", "b"), part)
+        assert cut.parts > 1 and not cut.closed
+    reach, both = brute_reach(n, pairs), brute_reach(n, pairs + [(b, a) for a, b in pairs])
+    mates = [[j for j in range(n) if j in reach[i] and i in reach[j]] for i in range(n)]
+    assert max(map(len, mates)) > 6
+    got = {r.id: (r.scc_id, r.scc_size) for r in graph.scc(nodes, e, part=part).collect()}
+    assert got == {name[i]: (name[min(mates[i])], len(mates[i])) for i in range(n)}
+    got = {r.id: r.c for r in graph.weak(e, part=part).collect()}
+    assert got == {name[i]: name[min(both[i])] for i in range(n) if len(both[i]) > 1}
+    seeds = [0, 20, n - 1]
+    want, level = dict.fromkeys(seeds, 0), set(seeds)
+    while level:
+        level = {b for a, b in pairs if a in level} - set(want)
+        want |= dict.fromkeys(level, max(want.values()) + 1)
+    start = spark.createDataFrame([(name[i],) for i in [*seeds, 0]] + [(None,)], "id string")
+    assert sorted(tuple(r) for r in graph.hops(e, start, part=part).collect()) == sorted((name[i], h) for i, h in want.items())
+
+
+@pytest.mark.parametrize("solve", ["weak", "scc", "scc by rounds", "hops", "distances"])
 def test_long_ways_within_files_take_no_rounds(spark, monkeypatch, solve):
     pairs = [(f"f{f}:{i:02}", f"f{f}:{i + 1:02}") for f in range(4) for i in range(30)] + [("f0:30", "f0:00")]
     e = frame(spark, pairs)

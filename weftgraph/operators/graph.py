@@ -200,11 +200,12 @@ def _rows(ids: pa.Array, schema: list[str], *blocks: tuple[int, np.ndarray, np.n
 # == hops and reachability
 
 
-def hops(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", most: int | None = None, small: int = 0) -> DataFrame:
+def hops(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", most: int | None = None, small: int = 0, part: int = PART) -> DataFrame:
     """(id, hops) of everything within reach of ``seeds`` (id), seeds at 0.
 
     ``direction``: forward along edges, backward against them, or both. ``most`` bounds the hops. ``small``: edges
-    up to which one task solves the whole graph, for callers who know theirs to be small.
+    up to which one task solves the whole graph, for callers who know theirs to be small. ``part``: edges of a part of the graph, in which
+    a task solves every weakly connected component that no edge between parts touches; the others take a round a hop.
     """
     if direction not in ("forward", "backward", "both"):
         raise ValueError(direction)
@@ -213,9 +214,43 @@ def hops(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", most
     e = {"forward": e, "backward": back, "both": e.union(back)}[direction].where("a <> b").distinct()
     start = seeds.select("id").where(F.col("id").isNotNull()).distinct()
     kind = seeds.schema["id"].dataType.simpleString()
-    e = settle(e.repartition("a"))  # once, whatever made the edges
+    e = settle(e)  # once, whatever made the edges
     if small and _few(e, small):
         return _in_one_task(start, e, _bfs_task(most), f"id {kind}, hops int")
+    cut = _cut(e, part) if seeds.schema["id"].dataType == e.schema["a"].dataType else None
+    if cut is None:
+        return _hops_rounds(e, start, most)
+    left, right = start.select(cut.of("id").alias("part"), "id").groupBy("part"), cut.dealt(e).groupBy("part")
+    found = left.cogroup(right).applyInArrow(_part_hops_task(most), f"what int, id {kind}, other {kind}, n long")
+    done = lambda f: f.where("what = 0").select("id", F.col("n").cast("int").alias("hops"))
+    if cut.closed:
+        return done(found)
+    found = settle(found)
+    edges_left = found.where("what = 1").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return done(found).union(_hops_rounds(edges_left, found.where("what = 2").select("id"), most))
+
+
+def _part_hops_task(most: int | None):
+    run = _bfs_task(most)
+
+    def part(seeds: pa.Table, edges: pa.Table) -> pa.Table:
+        ids, (s, a, b) = _numbered(seeds["id"], edges["a"], edges["b"])
+        way = edges["way"].to_numpy()
+        comp = _joined(a[way == 0], b[way == 0], len(ids))
+        touched = np.zeros(len(ids), dtype=bool)
+        touched[comp[a[way == 1]]] = touched[comp[b[way == 2]]] = True
+        open_ = touched[comp]
+        shut = ~open_[a] & (way == 0)
+        level = run(pa.table({"id": s[~open_[s]]}), pa.table({"a": a[shut], "b": b[shut]}))
+        keep = open_[a] & (way < 2)
+        at = level["id"].to_numpy()
+        return _rows(ids, ["what", "id", "other", "n"], (0, at, None, level["hops"].to_numpy()), (1, a[keep], b[keep], None), (2, s[open_[s]], None, None))
+
+    return part
+
+
+def _hops_rounds(e: DataFrame, start: DataFrame, most: int | None) -> DataFrame:
+    e = settle(e.repartition("a"))
     seen = frontier = settle(start.withColumn("hops", F.lit(0)))
     level = 0
     while most is None or level < most:

@@ -154,3 +154,14 @@ def test_long_ways_within_files_take_no_rounds(spark, monkeypatch, solve):
     else:
         assert graph.distances(nodes, e, start).agg({"dd": "max"}).first()[0] == 30
     assert len(settled) <= 3
+
+
+def test_node_order_ranks_over_tasks(spark):
+    rng = random.Random(2)
+    ids = rng.sample(range(10_000), 3000)
+    rows = [(f"n{i}", i % 3) for i in ids]
+    reach = spark.createDataFrame(rows, "id string, hops int")
+    order = graph.node_order(reach)
+    assert not [w for w in order._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in w]
+    want = {x: k for g in range(3) for k, x in enumerate(sorted(a for a, h in rows if h == g))}
+    assert {r.id: r.gen_idx for r in order.collect()} == want and {(r.id, r.gen) for r in order.collect()} == set(rows)

@@ -303,11 +303,17 @@ def signature(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def node_order(reach: DataFrame) -> DataFrame:
-    """(id, gen, gen_idx): generation and rank within it by id."""
+    """(id, gen, gen_idx): generation and rank within it by id. Generations are sorted over all tasks, so that none holds a whole one."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("hops").orderBy("id")
-    return reach.select("id", F.col("hops").alias("gen"), (F.row_number().over(w) - 1).alias("gen_idx"))
+    rows = settle(reach.select("id", F.col("hops").alias("gen")))  # sorting samples first
+    rows = settle(rows.repartitionByRange("gen", "id").sortWithinPartitions("gen", "id").withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("task", F.shiftright("at", 33))
+    runs = rows.groupBy("gen", "task").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("gen").orderBy("task")) - F.col("n")
+    # at most as many runs as tasks and generations
+    runs = F.broadcast(runs.select("gen", "task", (before - F.col("first")).alias("shift")))
+    return rows.join(runs, ["gen", "task"]).select("id", "gen", (F.col("at") + F.col("shift")).alias("gen_idx"))
 
 
 def unreached(nodes: DataFrame, edges: DataFrame, roots: DataFrame, small: int = 0) -> DataFrame:

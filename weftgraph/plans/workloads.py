@@ -165,7 +165,8 @@ SELECT 'scc_sizes_sum_to_nodes', abs((SELECT sum(scc_size) FROM s) - (SELECT cou
 def graph_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Of a graph that breaks them: the nodes are only those of urgent orders, edges and components those of all."""
     e, n = _trade(spark, d)
-    return graph.violations(urgent_nodes(spark, d), graph.adjacency(e, n), graph.scc(n, e))
+    inner = settle(graph.adjacency(e, n))
+    return graph.violations(urgent_nodes(spark, d), inner, graph.scc(n, inner))
 
 
 def supply_edges(spark: SparkSession, d: str) -> DataFrame:

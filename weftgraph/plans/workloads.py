@@ -108,7 +108,7 @@ def trade_scc(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f'WITH RECURSIVE {_TRADE}, {_closure("er", "scc")} SELECT id, scc_id, scc_size::BIGINT AS scc_size FROM scc')
 def trade_scc_by_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """As of components that no task can hold: trimming, colours and confirmation over all tasks."""
+    """As of components that no task can hold: parts are contracted first; only what that leaves takes trimming, colours and confirmation over all tasks."""
     e, n = _trade(spark, d)
     return graph.scc(n, e, runtime_only=True, group=0).select("id", "scc_id", long("scc_size"))
 
